@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, htmltext, mixing, packing, quality, rules, secrets, sharding, toxicity
+from . import fingerprints, htmltext, mixing, ngram_join, packing, quality, rules, secrets, sharding, toxicity
 from .common import documents, labels
 
 
@@ -35,6 +35,10 @@ def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(versions)
 
 
+def op6_ngram_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(documents(spark, sf_dir))
+
+
 def op7_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -54,6 +58,6 @@ def op10_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir).select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_isolation_forest_rules, op3_html_block_rules, op4_quality_classifier, op5_secret_ledger, op7_histogram_shards, op8_weighted_fingerprints, op9_ftrl_toxicity, op10_slack_packing)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_isolation_forest_rules, op3_html_block_rules, op4_quality_classifier, op5_secret_ledger, op6_ngram_trie_join, op7_histogram_shards, op8_weighted_fingerprints, op9_ftrl_toxicity, op10_slack_packing)}
 
 ORACLE_SQL = {"op1_mixing": mixing.ORACLE}
