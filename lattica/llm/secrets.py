@@ -67,7 +67,19 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rule_version: str
     new = scanned.select("blob", F.lit(rule_version).alias("rule_version"), "spans")
     if ledger is not None:
         found = found.unionByName(known.filter(F.size("spans") > 0).dropDuplicates(["blob"]))
-    return versions.join(found, "blob", "left"), new
+    return join_back(versions, found), new
+
+
+#: A content's paths are dealt over so many tasks when findings are joined back.
+SALTS = 32
+
+
+def join_back(versions: DataFrame, found: DataFrame) -> DataFrame:
+    """versions with spans by blob. Only blobs with findings are on the right, copied for each salt; the salt of a version
+    is its scan task's number, so that one content in any share of the rows is spread evenly."""
+    salted = versions.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    copies = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, ["blob", "_salt"], "left").drop("_salt")
 
 
 def joined(spans: Column, kinds: tuple[str, ...] | None = None) -> Column:
