@@ -16,14 +16,14 @@ def majority_events(occupancy: DataFrame, r: int, keys: list[str] = ["cell"], la
     dump False leaves out intervals that are open on the last frame.
     """
     span = 2 * r + 1
-    occ = occupancy.filter(F.col(label) >= 0).select(*keys, label, F.col(frame).alias("f"))
-    steps = occ.withColumn("d", F.lit(1)).unionByName(occ.select(*keys, label, (F.col("f") + span).alias("f"), F.lit(-1).alias("d"))).groupBy(*keys, label, "f").agg(F.sum("d").alias("d"))
-    w = Window.partitionBy(*keys, label).orderBy("f")
+    occ = occupancy.filter(F.col(label) >= 0).select(*keys, label, F.col(frame).alias("_f"))
+    steps = occ.withColumn("_d", F.lit(1)).unionByName(occ.select(*keys, label, (F.col("_f") + span).alias("_f"), F.lit(-1).alias("_d"))).groupBy(*keys, label, "_f").agg(F.sum("_d").alias("_d"))
+    w = Window.partitionBy(*keys, label).orderBy("_f")
     last = occupancy.agg(F.max(frame).alias("_last"))
-    rows = steps.select(*keys, label, "f", F.sum("d").over(w).alias("n"), F.lead("f").over(w).alias("nf")).filter((2 * F.col("n") >= span) & F.col("nf").isNotNull())
-    rows = rows.crossJoin(F.broadcast(last)).select(*keys, label, F.greatest("f", F.lit(2 * r)).alias("a"), F.least(F.col("nf") - 1, F.col("_last")).alias("b"), "_last").filter("a <= b")
-    runs = _runs(rows, [*keys, label], "a", "b")
-    out = runs.groupBy(*keys, label, "_run").agg(F.min("a").cast("int").alias("bind_i"), F.max("b").cast("int").alias("bind_f"), F.max("_last").alias("_last"))
+    rows = steps.select(*keys, label, "_f", F.sum("_d").over(w).alias("_n"), F.lead("_f").over(w).alias("_nf")).filter((2 * F.col("_n") >= span) & F.col("_nf").isNotNull())
+    rows = rows.crossJoin(F.broadcast(last)).select(*keys, label, F.greatest("_f", F.lit(2 * r)).alias("_a"), F.least(F.col("_nf") - 1, F.col("_last")).alias("_b"), "_last").filter("_a <= _b")
+    runs = _runs(rows, [*keys, label], "_a", "_b")
+    out = runs.groupBy(*keys, label, "_run").agg(F.min("_a").cast("int").alias("bind_i"), F.max("_b").cast("int").alias("bind_f"), F.max("_last").alias("_last"))
     if not dump:
         out = out.filter("bind_f < _last")
     return out.select(*keys, label, "bind_i", "bind_f", (F.col("bind_f") - F.col("bind_i") + 1).cast("int").alias("dwell"))

@@ -150,8 +150,8 @@ def a7_pair_vector(fx: Fixture):
     return m.pair_vector(fx.atoms, "PO4", "C4A", "GL1").select("frame", "res_nr", r6("dx"), r6("dy"), r6("dz"))
 
 
-DIHEDRAL = WIDE + """, q AS (SELECT *, lag(px) OVER k AS ix, lag(py) OVER k AS iy, lag(pz) OVER k AS iz FROM w WINDOW k AS (PARTITION BY frame ORDER BY res_nr)),
- b AS (SELECT frame, res_nr, res_name, ix-gx AS ax, iy-gy AS ay, iz-gz AS az, hx-gx AS bx, hy-gy AS by_, hz-gz AS bz, hx-cx AS cx, hy-cy AS cy, hz-cz AS cz FROM q WHERE ix IS NOT NULL),
+DIHEDRAL = WIDE + """, q AS (SELECT *, lag(px) OVER k AS ix, lag(py) OVER k AS iy, lag(pz) OVER k AS iz, lead(cx) OVER k AS mx, lead(cy) OVER k AS my, lead(cz) OVER k AS mz FROM w WINDOW k AS (PARTITION BY frame ORDER BY res_nr)),
+ b AS (SELECT frame, res_nr, res_name, ix-gx AS ax, iy-gy AS ay, iz-gz AS az, hx-gx AS bx, hy-gy AS by_, hz-gz AS bz, hx-mx AS cx, hy-my AS cy, hz-mz AS cz FROM q WHERE ix IS NOT NULL AND mx IS NOT NULL),
  n AS (SELECT *, ay*bz-az*by_ AS n1x, az*bx-ax*bz AS n1y, ax*by_-ay*bx AS n1z, by_*cz-bz*cy AS n2x, bz*cx-bx*cz AS n2y, bx*cy-by_*cx AS n2z FROM b),
  d AS (SELECT frame, res_nr, res_name, degrees(acos(least(1e0, greatest(-1e0, (n1x*n2x+n1y*n2y+n1z*n2z)/(sqrt(n1x*n1x+n1y*n1y+n1z*n1z)*sqrt(n2x*n2x+n2y*n2y+n2z*n2z)))))) * CASE WHEN ax*n2x+ay*n2y+az*n2z < 0 THEN -1e0 ELSE 1e0 END AS angle
    FROM n WHERE n1x*n1x+n1y*n1y+n1z*n1z > 1e-9 AND n2x*n2x+n2y*n2y+n2z*n2z > 1e-9)"""
@@ -159,7 +159,7 @@ DIHEDRAL = WIDE + """, q AS (SELECT *, lag(px) OVER k AS ix, lag(py) OVER k AS i
 
 @query(DIHEDRAL + " SELECT frame, res_nr, round(abs(angle), 5) + 0.0 AS angle FROM d WHERE abs(angle) BETWEEN 0.5e0 AND 179.5e0")
 def a8_dihedral(fx: Fixture):
-    d = m.dihedral(fx.atoms, "PO4", "GL1", "GL2", "C4A", previous=("i",))
+    d = m.dihedral(fx.atoms, "PO4", "GL1", "GL2", "C4A", previous=("i",), following=("m",))
     return d.filter(F.abs("angle").between(0.5, 179.5)).select("frame", "res_nr", (F.round(F.abs("angle"), 5) + 0.0).alias("angle"))
 
 
