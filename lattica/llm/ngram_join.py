@@ -11,38 +11,93 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashes, mix64, stash
+from .common import mix64, stash
 
 SHINGLE = 5
 PERCENT = 80
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(text: str | None, hashes: Hashes) -> np.ndarray:
-    """Ascending distinct 64-bit shingle hashes of a whole text: A-Z lower-cased, five words each; fewer words: one shingle."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    m = mix64(hashes.of(words))
-    n = min(SHINGLE, len(words))
-    keys = np.full(len(words) - n + 1, n, np.uint64)
-    for j in range(n):
-        keys = keys * PRIME + m[j : j + len(keys)]
-    return np.unique(mix64(keys))
+#: Which bytes part words, 64 random bits for each other byte, and an odd base for positions with its inverse.
+PARTS = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+BYTES = np.where(PARTS, np.uint64(0), mix64(np.arange(1, 257, dtype=np.uint64) * PRIME))
+BASE = 0xD1342543DE82EF95
+
+
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    with np.errstate(over="ignore"):
+        return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, x, np.uint64)]), dtype=np.uint64) for x in (BASE, pow(BASE, -1, 2**64)))
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first byte) of each word of data, A-Z lower-cased: a word's bytes weighted by position, from one running sum."""
+    b = np.frombuffer(data.lower(), np.uint8)
+    power, inverse = _powers(1 << max(20, len(b).bit_length()))
+    sums = np.zeros(len(b) + 1, np.uint64)
+    weighted = BYTES.take(b)
+    weighted *= power[: len(b)]
+    np.cumsum(weighted, out=sums[1:])
+    part = np.ones(len(b) + 2, bool)
+    part[1:-1] = PARTS.take(b)
+    edge = np.flatnonzero(part[1:] != part[:-1])
+    starts, ends = edge[::2], edge[1::2]
+    return mix64((sums[ends] - sums[starts]) * inverse[starts]), starts
+
+
+#: Bytes of text that are hashed at once; a longer text is taken alone.
+PORTION = 1 << 20
+
+
+def text_sets(column) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, set) of each text: ascending distinct 64-bit shingle hashes of the whole text, five words each; fewer words are one shingle.
+    Null and empty texts have the empty set."""
+    texts = [t or b"" for t in column.cast(pa.binary()).to_pylist()]
+    at = 0
+    while at < len(texts):
+        end, size = at + 1, len(texts[at])
+        while end < len(texts) and size + len(texts[end]) < PORTION:
+            size += len(texts[end])
+            end += 1
+        words, starts = word_hashes(b"\n".join(texts[at:end]))
+        firsts = np.searchsorted(starts, np.cumsum([0, *[len(t) + 1 for t in texts[at:end]]])).tolist()
+        keys = np.full(max(0, len(words) - SHINGLE + 1), SHINGLE, np.uint64)
+        for j in range(SHINGLE):
+            keys *= PRIME
+            keys += words[j : j + len(keys)]
+        for k, (low, high) in enumerate(zip(firsts, firsts[1:])):
+            n = high - low
+            if n >= SHINGLE:
+                own = np.sort(keys[low : high - SHINGLE + 1])
+                yield at + k, own[np.concatenate([[True], own[1:] != own[:-1]])]
+            elif n:
+                one = np.array([n], np.uint64)
+                for h in words[low:high]:
+                    one = one * PRIME + h
+                yield at + k, mix64(one)
+            else:
+                yield at + k, np.zeros(0, np.uint64)
+        at = end
+
+
+def shingles(text: str | None) -> np.ndarray:
+    return next(text_sets(pa.array([text], pa.string())))[1]
 
 
 def set_hash(keys: np.ndarray) -> int:
     """64 bits for a whole set, independent of order; 0 only for the empty set."""
     if not len(keys):
         return 0
-    both = mix64(np.array([mix64(keys + PRIME).sum(dtype=np.uint64) ^ np.uint64(len(keys))], np.uint64))
-    return int(both.view(np.int64)[0]) or 1
+    sums = int(keys.sum(dtype=np.uint64)), int((keys * keys).sum(dtype=np.uint64)), len(keys)
+    return int.from_bytes(blake2b(b"".join(x.to_bytes(8, "little") for x in sums), digest_size=8).digest(), "little", signed=True) or 1
 
 
 def prefix_length(n: np.ndarray | int, percent: int = PERCENT):
@@ -60,36 +115,77 @@ def ordered(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return keys[np.argsort(level, kind="stable")] if level.any() else keys
 
 
-def _sets(column, hashes: Hashes, seen: set[int]) -> Iterator[tuple[int, np.ndarray]]:
+def parity(keys: np.ndarray) -> bytes:
+    """One bit for each of at least len(keys) cells (a power of two), whether an odd number of keys fall in it."""
+    m = 1 << max(6, (len(keys) - 1).bit_length())
+    odd = np.bincount((keys & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_link(n: int, a: bytes, m: int, b: bytes, percent: int = PERCENT) -> bool:
+    """Whether the parities allow a link: sets that differ in d keys differ in at most d cells, and linking sets differ in no more than
+    n + m - 2 * wanted keys. The longer parity is folded to the length of the other."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum()) <= n + m - 2 * wanted(n, m, percent)
+
+
+def _sets(column, seen: set[int]) -> Iterator[tuple[int, np.ndarray]]:
     """(hash, keys) of the sets that this task meets for the first time: copies cost a task one set."""
-    for text in column:
-        keys = shingles(text.as_py(), hashes)
+    for _, keys in text_sets(column):
         if (sig := set_hash(keys)) and sig not in seen:
             seen.add(sig)
             yield sig, keys
 
 
-def frequency_levels(docs: DataFrame, bits: int, mean: float) -> np.ndarray:
-    """One byte for each of 2 ** bits cells of shingle hashes: 0 up to four times the mean count, then one more per doubling.
-
-    Every set is counted once a task. Tasks send their counts compressed, in chunks that are summed apart from each other."""
+def sized(docs: DataFrame, bits: int) -> DataFrame:
+    """One pass for (id, n_shingles, sig) of every row, and for counts of shingle hashes in 2 ** bits cells: rows of the latter have a
+    chunk number and compressed counts instead. A set is counted once a task."""
+    kind = docs.schema["id"].dataType.simpleString()
     chunks = 1 << max(0, bits - 14)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen, cells, held, n = Hashes(), set(), np.zeros(1 << bits, np.uint32), [], 0
+        seen, cells, held, n = set(), np.zeros(1 << bits, np.uint16 if bits > 22 else np.uint32), [], 0
+        id_type = None
+
+        def add() -> None:
+            nonlocal held, n
+            if held:
+                cells_, counts = np.unique(np.concatenate(held), return_counts=True)
+                cells[cells_] = np.minimum(cells[cells_].astype(np.int64) + counts, np.iinfo(cells.dtype).max)
+            held, n = [], 0
+
         for batch in batches:
-            for _, keys in _sets(batch.column(0), hashes, seen):
-                held.append((keys >> np.uint64(64 - bits)).astype(np.int64))
-                n += len(keys)
-                if n > 1 << 19:
-                    np.add.at(cells, np.concatenate(held), 1)
-                    held, n = [], 0
-        if held:
-            np.add.at(cells, np.concatenate(held), 1)
+            id_type = batch.column(0).type
+            sizes, sigs = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            for k, keys in text_sets(batch.column(1)):
+                sizes[k], sigs[k] = len(keys), set_hash(keys)
+                if sigs[k] and int(sigs[k]) not in seen:
+                    seen.add(int(sigs[k]))
+                    held.append((keys >> np.uint64(64 - bits)).astype(np.int64))
+                    n += len(keys)
+                    if n > 1 << 19:
+                        add()
+            none = pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(sigs), *none], ["id", "n_shingles", "sig", "chunk", "cells"])
+        add()
         if seen:
             parts = cells.reshape(chunks, -1)
             for k in range(0, chunks, 64):
-                yield pa.RecordBatch.from_arrays([pa.array(range(k, min(chunks, k + 64)), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts[k : k + 64]], pa.binary())], ["chunk", "cells"])
+                some = [(c, p) for c, p in enumerate(parts[k : k + 64], k) if p.any()]
+                none = pa.nulls(len(some), id_type), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64())
+                yield pa.RecordBatch.from_arrays([*none, pa.array([c for c, _ in some], pa.int32()), pa.array([zlib.compress(p.astype(np.uint32).tobytes(), 1) for _, p in some], pa.binary())], ["id", "n_shingles", "sig", "chunk", "cells"])
+
+    return docs.select("id", "text").mapInArrow(run, f"id {kind}, n_shingles long, sig long, chunk int, cells binary")
+
+
+def frequency_levels(counted: DataFrame, bits: int, mean: float) -> np.ndarray:
+    """One byte for each cell of shingle hashes: 0 up to four times the mean count, then one more per doubling. Chunks of cells are
+    summed apart from each other; 2 ** bits bytes reach the driver."""
+    chunks = 1 << max(0, bits - 14)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -101,9 +197,9 @@ def frequency_levels(docs: DataFrame, bits: int, mean: float) -> np.ndarray:
             level = [np.maximum(0, np.floor(np.log2(np.maximum(s, 1) / (2 * mean)))).astype(np.uint8).tobytes() for s in sums.values()]
             yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array(level, pa.binary())], ["chunk", "levels"])
 
-    rows = docs.select("text").mapInArrow(run, "chunk int, cells binary").repartition("chunk").mapInArrow(add, "chunk int, levels binary")
+    rows = counted.filter("chunk is not null").select("chunk", "cells").repartition("chunk").mapInArrow(add, "chunk int, levels binary")
     out = np.zeros((chunks, (1 << bits) // chunks), np.uint8)
-    for r in rows.toLocalIterator():  # 2 ** bits bytes in all
+    for r in rows.collect():
         out[r["chunk"]] = np.frombuffer(r["levels"], np.uint8)
     return out.reshape(-1)
 
@@ -114,10 +210,10 @@ def shared_tokens(docs: DataFrame, levels) -> DataFrame:
     Rows come sorted by (token, sig) and are passed on as they stream by: a set waits only until a second one follows."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = Hashes(), set()
+        seen: set[int] = set()
         for batch in batches:
             tokens, sigs, sizes = [], [], []
-            for sig, keys in _sets(batch.column(0), hashes, seen):
+            for sig, keys in _sets(batch.column(0), seen):
                 tokens.append(ordered(keys, levels.value)[: prefix_length(len(keys))])
                 sigs.append(np.full(len(tokens[-1]), sig, np.int64))
                 sizes.append(np.full(len(tokens[-1]), len(keys), np.int32))
@@ -156,31 +252,34 @@ def shared_tokens(docs: DataFrame, levels) -> DataFrame:
     return rows.mapInArrow(shared, schema)
 
 
-def membership(sigs: DataFrame, bits: int) -> np.ndarray:
-    """Packed bits of a filter over sigs(sig): 2 ** bits of them, or-ed by Spark; no false negatives."""
-    cell = F.shiftrightunsigned("sig", 64 - bits)
-    words = sigs.groupBy(F.shiftrightunsigned(cell, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(sig, {64 - bits}) & 63 as int))")).alias("mask")).toPandas()
-    out = np.zeros(1 << (bits - 6), np.int64)
-    out[words["word"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64)
-    return out.view(np.uint64)
+def stored_sets(docs: DataFrame, slim: DataFrame, sigs: DataFrame, levels) -> DataFrame:
+    """(sig, n, odd, keys) of the sets in sigs: parity, and keys in the global order, eight bytes each. One document of each set is read
+    again, by its id; only these texts leave the scan."""
+    one = slim.join(sigs, "sig", "left_semi").groupBy("sig").agg(F.min("id").alias("id")).select("id").distinct()
+    texts = docs.join(one, "id", "left_semi").select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            out = [(sig, len(keys), parity(keys), ordered(keys, levels.value).astype("<u8").tobytes()) for sig, keys in _sets(batch.column(0), seen)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["sig", "n", "odd", "keys"])
+
+    return stash(texts.mapInArrow(run, "sig long, n int, odd binary, keys binary").dropDuplicates(["sig"]))
 
 
-def stored_sets(docs: DataFrame, sigs: DataFrame, levels, bits: int) -> DataFrame:
-    """(sig, keys) for the sets in sigs: keys in the global order, eight bytes each."""
-    has = docs.sparkSession.sparkContext.broadcast(membership(sigs, bits))
+def plausible(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """edges(a, b) without those that the parities rule out: what remains is nearly all links."""
+    left = sets.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa"))
+    right = sets.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("ob"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = Hashes(), set()
         for batch in batches:
-            out = []
-            for sig, keys in _sets(batch.column(0), hashes, seen):
-                cell = (sig & (1 << 64) - 1) >> 64 - bits
-                if int(has.value[cell >> 6]) >> (cell & 63) & 1:
-                    out.append((sig, ordered(keys, levels.value).astype("<u8").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["sig", "keys"])
+            c = [x.to_pylist() for x in batch.columns]
+            keep = np.array([may_link(n, x, m, y) for n, x, m, y in zip(*c[2:])], bool)
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    rows = docs.select("text").mapInArrow(run, "sig long, keys binary").join(sigs, "sig", "left_semi")
-    return stash(rows.groupBy("sig").agg(F.first("keys").alias("keys")))
+    rows = edges.join(left, "a").join(right, "b").select("a", "b", "na", "oa", "nb", "ob")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def walk(pivot: np.ndarray, members: list[tuple[int, np.ndarray]], percent: int = PERCENT) -> list[int]:
@@ -301,19 +400,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
     Documents link from a Jaccard similarity of 0.8 on. Null and empty texts have no shingles and are their own component; texts of
     under five words link with equal ones only. Repeated rows, and rows with one id, are kept each. Empty table: no rows.
     """
-    spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-
-    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
-        for batch in batches:
-            keys = [shingles(t.as_py(), hashes) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(k) for k in keys], pa.int64()), pa.array([set_hash(k) for k in keys], pa.int64())], ["id", "n_shingles", "sig"])
-
-    slim = stash(docs.mapInArrow(sized, f"id {kind}, n_shingles long, sig long"))
+    length = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = int(np.clip(np.log2(max(length, 1) / 64), 14, max_bits))
+    counted = stash(sized(docs, bits))
+    slim = counted.filter("chunk is null").select("id", "n_shingles", "sig")
     alike = slim.filter("sig != 0").groupBy("sig").agg(F.min("id").alias("least"))
-    found = links(docs, slim, rounds, max_bits)
+    found = links(docs, counted, slim, bits, rounds)
     if found is not None:
         labels = components(found).withColumnRenamed("node", "sig")
         named = alike.join(labels, "sig", "left").select("sig", F.coalesce("label", "sig").alias("label"), "least")
@@ -323,25 +416,22 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("least", "id").alias("component_id"))
 
 
-def links(docs: DataFrame, slim: DataFrame, rounds: int, max_bits: int) -> DataFrame | None:
+def links(docs: DataFrame, counted: DataFrame, slim: DataFrame, bits: int, rounds: int) -> DataFrame | None:
     """Verified links (a, b) between set hashes that connect all that link; None if no sets share a prefix shingle."""
-    spark = docs.sparkSession
     total = slim.agg(F.sum("n_shingles")).first()[0] or 0
-    bits = int(np.clip(np.log2(max(total, 1) / 32), 14, max_bits))
-    levels = spark.sparkContext.broadcast(frequency_levels(docs, bits, max(total / (1 << bits), 1.0)))
+    levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(counted, bits, max(total / (1 << bits), 1.0)))
     groups = stash(shared_tokens(docs, levels))
-    shared = groups.groupBy("sig").agg((F.count("*") / F.expr(f"max(n) - ceil(max(n) * {PERCENT} / 100) + 1")).alias("rank"))
-    shared = stash(shared)
-    n = shared.count()
-    if not n:
+    full = F.expr(f"max(n) - ceil(max(n) * {PERCENT} / 100) + 1")
+    shared = stash(groups.groupBy("sig").agg((F.count("*") / full).alias("rank")))
+    if not shared.limit(1).count():
         return None
-    sets = stored_sets(docs, shared.select("sig"), levels, int(np.clip(np.ceil(np.log2(n * 16)), 12, 24)))
+    sets = stored_sets(docs, slim, shared.select("sig"), levels)
     groups = groups.join(shared, "sig")
     found, labels = None, None
     for k in range(rounds + 1):
         rows = _labelled(groups, labels)
         edges = pivot_edges(rows, k) if k < rounds else cross_edges(rows)
-        new = stash(verified(stash(edges), sets))
+        new = stash(verified(stash(plausible(edges, sets)), sets))
         found = new if found is None else found.unionByName(new)
         labels = components(found) if k < rounds else None
     return found
