@@ -16,6 +16,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table. Texts are long: Python workers get them in batches of a bounded number of rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -142,10 +142,11 @@ def _sets(column, seen: set[int]) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def sized(docs: DataFrame, bits: int) -> DataFrame:
-    """One pass for (id, n_shingles, sig) of every row, and for counts of shingle hashes in 2 ** bits cells: rows of the latter have a
+    """One pass for (id, n_shingles, sig, odd) of every row, odd the parity of its set, and for counts of shingle hashes in 2 ** bits cells: rows of the latter have a
     chunk number and compressed counts instead. A set is counted once a task."""
     kind = docs.schema["id"].dataType.simpleString()
     chunks = 1 << max(0, bits - 14)
+    names = ["id", "n_shingles", "sig", "odd", "chunk", "cells"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, cells, held, n = set(), np.zeros(1 << bits, np.uint16 if bits > 22 else np.uint32), [], 0
@@ -160,9 +161,10 @@ def sized(docs: DataFrame, bits: int) -> DataFrame:
 
         for batch in batches:
             id_type = batch.column(0).type
-            sizes, sigs = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            sizes, sigs, odds = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), []
             for k, keys in text_sets(batch.column(1)):
                 sizes[k], sigs[k] = len(keys), set_hash(keys)
+                odds.append(parity(keys))
                 if sigs[k] and int(sigs[k]) not in seen:
                     seen.add(int(sigs[k]))
                     held.append((keys >> np.uint64(64 - bits)).astype(np.int64))
@@ -170,16 +172,16 @@ def sized(docs: DataFrame, bits: int) -> DataFrame:
                     if n > 1 << 19:
                         add()
             none = pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(sigs), *none], ["id", "n_shingles", "sig", "chunk", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(sigs), pa.array(odds, pa.binary()), *none], names)
         add()
         if seen:
             parts = cells.reshape(chunks, -1)
             for k in range(0, chunks, 64):
                 some = [(c, p) for c, p in enumerate(parts[k : k + 64], k) if p.any()]
-                none = pa.nulls(len(some), id_type), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64())
-                yield pa.RecordBatch.from_arrays([*none, pa.array([c for c, _ in some], pa.int32()), pa.array([zlib.compress(p.astype(np.uint32).tobytes(), 1) for _, p in some], pa.binary())], ["id", "n_shingles", "sig", "chunk", "cells"])
+                none = pa.nulls(len(some), id_type), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.binary())
+                yield pa.RecordBatch.from_arrays([*none, pa.array([c for c, _ in some], pa.int32()), pa.array([zlib.compress(p.astype(np.uint32).tobytes(), 1) for _, p in some], pa.binary())], names)
 
-    return docs.select("id", "text").mapInArrow(run, f"id {kind}, n_shingles long, sig long, chunk int, cells binary")
+    return docs.select("id", "text").mapInArrow(run, f"id {kind}, n_shingles long, sig long, odd binary, chunk int, cells binary")
 
 
 def frequency_levels(counted: DataFrame, bits: int, mean: float) -> np.ndarray:
@@ -252,25 +254,31 @@ def shared_tokens(docs: DataFrame, levels) -> DataFrame:
     return rows.mapInArrow(shared, schema)
 
 
-def stored_sets(docs: DataFrame, slim: DataFrame, sigs: DataFrame, levels) -> DataFrame:
-    """(sig, n, odd, keys) of the sets in sigs: parity, and keys in the global order, eight bytes each. One document of each set is read
-    again, by its id; only these texts leave the scan."""
-    one = slim.join(sigs, "sig", "left_semi").groupBy("sig").agg(F.min("id").alias("id")).select("id").distinct()
-    texts = docs.join(one, "id", "left_semi").select("text")
+#: Ids up to this number are broadcast (under 2 MB); more are joined by a shuffle.
+FEW = 200_000
+
+
+def stored_sets(docs: DataFrame, slim: DataFrame, edges: DataFrame, levels) -> DataFrame:
+    """(sig, keys) of the sets in edges(a, b), in the global order, eight bytes a key. One document of each set is read again, by its id;
+    only these texts leave the scan."""
+    sigs = edges.select(F.col("a").alias("sig")).union(edges.select("b")).distinct()
+    one = stash(slim.join(sigs, "sig", "left_semi").groupBy("sig").agg(F.min("id").alias("id")).select("id").distinct())
+    few = one.count() <= FEW
+    texts = docs.join(F.broadcast(one) if few else one, "id", "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            out = [(sig, len(keys), parity(keys), ordered(keys, levels.value).astype("<u8").tobytes()) for sig, keys in _sets(batch.column(0), seen)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["sig", "n", "odd", "keys"])
+            out = [(sig, ordered(keys, levels.value).astype("<u8").tobytes()) for sig, keys in _sets(batch.column(0), seen)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.binary()))], ["sig", "keys"])
 
-    return stash(texts.mapInArrow(run, "sig long, n int, odd binary, keys binary").dropDuplicates(["sig"]))
+    return stash(texts.mapInArrow(run, "sig long, keys binary").dropDuplicates(["sig"]))
 
 
-def plausible(edges: DataFrame, sets: DataFrame) -> DataFrame:
+def plausible(edges: DataFrame, odds: DataFrame) -> DataFrame:
     """edges(a, b) without those that the parities rule out: what remains is nearly all links."""
-    left = sets.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa"))
-    right = sets.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("ob"))
+    left = odds.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa"))
+    right = odds.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("ob"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -404,7 +412,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
     length = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = int(np.clip(np.log2(max(length, 1) / 64), 14, max_bits))
     counted = stash(sized(docs, bits))
-    slim = counted.filter("chunk is null").select("id", "n_shingles", "sig")
+    slim = counted.filter("chunk is null").select("id", "n_shingles", "sig", "odd")
     alike = slim.filter("sig != 0").groupBy("sig").agg(F.min("id").alias("least"))
     found = links(docs, counted, slim, bits, rounds)
     if found is not None:
@@ -412,7 +420,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
         named = alike.join(labels, "sig", "left").select("sig", F.coalesce("label", "sig").alias("label"), "least")
         least = named.groupBy("label").agg(F.min("least").alias("component"))
         alike = named.join(least, "label").select("sig", F.col("component").alias("least"))
-    out = slim.join(alike, "sig", "left")
+    out = slim.drop("odd").join(alike, "sig", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("least", "id").alias("component_id"))
 
 
@@ -425,13 +433,15 @@ def links(docs: DataFrame, counted: DataFrame, slim: DataFrame, bits: int, round
     shared = stash(groups.groupBy("sig").agg((F.count("*") / full).alias("rank")))
     if not shared.limit(1).count():
         return None
-    sets = stored_sets(docs, slim, shared.select("sig"), levels)
+    odds = stash(slim.join(shared.select("sig"), "sig", "left_semi").groupBy("sig").agg(F.first("n_shingles").alias("n"), F.first("odd").alias("odd")))
     groups = groups.join(shared, "sig")
     found, labels = None, None
     for k in range(rounds + 1):
         rows = _labelled(groups, labels)
-        edges = pivot_edges(rows, k) if k < rounds else cross_edges(rows)
-        new = stash(verified(stash(plausible(edges, sets)), sets))
+        edges = stash(plausible(pivot_edges(rows, k) if k < rounds else cross_edges(rows), odds))
+        if not edges.limit(1).count():
+            continue
+        new = stash(verified(edges, stored_sets(docs, slim, edges, levels)))
         found = new if found is None else found.unionByName(new)
         labels = components(found) if k < rounds else None
     return found
