@@ -182,16 +182,17 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in docs.columns if c not in ("score", "predicted")] if keep_all else [id_col]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    at = keep.index(text_col) if text_col in keep else len(keep)
 
     def run(batches):
         hashes = Hashes()
         for batch in batches:
             m = shared.value
-            x = np.array([pool(word_rows(t.as_py(), hashes, len(m.vectors)), m.vectors) for t in batch.column(len(keep))], np.float64).reshape(batch.num_rows, -1)
-            s = m.network.probabilities(x) if len(x) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*keep, "score", "predicted"])
+            x = np.array([pool(word_rows(t.as_py(), hashes, len(m.vectors)), m.vectors) for t in batch.column(at)], np.float64).reshape(batch.num_rows, -1)
+            s = np.round(m.network.probabilities(x), 9) if len(x) else np.zeros(0)  # equal texts: equal scores, whatever the batch
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*keep, "score", "predicted"])
 
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, f"{schema}, score double, predicted int")
+    return docs.select(*keep, *([] if at < len(keep) else [text_col])).mapInArrow(run, f"{schema}, score double, predicted int")
 
 
 def training_rows(id_col: str = "doc_id"):

@@ -1,0 +1,236 @@
+"""Mixing, sharding, packing and secret scans against brute force, and on awkward tables."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from lattica.llm import mixing, packing, secrets, sharding
+from lattica.llm.common import dense_slots
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def fill(sizes, weights=(5, 2, 1), cap=3):
+    """Targets by repeated clamping, the plain way."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[k % len(weights)] for k, s in enumerate(order)}
+    total, clamped = sum(sizes.values()), {}
+    while True:
+        left = total - sum(clamped.values())
+        free = [s for s in order if s not in clamped]
+        out = {s: w[s] * left / sum(w[f] for f in free) for s in free}
+        over = [s for s in free if out[s] > cap * sizes[s]]
+        if not over:
+            return {**clamped, **out}
+        clamped |= {s: float(cap * sizes[s]) for s in over}
+
+
+@pytest.mark.parametrize("table", ["edges", "repeated"])
+def test_mix_meets_targets(table, request):
+    docs = request.getfixturevalue(table)
+    rows = mixing.mix(docs).collect()
+    assert len(rows) == docs.count()
+    sizes, taken = Counter(), Counter()
+    for r in rows:
+        assert r["size"] == len(WORD.findall(r["text"] or ""))
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        sizes[r["source"]] += r["size"]
+        taken[r["source"]] += r["taken"]
+    want = fill(sizes)
+    for r in rows:
+        assert r["target"] == pytest.approx(want[r["source"]])
+    for s, n in taken.items():
+        assert abs(n - want[s]) <= 0.5 + 1e-9
+    again = mixing.mix(docs.repartition(5)).select("doc_id", "taken").collect()
+    assert Counter(map(tuple, again)) == Counter((r["doc_id"], r["taken"]) for r in rows)
+
+
+def test_mix_of_nothing(nothing, spark):
+    assert mixing.mix(nothing).count() == 0
+    blank = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
+    assert [r["taken"] for r in mixing.mix(blank).collect()] == [0, 0]
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.integers(0, 1000), min_size=1, max_size=7))
+def test_fill_is_the_fixed_point(spark, sizes):
+    table = {f"s{k}": n for k, n in enumerate(sizes)}
+    got = {r["source"]: r["target"] for r in mixing.fill(spark.createDataFrame(list(table.items()), "source string, source_size long")).collect()}
+    assert got == pytest.approx(fill(table) if sum(sizes) else dict.fromkeys(table, 0.0))
+
+
+def test_mixed_documents_repeat_whole_rows(edges):
+    out = mixing.mixed_documents(edges)
+    assert out.columns == edges.columns
+    n = Counter(r["doc_id"] for r in out.select("doc_id").collect())
+    want = {r["doc_id"]: r["repeats"] for r in mixing.mix(edges).collect() if r["repeats"]}
+    assert n == want
+
+
+def test_slots_are_dense_and_follow_the_order(spark):
+    rows = [(None if k % 5 == 0 else k % 3, k % 7, k) for k in range(300)] * 2
+    out = dense_slots(spark.createDataFrame(rows, "g int, s int, k int"), ["g"], "s", [sharding.F.col("k")], "slot").collect()
+    groups = defaultdict(list)
+    for r in out:
+        groups[r["g"]].append((r["slot"], r["s"], r["k"]))
+    for found in groups.values():
+        found.sort()
+        assert [x[0] for x in found] == list(range(len(found)))
+        assert [x[1:] for x in found] == sorted(x[1:] for x in found)
+
+
+@pytest.mark.parametrize("table", ["edges", "repeated", "nothing"])
+def test_shards_follow_exact_byte_counts(table, request):
+    docs = request.getfixturevalue(table).select("doc_id", "text")
+    rows = docs.collect()
+    got = sharding.shard(docs).toPandas()
+    assert len(got) == len(rows)
+    if not rows:
+        return
+    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+    sized = sorted((md5(r["text"] or "") + md5(str(r["doc_id"])), len((r["text"] or "").encode()) + 16, r["doc_id"]) for r in rows)
+    total, before, at, want = sum(x[1] for x in sized), {}, 0, defaultdict(list)
+    for key, size, doc in sized:
+        before.setdefault(key, at)
+        at += size
+        want[doc].append((before[key] * 40 // total, size))
+    for doc, size, shard in zip(got.doc_id, got["size"], got["shard"]):
+        assert (shard, size) in want[doc]
+    for _, g in got.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+    crc = {r["doc_id"]: zlib.crc32((r["text"] or "").encode()) for r in rows}
+    assert all(crc[d] == c for d, c in zip(got.doc_id, got.text_crc32))
+
+
+def test_splitters_meet_a_tolerance(spark):
+    rows = spark.range(5000).selectExpr("md5(cast(id as string)) as k", "id % 100 + 1 as size").selectExpr("concat(k, k) as key", "size")
+    total = rows.agg({"size": "sum"}).first()[0]
+    cuts = sharding.splitters(rows, 8, tolerance=total // 200)
+    for i, cut in enumerate(cuts, 1):
+        below = rows.filter(rows["key"] <= cut).agg({"size": "sum"}).first()[0]
+        assert abs(below - i * total / 8) <= total // 200
+
+
+def test_sharding_agrees_with_sql(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    got = sharding.shard(docs).toPandas()[["doc_id", "size", "shard", "slot"]].sort_values("doc_id").to_numpy().tolist()
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
+    want = duckdb.sql(sharding.ORACLE).df().sort_values("doc_id")[["doc_id", "size", "shard", "slot"]].astype(int).to_numpy().tolist()
+    assert got == want
+
+
+RULES = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 8), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 16), ("hex", re.compile("[0-9a-f]+"), 0, 32)]
+
+
+def base_spans(text):
+    found = [(m.start(), k, m.end(), kind) for k, (kind, rx, g, least) in enumerate(RULES) for m in rx.finditer(text) if len(m[g]) >= least]
+    return sorted(found)
+
+
+@pytest.mark.parametrize("table", ["edges", "repeated", "nothing"])
+def test_secrets_match_a_plain_scan(table, request):
+    docs = request.getfixturevalue(table)
+    versions, _ = secrets.scan(docs)
+    got = secrets.digest(versions).collect()
+    assert len(got) == docs.count()
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in got:
+        spans = base_spans(texts[r["doc_id"]])
+        joined = ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in spans)
+        assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(s[3] == k for s in spans) for k in secrets.BASE]
+        assert r["spans"] == joined
+
+
+def test_ledger_scans_only_what_is_new(edges, spark):
+    first = edges.filter("doc_id < 20").select("doc_id", "text")
+    _, ledger = secrets.scan(first)
+    ledger = ledger.cache()
+    known = {r["blob"] for r in ledger.collect()}
+    # a ledger entry that says otherwise shows that a known blob is not scanned again
+    lied = ledger.withColumn("spans", secrets.F.lit(None).cast(ledger.schema["spans"].dataType))
+    versions, new = secrets.scan(edges.select("doc_id", "text"), lied)
+    assert not known & {r["blob"] for r in new.collect()}
+    again, _ = secrets.scan(edges.select("doc_id", "text"), ledger)
+    whole, _ = secrets.scan(edges.select("doc_id", "text"))
+    assert sorted(map(tuple, secrets.digest(again).collect())) == sorted(map(tuple, secrets.digest(whole).collect()))
+    assert versions.filter("size(spans) > 0").count() < whole.filter("size(spans) > 0").count()
+    _, other = secrets.scan(first, ledger, rule_version="rules-2")
+    assert {r["blob"] for r in other.collect()} >= known
+
+
+def test_redaction_masks_spans_and_nothing_else(edges):
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(secrets.scan(edges.select("doc_id", "text"))[0]).collect()}
+    for r in edges.collect():
+        spans = base_spans(r["text"] or "")
+        if not spans:
+            assert out[r["doc_id"]] == r["text"]
+            continue
+        text, at, want = r["text"], 0, ""
+        for a, _, b, _ in spans:
+            if a >= at:
+                want += text[at:a] + "[SECRET]"
+            at = max(at, b)
+        assert out[r["doc_id"]] == want + text[at:]
+
+
+@pytest.mark.parametrize("table", ["edges", "repeated", "nothing"])
+def test_packing_is_an_exact_cut(table, request):
+    docs = request.getfixturevalue(table)
+    got = packing.pack(docs, window=256).toPandas()
+    rows = docs.select("doc_id", "text").collect()
+    tokenizer = packing.word_ids(packing.default_vocabulary()).tokenizer
+    ids = {r["doc_id"]: np.array(tokenizer.encode(r["text"] or "", add_special_tokens=False).ids + [1], "<u4") for r in rows}
+    copies = Counter(r["doc_id"] for r in rows)
+    assert got.length.sum() == sum(len(ids[d]) * n for d, n in copies.items())
+    for doc, start, n, crc, tokens in got[["doc_id", "start", "length", "ids_crc32", "doc_tokens"]].itertuples(index=False):
+        assert tokens == len(ids[doc]) and crc == zlib.crc32(ids[doc][start : start + n].tobytes())
+    for doc, g in got.groupby("doc_id"):
+        cover = Counter(p for s, n in zip(g.start, g.length) for p in (s,))
+        assert set(cover.values()) == {copies[doc]} and g.length.sum() == len(ids[doc]) * copies[doc]
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]] and g.length.sum() <= 256
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 63), st.integers(1, 4), min_size=1, max_size=9))
+def test_fill_window_leaves_least_slack(counts):
+    chosen = packing.fill_window(counts, 64)
+    need = Counter(chosen)
+    assert all(need[c] <= counts[c] for c in need) and max(counts) in chosen and sum(chosen) <= 64
+    sums = {0}
+    for c, n in counts.items():
+        n -= c == max(counts)
+        sums = {s + c * k for s in sums for k in range(n + 1) if s + c * k <= 64 - max(counts)}
+    assert sum(chosen) == max(counts) + max(sums)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.dictionaries(st.integers(1, 63), st.integers(1, 50), min_size=1, max_size=12))
+def test_plan_uses_every_piece_once(counts):
+    used, windows = Counter(), defaultdict(list)
+    for length, rank, copies, first, offset, times in packing.plan(counts, 64):
+        for r in range(rank, rank + copies * times):
+            used[length, r] += 1
+            k = r - rank
+            windows[first + k // copies].append((offset + k % copies * length, length))
+    assert used == Counter((c, r) for c, n in counts.items() for r in range(n))
+    for found in windows.values():
+        at = 0
+        for offset, length in sorted(found):
+            assert offset == at
+            at += length
+        assert at <= 64
+
+
+def test_tokens_of_words_are_tokens_of_texts():
+    words = packing.word_ids(packing.default_vocabulary())
+    for text in ("it's  don't 12ab", "a b c\xa0d \x1cA\x85B", "é ́x İstanbul ΣΑΣ ſ ŉ ǅ!", "ab!! ab... ab'll ab!'s x_y éª!!", " ̸ x ﬁne 한글 각", "<|endoftext|> y"):
+        assert np.frombuffer(words.of(text), "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
