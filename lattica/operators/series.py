@@ -189,3 +189,18 @@ def to_beta(values: DataFrame, atoms: DataFrame) -> DataFrame:
     """Per-residue value on every atom of the residue, as beta; residues without one get 0."""
     v = values.select("res_nr", F.col("value").alias("_v"))
     return atoms.drop("beta").join(v, "res_nr", "left").withColumn("beta", F.coalesce("_v", F.lit(0.0))).drop("_v")
+
+
+def bound_lipid_rmsf(lipids: DataFrame, bound: DataFrame) -> DataFrame:
+    """(atom_name, rmsf) of the bound lipid's atoms about their mean over frames; bound: (frame, res_nr)."""
+    held = lipids.join(bound, ["frame", "res_nr"], "left_semi").select("frame", F.col("atom_name").alias("atom_nr"), "x", "y", "z")
+    return rmsf(held, mean_coords(held)).withColumnRenamed("atom_nr", "atom_name")
+
+
+def contacts_by_bound(protein: DataFrame, lipids: DataFrame, bound: DataFrame, cutoff: float, n_frames: int) -> DataFrame:
+    """(res_nr, bound, other): contacts a frame of each protein residue with the bound lipid, and with all others."""
+    marked = lipids.select("frame", "res_nr", "x", "y", "z").join(bound.withColumn("own", F.lit(1)), ["frame", "res_nr"], "left").select("frame", F.coalesce("own", F.lit(0)).alias("own"), "x", "y", "z")
+    n = range_join(protein.select("frame", "res_nr", "x", "y", "z"), marked, cutoff).groupBy(F.col("a_res_nr").alias("res_nr")).agg(F.sum("b_own").alias("o"), F.count("*").alias("k"))
+    full = protein.select("res_nr").distinct().join(n, "res_nr", "left")
+    o, k = F.coalesce("o", F.lit(0)) / F.lit(float(n_frames)), F.coalesce("k", F.lit(0)) / F.lit(float(n_frames))
+    return full.select("res_nr", o.alias("bound"), (k - o).alias("other"))

@@ -353,3 +353,37 @@ UNWRAP = ", l AS (SELECT *, x - lag(x) OVER k AS dx, y - lag(y) OVER k AS dy FRO
 @query(UNWRAP + " SELECT frame, atom_nr, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y FROM u")
 def x16_unwrap(fx: Fixture):
     return x.unwrap_xy(fx.heads, 20.0, 20.0).select("frame", "atom_nr", r6("x"), r6("y"))
+
+
+from lattica.operators import observables as ob  # noqa: E402
+
+from .lattices import G2, K2  # noqa: E402
+from .registry import mapped_sql  # noqa: E402
+
+HC = HB + ", hc AS (SELECT a.frame, a.res_nr, CAST(count(hb.donor) AS DOUBLE) AS value FROM fx1 a LEFT JOIN hb ON hb.frame = a.frame AND hb.acceptor = a.atom_nr WHERE a.atom_name = 'GL2' GROUP BY a.frame, a.res_nr)"
+
+
+@query(HC + mapped_sql("SELECT h.frame, h.x, h.y, hc.value FROM hc JOIN hd h ON h.frame = hc.frame AND h.res_nr = hc.res_nr"))
+def g21_lipid_hbonds(fx: Fixture):
+    n = ob.lipid_hbond_counts(hydrogen_bonds(fx), fx.atoms)
+    return ob.mapped(ob.at_atoms(n, fx.atoms, ("PO4",), ("value",)), G2, 0.6).select(*K2, r6("value"), "rho")
+
+
+@query(HB + ", hm AS MATERIALIZED (SELECT * FROM hb) SELECT d.atom_name AS donor_name, a.atom_name AS acceptor_name, a.res_name, round(count(*)/25e0, 6) + 0.0 AS frequency, round(avg(a.z), 6) + 0.0 AS z FROM hm JOIN fx1 a ON a.frame = hm.frame AND a.atom_nr = hm.acceptor JOIN fx1 d ON d.frame = hm.frame AND d.atom_nr = hm.donor GROUP BY d.atom_name, a.atom_name, a.res_name")
+def g21_hbond_types(fx: Fixture):
+    return ob.hbond_types(hydrogen_bonds(fx), fx.atoms, 25).select("donor_name", "acceptor_name", "res_name", r6("frequency"), r6("z"))
+
+
+OWN = ", bo2 AS (SELECT DISTINCT frame, 1 + frame % 3 AS res_nr FROM fx1)"
+
+
+@query(OWN + ", dd AS (SELECT a.frame, a.atom_name, sqrt((a.x-m.x)*(a.x-m.x)+(a.y-m.y)*(a.y-m.y)+(a.z-m.z)*(a.z-m.z)) AS d FROM fx1 a JOIN bo2 USING (frame, res_nr) JOIN (SELECT atom_name, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM fx1 JOIN bo2 USING (frame, res_nr) GROUP BY atom_name) m USING (atom_name)) SELECT atom_name, round(sqrt(avg(d*d)), 6) + 0.0 AS rmsf FROM dd GROUP BY atom_name")
+def t16_bound_lipid_rmsf(fx: Fixture):
+    b = fx.atoms.select("frame").distinct().select("frame", (F.lit(1) + F.col("frame") % 3).alias("res_nr"))
+    return t.bound_lipid_rmsf(fx.atoms, b).select("atom_name", r6("rmsf"))
+
+
+@query(OWN + ", pc AS (SELECT a.res_nr, CASE WHEN o.res_nr IS NULL THEN 0 ELSE 1 END AS own FROM fx1p a JOIN fx1 b ON a.frame = b.frame LEFT JOIN bo2 o ON o.frame = b.frame AND o.res_nr = b.res_nr WHERE " + D3 + " < 2.3e0) SELECT r.res_nr, round(sum(COALESCE(own, 0))/25e0, 6) + 0.0 AS bound, round(count(own)/25e0 - sum(COALESCE(own, 0))/25e0, 6) + 0.0 AS other FROM (SELECT DISTINCT res_nr FROM fx1p) r LEFT JOIN pc ON pc.res_nr = r.res_nr GROUP BY r.res_nr")
+def t16_contacts_by_bound(fx: Fixture):
+    b = fx.atoms.select("frame").distinct().select("frame", (F.lit(1) + F.col("frame") % 3).alias("res_nr"))
+    return t.contacts_by_bound(fx.protein, fx.atoms, b, 2.3, 25).select("res_nr", r6("bound"), r6("other"))

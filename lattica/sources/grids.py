@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """(pos, line) of one text file, in order."""
-    return spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line")).filter(F.trim("line") != "")
+    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line")).filter(F.trim("line") != "")
 
 
 def _number(token):
