@@ -185,8 +185,8 @@ def sized(docs: DataFrame, bits: int) -> DataFrame:
 
 
 def frequency_levels(counted: DataFrame, bits: int, mean: float) -> np.ndarray:
-    """One byte for each cell of shingle hashes: 0 up to four times the mean count, then one more per doubling. Chunks of cells are
-    summed apart from each other; 2 ** bits bytes reach the driver."""
+    """One byte for each cell of shingle hashes: 0 up to five deviations (of a chance count) above the mean, then one more per doubling
+    of the excess. Chunks of cells are summed apart from each other; 2 ** bits bytes reach the driver."""
     chunks = 1 << max(0, bits - 14)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +196,8 @@ def frequency_levels(counted: DataFrame, bits: int, mean: float) -> np.ndarray:
                 part = np.frombuffer(zlib.decompress(cells.as_py()), np.uint32)
                 sums[chunk] = sums[chunk] + part if chunk in sums else part.astype(np.int64)
         if sums:
-            level = [np.maximum(0, np.floor(np.log2(np.maximum(s, 1) / (2 * mean)))).astype(np.uint8).tobytes() for s in sums.values()]
+            beyond = [np.maximum(s - mean, 0) / (5 * np.sqrt(mean)) for s in sums.values()]
+            level = [np.where(b > 1, 1 + np.floor(np.log2(np.maximum(b, 1))), 0).astype(np.uint8).tobytes() for b in beyond]
             yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array(level, pa.binary())], ["chunk", "levels"])
 
     rows = counted.filter("chunk is not null").select("chunk", "cells").repartition("chunk").mapInArrow(add, "chunk int, levels binary")
@@ -387,8 +388,8 @@ def _labelled(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def pivot_edges(rows: DataFrame, seed: int) -> DataFrame:
     """Each set against the pivot it shares most shingles with. Pivots: first the sets most of whose prefix is shared (others are edits of such), in later rounds by a seeded hash."""
-    key = F.struct(*([-F.col("rank")] if seed == 0 else []), F.xxhash64("sig", F.lit(seed)).alias("h"), F.col("sig").alias("pivot"), F.col("n").alias("m"), F.col("comp").alias("pcomp"))
-    pivots = rows.groupBy("token").agg(F.min(key).alias("p")).select("token", "p.pivot", "p.m", "p.pcomp")
+    first = -F.col("rank") if seed == 0 else F.xxhash64("sig", F.lit(seed))
+    pivots = rows.groupBy("token").agg(F.min(F.struct(first.alias("first"), F.col("sig").alias("pivot"), F.col("n").alias("m"), F.col("comp").alias("pcomp"))).alias("p")).select("token", "p.pivot", "p.m", "p.pcomp")
     edges = rows.join(pivots, "token").filter((F.col("comp") != F.col("pcomp")) & sizes_fit("n", "m"))
     votes = edges.groupBy("sig", "pivot").agg(F.count("*").alias("votes"))
     return votes.groupBy("sig").agg(F.max(F.struct("votes", "pivot")).alias("v")).select(F.col("v.pivot").alias("a"), F.col("sig").alias("b"))
@@ -402,7 +403,7 @@ def cross_edges(rows: DataFrame) -> DataFrame:
     return pairs.select("a", "b").distinct()
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, max_bits: int = 24) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1, max_bits: int = 24) -> DataFrame:
     """id, n_shingles, component_id: the least id that links reach, of every row.
 
     Documents link from a Jaccard similarity of 0.8 on. Null and empty texts have no shingles and are their own component; texts of
@@ -410,7 +411,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     length = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = int(np.clip(np.log2(max(length, 1) / 64), 14, max_bits))
+    bits = int(np.clip(np.ceil(np.log2(max(length, 1) / 64)), 14, max_bits))
     counted = stash(sized(docs, bits))
     slim = counted.filter("chunk is null").select("id", "n_shingles", "sig", "odd")
     alike = slim.filter("sig != 0").groupBy("sig").agg(F.min("id").alias("least"))
@@ -434,7 +435,7 @@ def links(docs: DataFrame, counted: DataFrame, slim: DataFrame, bits: int, round
     if not shared.limit(1).count():
         return None
     odds = stash(slim.join(shared.select("sig"), "sig", "left_semi").groupBy("sig").agg(F.first("n_shingles").alias("n"), F.first("odd").alias("odd")))
-    groups = groups.join(shared, "sig")
+    groups = stash(groups.join(shared, "sig"))
     found, labels = None, None
     for k in range(rounds + 1):
         rows = _labelled(groups, labels)
