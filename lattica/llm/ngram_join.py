@@ -208,28 +208,29 @@ def frequency_levels(counted: DataFrame, bits: int, mean: float) -> np.ndarray:
 
 
 def shared_tokens(docs: DataFrame, levels) -> DataFrame:
-    """(token, sig, n) of each prefix shingle that at least two different sets have in their prefixes.
+    """(token, sig, n, pos) of each prefix shingle that at least two different sets have in their prefixes; pos is its place in the set.
 
     Rows come sorted by (token, sig) and are passed on as they stream by: a set waits only until a second one follows."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            tokens, sigs, sizes = [], [], []
+            tokens, sigs, sizes, places = [], [], [], []
             for sig, keys in _sets(batch.column(0), seen):
                 tokens.append(ordered(keys, levels.value)[: prefix_length(len(keys))])
                 sigs.append(np.full(len(tokens[-1]), sig, np.int64))
                 sizes.append(np.full(len(tokens[-1]), len(keys), np.int32))
+                places.append(np.arange(len(tokens[-1]), dtype=np.int32))
             if tokens:
-                columns = np.concatenate(tokens).view(np.int64), np.concatenate(sigs), np.concatenate(sizes)
+                columns = np.concatenate(tokens).view(np.int64), np.concatenate(sigs), np.concatenate(sizes), np.concatenate(places)
                 for at in range(0, len(columns[0]), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000]) for c in columns], ["token", "sig", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000]) for c in columns], ["token", "sig", "n", "pos"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+        tail = [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32)]
         passed = False  # whether the row in tail went out already
         for batch in batches:
-            token, sig, n = (np.concatenate([t, c.to_numpy(zero_copy_only=False)]) for t, c in zip(tail, batch.columns))
+            token, sig, n, pos = (np.concatenate([t, c.to_numpy(zero_copy_only=False)]) for t, c in zip(tail, batch.columns))
             if not len(token):
                 continue
             same = token[1:] == token[:-1]
@@ -247,10 +248,10 @@ def shared_tokens(docs: DataFrame, levels) -> DataFrame:
             out = fresh & linked[run]
             passed = bool(linked[run[-1]])
             if out.any():
-                yield pa.RecordBatch.from_arrays([pa.array(token[out]), pa.array(sig[out]), pa.array(n[out])], ["token", "sig", "n"])
-            tail = [token[-1:], sig[-1:], n[-1:]]
+                yield pa.RecordBatch.from_arrays([pa.array(token[out]), pa.array(sig[out]), pa.array(n[out]), pa.array(pos[out])], ["token", "sig", "n", "pos"])
+            tail = [token[-1:], sig[-1:], n[-1:], pos[-1:]]
 
-    schema = "token long, sig long, n int"
+    schema = "token long, sig long, n int, pos int"
     rows = docs.select("text").mapInArrow(emit, schema).repartition("token").sortWithinPartitions("token", "sig")
     return rows.mapInArrow(shared, schema)
 
@@ -373,15 +374,22 @@ def components(links: DataFrame) -> DataFrame:
         now = new.select("node", "label")
 
 
-def sizes_fit(n: str, m: str, percent: int = PERCENT):
-    return (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
+#: Shingles with more sets than this get further rounds of pivots before what is left is compared in full.
+CROWD = 32
+
+
+def may_reach(n: str, i: str, m: str, j: str, percent: int = PERCENT):
+    """Sets of n and m whose first common shingle has places i and j can share n - i and m - j shingles at most; whether the overlap
+    wanted is within that. A pair that links passes under its first common shingle."""
+    need = F.expr(f"({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent}")
+    return (F.col(n) - F.col(i) >= need) & (F.col(m) - F.col(j) >= need)
 
 
 def _labelled(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
     """groups with comp: the component so far, at first the set itself; then only shingles that several components share."""
     if labels is None:
         return groups.withColumn("comp", F.col("sig"))
-    rows = groups.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("token", "sig", "n", "rank", F.coalesce("label", "sig").alias("comp"))
+    rows = groups.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("token", "sig", "n", "pos", "rank", F.coalesce("label", "sig").alias("comp"))
     open_ = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token")
     return rows.join(open_, "token", "left_semi")
 
@@ -389,21 +397,21 @@ def _labelled(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
 def pivot_edges(rows: DataFrame, seed: int) -> DataFrame:
     """Each set against the pivot it shares most shingles with. Pivots: first the sets most of whose prefix is shared (others are edits of such), in later rounds by a seeded hash."""
     first = -F.col("rank") if seed == 0 else F.xxhash64("sig", F.lit(seed))
-    pivots = rows.groupBy("token").agg(F.min(F.struct(first.alias("first"), F.col("sig").alias("pivot"), F.col("n").alias("m"), F.col("comp").alias("pcomp"))).alias("p")).select("token", "p.pivot", "p.m", "p.pcomp")
-    edges = rows.join(pivots, "token").filter((F.col("comp") != F.col("pcomp")) & sizes_fit("n", "m"))
+    pivots = rows.groupBy("token").agg(F.min(F.struct(first.alias("first"), F.col("sig").alias("pivot"), F.col("n").alias("m"), F.col("pos").alias("mpos"), F.col("comp").alias("pcomp"))).alias("p")).select("token", "p.pivot", "p.m", "p.mpos", "p.pcomp")
+    edges = rows.join(pivots, "token").filter((F.col("comp") != F.col("pcomp")) & may_reach("n", "pos", "m", "mpos"))
     votes = edges.groupBy("sig", "pivot").agg(F.count("*").alias("votes"))
     return votes.groupBy("sig").agg(F.max(F.struct("votes", "pivot")).alias("v")).select(F.col("v.pivot").alias("a"), F.col("sig").alias("b"))
 
 
 def cross_edges(rows: DataFrame) -> DataFrame:
-    """All pairs of sets in different components that share a prefix shingle and fit in size, once each."""
-    left = rows.select("token", F.col("sig").alias("a"), F.col("n").alias("n"), F.col("comp").alias("ca"))
-    right = rows.select("token", F.col("sig").alias("b"), F.col("n").alias("m"), F.col("comp").alias("cb"))
-    pairs = left.join(right, "token").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & sizes_fit("n", "m"))
+    """All pairs of sets in different components that share a prefix shingle under which they can still link, once each."""
+    left = rows.select("token", F.col("sig").alias("a"), "n", F.col("pos").alias("i"), F.col("comp").alias("ca"))
+    right = rows.select("token", F.col("sig").alias("b"), F.col("n").alias("m"), F.col("pos").alias("j"), F.col("comp").alias("cb"))
+    pairs = left.join(right, "token").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & may_reach("n", "i", "m", "j"))
     return pairs.select("a", "b").distinct()
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1, max_bits: int = 24) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, max_bits: int = 24) -> DataFrame:
     """id, n_shingles, component_id: the least id that links reach, of every row.
 
     Documents link from a Jaccard similarity of 0.8 on. Null and empty texts have no shingles and are their own component; texts of
@@ -436,10 +444,15 @@ def links(docs: DataFrame, counted: DataFrame, slim: DataFrame, bits: int, round
         return None
     odds = stash(slim.join(shared.select("sig"), "sig", "left_semi").groupBy("sig").agg(F.first("n_shingles").alias("n"), F.first("odd").alias("odd")))
     groups = stash(groups.join(shared, "sig"))
+    crowded = stash(groups.groupBy("token").agg(F.count("*").alias("sets")).filter(F.col("sets") > CROWD).select("token"))
+    crowds = stash(groups.join(F.broadcast(crowded) if crowded.count() <= FEW else crowded, "token", "left_semi"))
     found, labels = None, None
     for k in range(rounds + 1):
-        rows = _labelled(groups, labels)
-        edges = stash(plausible(pivot_edges(rows, k) if k < rounds else cross_edges(rows), odds))
+        if k == rounds:
+            edges = cross_edges(_labelled(groups, labels))
+        else:
+            edges = pivot_edges(_labelled(crowds if k else groups, labels), k)
+        edges = stash(plausible(edges, odds))
         if not edges.limit(1).count():
             continue
         new = stash(verified(edges, stored_sets(docs, slim, edges, levels)))
