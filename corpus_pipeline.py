@@ -19,10 +19,12 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least id. Rows repeated with id and text are one."""
-    first = ngram_join.join(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    """One document of each group of near duplicates: the one with the least id, one without an id only where none has one. Rows repeated
+    with id and text are one. Groups are of rows, by a key of id and text, as ids may be null or shared."""
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    groups = ngram_join.join(keyed, "_key").join(keyed.select("_key", "doc_id").distinct(), "_key")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("first")).select("first._key")
+    return keyed.join(first, "_key", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -142,11 +142,11 @@ def _sets(column, seen: set[int]) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def sized(docs: DataFrame, bits: int) -> DataFrame:
-    """One pass for (id, n_shingles, sig, odd) of every row, odd the parity of its set, and for counts of shingle hashes in 2 ** bits cells: rows of the latter have a
+    """One pass for (id, n_shingles, sig, odd, key) of every row, odd the parity of its set, and for counts of shingle hashes in 2 ** bits cells: rows of the latter have a
     chunk number and compressed counts instead. A set is counted once a task."""
     kind = docs.schema["id"].dataType.simpleString()
     chunks = 1 << max(0, bits - 14)
-    names = ["id", "n_shingles", "sig", "odd", "chunk", "cells"]
+    names = ["id", "n_shingles", "sig", "odd", "key", "chunk", "cells"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, cells, held, n = set(), np.zeros(1 << bits, np.uint16 if bits > 22 else np.uint32), [], 0
@@ -172,16 +172,16 @@ def sized(docs: DataFrame, bits: int) -> DataFrame:
                     if n > 1 << 19:
                         add()
             none = pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(sigs), pa.array(odds, pa.binary()), *none], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(sigs), pa.array(odds, pa.binary()), batch.column(2), *none], names)
         add()
         if seen:
             parts = cells.reshape(chunks, -1)
             for k in range(0, chunks, 64):
                 some = [(c, p) for c, p in enumerate(parts[k : k + 64], k) if p.any()]
-                none = pa.nulls(len(some), id_type), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.binary())
+                none = pa.nulls(len(some), id_type), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.binary()), pa.nulls(len(some), pa.int64())
                 yield pa.RecordBatch.from_arrays([*none, pa.array([c for c, _ in some], pa.int32()), pa.array([zlib.compress(p.astype(np.uint32).tobytes(), 1) for _, p in some], pa.binary())], names)
 
-    return docs.select("id", "text").mapInArrow(run, f"id {kind}, n_shingles long, sig long, odd binary, chunk int, cells binary")
+    return docs.select("id", "text", "key").mapInArrow(run, f"id {kind}, n_shingles long, sig long, odd binary, key long, chunk int, cells binary")
 
 
 def frequency_levels(counted: DataFrame, bits: int, mean: float) -> np.ndarray:
@@ -261,12 +261,16 @@ FEW = 200_000
 
 
 def stored_sets(docs: DataFrame, slim: DataFrame, edges: DataFrame, levels) -> DataFrame:
-    """(sig, keys) of the sets in edges(a, b), in the global order, eight bytes a key. One document of each set is read again, by its id;
-    only these texts leave the scan."""
+    """(sig, keys) of the sets in edges(a, b), in the global order, eight bytes a key. One document of each set is read again, by its id, or by
+    its key where all rows of the set lack an id; only these texts leave the scan."""
     sigs = edges.select(F.col("a").alias("sig")).union(edges.select("b")).distinct()
-    one = stash(slim.join(sigs, "sig", "left_semi").groupBy("sig").agg(F.min("id").alias("id")).select("id").distinct())
-    few = one.count() <= FEW
-    texts = docs.join(F.broadcast(one) if few else one, "id", "left_semi").select("text")
+    least = slim.join(sigs, "sig", "left_semi").groupBy("sig").agg(F.min("id").alias("id"), F.min("key").alias("key"))
+    one = stash(least.select("id", F.when(F.col("id").isNull(), F.col("key")).alias("key")).distinct())
+    named, nameless = one.agg(F.count("id"), F.count("key")).first()
+    ids, keys = (one.select(c).filter(F.col(c).isNotNull()) for c in ("id", "key"))
+    texts = docs.join(F.broadcast(ids) if named <= FEW else ids, "id", "left_semi").select("text")
+    if nameless:
+        texts = texts.union(docs.join(F.broadcast(keys) if nameless <= FEW else keys, "key", "left_semi").select("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -415,13 +419,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
     """id, n_shingles, component_id: the least id that links reach, of every row.
 
     Documents link from a Jaccard similarity of 0.8 on. Null and empty texts have no shingles and are their own component; texts of
-    under five words link with equal ones only. Repeated rows, and rows with one id, are kept each. Empty table: no rows.
+    under five words link with equal ones only. Repeated rows, and rows with one id, are kept each. Rows without an id link like
+    others; component_id is null where no row of a component has an id. Empty table: no rows.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    docs = docs.withColumn("key", F.when(F.col("id").isNull(), F.xxhash64("text")))
     length = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = int(np.clip(np.ceil(np.log2(max(length, 1) / 64)), 14, max_bits))
     counted = stash(sized(docs, bits))
-    slim = counted.filter("chunk is null").select("id", "n_shingles", "sig", "odd")
+    slim = counted.filter("chunk is null").select("id", "n_shingles", "sig", "odd", "key")
     alike = slim.filter("sig != 0").groupBy("sig").agg(F.min("id").alias("least"))
     found = links(docs, counted, slim, bits, rounds)
     if found is not None:
@@ -429,7 +435,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
         named = alike.join(labels, "sig", "left").select("sig", F.coalesce("label", "sig").alias("label"), "least")
         least = named.groupBy("label").agg(F.min("least").alias("component"))
         alike = named.join(least, "label").select("sig", F.col("component").alias("least"))
-    out = slim.drop("odd").join(alike, "sig", "left")
+    out = slim.drop("odd", "key").join(alike, "sig", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("least", "id").alias("component_id"))
 
 

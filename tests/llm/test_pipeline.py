@@ -46,6 +46,20 @@ def test_stages_keep_columns_and_take_effect(spark, folder):
     assert packed.length.sum() == want
 
 
+def test_deduplicate_keeps_one_row_of_a_group(spark):
+    """Near copies whose ids are null or shared are one group like others; the row with the least id stays."""
+    def near(name):
+        return [" ".join(f"{name}x{j}" if j == k else f"{name}{j}" for j in range(60)) for k in (0, 1)]
+
+    a, b, c = near("a"), near("b"), near("c")
+    rows = [(None, a[0]), (None, a[1]), (3, b[0]), (3, b[1]), (None, c[0]), (9, c[1]), (3, "alone"), (None, None), (4, "alone too"), (4, "alone too")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["text"]) for r in pipeline.deduplicate(spark, docs, "").collect())
+    assert set(got.values()) == {1} and len(got) == 6
+    assert sum((None, x) in got for x in a) == 1 and sum((3, x) in got for x in b) == 1
+    assert {(9, c[1]), (3, "alone"), (None, None), (4, "alone too")} <= set(got)
+
+
 def test_empty_tables(spark, tmp_path, edges, labels):
     none = edges.select("doc_id", "text", "lang", "source", "n_chars").limit(0)
     none.write.parquet(f"{tmp_path}/documents.parquet")

@@ -245,6 +245,16 @@ def test_join_at_the_threshold(spark):
     assert Counter(map(tuple, got)) == brute_components(rows)
 
 
+def test_join_links_rows_without_ids(spark):
+    """A text that only rows without an id hold bridges two texts that do not link themselves; two others link without any id."""
+    words = [f"w{k}" for k in range(100)]
+    edit = lambda base, n, m=0: " ".join(f"e{k}" if k < n or k >= 100 - m else w for k, w in enumerate(base))
+    other = [f"o{k}" for k in range(100)]
+    rows = [(4, edit(words, 0)), (None, edit(words, 9)), (None, edit(words, 9)), (2, edit(words, 9, 9)), (None, edit(other, 0)), (None, edit(other, 5)), (7, "alone " * 9)]
+    got = {(r["doc_id"], r["component_id"]) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(4, 2), (None, 2), (2, 2), (None, None), (7, 7)}
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 60), min_size=1), min_size=2, max_size=8))
 def test_walk_and_parities_keep_all_links(sets):
