@@ -94,7 +94,7 @@ TESS = f", sites AS ({SITES}), tn AS (SELECT a.i AS gx, b.i AS gy FROM nd a CROS
 
 
 def sites(fx: Fixture):
-    return fx.heads.filter("leaflet = 1 AND res_nr % 4 = 0").select("frame", "res_nr", "x", "y", "z")
+    return fx.heads.filter("leaflet = 1").select("frame", "res_nr", "x", "y", "z")
 
 
 @query(TESS + " SELECT frame, gx, gy, res_nr FROM t")
