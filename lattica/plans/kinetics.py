@@ -199,7 +199,7 @@ def k16_merge(fx: Fixture):
 
 @query(TL + " SELECT gx, gy, round(count(DISTINCT frame)/150e0, 6) + 0.0 AS value FROM tl GROUP BY gx, gy")
 def k17_occupancy(fx: Fixture):
-    return e.occupancy(fx.events, 150).select("gx", "gy", r6("value"))
+    return e.occupancy(fx.events, last_frame(fx) + 1).select("gx", "gy", r6("value"))
 
 
 @query(REP + " SELECT gx, gy, round(avg(repeats), 6) + 0.0 AS repeats, round(avg(mean_off), 6) + 0.0 AS off_time, count(*) AS lipids FROM rv GROUP BY gx, gy")

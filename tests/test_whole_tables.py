@@ -10,6 +10,16 @@ from lattica.plans.fixtures import Fixture
 from lattica.plans.lattices import sites
 
 
+def test_occupancy_is_a_share_of_the_table_s_frames(spark):
+    folder = "/root/testdata/sf0.01"
+    fx, held = Fixture(spark, folder), defaultdict(set)
+    for r in fx.events.collect():
+        held[r["gx"], r["gy"]].update(range(r["bind_i"], r["bind_f"] + 1))
+    frames = fx.table("customer").count()
+    got = {(r["gx"], r["gy"]): r["value"] for r in registry.QUERIES["k17_occupancy"](spark, folder).collect()}
+    assert got == pytest.approx({k: len(v) / frames for k, v in held.items()}, abs=1e-6) and max(got.values()) <= 1
+
+
 def test_tessellation_takes_all_upper_heads(spark, small):
     fx, heads = Fixture(spark, small), defaultdict(list)
     for r in fx.heads.filter("leaflet = 1").collect():
