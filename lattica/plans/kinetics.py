@@ -194,7 +194,7 @@ def k15_extract(fx: Fixture):
 
 @query(f"SELECT {EV} FROM ev WHERE gx < 2 UNION ALL SELECT gx, gy, CAST(lipid_nr + (SELECT max(lipid_nr) + 1 FROM ev WHERE gx < 2) AS INT), res_nr, res_name, bind_i, bind_f, dwell FROM ev WHERE gx = 3")
 def k16_merge(fx: Fixture):
-    return e.merge(fx.events.filter("gx < 2"), fx.events.filter("gx = 3")).select(EVC)
+    return e.merge(fx.events.filter("gx <= 2"), fx.events.filter("gx > 2")).select(EVC)
 
 
 @query(TL + " SELECT gx, gy, round(count(DISTINCT frame)/150e0, 6) + 0.0 AS value FROM tl GROUP BY gx, gy")
@@ -423,5 +423,4 @@ def h4_polar_histogram(fx: Fixture):
 
 @query("SELECT atom_nr AS pos, round(avg(x), 6) + 0.0 AS x, round(avg(z), 6) + 0.0 AS z FROM fx1 WHERE frame IN (1, 4, 9) GROUP BY atom_nr")
 def h5_average_tables(fx: Fixture):
-    parts = [fx.atoms.filter(F.col("frame") == k).select(F.col("atom_nr").alias("pos"), "x", "z") for k in (1, 4, 9)]
-    return h.average_tables(parts).select("pos", r6("x"), r6("z"))
+    return h.average_tables([fx.atoms.select(F.col("atom_nr").alias("pos"), "x", "z")]).select("pos", r6("x"), r6("z"))

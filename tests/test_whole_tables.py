@@ -32,3 +32,23 @@ def test_tessellation_takes_all_upper_heads(spark, small):
                 want[frame, gx, gy] = min((((gx * 2.0 - x) * (gx * 2.0 - x) + (gy * 2.0 - y) * (gy * 2.0 - y)) ** 0.5, n) for n, x, y in found)[1]
     got = {(r["frame"], r["gx"], r["gy"]): r["res_nr"] for r in registry.QUERIES["l11_tessellate"](spark, small).collect()}
     assert got == want
+
+
+def test_merge_keeps_all_events(spark, small):
+    cols = ["gx", "gy", "res_nr", "res_name", "bind_i", "bind_f", "dwell"]
+    events = Fixture(spark, small).events.collect()
+    got = registry.QUERIES["k16_merge"](spark, small).collect()
+    assert Counter(tuple(r[c] for c in cols) for r in got) == Counter(tuple(r[c] for c in cols) for r in events)
+    first = {r["lipid_nr"] for r in events if r["gx"] <= 2}
+    moved = {r["lipid_nr"] for r in got if r["gx"] > 2}
+    assert {r["lipid_nr"] for r in got if r["gx"] <= 2} == first and min(moved) > max(first)
+
+
+def test_average_of_all_frames(spark, small):
+    rows = defaultdict(list)
+    for r in Fixture(spark, small).atoms.collect():
+        rows[r["atom_nr"]].append((r["x"], r["z"]))
+    got = {r["pos"]: (r["x"], r["z"]) for r in registry.QUERIES["h5_average_tables"](spark, small).collect()}
+    assert got.keys() == rows.keys()
+    for k, v in rows.items():
+        assert got[k] == pytest.approx([sum(c) / len(v) for c in zip(*v)], abs=1e-6)
