@@ -39,7 +39,7 @@ class WordIds(dict):
     """word -> its ids as little-endian 32-bit bytes. The vocabulary drops white space and joins nothing across it, so a
     text's ids are those of its words in turn; each distinct word is tokenized once (until LIMIT words are held).
     Letters followed by signs are two words to the vocabulary; plain Latin letters need no normalizing but lower case, and go straight
-    to its merges. All else takes the tokenizer's whole way."""
+    to its merges. All else takes the tokenizer's whole way, and so do whole texts that hold an added token such as <|endoftext|>."""
 
     LIMIT = 700_000
 
@@ -47,7 +47,7 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.merges = self.tokenizer.model.tokenize
 
     def __missing__(self, word: str) -> bytes:
@@ -63,11 +63,16 @@ class WordIds(dict):
         elif (m := LETTERS_THEN_SIGNS.fullmatch(word)) and max(m[1]) < "\u0250":
             value = self[m[1]] + self[m[2]]
         else:
-            value = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+            value = self.whole(word)
         self[word] = value
         return value
 
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
     def of(self, text: str) -> bytes:
+        if any(token in text for token in self.added):
+            return self.whole(text)
         return b"".join(map(self.__getitem__, text.split(" ")))
 
 

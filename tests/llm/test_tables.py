@@ -234,3 +234,16 @@ def test_tokens_of_words_are_tokens_of_texts():
     words = packing.word_ids(packing.default_vocabulary())
     for text in ("it's  don't 12ab", "a b c\xa0d \x1cA\x85B", "é ́x İstanbul ΣΑΣ ſ ŉ ǅ!", "ab!! ab... ab'll ab!'s x_y éª!!", " ̸ x ﬁne 한글 각", "<|endoftext|> y"):
         assert np.frombuffer(words.of(text), "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_added_tokens_are_those_of_the_file(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(packing.default_vocabulary())
+    texts = ["one<|endoftext|>two", "x <|endoftext|>\ny", "<|startoftext|>", "a <|ENDOFTEXT|> b", "<|end oftext|>"]
+    words = packing.WordIds(packing.default_vocabulary())
+    got = {r["doc_id"]: (r["doc_tokens"], r["ids_crc32"]) for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), window=256).collect()}
+    for k, text in enumerate(texts):
+        ids = plain.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(words.of(text.replace("\n", " ")), "<u4").tolist() == ids
+        assert got[k] == (len(ids) + 1, zlib.crc32(np.array([*ids, 1], "<u4").tobytes()))
