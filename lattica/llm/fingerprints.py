@@ -8,15 +8,15 @@ the generalised Jaccard similarity of their weights. A signature is K values of
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashes, mix64
+from .common import FOLDED, PRIME, field, in_python, mix64, text_words
 
 K = 64
 NONE = np.full(K, 0xFFFF, np.uint16)
@@ -28,8 +28,8 @@ STEP = 4096
 
 def variates(terms: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """r, ln c with r, c ~ Gamma(2, 1), and beta ~ U(0, 1) of each (term, sample), from 64-bit hashes of it."""
-    per_sample = mix64(np.arange(1, k + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
-    per_term = mix64(terms.astype(np.uint64) + np.uint64(0x51ED2701))[:, None]
+    per_sample = mix64(np.arange(1, k + 1, dtype=np.uint64) * PRIME)[None, :]
+    per_term = mix64(terms + np.uint64(0x51ED2701))[:, None]
     out = tuple(np.empty((len(terms), k), np.float32) for _ in range(3))
     for at in range(0, len(terms), STEP):
         draws = []
@@ -54,7 +54,7 @@ def sample(at: np.ndarray, weights: np.ndarray, hashes: np.ndarray, tables: tupl
         t = np.floor(np.log(weights[k : k + STEP].astype(np.float32))[:, None] / r + beta)
         key = lnc - r * (t - beta) - r
         least = key.argmin(0)
-        value = mix64(hashes[rows[least]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + t[least, cols].astype(np.int64).astype(np.uint64))
+        value = mix64(hashes[rows[least]] * PRIME + t[least, cols].astype(np.int64).astype(np.uint64))
         low = key[least, cols]
         drawn, best = np.where(low < best, value, drawn), np.minimum(low, best)
     return np.minimum(drawn & np.uint64(0xFFFF), np.uint64(0xFFFE)).astype(np.uint16)
@@ -65,34 +65,27 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float((a == b).mean())
 
 
-def signatures(texts: list[str], hashes: Hashes) -> list[np.ndarray]:
+def signatures(texts: list[str]) -> list[np.ndarray]:
     """Signatures of a bounded list of texts; the variates of each distinct word are drawn once."""
-    counted = [Counter(t.encode().lower().split()) for t in texts]
-    row: dict[bytes, int] = {}
-    out = []
-    terms: list[tuple[np.ndarray, np.ndarray]] = []
-    for c in counted:
-        terms.append((np.fromiter((row.setdefault(w, len(row)) for w in c), np.int64, len(c)), np.fromiter(c.values(), np.int64, len(c))))
-    h = hashes.of(list(row))
-    tables = variates(h)
-    for at, n in terms:
-        out.append(sample(at, n, h, tables))
-    return out
+    counted = [np.unique(h, return_counts=True) for h in text_words(pa.array(texts, pa.string()), FOLDED)]
+    terms = np.unique(np.concatenate([np.zeros(0, np.uint64), *(w for w, _ in counted)]))
+    tables = variates(terms)
+    return [sample(np.searchsorted(terms, w), n, terms, tables) for w, n in counted]
 
 
 #: Characters whose signatures are made at once: bounds the table of variates of a worker.
 PORTION = 400_000
 
 
-def _run(id_type: pa.DataType, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = Hashes()
+def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
+    id_type = None
 
     def finish(rows: list[tuple]) -> pa.RecordBatch:
         # rows[-1] is only the successor of the last one
         texts = [r[2] for r in rows]
         edited = [(a[: len(a) - len(a) // 2] + b[: len(a) // 2]) if p == q else None for a, b, p, q in zip(texts, texts[1:], (r[0] for r in rows), (r[0] for r in rows[1:]))]
-        own = signatures(texts + [e for e in edited if e is not None], hashes)
+        own = signatures(texts + [e for e in edited if e is not None])
         changed = iter(own[len(texts) :])
         out = []
         for k, e in enumerate(edited):
@@ -106,6 +99,7 @@ def _run(id_type: pa.DataType, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
 
     size = 0
     for batch in batches:
+        id_type = batch.column(1).type
         for row in zip(*(c.to_pylist() for c in batch.columns)):
             held.append(row)
             size += len(row[2])
@@ -116,27 +110,77 @@ def _run(id_type: pa.DataType, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
         yield finish(held)
 
 
+#: Bytes of text in a block at most, about; and sampled rows for each block.
+BLOCK_BYTES, SAMPLED = 64 << 20, 64
+
+
+def cut_ids(rows: DataFrame, blocks: int | None) -> tuple[list[int], dict[int, int], int]:
+    """Descending ids at which blocks begin after the first, for ids that fill several blocks how many, and the number of blocks.
+
+    Blocks have about equal bytes, not more than BLOCK_BYTES, and are at least the session's shuffle partitions, so that a block doesn't
+    grow with the input. The cuts come from a sample of rows by a hash, some SAMPLED a block; its size is in step with the blocks."""
+    total, n = rows.agg(F.sum(F.octet_length("text") + 16), F.count("*")).first()
+    if not n:
+        return [], {}, 0
+    blocks = blocks or max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK_BYTES))
+    one_in = max(1, n // (SAMPLED * blocks))
+    some = rows.filter(F.pmod(F.xxhash64("_id", "_u"), F.lit(one_in)) == 0).groupBy("_id").agg(F.sum(F.octet_length("text") + 16).alias("bytes")).orderBy(F.desc("_id")).collect()
+    each = sum(r["bytes"] for r in some) / blocks
+    cuts, hot, upto = [], {}, 0
+    for r in some:
+        if r["bytes"] > each and blocks > 1:
+            hot[r["_id"]] = int(np.ceil(r["bytes"] / each))
+            cuts += [r["_id"], r["_id"] - 1]
+            upto = 0
+        elif upto + r["bytes"] > each:
+            cuts.append(r["_id"])
+            upto = r["bytes"]
+        else:
+            upto += r["bytes"]
+    return sorted(set(c for c in cuts if c >= -(2**63)), reverse=True), hot, blocks
+
+
 def fingerprints(docs: DataFrame, blocks: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every document.
 
-    The next document is the one that follows by descending id, then ascending text (null: empty); the first follows the last.
-    Ranges of ids, from approximate quantiles, are dealt out once; each range also gets the first row of the next one, so that
-    no row looks across. One document: it is its own successor. Repeated rows follow each other. Null ids come last. Empty table: no rows.
+    The next document is the one that follows by descending id, then by a hash of the text (null: empty); the first follows the last.
+    Ids that are no integers are ordered by a hash of them. Ranges of ids with about equal bytes are dealt out, one a task; each also gets
+    the first row of the next one, so that no row looks across. An id that fills several blocks is cut by the texts' hash. One document:
+    it is its own successor. Repeated rows follow each other. Null ids come last. Empty table: no rows.
     """
     spark = docs.sparkSession
-    blocks = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_id"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    cuts = rows.select(F.percentile_approx("_id", [k / blocks for k in range(1, blocks)] or [0.5], 20 * blocks)).first()[0]
-    if cuts is None:
-        cuts = []
-    cuts = sorted(set(cuts), reverse=True)  # at most blocks - 1
-    cut_array = F.array(*[F.lit(int(c)) for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    rows = rows.withColumn("block", F.size(F.filter(cut_array, lambda c: c >= F.col("_id"))))
-    heads = {r["block"]: r["first"] for r in rows.groupBy("block").agg(F.max("_id").alias("first")).collect()}  # a row per block
-    order = sorted(heads)
-    wanted = spark.createDataFrame([(heads[b], order[k - 1]) for k, b in enumerate(order)], "_id long, into int")
-    tails = rows.join(F.broadcast(wanted), "_id").groupBy("_id", "into").agg(F.min("text").alias("text"))
-    both = rows.select("block", F.lit(False).alias("tail"), "_id", "doc_id", "text").unionByName(tails.select(F.col("into").alias("block"), F.lit(True).alias("tail"), "_id", F.col("_id").alias("doc_id"), "text"))
-    dealt = both.repartition(max(1, blocks), "block").sortWithinPartitions("block", "tail", F.desc("_id"), "text")
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt.select("block", "doc_id", "text", "tail").mapInArrow(lambda it: _run(pa.int64(), it), schema)
+    whole = docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    by = F.col(id_col).cast("long") if whole else F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col))
+    rows = docs.select(F.coalesce(by, F.lit(-(2**63))).alias("_id"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.withColumn("_u", F.shiftrightunsigned(F.xxhash64("text"), 1))
+    cuts, hot, blocks = cut_ids(rows, blocks)
+    if cuts:
+        # ids as doubles keep their order; ids of one double stay together
+        splits = sorted({-float(c) for c in cuts})
+        placed = Bucketizer(splits=[-np.inf, *splits, np.inf], inputCol="_at", outputCol="_block").transform(rows.withColumn("_at", -F.col("_id").cast("double")))
+        rows = placed.select("_id", "_u", "doc_id", "text", F.col("_block").cast("int").alias("block"))
+    else:
+        rows = rows.withColumn("block", F.lit(0))
+    if hot:  # at most as many as blocks
+        parts = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, v in hot.items() for x in (k, v)]), F.col("_id")), F.lit(1))
+        rows = rows.withColumn("part", F.shiftright(F.shiftright("_u", 31) * parts, 32).cast("int"))
+    else:
+        rows = rows.withColumn("part", F.lit(0))
+    heads = rows.groupBy("block", "part").agg(F.max(F.struct("_id", (-F.col("_u")).alias("v"))).alias("first")).orderBy("block", "part").collect()  # a row per block
+    number = {(r["block"], r["part"]): k for k, r in enumerate(heads)}
+    order = "block int, part int, number int, _id long, _u long, into int"
+    places = spark.createDataFrame([(r["block"], r["part"], k, r["first"]["_id"], -r["first"]["v"], (k - 1) % len(heads)) for k, r in enumerate(heads)], order)
+    places = F.broadcast(places)  # as many rows as blocks
+    rows = rows.join(places.select("block", "part", "number"), ["block", "part"])
+    tails = docs_at(rows, places)
+    both = rows.select("number", F.lit(False).alias("tail"), "_id", "_u", "doc_id", "text").unionByName(tails)
+    dealt = both.repartitionById(max(1, len(number)), F.col("number")).sortWithinPartitions("number", "tail", F.desc("_id"), "_u", "text")
+    schema = f"{field(docs, id_col, 'doc_id')}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return in_python(dealt.select("number", "doc_id", "text", "tail"), _run, schema)
+
+
+def docs_at(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """The first row of each block, for the block before it."""
+    found = rows.join(places.select("_id", "_u", "into"), ["_id", "_u"])
+    firsts = found.groupBy("into", "_id", "_u").agg(F.min("text").alias("text"))
+    return firsts.select(F.col("into").alias("number"), F.lit(True).alias("tail"), "_id", "_u", F.lit(None).cast(rows.schema["doc_id"].dataType).alias("doc_id"), "text")

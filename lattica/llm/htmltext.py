@@ -1,7 +1,8 @@
 """HTML extraction by two-pass block rules.
 
-Pass 1 decides blocks by their place (menus, footers, adverts and the like against the article), link density, length and stop-word
-density; pass 2 gives the short blocks left open the label of the nearest decided neighbour. One pass over the pages, no state.
+Pass 1 decides blocks: navigation and the like, and blocks that are mostly links, are out; long blocks with many stop words are text; all
+others stay open. Pass 2 gives an open block the label of its nearest decided neighbour, where a neighbour in a deeper common element is the
+nearer one. One pass over the pages, no state.
 """
 
 from __future__ import annotations
@@ -9,11 +10,14 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import field, in_python
+
 #: Elements whose content is no text, that end a block, that hold boilerplate, and names that mark boilerplate.
 SILENT = "script style noscript template textarea svg iframe object select option button canvas audio video map math head title"
 BLOCKS = "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul"
@@ -32,32 +36,59 @@ NAMED = re.compile(rf"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"
 MARKED = re.compile(rf"(?:^|[\s_-])(?:{MARKS})(?:$|[\s_-])", re.I)
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)""", re.S)
 CLOSERS = {name: re.compile(rf"</{name}\s*>", re.I) for name in SILENT_SET}
-SPACE = re.compile(r"\s+")
+SPACE, BODY = re.compile(r"\s+"), re.compile(r"<body\b", re.I)
+
+LINKED, LONG, STOPS = 0.5, 20, 0.2
+LETTERS = re.compile(r"[^\W\d_]+(?:['\u2019][^\W\d_]+)*")
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+SECTIONS = frozenset(("article", "main", "section", "div", "td", "body"))
+
+
+@dataclass
+class Section:
+    """An element that holds blocks: its depth, and whether it is named as the article or has a heading."""
+
+    depth: int
+    named: bool
+    headed: bool = False
 
-LINKED, SHORT, LONG, STOPS = 0.5, 10, 20, 0.25
 
+@dataclass
+class Block:
+    """low: the least depth of elements passed through since the block before; sections: of the elements around it the innermost one, and
+    the outermost one that is named as the article."""
 
-def blocks(page: str) -> list[tuple[str, float, str, bool]]:
-    """(text, link density, place, heading) in page order; place is core, boiler or open."""
-    out: list[tuple[str, float, str, bool]] = []
-    stack: list[tuple[str, str]] = []
-    place, links, heading, anchor, at, n = "open", 0, False, 0, 0, len(page)
+    text: str
+    linked: float
+    boiler: bool
+    heading: bool
+    low: int
+    inner: Section
+    core: Section | None
+
+
+def blocks(page: str) -> list[Block]:
+    """The blocks of a page in its order, with what the rules ask about them."""
+    out: list[Block] = []
+    root = Section(0, False)
+    # of each open element: name, whether it marks boilerplate here or further out, innermost section, outermost core
+    stack: list[tuple[str, bool, Section, Section | None]] = [("", False, root, None)]
+    links, heading, anchor, low, at, n = 0, False, 0, 0, 0, len(page)
     parts: list[str] = []
 
     def close() -> None:
-        nonlocal links, heading
+        nonlocal links, heading, low
         if parts:
             raw = "".join(parts)
             text = SPACE.sub(" ", html.unescape(raw)).strip()
             if text:
-                out.append((text, min(1.0, links / max(1, len(raw.strip()))), place, heading))
+                _, boiler, inner, core = stack[-1]
+                inner.headed |= heading
+                out.append(Block(text, min(1.0, links / max(1, len(raw.strip()))), boiler, heading, low, inner, core))
+                low = len(stack) - 1
             parts.clear()
         links, heading = 0, False
 
-    def within() -> str:
-        names = [p for _, p in stack if p]
-        return "boiler" if "boiler" in names else "core" if "core" in names else "open"
-
     while at < n:
         m = TOKEN.search(page, at)
         text = page[at : m.start() if m else n]
@@ -73,7 +104,7 @@ def blocks(page: str) -> list[tuple[str, float, str, bool]]:
         if name in SILENT_SET and not m[1]:
             if name == "head" or name in ("option", "select", "button", "object", "map", "math", "svg"):
                 end = CLOSERS[name].search(page, at)
-                body = re.compile(r"<body\b", re.I).search(page, at) if name == "head" and not end else None
+                body = BODY.search(page, at) if name == "head" and not end else None
                 at = end.end() if end else body.start() if body else at
             else:
                 end = CLOSERS[name].search(page, at)
@@ -86,67 +117,97 @@ def blocks(page: str) -> list[tuple[str, float, str, bool]]:
         elif name in BLOCK_SET:
             close()
             if m[1]:
-                for k in range(len(stack) - 1, -1, -1):
+                for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == name:
                         del stack[k:]
-                        place = within()
+                        low = min(low, len(stack) - 1)
                         break
             elif name not in VOID:
-                if name in ("p", "li", "td", "tr", "dd", "dt") and stack and stack[-1][0] == name:
+                if name in ("p", "li", "td", "tr", "dd", "dt") and stack[-1][0] == name:
                     stack.pop()
+                    low = min(low, len(stack) - 1)
+                _, boiler, inner, core = stack[-1]
                 marks = any(MARKED.search(x[0] or x[1] or x[2]) for x in NAMED.findall(m[3])) and name not in ("body", "html", *CORE)
-                boiler = marks or name in BOILER_SET and not (name == "header" and within() == "core")
-                stack.append((name, "boiler" if boiler else "core" if name in CORE else ""))
-                place = within()
-                heading = name in ("h1", "h2", "h3", "h4", "h5", "h6")
+                boiler = boiler or marks or name in BOILER_SET and not (name == "header" and core is not None)
+                if name in SECTIONS:
+                    inner = Section(len(stack), name in CORE)
+                    core = core or (inner if inner.named else None)
+                stack.append((name, boiler, inner, core))
+                heading = name in HEADINGS
     close()
     return out
 
 
-def main_text(page: str | None) -> str:
-    """The article's blocks, one a line. Null, empty and article-free pages: the empty string.
+def decided(block: Block) -> bool | None:
+    """Pass 1. Long counts words, or six characters as one where words are not parted; stop words are counted among runs of letters."""
+    if block.boiler or block.linked > LINKED:
+        return False
+    words = LETTERS.findall(block.text.lower())
+    long = max(len(words), len(block.text) // 6) >= LONG
+    return True if long and sum(w in STOP_WORDS for w in words) >= STOPS * len(words) else None
+
+
+def neighbours(found: list[Block], first: list[bool | None]) -> list[list[tuple[int, int, bool]]]:
+    """For each block the decided ones before and after it: (depth of the common element, blocks away, label). The
+    page's edges count as decided against, outside of all elements."""
+    n, out = len(found), []
+    for forward in (True, False):
+        near = [(0, 0, False)] * n
+        depth, away, label = 0, 0, False
+        for k in range(n) if forward else range(n - 1, -1, -1):
+            if forward:
+                depth = min(depth, found[k].low)
+            away += 1
+            near[k] = (depth, away, label)
+            if first[k] is not None:
+                depth, away, label = 1 << 30, 0, bool(first[k])
+            if not forward:
+                depth = min(depth, found[k].low)
+        out.append(near)
+    return out
 
-    Where a page names its article, only blocks inside it can be text; else density and length decide. A short block between a
-    kept and a dropped neighbour at the same distance follows the dropped one, but a heading follows the block after it.
-    """
-    found = blocks(page or "")
-    named = any(place == "core" for _, _, place, _ in found)
-    labels: list[bool | None] = []
-    for text, linked, place, heading in found:
-        words = text.lower().split()
-        if place == "boiler" or linked > LINKED or named and place != "core":
-            labels.append(False)
-        elif place == "core":
-            labels.append(True)
-        else:
-            stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
-            labels.append(True if len(words) >= LONG and stops >= STOPS else None if len(words) < LONG and (len(words) < SHORT or stops >= STOPS / 2) else False)
-    left, near = len(labels), [(len(labels) + 1, False)] * len(labels)
-    last = None
-    before = []
-    for k, x in enumerate(labels):
-        last = (k, x) if x is not None else last
-        before.append(last)
-    last = None
-    for k in range(left - 1, -1, -1):
-        last = (k, labels[k]) if labels[k] is not None else last
-        a, b = before[k], last
-        if labels[k] is None:
-            if a and b:
-                near[k] = (0, b[1] if found[k][3] or b[0] - k < k - a[0] else a[1] if k - a[0] < b[0] - k else a[1] and b[1])
+
+def labels(found: list[Block]) -> list[bool]:
+    """Both passes. Of an open block's decided neighbours before and after it, the one in the deeper common element counts; in equal
+    depth the one fewer blocks away; in equal distance a heading follows the block after it, and others stay only if both do. Navigation and
+    the like inside the named article says nothing about the blocks around it. Where a section has no decided block at all, it is text if the
+    page names it as the article or it has a heading. A page without any block decided as text keeps its long open blocks."""
+    first = [decided(b) for b in found]
+    every = neighbours(found, first)
+    inside = neighbours(found, [None if b.boiler else x for b, x in zip(found, first)])
+    out, none = [], not any(first)
+    for k, (block, label) in enumerate(zip(found, first)):
+        if label is None:
+            a, b = (near[k] for near in (inside if block.core else every))
+            alone = block.core or block.inner
+            if (alone.named or alone.headed) and max(a[0], b[0]) < alone.depth:
+                label = True
+            elif a[0] != b[0]:
+                label = (a if a[0] > b[0] else b)[2]
+            elif a[1] != b[1]:
+                label = (a if a[1] < b[1] else b)[2]
             else:
-                near[k] = (0, (a or b or (0, False))[1])
-    return "\n".join(text for k, (text, *_) in enumerate(found) if (labels[k] if labels[k] is not None else near[k][1]))
+                label = b[2] if block.heading else a[2] and b[2]
+            label = label or none and len(block.text) // 6 >= LONG
+        out.append(label)
+    return out
+
+
+def main_text(page: str | None) -> str:
+    """The article's blocks, one a line. Null, empty and article-free pages: the empty string."""
+    found = blocks(page or "")
+    return "\n".join(b.text for b, keep in zip(found, labels(found)) if keep)
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """pages without html_col, with text and n_chars (code points). Columns of these names in the input are replaced."""
     keep = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
-    schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
+    schema = "".join(f"{field(pages, c)}, " for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(x.as_py()) for x in batch.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keep, "text", "n_chars"])
 
-    return pages.select(*keep, F.col(html_col)).mapInArrow(run, f"{schema}, text string, n_chars long")
+    quoted = ["`" + c.replace("`", "``") + "`" for c in keep]
+    return in_python(pages.select(*quoted, F.col(html_col)), run, f"{schema}text string, n_chars long")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD
+from .common import WORD, stowed
 
 OUT = ["size", "source_size", "target", "taken", "repeats"]
 
@@ -50,7 +50,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int =
     Null text: size 0. Null source: a source of its own. Null or repeated ids: rows with one hash follow by size, so the
     result is the same whatever the order of the input. Columns named as an output are replaced; all others stay. Empty: empty.
     """
-    docs = docs.drop(*[c for c in OUT if c not in (id_col, text_col, source_col)])
+    docs, back = stowed(docs, [id_col, text_col, source_col])
     docs = docs.withColumns({"size": word_count(text_col), "_key": F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))})
     docs = docs.withColumn("_bucket", F.substring("_key", 1, 3))
     cells = docs.groupBy(F.col(source_col).alias("source"), F.col("_bucket").alias("_b")).agg(F.sum("size").alias("_cell"))
@@ -63,18 +63,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int =
     out = placed.join(cells, F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
     budget = F.floor(F.col("target") + 0.5).cast("long")
     whole = F.when(F.col("source_size") > 0, F.expr("cast(floor(target + 0.5D) as bigint) div source_size")).otherwise(F.lit(0)).cast("long")
-    out = out.withColumns({"_whole": whole, "_rest": budget - whole * F.col("source_size")})
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - (F.col("_before") + F.col("_end") - F.col("size"))))
+    out = out.withColumns({"_whole": whole, "_left": budget - whole * F.col("source_size")})
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_left") - (F.col("_before") + F.col("_end") - F.col("size"))))
     out = out.withColumn("_part", part)
     copies = F.col("_whole") + F.when((F.col("_part") > 0) & (2 * F.col("_part") >= F.col("size")), 1).otherwise(0)
     out = out.withColumns({"taken": (F.col("_whole") * F.col("size") + F.col("_part")).cast("long"), "repeats": copies.cast("long")})
-    return out.drop("_key", "_bucket", "_s", "_b", "_before", "_end", "_whole", "_rest", "_part")
+    return back(out, *OUT)
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document repeats times, with the columns of docs."""
-    out = mix(docs, **options)
-    return out.filter(F.col("repeats") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select(*docs.columns)
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix itself: each document repeats times, with the columns of docs as they are, whatever their names."""
+    packed, back = stowed(docs, [id_col, text_col, source_col])
+    out = mix(packed, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    return back(out.filter(F.col("repeats") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))))
 
 
 ORACLE = r"""

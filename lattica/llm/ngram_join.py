@@ -1,17 +1,20 @@
-"""N-gram Jaccard join by prefix trees: exact links of at least `percent` percent, without emitting the pairs of a group.
+"""N-gram Jaccard join by prefix trees: links of at least `percent` percent, without emitting the pairs of a group.
 
 Sets of five-word shingles get one global order (frequent shingles last). Two sets that link share a shingle in their prefixes, so
 prefixes are dealt out by shingle. Equal sets are one set from the start. Of the sets under a shingle, each is first verified against
-one pivot; sets that are connected by then need no further comparison, and all pairs that are left across components are verified
-in a last round. A verifying task stores the sets beside one pivot in their global order, as a trie: neighbours share
-their common beginning and its overlap, and a branch is left as soon as the remaining lengths can't reach the overlap wanted.
+one pivot; sets that are connected by then need no further comparison. Of what is left across components, a shingle with many sets is
+descended like the tree: sets that link share a next shingle too, so they are dealt by two, three and four shingles, and only small groups
+(and, at the end, blocks of bounded size) are paired. A verifying task stores the sets beside one pivot in their global order, as a trie:
+neighbours share their common beginning and its overlap, and a branch is left as soon as the remaining lengths can't reach the overlap wanted.
+
+Words and shingles are compared by 64-bit hashes, and documents count as equal sets by 64 bits over their sorted shingle hashes: two of n
+different sets meet by chance with a probability of about n * n / 2 ** 65.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -19,73 +22,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, stash
+from .common import FOLDED, PRIME, field, in_python, mix64, release, stash, text_portions
 
 SHINGLE = 5
 PERCENT = 80
-PRIME = np.uint64(0x9E3779B97F4A7C15)
-
-
-#: Which bytes part words, 64 random bits for each other byte, and an odd base for positions with its inverse.
-PARTS = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-BYTES = np.where(PARTS, np.uint64(0), mix64(np.arange(1, 257, dtype=np.uint64) * PRIME))
-BASE = 0xD1342543DE82EF95
-
-
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    with np.errstate(over="ignore"):
-        return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, x, np.uint64)]), dtype=np.uint64) for x in (BASE, pow(BASE, -1, 2**64)))
-
-
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, first byte) of each word of data, A-Z lower-cased: a word's bytes weighted by position, from one running sum."""
-    b = np.frombuffer(data.lower(), np.uint8)
-    power, inverse = _powers(1 << max(20, len(b).bit_length()))
-    sums = np.zeros(len(b) + 1, np.uint64)
-    weighted = BYTES.take(b)
-    weighted *= power[: len(b)]
-    np.cumsum(weighted, out=sums[1:])
-    part = np.ones(len(b) + 2, bool)
-    part[1:-1] = PARTS.take(b)
-    edge = np.flatnonzero(part[1:] != part[:-1])
-    starts, ends = edge[::2], edge[1::2]
-    return mix64((sums[ends] - sums[starts]) * inverse[starts]), starts
-
-
-#: Bytes of text that are hashed at once; a longer text is taken alone.
-PORTION = 1 << 20
 
 
-def text_sets(column) -> Iterator[tuple[int, np.ndarray]]:
+def text_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     """(row, set) of each text: ascending distinct 64-bit shingle hashes of the whole text, five words each; fewer words are one shingle.
     Null and empty texts have the empty set."""
-    texts = [t or b"" for t in column.cast(pa.binary()).to_pylist()]
-    at = 0
-    while at < len(texts):
-        end, size = at + 1, len(texts[at])
-        while end < len(texts) and size + len(texts[end]) < PORTION:
-            size += len(texts[end])
-            end += 1
-        words, starts = word_hashes(b"\n".join(texts[at:end]))
-        firsts = np.searchsorted(starts, np.cumsum([0, *[len(t) + 1 for t in texts[at:end]]])).tolist()
+    for at, words, bounds in text_portions(column, FOLDED):
         keys = np.full(max(0, len(words) - SHINGLE + 1), SHINGLE, np.uint64)
         for j in range(SHINGLE):
             keys *= PRIME
             keys += words[j : j + len(keys)]
-        for k, (low, high) in enumerate(zip(firsts, firsts[1:])):
+        bounds = bounds.tolist()
+        for k, (low, high) in enumerate(zip(bounds, bounds[1:]), at):
             n = high - low
             if n >= SHINGLE:
                 own = np.sort(keys[low : high - SHINGLE + 1])
-                yield at + k, own[np.concatenate([[True], own[1:] != own[:-1]])]
+                yield k, own[np.concatenate([[True], own[1:] != own[:-1]])]
             elif n:
                 one = np.array([n], np.uint64)
                 for h in words[low:high]:
                     one = one * PRIME + h
-                yield at + k, mix64(one)
+                yield k, mix64(one)
             else:
-                yield at + k, np.zeros(0, np.uint64)
-        at = end
+                yield k, np.zeros(0, np.uint64)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -93,11 +56,10 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def set_hash(keys: np.ndarray) -> int:
-    """64 bits for a whole set, independent of order; 0 only for the empty set."""
+    """64 bits for a whole set of ascending keys; 0 only for the empty set."""
     if not len(keys):
         return 0
-    sums = int(keys.sum(dtype=np.uint64)), int((keys * keys).sum(dtype=np.uint64)), len(keys)
-    return int.from_bytes(blake2b(b"".join(x.to_bytes(8, "little") for x in sums), digest_size=8).digest(), "little", signed=True) or 1
+    return int.from_bytes(blake2b(keys.astype("<u8").tobytes(), digest_size=8).digest(), "little", signed=True) or 1
 
 
 def prefix_length(n: np.ndarray | int, percent: int = PERCENT):
@@ -111,7 +73,7 @@ def wanted(n: int, m: int, percent: int = PERCENT) -> int:
 
 
 def ordered(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    level = levels[(keys >> np.uint64(64 - int(len(levels)).bit_length() + 1)).astype(np.int64)]
+    level = cell_of(keys, levels)
     return keys[np.argsort(level, kind="stable")] if level.any() else keys
 
 
@@ -144,19 +106,17 @@ def _sets(column, seen: set[int]) -> Iterator[tuple[int, np.ndarray]]:
 def sized(docs: DataFrame, bits: int) -> DataFrame:
     """One pass for (id, n_shingles, sig, odd, key) of every row, odd the parity of its set, and for counts of shingle hashes in 2 ** bits cells: rows of the latter have a
     chunk number and compressed counts instead. A set is counted once a task."""
-    kind = docs.schema["id"].dataType.simpleString()
     chunks = 1 << max(0, bits - 14)
     names = ["id", "n_shingles", "sig", "odd", "key", "chunk", "cells"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, cells, held, n = set(), np.zeros(1 << bits, np.uint16 if bits > 22 else np.uint32), [], 0
+        seen, cells, held, n = set(), np.zeros(1 << bits, np.uint32), [], 0
         id_type = None
 
         def add() -> None:
             nonlocal held, n
             if held:
-                cells_, counts = np.unique(np.concatenate(held), return_counts=True)
-                cells[cells_] = np.minimum(cells[cells_].astype(np.int64) + counts, np.iinfo(cells.dtype).max)
+                np.add.at(cells, np.concatenate(held), np.uint32(1))
             held, n = [], 0
 
         for batch in batches:
@@ -169,7 +129,7 @@ def sized(docs: DataFrame, bits: int) -> DataFrame:
                     seen.add(int(sigs[k]))
                     held.append((keys >> np.uint64(64 - bits)).astype(np.int64))
                     n += len(keys)
-                    if n > 1 << 19:
+                    if n > 1 << 18:
                         add()
             none = pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(sigs), pa.array(odds, pa.binary()), batch.column(2), *none], names)
@@ -179,9 +139,9 @@ def sized(docs: DataFrame, bits: int) -> DataFrame:
             for k in range(0, chunks, 64):
                 some = [(c, p) for c, p in enumerate(parts[k : k + 64], k) if p.any()]
                 none = pa.nulls(len(some), id_type), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.binary()), pa.nulls(len(some), pa.int64())
-                yield pa.RecordBatch.from_arrays([*none, pa.array([c for c, _ in some], pa.int32()), pa.array([zlib.compress(p.astype(np.uint32).tobytes(), 1) for _, p in some], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([*none, pa.array([c for c, _ in some], pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for _, p in some], pa.binary())], names)
 
-    return docs.select("id", "text", "key").mapInArrow(run, f"id {kind}, n_shingles long, sig long, odd binary, key long, chunk int, cells binary")
+    return in_python(docs.select("id", "text", "key"), run, f"{field(docs, 'id')}, n_shingles long, sig long, odd binary, key long, chunk int, cells binary")
 
 
 def frequency_levels(counted: DataFrame, bits: int, mean: float) -> np.ndarray:
@@ -200,70 +160,79 @@ def frequency_levels(counted: DataFrame, bits: int, mean: float) -> np.ndarray:
             level = [np.where(b > 1, 1 + np.floor(np.log2(np.maximum(b, 1))), 0).astype(np.uint8).tobytes() for b in beyond]
             yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array(level, pa.binary())], ["chunk", "levels"])
 
-    rows = counted.filter("chunk is not null").select("chunk", "cells").repartition("chunk").mapInArrow(add, "chunk int, levels binary")
+    rows = counted.filter("chunk is not null").select("chunk", "cells").repartition("chunk")
+    rows = in_python(rows, add, "chunk int, levels binary")
     out = np.zeros((chunks, (1 << bits) // chunks), np.uint8)
     for r in rows.collect():
         out[r["chunk"]] = np.frombuffer(r["levels"], np.uint8)
     return out.reshape(-1)
 
 
+def cell_of(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The frequency level of each key."""
+    return levels[(keys >> np.uint64(64 - int(len(levels)).bit_length() + 1)).astype(np.int64)]
+
+
 def shared_tokens(docs: DataFrame, levels) -> DataFrame:
     """(token, sig, n, pos) of each prefix shingle that at least two different sets have in their prefixes; pos is its place in the set.
 
-    Rows come sorted by (token, sig) and are passed on as they stream by: a set waits only until a second one follows."""
+    Rare shingles are dealt by shingle; rows come sorted and are passed on as they stream by: a set waits only until a second one follows.
+    Shingles in frequent cells (one of them may be in any share of the sets) are taken as shared and dealt by shingle and set, to drop copies.
+    A row travels as three numbers: place holds n, pos and whether the shingle is frequent."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            tokens, sigs, sizes, places = [], [], [], []
+            tokens, sigs, places = [], [], []
             for sig, keys in _sets(batch.column(0), seen):
-                tokens.append(ordered(keys, levels.value)[: prefix_length(len(keys))])
-                sigs.append(np.full(len(tokens[-1]), sig, np.int64))
-                sizes.append(np.full(len(tokens[-1]), len(keys), np.int32))
-                places.append(np.arange(len(tokens[-1]), dtype=np.int32))
+                prefix = ordered(keys, levels.value)[: prefix_length(len(keys))]
+                tokens.append(prefix.view(np.int64))
+                sigs.append(np.full(len(prefix), sig, np.int64))
+                places.append((len(keys) << 32) + 2 * np.arange(len(prefix), dtype=np.int64) + (cell_of(prefix, levels.value) > 0))
             if tokens:
-                columns = np.concatenate(tokens).view(np.int64), np.concatenate(sigs), np.concatenate(sizes), np.concatenate(places)
-                for at in range(0, len(columns[0]), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000]) for c in columns], ["token", "sig", "n", "pos"])
+                columns = np.concatenate(tokens), np.concatenate(sigs), np.concatenate(places)
+                for at in range(0, len(columns[0]), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 50_000]) for c in columns], ["token", "sig", "place"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32)]
+        tail = [np.zeros(0, np.int64)] * 3
         passed = False  # whether the row in tail went out already
         for batch in batches:
-            token, sig, n, pos = (np.concatenate([t, c.to_numpy(zero_copy_only=False)]) for t, c in zip(tail, batch.columns))
+            token, sig, place = (np.concatenate([t, c.to_numpy(zero_copy_only=False)]) for t, c in zip(tail, batch.columns))
             if not len(token):
                 continue
             same = token[1:] == token[:-1]
-            fresh = np.concatenate([[True], ~(same & (sig[1:] == sig[:-1]))])
+            copy = same & (sig[1:] == sig[:-1])
+            fresh = np.concatenate([[True], ~copy])
             if len(tail[0]):
                 fresh[0] = not passed
-            # with another set on either side under the same token
-            other = same & (sig[1:] != sig[:-1])
+            # with another set on either side under the same token, or frequent anyway
+            other = same & ~copy
             left, right = np.concatenate([[False], other]), np.concatenate([other, [False]])
             if passed and len(tail[0]):
                 left[0] = True
             # a repeated row has its neighbours beyond its copies: carry both ways over runs
-            run = np.cumsum(np.concatenate([[True], ~(same & (sig[1:] == sig[:-1]))])) - 1
-            linked = np.bincount(run, left | right, run[-1] + 1) > 0
+            run = np.cumsum(np.concatenate([[True], ~copy])) - 1
+            linked = np.bincount(run, left | right | (place % 2 == 1), run[-1] + 1) > 0
             out = fresh & linked[run]
             passed = bool(linked[run[-1]])
             if out.any():
-                yield pa.RecordBatch.from_arrays([pa.array(token[out]), pa.array(sig[out]), pa.array(n[out]), pa.array(pos[out])], ["token", "sig", "n", "pos"])
-            tail = [token[-1:], sig[-1:], n[-1:], pos[-1:]]
+                n, pos = (place[out] >> 32).astype(np.int32), ((place[out] & 0xFFFFFFFF) >> 1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(token[out]), pa.array(sig[out]), pa.array(n), pa.array(pos)], ["token", "sig", "n", "pos"])
+            tail = [token[-1:], sig[-1:], place[-1:]]
 
-    schema = "token long, sig long, n int, pos int"
-    rows = docs.select("text").mapInArrow(emit, schema).repartition("token").sortWithinPartitions("token", "sig")
-    return rows.mapInArrow(shared, schema)
+    rows = in_python(docs.select("text"), emit, "token long, sig long, place long")
+    deal = F.when(F.col("place") % 2 == 1, F.xxhash64("token", "sig")).otherwise(F.col("token"))
+    return in_python(rows.repartition(deal).sortWithinPartitions("token", "sig"), shared, "token long, sig long, n int, pos int")
 
 
-#: Ids up to this number are broadcast (under 2 MB); more are joined by a shuffle.
+#: Ids up to this number are broadcast (a few MB, counted first); more are joined by a shuffle, with the same result.
 FEW = 200_000
 
 
-def stored_sets(docs: DataFrame, slim: DataFrame, edges: DataFrame, levels) -> DataFrame:
-    """(sig, keys) of the sets in edges(a, b), in the global order, eight bytes a key. One document of each set is read again, by its id, or by
+def stored_sets(docs: DataFrame, slim: DataFrame, sigs: DataFrame, levels) -> DataFrame:
+    """(sig, keys) of the distinct sets in sigs(sig), in the global order, eight bytes a key. One document of each set is read again, by its id, or by
     its key where all rows of the set lack an id; only these texts leave the scan."""
-    sigs = edges.select(F.col("a").alias("sig")).union(edges.select("b")).distinct()
     least = slim.join(sigs, "sig", "left_semi").groupBy("sig").agg(F.min("id").alias("id"), F.min("key").alias("key"))
     one = stash(least.select("id", F.when(F.col("id").isNull(), F.col("key")).alias("key")).distinct())
     named, nameless = one.agg(F.count("id"), F.count("key")).first()
@@ -278,22 +247,23 @@ def stored_sets(docs: DataFrame, slim: DataFrame, edges: DataFrame, levels) -> D
             out = [(sig, ordered(keys, levels.value).astype("<u8").tobytes()) for sig, keys in _sets(batch.column(0), seen)]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.binary()))], ["sig", "keys"])
 
-    return stash(texts.mapInArrow(run, "sig long, keys binary").dropDuplicates(["sig"]))
+    return stash(in_python(texts, run, "sig long, keys binary").dropDuplicates(["sig"]))
 
 
 def plausible(edges: DataFrame, odds: DataFrame) -> DataFrame:
-    """edges(a, b) without those that the parities rule out: what remains is nearly all links."""
+    """edges(a, b) without those that the parities rule out, with the size m of b: what remains is nearly all links."""
     left = odds.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa"))
     right = odds.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("ob"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = [x.to_pylist() for x in batch.columns]
-            keep = np.array([may_link(n, x, m, y) for n, x, m, y in zip(*c[2:])], bool)
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+            c = [x.to_pylist() for x in batch.columns[2:]]
+            keep = np.array([may_link(n, x, m, y) for n, x, m, y in zip(*c)], bool)
+            kept = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), kept.column(4)], ["a", "b", "m"])
 
     rows = edges.join(left, "a").join(right, "b").select("a", "b", "na", "oa", "nb", "ob")
-    return rows.mapInArrow(run, "a long, b long")
+    return in_python(rows, run, "a long, b long, m long")
 
 
 def walk(pivot: np.ndarray, members: list[tuple[int, np.ndarray]], percent: int = PERCENT) -> list[int]:
@@ -324,13 +294,14 @@ def walk(pivot: np.ndarray, members: list[tuple[int, np.ndarray]], percent: int
     return found
 
 
-#: Members that are verified against one pivot in one trie; more are dealt to several.
-TRIE = 512
+#: Members, and shingles of them, that are verified against one pivot in one trie; more are dealt to several.
+TRIE, TRIE_KEYS = 512, 1 << 18
 
 
 def verified(edges: DataFrame, sets: DataFrame) -> DataFrame:
-    """edges(a, b), distinct -> those that link. Each trie holds at most about TRIE members of a pivot a."""
-    shares = edges.groupBy("a").agg(F.ceil(F.count("*") / TRIE).cast("int").alias("parts"))
+    """edges(a, b, m), distinct, m the size of b -> those that link. Each trie holds about TRIE members or TRIE_KEYS shingles of a pivot a."""
+    need = F.greatest(F.count("*") / TRIE, F.sum("m") / TRIE_KEYS)
+    shares = stash(edges.groupBy("a").agg(F.ceil(need).cast("int").alias("parts")))
     dealt = edges.join(shares, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"))
     members = dealt.join(sets, dealt["b"] == sets["sig"]).select("a", "part", F.lit(1).alias("role"), "sig", "keys")
     heads = shares.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
@@ -360,108 +331,186 @@ def verified(edges: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([now[0]] * len(last), pa.int64()), pa.array(last, pa.int64())], ["a", "b"])
 
     rows = pivots.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", "role")
-    return rows.mapInArrow(run, "a long, b long")
+    out = stash(in_python(rows, run, "a long, b long"))
+    release(shares)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
     """links(a, b) -> (node, label), label the least node that links reach. Labels spread to neighbours, then jump to
-    their label's label, so that rounds grow with the logarithm of a chain; each round is written out."""
+    their label's label, so that rounds grow with the logarithm of a chain; each round is written out. Both sides of each join are
+    plain exchanges, which Spark splits where one node has many links."""
     both = stash(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    now = stash(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).select("node", F.least("node", "label").alias("label")))
+    now = stash(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).select("node", F.lit(-1).cast("long").alias("old"), F.least("node", "label").alias("label")))
     while True:
-        near = both.join(now.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = now.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
+        near = both.join(now.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        step = now.select("node", "label").join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
         jump = now.select(F.col("node").alias("mid"), F.col("label").alias("far"))
         new = stash(step.join(jump, "mid").select("node", "old", F.least("mid", "far").alias("label")))
+        release(now)
         if not new.filter("label != old").limit(1).count():
+            release(both)
             return new.select("node", "label")
-        now = new.select("node", "label")
+        now = new
 
 
-#: Shingles with more sets than this get further rounds of pivots before what is left is compared in full.
+#: Shingles with more sets than this get further rounds of pivots, then the descent.
 CROWD = 32
+#: Shingles by which a crowded group is dealt at most. Up to four are safe: sets that link with fewer common shingles are equal.
+DEEPEST = 4
 
 
-def may_reach(n: str, i: str, m: str, j: str, percent: int = PERCENT):
-    """Sets of n and m whose first common shingle has places i and j can share n - i and m - j shingles at most; whether the overlap
-    wanted is within that. A pair that links passes under its first common shingle."""
-    need = F.expr(f"({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent}")
+def may_reach(n: str, i: str, m: str, j: str, before: int = 0, percent: int = PERCENT):
+    """Sets of n and m that share `before` shingles, and then the one at places i and j, can share n - i and m - j more at most; whether the
+    overlap wanted is within that. A pair that links passes under its first common shingles."""
+    need = F.expr(f"({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent} - {before}")
     return (F.col(n) - F.col(i) >= need) & (F.col(m) - F.col(j) >= need)
 
 
+def _several(rows: DataFrame) -> DataFrame:
+    """rows(token, .., comp) of the tokens that several components share. One key may hold any share of the rows: the counts are written first,
+    so that the join has plain exchanges on both sides, which Spark splits."""
+    open_ = stash(rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token"))
+    out = stash(rows.join(open_, "token", "left_semi"))
+    release(open_)
+    return out
+
+
 def _labelled(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
     """groups with comp: the component so far, at first the set itself; then only shingles that several components share."""
     if labels is None:
         return groups.withColumn("comp", F.col("sig"))
-    rows = groups.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("token", "sig", "n", "pos", "rank", F.coalesce("label", "sig").alias("comp"))
-    open_ = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token")
-    return rows.join(open_, "token", "left_semi")
+    rows = stash(groups.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("token", "sig", "n", "pos", "rank", F.coalesce("label", "sig").alias("comp")))
+    out = _several(rows)
+    release(rows)
+    return out
 
 
 def pivot_edges(rows: DataFrame, seed: int) -> DataFrame:
     """Each set against the pivot it shares most shingles with. Pivots: first the sets most of whose prefix is shared (others are edits of such), in later rounds by a seeded hash."""
     first = -F.col("rank") if seed == 0 else F.xxhash64("sig", F.lit(seed))
-    pivots = rows.groupBy("token").agg(F.min(F.struct(first.alias("first"), F.col("sig").alias("pivot"), F.col("n").alias("m"), F.col("pos").alias("mpos"), F.col("comp").alias("pcomp"))).alias("p")).select("token", "p.pivot", "p.m", "p.mpos", "p.pcomp")
+    best = F.min(F.struct(first.alias("first"), F.col("sig").alias("pivot"), F.col("n").alias("m"), F.col("pos").alias("mpos"), F.col("comp").alias("pcomp")))
+    pivots = stash(rows.groupBy("token").agg(best.alias("p")).select("token", "p.pivot", "p.m", "p.mpos", "p.pcomp"))
     edges = rows.join(pivots, "token").filter((F.col("comp") != F.col("pcomp")) & may_reach("n", "pos", "m", "mpos"))
     votes = edges.groupBy("sig", "pivot").agg(F.count("*").alias("votes"))
-    return votes.groupBy("sig").agg(F.max(F.struct("votes", "pivot")).alias("v")).select(F.col("v.pivot").alias("a"), F.col("sig").alias("b"))
+    out = stash(votes.groupBy("sig").agg(F.max(F.struct("votes", "pivot")).alias("v")).select(F.col("v.pivot").alias("a"), F.col("sig").alias("b")))
+    release(pivots)
+    return out
 
 
-def cross_edges(rows: DataFrame) -> DataFrame:
-    """All pairs of sets in different components that share a prefix shingle under which they can still link, once each."""
-    left = rows.select("token", F.col("sig").alias("a"), "n", F.col("pos").alias("i"), F.col("comp").alias("ca"))
-    right = rows.select("token", F.col("sig").alias("b"), F.col("n").alias("m"), F.col("pos").alias("j"), F.col("comp").alias("cb"))
-    pairs = left.join(right, "token").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & may_reach("n", "i", "m", "j"))
-    return pairs.select("a", "b").distinct()
+def deeper(rows: DataFrame, sets: DataFrame, depth: int) -> DataFrame:
+    """Rows of sets that have `depth` shingles in common, the last at pos -> rows by one shingle more.
 
+    Two sets that link share wanted(n, m) shingles, so the next common one lies within the first prefix_length(n) + depth places of
+    each. The new token is a hash of the old one and that shingle."""
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, max_bits: int = 24) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, sigs, sizes, places, comps = [], [], [], [], []
+            for token, sig, n, pos, comp, keys in zip(*(c.to_pylist() for c in batch.columns)):
+                part = np.frombuffer(keys, "<u8")[pos + 1 : prefix_length(n) + depth]
+                with np.errstate(over="ignore"):
+                    tokens.append(mix64(part ^ mix64(np.array([token], np.int64).view(np.uint64) + np.uint64(depth))).view(np.int64))
+                sigs.append(np.full(len(part), sig, np.int64))
+                sizes.append(np.full(len(part), n, np.int32))
+                places.append(np.arange(pos + 1, pos + 1 + len(part), dtype=np.int32))
+                comps.append(np.full(len(part), comp, np.int64))
+            if tokens:
+                columns = [np.concatenate(c) for c in (tokens, sigs, sizes, places, comps)]
+                for at in range(0, len(columns[0]), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 50_000]) for c in columns], ["token", "sig", "n", "pos", "comp"])
+
+    return in_python(rows.join(sets, "sig").select("token", "sig", "n", "pos", "comp", "keys"), run, "token long, sig long, n int, pos int, comp long")
+
+
+def paired(rows: DataFrame, sizes: DataFrame, crowd: int, depth: int) -> DataFrame:
+    """All pairs (a, b) of rows under one token and in different components under which they can still link. Groups of more than crowd
+    rows are dealt to blocks: a row meets one block of at most about crowd others a task."""
+    blocks = rows.join(sizes, "token").withColumn("blocks", F.ceil(F.col("sets") / crowd).cast("int"))
+    left = blocks.select("token", F.col("sig").alias("a"), "n", F.col("pos").alias("i"), F.col("comp").alias("ca"), F.pmod(F.xxhash64("sig"), "blocks").cast("int").alias("block"))
+    right = blocks.select("token", F.col("sig").alias("b"), F.col("n").alias("m"), F.col("pos").alias("j"), F.col("comp").alias("cb"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    pairs = left.join(right, ["token", "block"]).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & may_reach("n", "i", "m", "j", depth - 1))
+    return pairs.select("a", "b")
+
+
+def cross_edges(rows: DataFrame, sets_of, crowd: int) -> DataFrame:
+    """Pairs of sets in different components that share a prefix shingle under which they can still link, once each; sets_of(sigs): their
+    stored sets. Crowded shingles are descended before their sets are paired."""
+    rows = rows.select("token", "sig", "n", "pos", "comp")
+    edges, sets = None, None
+    for depth in range(1, DEEPEST + 1):
+        sizes = stash(rows.groupBy("token").agg(F.count("*").alias("sets")))
+        last = depth == DEEPEST or not sizes.filter(F.col("sets") > crowd).limit(1).count()
+        new = stash(paired(rows, sizes if last else sizes.filter(F.col("sets") <= crowd), crowd, depth))
+        edges = new if edges is None else edges.unionByName(new)
+        if last:
+            break
+        full = rows.join(sizes.filter(F.col("sets") > crowd).select("token"), "token", "left_semi")
+        sets = sets or sets_of(full.select("sig").distinct())
+        made = stash(deeper(full, sets, depth))
+        rows = _several(made)
+        release(made, sizes)
+    release(sets)
+    return edges.distinct()
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, max_bits: int = 22, crowd: int = CROWD) -> DataFrame:
     """id, n_shingles, component_id: the least id that links reach, of every row.
 
     Documents link from a Jaccard similarity of 0.8 on. Null and empty texts have no shingles and are their own component; texts of
     under five words link with equal ones only. Repeated rows, and rows with one id, are kept each. Rows without an id link like
-    others; component_id is null where no row of a component has an id. Empty table: no rows.
+    others; component_id is null where no row of a component has an id. Ids may be of any type that has an order. Empty table: no rows.
+    Columns of docs other than the two are not read. rounds, max_bits and crowd change the work only.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     docs = docs.withColumn("key", F.when(F.col("id").isNull(), F.xxhash64("text")))
     length = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = int(np.clip(np.ceil(np.log2(max(length, 1) / 64)), 14, max_bits))
     counted = stash(sized(docs, bits))
-    slim = counted.filter("chunk is null").select("id", "n_shingles", "sig", "odd", "key")
+    slim = stash(counted.filter("chunk is null").select("id", "n_shingles", "sig", "odd", "key"))
     alike = slim.filter("sig != 0").groupBy("sig").agg(F.min("id").alias("least"))
-    found = links(docs, counted, slim, bits, rounds)
+    levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(counted, bits, max((slim.agg(F.sum("n_shingles")).first()[0] or 0) / (1 << bits), 1.0)))
+    release(counted)
+    found = links(docs, slim, levels, rounds, crowd)
     if found is not None:
         labels = components(found).withColumnRenamed("node", "sig")
-        named = alike.join(labels, "sig", "left").select("sig", F.coalesce("label", "sig").alias("label"), "least")
-        least = named.groupBy("label").agg(F.min("least").alias("component"))
+        named = stash(alike.join(labels, "sig", "left").select("sig", F.coalesce("label", "sig").alias("label"), "least"))
+        least = stash(named.groupBy("label").agg(F.min("least").alias("component")))
         alike = named.join(least, "label").select("sig", F.col("component").alias("least"))
+    alike = stash(alike)  # plain exchanges on both sides of the join back: Spark splits the rows of many copies
     out = slim.drop("odd", "key").join(alike, "sig", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("least", "id").alias("component_id"))
 
 
-def links(docs: DataFrame, counted: DataFrame, slim: DataFrame, bits: int, rounds: int) -> DataFrame | None:
+def links(docs: DataFrame, slim: DataFrame, levels, rounds: int, crowd: int) -> DataFrame | None:
     """Verified links (a, b) between set hashes that connect all that link; None if no sets share a prefix shingle."""
-    total = slim.agg(F.sum("n_shingles")).first()[0] or 0
-    levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(counted, bits, max(total / (1 << bits), 1.0)))
-    groups = stash(shared_tokens(docs, levels))
+    raw = stash(shared_tokens(docs, levels))
     full = F.expr(f"max(n) - ceil(max(n) * {PERCENT} / 100) + 1")
-    shared = stash(groups.groupBy("sig").agg((F.count("*") / full).alias("rank")))
+    shared = stash(raw.groupBy("sig").agg((F.count("*") / full).alias("rank")))
     if not shared.limit(1).count():
+        release(raw, shared)
         return None
     odds = stash(slim.join(shared.select("sig"), "sig", "left_semi").groupBy("sig").agg(F.first("n_shingles").alias("n"), F.first("odd").alias("odd")))
-    groups = stash(groups.join(shared, "sig"))
-    crowded = stash(groups.groupBy("token").agg(F.count("*").alias("sets")).filter(F.col("sets") > CROWD).select("token"))
-    crowds = stash(groups.join(F.broadcast(crowded) if crowded.count() <= FEW else crowded, "token", "left_semi"))
+    groups = stash(raw.join(shared, "sig"))
+    crowded = stash(groups.groupBy("token").agg(F.count("*").alias("sets")).filter(F.col("sets") > crowd).select("token"))
+    crowds = stash(groups.join(crowded, "token", "left_semi"))
+    release(raw, shared, crowded)
+
+    def sets_of(sigs: DataFrame) -> DataFrame:
+        return stored_sets(docs, slim, sigs, levels)
+
     found, labels = None, None
     for k in range(rounds + 1):
-        if k == rounds:
-            edges = cross_edges(_labelled(groups, labels))
-        else:
-            edges = pivot_edges(_labelled(crowds if k else groups, labels), k)
-        edges = stash(plausible(edges, odds))
+        rows = _labelled(crowds if 0 < k < rounds else groups, labels)
+        edges = cross_edges(rows, sets_of, crowd) if k == rounds else pivot_edges(rows, k)
+        edges, made = stash(plausible(edges, odds)), edges
+        release(rows, made)
         if not edges.limit(1).count():
             continue
-        new = stash(verified(edges, stored_sets(docs, slim, edges, levels)))
+        sets = sets_of(edges.select(F.col("a").alias("sig")).union(edges.select("b")).distinct())
+        new = verified(edges, sets)
+        release(edges, sets)
         found = new if found is None else found.unionByName(new)
         labels = components(found) if k < rounds else None
+    release(groups, crowds, odds)
     return found

@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dense_slots, stash
+from .common import dense_slots, field, in_python, stash
 
 END = 1
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def default_vocabulary() -> str:
@@ -87,14 +87,15 @@ def pieces_of(batches: Iterator[pa.RecordBatch], vocabulary: str, window: int) -
     end, step = END.to_bytes(4, "little"), 4 * window
     for batch in batches:
         rows: list[tuple] = []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        for k, text in enumerate(batch.column(1)):
             ids = words.of((text.as_py() or "").replace("\n", " ")) + end
-            rows += [(doc, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4) for at in range(0, len(ids), step) for part in (ids[at : at + step],)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            rows += [(k, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4) for at in range(0, len(ids), step) for part in (ids[at : at + step],)]
+        at, *columns = [pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
 
 def pieces(docs: DataFrame, vocabulary: str, window: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(lambda it: pieces_of(it, vocabulary, window), PIECES)
+    return in_python(docs.select(id_col, text_col), lambda it: pieces_of(it, vocabulary, window), f"{field(docs, id_col, 'doc_id')}, {PIECES}")
 
 
 def fill_window(counts: dict[int, int], window: int) -> list[int]:
@@ -153,7 +154,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = 2048, id_
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its ids and the end id, cut every window ids; null and empty texts are the end id alone. Repeated rows are
-    packed each. Null ids stay null. Pieces of a full window come first, then the planned windows; no piece is cut again.
+    packed each. Ids keep their type, null ids stay null. Pieces of a full window come first, then the planned windows; no piece is cut again.
     Empty table: no rows.
     """
     cut = stash(pieces(docs, vocabulary or default_vocabulary(), window, id_col, text_col))

@@ -1,8 +1,8 @@
 """Quality classifier: random-indexing word vectors pooled per document, and a two-layer network with calibrated probabilities.
 
-Pass 1 goes over all texts: each word (hashed to one of `rows` rows) gathers the sparse random index vectors of its neighbours, and its
-own. A partition adds into one bounded matrix; Spark sums the rows. Pass 2 pools the vectors of each document; the network is fitted
-on a bounded labelled sample of such pools.
+Pass 1 goes over all texts: each word (hashed to two of `rows` rows) gathers the sparse random index vectors of its neighbours, and its
+own count. A partition adds into one bounded matrix; Spark sums the rows. Pass 2 pools the vectors of each document (a word's vector is
+the sum of its two rows, so that two words rarely share one); the network is fitted on a bounded labelled sample of such pools.
 """
 
 from __future__ import annotations
@@ -12,38 +12,43 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashes, mix64
+from .common import bounded_batches, in_python, mix64, text_words
 from .learning import fold, labelled
 
-ROWS, WIDTH, WINDOW, NONZERO = 8192, 32, 2, 2
-BLOCK = 400_000
+ROWS, WIDTH, WINDOW, NONZERO = 1 << 15, 32, 2, 2
+BLOCK = 100_000
 
 
-def word_rows(text: str | None, hashes: Hashes, rows: int) -> np.ndarray:
-    return (hashes.of((text or "").encode().split()) % np.uint32(rows)).astype(np.int64)
+def word_rows(hashes: np.ndarray, rows: int) -> np.ndarray:
+    """The two rows of each word, words x 2."""
+    return np.column_stack([hashes % np.uint64(rows), (hashes >> np.uint64(32)) % np.uint64(rows)]).astype(np.int64)
 
 
-def index_vectors(rows: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's NONZERO places and signs, from a scramble of the row number."""
-    r = mix64(np.arange(rows * NONZERO, dtype=np.uint64) + np.uint64(1)).reshape(rows, NONZERO)
+def index_vectors(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each word's NONZERO places and signs, from a scramble of its hash."""
+    r = np.column_stack([mix64(hashes + np.uint64(k)) for k in range(1, NONZERO + 1)])
     return (r % np.uint64(width)).astype(np.int64), np.where((r >> np.uint64(40)) & np.uint64(1), 1, -1).astype(np.int32)
 
 
-def contexts(ids: np.ndarray, places: np.ndarray, signs: np.ndarray, rows: int, width: int) -> np.ndarray:
-    """Sums of neighbours' index vectors, rows x (width + 1); the last column counts the word. ids: -1 between documents."""
-    into = np.zeros(rows * (width + 1))
-    n = len(ids)
-    for step in range(-WINDOW, WINDOW + 1):
-        a, b = (ids[max(0, -step) : n - max(0, step)], ids[max(0, step) : n - max(0, -step)])
-        ok = (a >= 0) & (b >= 0)
-        word, other = a[ok], b[ok]
-        for k in range(NONZERO):
-            into += np.bincount(word * (width + 1) + places[other, k], signs[other, k], rows * (width + 1))
-    into += np.bincount(ids[ids >= 0] * (width + 1) + width, minlength=rows * (width + 1))
-    return into.reshape(rows, width + 1)
+def contexts(hashes: np.ndarray, real: np.ndarray, into: np.ndarray) -> None:
+    """Adds to into, rows x (width + 1): the sums of neighbours' index vectors, and in the last column the count, at both rows of each word. Only
+    real places hold words; the others part documents."""
+    rows, width = into.shape[0], into.shape[1] - 1
+    at = word_rows(hashes, rows) * (width + 1)
+    places, signs = index_vectors(hashes, width)
+    n, cells = len(hashes), into.reshape(-1)
+    for step in [k for k in range(-WINDOW, WINDOW + 1)]:
+        a, b = slice(max(0, -step), n - max(0, step)), slice(max(0, step), n - max(0, -step))
+        ok = real[a] & real[b]
+        word, place, sign = at[a][ok], places[b][ok], signs[b][ok]
+        for side in (0, 1):
+            for k in range(NONZERO):
+                np.add.at(cells, word[:, side] + place[:, k], sign[:, k])
+    for side in (0, 1):
+        np.add.at(cells, at[real, side] + width, 1)
 
 
 def word_vectors(docs: DataFrame, rows: int = ROWS, width: int = WIDTH, text_col: str = "text") -> np.ndarray:
@@ -51,24 +56,30 @@ def word_vectors(docs: DataFrame, rows: int = ROWS, width: int = WIDTH, text_col
     their order doesn't matter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, (places, signs) = Hashes(), index_vectors(rows, width)
-        total, held, n = np.zeros((rows, width + 1)), [], 0
-        gap = np.array([-1] * WINDOW)
+        total, held, n = np.zeros((rows, width + 1), np.int32), [], 0
+        gap = np.zeros(WINDOW, np.uint64)
+
+        def add() -> None:
+            nonlocal held, n
+            if held:
+                real = np.concatenate([np.full(len(h), h is not gap) for h in held])
+                contexts(np.concatenate(held), real, total)
+            held, n = [], 0
+
         for batch in batches:
-            for text in batch.column(0):
-                held += [word_rows(text.as_py(), hashes, rows), gap]
-                n += len(held[-2])
+            for words in text_words(batch.column(0)):
+                held += [words, gap]
+                n += len(words)
                 if n > BLOCK:
-                    total += contexts(np.concatenate(held), places, signs, rows, width)
-                    held, n = [], 0
-        if held:
-            total += contexts(np.concatenate(held), places, signs, rows, width)
+                    add()
+        add()
         used = np.flatnonzero(total[:, width])
-        if len(used):
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used].astype(np.int64).tolist(), pa.list_(pa.int64()))], ["row", "sums"])
+        for at in range(0, len(used), 4096):
+            part = used[at : at + 4096]
+            yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(total[part, k]) for k in range(width + 1))], ["row", *(f"s{k}" for k in range(width + 1))])
 
-    sums = docs.select(text_col).mapInArrow(run, "row long, sums array<long>")
-    added = sums.groupBy("row").agg(*[F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(width + 1)])
+    sums = in_python(docs.select(text_col), run, "row long, " + ", ".join(f"s{k} int" for k in range(width + 1)))
+    added = sums.groupBy("row").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(width + 1)])
     out = np.zeros((rows, width + 1))
     got = added.toPandas().to_numpy(np.float64).reshape(-1, width + 2)
     out[got[:, 0].astype(int)] = got[:, 1:]
@@ -83,13 +94,22 @@ def normalized(sums: np.ndarray) -> np.ndarray:
     return (unit * (1e-2 / (1e-2 + share))[:, None]).astype(np.float32)
 
 
-def pool(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Mean and spread of a document's word vectors, how much its words differ, and its length; zeros without words."""
-    if not len(ids):
+def pool(hashes: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Mean and spread of a document's word vectors, how much its words differ, and its length; zeros without words. Words are counted first, so
+    that a very long text needs no more memory than its distinct words."""
+    if not len(hashes):
         return np.zeros(2 * vectors.shape[1] + 2, np.float32)
-    v = vectors[ids]
-    distinct = len(np.unique(ids)) / len(ids) ** 0.8
-    return np.concatenate([v.mean(0), v.std(0), [min(distinct, 3.0), np.log1p(len(ids)) / 10]]).astype(np.float32)
+    words, n = np.unique(hashes, return_counts=True)
+    rows = word_rows(words, len(vectors))
+    share = (n / n.sum())[:, None]
+    v = (vectors[rows[:, 0]] + vectors[rows[:, 1]]).astype(np.float64)
+    mean = (v * share).sum(0)
+    spread = np.sqrt(((v - mean) ** 2 * share).sum(0))
+    return np.concatenate([mean, spread, [min(len(words) / len(hashes) ** 0.8, 3.0), np.log1p(len(hashes)) / 10]]).astype(np.float32)
+
+
+def pools(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
+    return np.array([pool(h, vectors) for h in text_words(column)], np.float64).reshape(len(column), 2 * vectors.shape[1] + 2)
 
 
 @dataclass
@@ -152,47 +172,42 @@ class Model:
     network: Network
 
 
-def pooled(docs: DataFrame, shared, keep: list[str]) -> DataFrame:
-    """keep columns and the pool of text, as an array."""
-    types = {c: docs.schema[c].dataType.simpleString() for c in keep}
-
-    def run(batches):
-        hashes = Hashes()
-        for batch in batches:
-            vectors = shared.value
-            pools = [pool(word_rows(t.as_py(), hashes, len(vectors)), vectors).tolist() for t in batch.column(len(keep))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pools, pa.list_(pa.float32()))], [*keep, "pool"])
-
-    return docs.select(*keep, "text").mapInArrow(run, ", ".join(f"{c} {t}" for c, t in types.items()) + ", pool array<float>")
-
-
 def fit_on(docs: DataFrame, labels: DataFrame, bound: int = 6000, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", where=None) -> Model:
     """Vectors from all of docs, the network from at most bound labelled documents. Of documents with one id, one is taken."""
     vectors = normalized(word_vectors(docs, text_col=text_col))
     shared = docs.sparkSession.sparkContext.broadcast(vectors)  # rows x width: bounded by parameters
-    sample = labelled(docs, labels, label, bound, id_col, where, text_col)
-    rows = pooled(sample, shared, ["doc_id", "label"]).groupBy("doc_id").agg(F.min(F.struct("label", "pool")).alias("r")).orderBy("doc_id").select("r.*").collect()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(pools(batch.column(1), shared.value).tolist(), pa.list_(pa.float32()))], ["doc_id", "label", "pool"])
+
+    sample = labelled(docs, labels, label, bound, id_col, where, text_col).withColumn("doc_id", F.col("doc_id").cast("string"))
+    rows = in_python(sample, run, "doc_id string, label int, pool array<float>")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("label", "pool")).alias("r")).orderBy("doc_id").select("r.*").collect()
+    shared.destroy()
     x = np.array([r["pool"] for r in rows], np.float64).reshape(len(rows), 2 * vectors.shape[1] + 2)
     return Model(vectors, train(x, np.array([r["label"] > 0 for r in rows], float)))
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", keep_all: bool = False) -> DataFrame:
-    """id (or all columns), score and predicted for every document. Null text is empty; an empty text has the score of an all-zero
-    pool. Columns score and predicted of the input are replaced. Empty table: no rows."""
+def score_of(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
+    """The score of a text as a column of docs: all other columns stay in the JVM. Null text is empty; an empty text has the score of an
+    all-zero pool; equal texts have equal scores, whatever the batch. To be evaluated once a row, wherever it is used."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in docs.columns if c not in ("score", "predicted")] if keep_all else [id_col]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    at = keep.index(text_col) if text_col in keep else len(keep)
 
-    def run(batches):
-        hashes = Hashes()
-        for batch in batches:
+    @F.arrow_udf("double")
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for t in texts:
             m = shared.value
-            x = np.array([pool(word_rows(t.as_py(), hashes, len(m.vectors)), m.vectors) for t in batch.column(at)], np.float64).reshape(batch.num_rows, -1)
-            s = np.round(m.network.probabilities(x), 9) if len(x) else np.zeros(0)  # equal texts: equal scores, whatever the batch
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*keep, "score", "predicted"])
+            yield pa.array(np.round(m.network.probabilities(pools(t, m.vectors)), 9) if len(t) else np.zeros(0))
+
+    return scored.asNondeterministic()(F.col("`" + text_col.replace("`", "``") + "`"))
+
 
-    return docs.select(*keep, *([] if at < len(keep) else [text_col])).mapInArrow(run, f"{schema}, score double, predicted int")
+def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, score and predicted for every document. Empty table: no rows."""
+    scored = docs.select(F.col(id_col), score_of(docs, model, text_col).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def training_rows(id_col: str = "doc_id"):

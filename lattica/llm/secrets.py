@@ -7,10 +7,14 @@ Copies meet in a map-side aggregate before they are dealt out, so that a group o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import shared_dir, stowed
+
 #: Kind, pattern, pattern that every kept match also meets, group that is measured, its least length.
 RULES = (
     ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{8,}""", 2, 8),
@@ -27,8 +31,9 @@ def address(text: str) -> Column:
     return F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
 
 
-def scan_blobs(blobs: DataFrame, rules=RULES) -> DataFrame:
-    """(blob, text) -> (blob, spans): spans sorted by start, then rule order; blobs without a finding have no row.
+def scan_blobs(blobs: DataFrame, rules=RULES, keep_clean: bool = False) -> DataFrame:
+    """(blob, text) -> (blob, spans): spans sorted by start, then rule order; blobs without a finding have no row, or with keep_clean
+    one with null spans.
 
     The text between matches (split) and the matches themselves give the offsets: their lengths are summed in a window per
     (blob, rule). Offsets count code points, ends are exclusive.
@@ -39,35 +44,59 @@ def scan_blobs(blobs: DataFrame, rules=RULES) -> DataFrame:
         lengths = lambda a: F.transform(a, lambda x: F.length(x))
         cell = F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), F.arrays_zip(lengths(F.split(text, pattern, -1)).alias("gap"), lengths(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("len"), lengths(F.regexp_extract_all(text, F.lit(pattern), F.lit(group))).alias("val")).alias("m"))
         found.append(F.when(text.rlike(needs), cell))
-    rows = blobs.select("blob", F.explode(F.array_compact(F.array(*found))).alias("f")).select("blob", "f.rank", "f.kind", F.posexplode("f.m").alias("pos", "m"))
-    rows = rows.select("blob", "rank", "kind", "pos", "m.gap", "m.len", "m.val").filter(F.col("len").isNotNull())
+    explode, posexplode = (F.explode_outer, F.posexplode_outer) if keep_clean else (F.explode, F.posexplode)
+    rows = blobs.select("blob", explode(F.array_compact(F.array(*found))).alias("f")).select("blob", "f.rank", "f.kind", posexplode("f.m").alias("pos", "m"))
+    rows = rows.select("blob", "rank", "kind", "pos", "m.gap", "m.len", "m.val").filter(F.col("len").isNotNull() | F.col("rank").isNull())
     upto = Window.partitionBy("blob", "rank").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(upto).cast("long"))
     least = F.element_at(F.array(*[F.lit(r[4]) for r in rules]), F.col("rank") + 1)
-    rows = rows.filter(F.col("val") >= least)
     span = F.struct((F.col("end") - F.col("len")).alias("start"), "rank", "end", "kind")
-    return rows.groupBy("blob").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    spans = F.array_sort(F.collect_list(F.when(F.col("val") >= least, span)))  # nulls are not collected
+    rows = rows.groupBy("blob").agg(spans.alias("spans"))
+    return rows.withColumn("spans", F.when(F.size("spans") > 0, F.col("spans"))) if keep_clean else rows.filter(F.size("spans") > 0)
+
+
+class Ledger:
+    """The table of scanned blobs: (blob, spans) by rule version, Parquet in a folder that all machines share. Every scanned blob has a row;
+    spans is null where nothing was found. Increments append; a blob that two of them scanned at once counts once."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None) -> None:
+        """path: of an earlier ledger, or where a new one goes (by default a new folder in the shared one)."""
+        self.spark, self.path = spark, path or f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+        spark.createDataFrame([], self.SCHEMA).write.mode("append").partitionBy("rule_version").parquet(self.path)
+
+    SPANS = "array<struct<start: bigint, rank: int, end: bigint, kind: string>>"
+    SCHEMA = f"blob string, spans {SPANS}, rule_version string"
+
+    def append(self, scanned: DataFrame, rule_version: str) -> None:
+        scanned.select("blob", F.col("spans").cast(self.SPANS).alias("spans"), F.lit(rule_version).alias("rule_version")).write.mode("append").partitionBy("rule_version").parquet(self.path)
+
+    def read(self, rule_version: str) -> DataFrame:
+        """(blob, spans) of one rule version; only its folder is read."""
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path).filter(F.col("rule_version") == rule_version).select("blob", "spans")
+
+
+def record(versions: DataFrame, ledger: Ledger, rule_version: str = RULE_VERSION, rules=RULES, text_col: str = "text") -> None:
+    """One increment: scans the blobs of versions that the ledger doesn't hold for the rule version, once each, and appends them to it.
+
+    Copies, repeated rows and repeated paths share one scan. Blobs are merged before they are dealt out, and meet the ledger under the same
+    key, so that texts travel once."""
+    blobs = versions.select(address(text_col).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
+    unseen = blobs.join(ledger.read(rule_version).select("blob"), "blob", "left_anti")
+    ledger.append(scan_blobs(unseen, rules, keep_clean=True), rule_version)
 
 
-def scan(versions: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION, rules=RULES, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """versions -> (versions with blob and spans, new ledger rows(blob, rule_version, spans)).
+def scan(versions: DataFrame, ledger: Ledger | None = None, rule_version: str = RULE_VERSION, rules=RULES, text_col: str = "text") -> DataFrame:
+    """versions with blob and spans. An increment is recorded in the ledger (a new one if none is given), then findings are joined from
+    the ledger back to every row.
 
-    ledger holds earlier results (blob, rule_version, spans; spans null or empty: scanned, nothing found); blobs it has for
-    rule_version are not scanned again, their findings are taken from it. Null text is the empty text. Copies, repeated rows
-    and repeated paths share one scan. Empty input: empty results. Columns blob and spans of the input are replaced.
+    Null text is the empty text. Empty input: empty results. Columns blob and spans of the input are replaced; all others stay as they are.
     """
-    versions = versions.drop(*[c for c in ("blob", "spans") if c != text_col]).withColumn("blob", address(text_col))
-    texts = versions.select("blob", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    if ledger is not None:
-        known = ledger.filter(F.col("rule_version") == rule_version).select("blob", "spans")
-        unseen = texts.select("blob").distinct().join(known.select("blob"), "blob", "left_anti")
-        texts = texts.join(unseen, "blob", "left_semi")
-    found = scan_blobs(texts.groupBy("blob").agg(F.first("text").alias("text")), rules)
-    scanned = texts.select("blob").distinct().join(found, "blob", "left") if ledger is not None else found
-    new = scanned.select("blob", F.lit(rule_version).alias("rule_version"), "spans")
-    if ledger is not None:
-        found = found.unionByName(known.filter(F.size("spans") > 0).dropDuplicates(["blob"]))
-    return join_back(versions, found), new
+    ledger = ledger or Ledger(versions.sparkSession)
+    record(versions, ledger, rule_version, rules, text_col)
+    packed, back = stowed(versions, [text_col])
+    found = ledger.read(rule_version).filter("spans is not null").dropDuplicates(["blob"])
+    return back(join_back(packed.withColumn("blob", address(text_col)), found), "blob", "spans")
 
 
 #: A content's paths are dealt over so many tasks when findings are joined back.

@@ -6,7 +6,8 @@ each coordinate, and its L1 term leaves most weights at zero: the weights that r
 
 from __future__ import annotations
 
-import re
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,16 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashes
+from .common import Alphabet, field, in_python, mix64, stash, text_words
 from .learning import fold, labelled
 
 BITS = 20
-WORDS = re.compile(rb"[^\x00-\x26\x28-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+#: Words of letters, digits and apostrophes, lower case; all other ASCII characters part them.
+LETTERS = Alphabet([b for b in range(128) if not (chr(b).isalnum() or b == 39)], lower=True)
 
 
-def grams(text: str | None, hashes: Hashes) -> np.ndarray:
-    """Feature numbers of a whole text, repeats included: lower-case words without signs, then pairs, then skip pairs."""
-    h = hashes.of(WORDS.findall((text or "").encode().lower())).astype(np.uint64)
+def grams(h: np.ndarray) -> np.ndarray:
+    """Feature numbers of a whole text from its words' hashes, repeats included: words, then pairs, then skip pairs."""
     mask = np.uint64((1 << BITS) - 1)
     mul = lambda x, c: (x * np.uint64(c)) >> np.uint64(40)
     one = mul(h, 0x9E3779B97F4A7C15)
@@ -77,18 +78,29 @@ def train(rows: list[np.ndarray], y: np.ndarray, alpha: float = 2.0, beta: float
     return Weights(at, w[at].astype(np.float32), float(-zb / ((beta + np.sqrt(nb)) / alpha + l2)))
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, bound: int = 6000, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", where=None, **options) -> Weights:
-    """Fits on at most bound labelled documents; of documents with one id, one is taken."""
+#: Features (4 bytes each) of the sampled documents that reach the driver at most; a sample of long documents has fewer documents.
+FEATURES = 16_000_000
 
-    def run(batches):
-        hashes = Hashes()
+
+def fit_on(docs: DataFrame, labels: DataFrame, bound: int = 6000, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", where=None, features: int = FEATURES, **options) -> Weights:
+    """Fits on at most bound labelled documents with at most `features` distinct features together, the first by a hash of the id; of
+    documents with one id, one is taken. The features are counted on the executors; only those of the sample reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(grams(t.as_py(), hashes)).astype(np.int32).tobytes() for t in batch.column(1)]
+            found = [np.unique(grams(h)).astype(np.int32).tobytes() for h in text_words(batch.column(1), LETTERS)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], ["doc_id", "label", "features"])
 
-    sample = labelled(docs, labels, label, bound, id_col, where, text_col)
-    rows = sample.mapInArrow(run, f"doc_id {sample.schema['doc_id'].dataType.simpleString()}, label int, features binary")
-    rows = rows.groupBy("doc_id").agg(F.min(F.struct("label", "features")).alias("r")).orderBy("doc_id").select("r.*").toPandas()
+    sample = labelled(docs, labels, label, bound, id_col, where, text_col).withColumn("doc_id", F.col("doc_id").cast("string"))
+    rows = in_python(sample, run, "doc_id string, label int, features binary")
+    rows = stash(rows.groupBy("doc_id").agg(F.min(F.struct("label", "features")).alias("r")).select("doc_id", "r.*"))
+    sizes = rows.select("doc_id", (F.octet_length("features") / 4).alias("n")).collect()  # at most bound rows
+    sizes.sort(key=lambda r: (int(mix64(np.array([zlib.crc32(r["doc_id"].encode())]))[0]), r["doc_id"]))
+    total = np.cumsum([r["n"] for r in sizes])
+    kept = [r["doc_id"] for r, upto in zip(sizes, total) if upto <= features]
+    if len(kept) < len(sizes):
+        rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in kept], "doc_id string")), "doc_id", "left_semi")
+    rows = rows.orderBy("doc_id").toPandas()
     return train([np.frombuffer(b, np.int32) for b in rows["features"]], (rows["label"].to_numpy() > 0).astype(float), **options)
 
 
@@ -96,14 +108,13 @@ def score(docs: DataFrame, weights: Weights, threshold: float = 0.7, id_col: str
     """id, score and predicted for every document; null and empty texts have the score of the bias. Empty table: no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
-    def run(batches):
-        hashes, table = Hashes(), shared.value.table()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value.table()
         for batch in batches:
-            s = np.array([probability(grams(t.as_py(), hashes), table, shared.value.bias) for t in batch.column(1)], float)
+            s = np.array([probability(grams(h), table, shared.value.bias) for h in text_words(batch.column(1), LETTERS)], float)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], [id_col, "score", "predicted"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"{id_col} {kind}, score double, predicted int")
+    return in_python(docs.select(F.col(id_col), F.col(text_col)), run, f"{field(docs, id_col)}, score double, predicted int")
 
 
 def training_rows(id_col: str = "doc_id"):

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lattica.llm import fingerprints, htmltext, ngram_join, quality, rules, toxicity
-from lattica.llm.common import Hashes
+from lattica.llm.common import PLAIN, text_words, words_of
 
 
 def brute_counts(text):
@@ -41,7 +41,7 @@ def test_rule_counts(table, request, labels):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from("abc"), max_size=40))
 def test_repeated_words(words):
-    assert rules.repeated_words(Hashes().of([w.encode() for w in words])) == brute_counts(" ".join(words))[4]
+    assert rules.repeated_words(words_of(" ".join(words))) == brute_counts(" ".join(words))[4]
 
 
 def test_forest_finds_planted_outliers(spark, no_labels, edges):
@@ -75,6 +75,18 @@ PAGES = [
 ]
 
 
+LONG_TEXT = "the of and is in to a that it was for the and of in the is a to and be with"
+PAGES += [
+    # no element names the article: density decides, short blocks follow their neighbours
+    (f"<div><a href=1>Home</a> <a href=2>News</a></div><div><h2>A title</h2><p>{LONG_TEXT}</p><p>Short.</p><p>{LONG_TEXT}</p></div><div>Terms</div>", f"A title\n{LONG_TEXT}\nShort.\n{LONG_TEXT}"),
+    (f"<div><h1>Brief</h1><p>So short.</p></div><footer>{LONG_TEXT}</footer>", "Brief\nSo short."),
+    (f"<div>{' '.join(f'<a href={k}>the of and in {k}</a>' for k in range(20))}</div><p>{LONG_TEXT}</p>", LONG_TEXT),
+    # link density decides inside a named article too, and dropped blocks within it say nothing about their neighbours
+    (f"<article><p><a href=1>more of the same</a></p><p>{LONG_TEXT}</p><div class=ad>Buy</div><p>end</p></article>", f"{LONG_TEXT}\nend"),
+    ("<p>" + "漢字" * 80 + "</p>", "漢字" * 80),
+]
+
+
 @pytest.mark.parametrize("page,text", PAGES)
 def test_main_text(page, text):
     assert htmltext.main_text(page) == text
@@ -88,12 +100,15 @@ def test_extract_keeps_rows(spark):
     assert htmltext.extract(pages.limit(0)).count() == 0
 
 
-def test_extraction_equals_the_article(spark, small):
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_extraction_equals_the_article(spark, small, tag):
+    """The same text whether the page names its article or not."""
     import html
     import re
 
     pages = spark.read.parquet(f"{small}/pages.parquet")
-    got = {r["page_id"]: r["text"] for r in htmltext.extract(pages).collect()}
+    named = pages.withColumn("html", htmltext.F.regexp_replace("html", "(</?)article>", f"$1{tag}>"))
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(named).collect()}
     for r in pages.collect():
         article = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
         parts = (re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " ")))).strip() for b in re.split(r"</?(?:p|h1)>", article))
@@ -137,26 +152,87 @@ def test_network_gradient_learns_xor():
 
 
 def test_context_sums():
-    places, signs = quality.index_vectors(8, 4)
-    ids = np.array([1, 2, 3, -1, -1, 4])
-    got = quality.contexts(ids, places, signs, 8, 4)
-    want = np.zeros((8, 5))
-    for k, w in enumerate(ids):
-        for j in range(max(0, k - 2), min(len(ids), k + 3)):
-            if w >= 0 and ids[j] >= 0:
-                for q in range(quality.NONZERO):
-                    want[w, places[ids[j], q]] += signs[ids[j], q]
-        if w >= 0:
-            want[w, 4] += 1
+    hashes = np.concatenate([words_of("a b c"), np.zeros(2, np.uint64), words_of("d")])
+    real = np.array([1, 1, 1, 0, 0, 1], bool)
+    got, want = np.zeros((8, 5), np.int32), np.zeros((8, 5))
+    quality.contexts(hashes, real, got)
+    places, signs = quality.index_vectors(hashes, 4)
+    rows = quality.word_rows(hashes, 8)
+    for k in range(6):
+        for row in rows[k]:
+            for j in range(max(0, k - 2), min(6, k + 3)):
+                if real[k] and real[j]:
+                    for q in range(quality.NONZERO):
+                        want[row, places[j, q]] += signs[j, q]
+            want[row, 4] += real[k]
     assert np.array_equal(got, want)
 
 
+def test_pool_and_network_by_hand():
+    """The pool of a text, and the network's calibrated output, against a plain loop."""
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(16, 3)).astype(np.float32)
+    words = words_of("a b a c a")
+    each = np.array([sum(vectors[r].astype(float) for r in quality.word_rows(words[k : k + 1], 16)[0]) for k in range(5)])
+    x = quality.pool(words, vectors)
+    assert x == pytest.approx([*each.mean(0), *each.std(0), min(3 / 5**0.8, 3), np.log1p(5) / 10], abs=1e-5)
+    net = quality.Network(np.ones(8), np.full(8, 2.0), rng.normal(size=(8, 4)), rng.normal(size=4), rng.normal(size=4), 0.3, 1.7)
+    hidden = [np.tanh(sum((x[i] - 1) / 2 * net.w1[i, j] for i in range(8)) + net.b1[j]) for j in range(4)]
+    logit = sum(h * w for h, w in zip(hidden, net.w2)) + 0.3
+    assert net.probabilities(x[None])[0] == pytest.approx(1 / (1 + np.exp(-logit / 1.7)))
+
+
+def test_ftrl_follows_the_scalar_rule():
+    """Weights after a few documents, against the published per-coordinate update in plain Python."""
+    import math
+
+    rows = [np.array(f) for f in ([1, 2], [2, 3], [1], [2, 4], [1, 3], [2])]
+    y = np.array([1, 0, 1, 0, 1, 0], float)
+    alpha, beta, l1, l2, epochs, seed = 0.5, 1.0, 0.2, 0.1, 3, 1
+    got = toxicity.train(rows, y, alpha, beta, l1, l2, epochs, seed)
+    z, n, order = {}, {}, np.random.default_rng(seed)
+
+    def weight(i, one):
+        zi, ni = z.get(i, 0.0), n.get(i, 0.0)
+        return 0.0 if abs(zi) <= one else -(zi - math.copysign(one, zi)) / ((beta + math.sqrt(ni)) / alpha + l2)
+
+    for _ in range(epochs):
+        for k in order.permutation(len(rows)):
+            w = {i: weight(i, l1) for i in rows[k].tolist()} | {"bias": weight("bias", 0.0)}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y[k]
+            for i, wi in w.items():
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / alpha
+                z[i], n[i] = z.get(i, 0.0) + g - sigma * wi, n.get(i, 0.0) + g * g
+    want = {i: weight(i, l1) for i in (1, 2, 3, 4)}
+    assert dict(zip(got.at.tolist(), got.w.tolist())) == pytest.approx({i: w for i, w in want.items() if w}, rel=1e-5)
+    assert got.bias == pytest.approx(weight("bias", 0.0))
+
+
+def test_samples_follow_the_scalar_sampler():
+    """A signature by the definition, one term and sample at a time."""
+    terms, counts_ = np.unique(words_of("a b a c a d"), return_counts=True)
+    r, lnc, beta = fingerprints.variates(terms)
+    got = fingerprints.signatures(["a b a c a d"])[0]
+    for k in range(fingerprints.K):
+        keys = []
+        for j, w in enumerate(counts_):
+            t = np.floor(np.float32(np.log(np.float32(w))) / r[j, k] + beta[j, k])
+            keys.append((lnc[j, k] - r[j, k] * (t - beta[j, k]) - r[j, k], j, int(t)))
+        _, j, t = min(keys)
+        with np.errstate(over="ignore"):
+            value = int(fingerprints.mix64(terms[j : j + 1] * fingerprints.PRIME + np.array([t], np.int64).astype(np.uint64))[0])
+        assert got[k] == min(value & 0xFFFF, 0xFFFE)
+    big = fingerprints.variates(np.arange(1, 4000, dtype=np.uint64))
+    assert abs(big[0].mean() - 2) < 0.03 and abs(big[0].var() - 2) < 0.06 and abs(np.exp(big[1]).mean() - 2) < 0.03 and abs(big[2].mean() - 0.5) < 0.01
+
+
 def test_ftrl_finds_words():
-    h, rng = Hashes(), random.Random(1)
+    rng = random.Random(1)
+    h = lambda text: toxicity.grams(words_of(text, toxicity.LETTERS))
     docs = [" ".join(rng.choice(["a", "b", "c", "d", "e"]) for _ in range(30)) + (" vile" if k % 5 == 0 else "") for k in range(400)]
-    f = [np.unique(toxicity.grams(d, h)) for d in docs]
+    f = [np.unique(h(d)) for d in docs]
     w = toxicity.train(f, np.array([k % 5 == 0 for k in range(400)], float))
-    assert toxicity.probability(toxicity.grams("a vile c", h), w.table(), w.bias) > 0.7 > 0.3 > toxicity.probability(toxicity.grams("a b c", h), w.table(), w.bias)
+    assert toxicity.probability(h("a vile c"), w.table(), w.bias) > 0.7 > 0.3 > toxicity.probability(h("a b c"), w.table(), w.bias)
     assert len(w.at) < 200
 
 
@@ -184,7 +260,7 @@ def test_collision_rate_is_generalised_jaccard():
     for _ in range(40):
         a = [f"w{int(rng.paretovariate(1))}" for _ in range(300)]
         b = [w if rng.random() < 0.6 else f"w{int(rng.paretovariate(1))}" for w in a]
-        x, y = fingerprints.signatures([" ".join(a), " ".join(b)], Hashes())
+        x, y = fingerprints.signatures([" ".join(a), " ".join(b)])
         p, q = Counter(a), Counter(b)
         errors.append(fingerprints.likeness(x, y) - sum((p & q).values()) / sum((p | q).values()))
     assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.09
@@ -255,6 +331,29 @@ def test_join_links_rows_without_ids(spark):
     assert got == {(4, 2), (None, 2), (2, 2), (None, None), (7, 7)}
 
 
+def template_rows(n, seed=3, passages=10, size=12, each=6):
+    """Texts that are put together of a few common passages: their rare shingles are common too, and few of them link."""
+    rng = random.Random(seed)
+    parts = [" ".join(f"p{k}x{j}" for j in range(size)) for k in range(passages)]
+    rows = [(k, " ".join(rng.sample(parts, each))) for k in range(n)]
+    return rows + [(n + k, f"{t} end{k}") for k, (_, t) in enumerate(rows[::9])]
+
+
+@pytest.mark.parametrize("rounds,crowd", [(2, 32), (0, 2), (1, 5)])
+def test_join_of_crowded_shingles(spark, rounds, crowd):
+    """Few pivots and small crowds send the groups down the tree, to the last blocks."""
+    rows = template_rows(150)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = ngram_join.join(docs, rounds=rounds, crowd=crowd).collect()
+    assert Counter(map(tuple, got)) == brute_components(rows)
+
+
+def test_join_of_one_shingle_in_thousands_of_unlinked_sets(spark):
+    rows = [(k, f"one two three four five u{k} v{k} w{k} x{k}") for k in range(3000)] + [(3000, "one two three four five u7 v7 w7 x7")]
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, got)) == Counter((k, 5, 7 if k == 3000 else k) for k in range(3001))
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 60), min_size=1), min_size=2, max_size=8))
 def test_walk_and_parities_keep_all_links(sets):
@@ -271,6 +370,10 @@ def test_walk_and_parities_keep_all_links(sets):
 def test_batches_and_single_texts_hash_alike():
     rng = random.Random(2)
     texts = [" ".join(rng.choice(["Ab", "c", "dé", "e.", "f"]) for _ in range(rng.randrange(0, 40))) for _ in range(50)] + [None, "", "x"]
+    texts += ["w" * 400_000 + " " + "x y z " * 60_000]
+    for low, high in ((0, len(texts)), (3, 40)):
+        part = pa.array(texts, pa.string())[low:high]
+        assert [len(h) for h in text_words(part, PLAIN)] == [len((t or "").encode().split()) for t in texts[low:high]]
     for k, keys in ngram_join.text_sets(pa.array(texts, pa.string())):
         assert np.array_equal(keys, ngram_join.shingles(texts[k])) and len(keys) == len(shingle_set(texts[k]))
 
