@@ -1,6 +1,7 @@
 """A training corpus from raw documents: quality, near duplicates, secrets, mix, windows.
 
-Each stage reads what its predecessor wrote; all but the last return the columns of documents.
+Each stage reads what its predecessor wrote; all but the last return the columns of documents. Columns beyond those that a stage
+works on are carried as they are, whatever their names and types.
 """
 
 from __future__ import annotations
@@ -9,28 +10,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import mixing, ngram_join, packing, quality, secrets
-from lattica.llm.common import documents, labels, stash
+from lattica.llm.common import documents, labels, stash, stowed
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on their labels, takes for good; the others go."""
     model = quality.fit_on(docs, labels(spark, sf_dir))
-    return quality.score(docs, model, keep_all=True).filter("predicted = 1").select(docs.columns)
+    return docs.filter(quality.score_of(docs, model) >= 0.7)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least id, one without an id only where none has one. Rows repeated
-    with id and text are one. Groups are of rows, by a key of id and text, as ids may be null or shared."""
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    groups = ngram_join.join(keyed, "_key").join(keyed.select("_key", "doc_id").distinct(), "_key")
-    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("first")).select("first._key")
-    return keyed.join(first, "_key", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
+    """One document of each group of near duplicates: the row with the least id, one without an id only where none has one, then by a hash of
+    the whole row. Groups are of rows, by a key of all columns, as ids may be null or shared; whole rows that repeat are one."""
+    packed, back = stowed(docs, ["doc_id", "text"])
+    row = [F.col(c).cast("string") if c == "doc_id" else F.to_json(F.struct(c)) if c == "_rest" else F.col(c) for c in packed.columns]
+    key = F.concat_ws(":", F.xxhash64(F.lit(1), *row), F.xxhash64(F.lit(2), *row))
+    keyed = packed.withColumn("_id", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), key.alias("key")))
+    chosen = ngram_join.join(keyed, "_id").select(F.col("component_id.key").alias("_key")).distinct()
+    keyed = keyed.select("*", F.col("_id.key").alias("_key")).drop("_id")
+    return back(keyed.join(stash(chosen), "_key", "left_semi").dropDuplicates(["_key"]))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with found secrets masked in text and n_chars counted anew."""
-    versions, _ = secrets.scan(docs)
-    return secrets.redact(versions).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    packed, back = stowed(docs, ["doc_id", "text", "n_chars"])
+    masked = secrets.redact(secrets.scan(packed))
+    return back(masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
