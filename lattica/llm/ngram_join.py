@@ -356,6 +356,8 @@ def components(links: DataFrame) -> DataFrame:
 
 #: Shingles with more sets than this get further rounds of pivots, then the descent.
 CROWD = 32
+#: A row of the descent (made in Python, dealt out and counted) costs about as much as so many pairs that a join makes and drops.
+STEP_COST = 256
 #: Shingles by which a crowded group is dealt at most. Up to four are safe: sets that link with fewer common shingles are equal.
 DEEPEST = 4
 
@@ -435,17 +437,20 @@ def paired(rows: DataFrame, sizes: DataFrame, crowd: int, depth: int) -> DataFra
 
 def cross_edges(rows: DataFrame, sets_of, crowd: int) -> DataFrame:
     """Pairs of sets in different components that share a prefix shingle under which they can still link, once each; sets_of(sigs): their
-    stored sets. Crowded shingles are descended before their sets are paired."""
+    stored sets. Shingles with more than crowd sets are descended before their sets are paired, where that makes fewer rows than pairs."""
     rows = rows.select("token", "sig", "n", "pos", "comp")
     edges, sets = None, None
     for depth in range(1, DEEPEST + 1):
-        sizes = stash(rows.groupBy("token").agg(F.count("*").alias("sets")))
-        last = depth == DEEPEST or not sizes.filter(F.col("sets") > crowd).limit(1).count()
-        new = stash(paired(rows, sizes if last else sizes.filter(F.col("sets") <= crowd), crowd, depth))
+        steps = F.sum(F.col("n") - F.expr(f"({PERCENT} * n + 99) div 100") + depth - F.col("pos"))
+        deep = (F.count("*") > crowd) & (F.count("*") * (F.count("*") - 1) > 2 * STEP_COST * steps) & F.lit(depth < DEEPEST)
+        sizes = stash(rows.groupBy("token").agg(F.count("*").alias("sets"), deep.alias("deep")))
+        new = stash(paired(rows, sizes.filter(~F.col("deep")).select("token", "sets"), crowd, depth))
         edges = new if edges is None else edges.unionByName(new)
-        if last:
+        crowded = sizes.filter("deep").select("token")
+        if not crowded.limit(1).count():
+            release(sizes)
             break
-        full = rows.join(sizes.filter(F.col("sets") > crowd).select("token"), "token", "left_semi")
+        full = rows.join(crowded, "token", "left_semi")
         sets = sets or sets_of(full.select("sig").distinct())
         made = stash(deeper(full, sets, depth))
         rows = _several(made)

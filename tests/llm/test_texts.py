@@ -339,10 +339,11 @@ def template_rows(n, seed=3, passages=10, size=12, each=6):
     return rows + [(n + k, f"{t} end{k}") for k, (_, t) in enumerate(rows[::9])]
 
 
-@pytest.mark.parametrize("rounds,crowd", [(2, 32), (0, 2), (1, 5)])
-def test_join_of_crowded_shingles(spark, rounds, crowd):
-    """Few pivots and small crowds send the groups down the tree, to the last blocks."""
-    rows = template_rows(150)
+@pytest.mark.parametrize("rounds,crowd,cost", [(2, 32, 256), (0, 2, 0)])
+def test_join_of_crowded_shingles(spark, monkeypatch, rounds, crowd, cost):
+    """No pivots, small crowds and a descent without cost send the groups down the tree, to the last blocks."""
+    monkeypatch.setattr(ngram_join, "STEP_COST", cost)
+    rows = template_rows(120)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = ngram_join.join(docs, rounds=rounds, crowd=crowd).collect()
     assert Counter(map(tuple, got)) == brute_components(rows)
