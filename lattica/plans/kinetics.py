@@ -192,12 +192,12 @@ def k15_extract(fx: Fixture):
     return e.extract(fx.events, last_frame(fx), 3, 3, drop, spans).select("gx", "gy", "lipid_nr", "bind_i", "bind_f", "dwell")
 
 
-@query(f"SELECT {EV} FROM ev WHERE gx < 2 UNION ALL SELECT gx, gy, CAST(lipid_nr + (SELECT max(lipid_nr) + 1 FROM ev WHERE gx < 2) AS INT), res_nr, res_name, bind_i, bind_f, dwell FROM ev WHERE gx = 3")
+@query(f"SELECT {EV} FROM ev WHERE gx <= 2 UNION ALL SELECT gx, gy, CAST(lipid_nr + (SELECT max(lipid_nr) + 1 FROM ev WHERE gx <= 2) AS INT), res_nr, res_name, bind_i, bind_f, dwell FROM ev WHERE gx > 2")
 def k16_merge(fx: Fixture):
     return e.merge(fx.events.filter("gx <= 2"), fx.events.filter("gx > 2")).select(EVC)
 
 
-@query(TL + " SELECT gx, gy, round(count(DISTINCT frame)/150e0, 6) + 0.0 AS value FROM tl GROUP BY gx, gy")
+@query(TL + " SELECT gx, gy, round(count(DISTINCT frame)/CAST((SELECT max(frame) + 1 FROM fx2) AS DOUBLE), 6) + 0.0 AS value FROM tl GROUP BY gx, gy")
 def k17_occupancy(fx: Fixture):
     return e.occupancy(fx.events, last_frame(fx) + 1).select("gx", "gy", r6("value"))
 
@@ -421,6 +421,6 @@ def h4_polar_histogram(fx: Fixture):
     return h.polar_histogram(tilt(fx.atoms, s.upper(), s.lower()), 0.5, 30.0).select("i_theta", "i_phi", "count", r6("percent"))
 
 
-@query("SELECT atom_nr AS pos, round(avg(x), 6) + 0.0 AS x, round(avg(z), 6) + 0.0 AS z FROM fx1 WHERE frame IN (1, 4, 9) GROUP BY atom_nr")
+@query("SELECT atom_nr AS pos, round(avg(x), 6) + 0.0 AS x, round(avg(z), 6) + 0.0 AS z FROM fx1 GROUP BY atom_nr")
 def h5_average_tables(fx: Fixture):
     return h.average_tables([fx.atoms.select(F.col("atom_nr").alias("pos"), "x", "z")]).select("pos", r6("x"), r6("z"))

@@ -29,9 +29,11 @@ def points(fx: Fixture):
     return fx.heads.filter("leaflet = 1").select("frame", "x", "y", "z", F.col("z").alias("value"))
 
 
-@query("SELECT gx, gy FROM cells")
+@query(", e AS (SELECT CAST(ceil(max(x)/0.5e0) AS BIGINT) + 1 AS nx, CAST(ceil(max(y)/0.5e0) AS BIGINT) + 1 AS ny FROM fx1) SELECT CAST(a.range AS INT) AS gx, CAST(b.range AS INT) AS gy FROM range((SELECT nx FROM e)) a CROSS JOIN range((SELECT ny FROM e)) b")
 def l1_lattice(fx: Fixture):
-    return G2.nodes(fx.spark)
+    """The lattice over the extent of all atoms."""
+    box = fx.atoms.agg(F.max("x"), F.max("y")).first()
+    return Lattice.of_box(0.25, *box).nodes(fx.spark)
 
 
 @query(f", s AS ({stamped(UP)}) SELECT frame, gx, gy, count(*) AS n FROM s GROUP BY frame, gx, gy")
@@ -87,9 +89,9 @@ def l10_per_frame(fx: Fixture):
     return la.per_frame(n, 25).select(*K2, r6("value"))
 
 
-#: A coarse lattice, 11 x 11 nodes of 2.0, keeps the oracle's all-sites comparison small.
+#: A coarse lattice, 11 x 11 nodes of 2.0; all upper heads are sites.
 GT = Lattice(2.0, (11, 11))
-SITES = "SELECT frame, res_nr, x, y FROM hd WHERE leaflet = 1 AND res_nr % 4 = 0"
+SITES = "SELECT frame, res_nr, x, y FROM hd WHERE leaflet = 1"
 TESS = f", sites AS ({SITES}), tn AS (SELECT a.i AS gx, b.i AS gy FROM nd a CROSS JOIN nd b WHERE a.i < 11 AND b.i < 11), tc AS (SELECT frame, gx, gy, res_nr, row_number() OVER (PARTITION BY frame, gx, gy ORDER BY sqrt((gx*2e0-x)*(gx*2e0-x)+(gy*2e0-y)*(gy*2e0-y)), res_nr) AS k FROM sites CROSS JOIN tn), t AS (SELECT frame, gx, gy, res_nr FROM tc WHERE k = 1)"
 
 

@@ -9,7 +9,7 @@ from lattica.operators import select as s
 from lattica.operators.transforms import scan_frames
 
 from .fixtures import Fixture
-from .registry import query, r6
+from .registry import query, r6, stamped
 
 DIST = "sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z))"
 #: SQL for a residue's atoms side by side: PO4 (p), GL1 (g), C4A (c), C4B (d), GL2 (h).
@@ -74,11 +74,13 @@ def f7_census(fx: Fixture):
     return s.census(fx.atoms.filter("frame = 0"), "leaflet", "res_name")
 
 
-@query("SELECT gx, gy FROM cells WHERE NOT (abs(gx - 20) <= 6 AND abs(gy - 10) <= 4)")
+@query(f", s AS ({stamped('SELECT frame, x, y FROM hd WHERE leaflet = 1')}) SELECT frame, gx, gy, count(*) AS n FROM s WHERE NOT (abs(gx - 20) <= 6 AND abs(gy - 10) <= 4) GROUP BY frame, gx, gy")
 def f8_rectangle(fx: Fixture):
-    from lattica.operators.lattice import Lattice
+    """Stamped heads of every frame outside of a window of nodes."""
+    from lattica.operators.lattice import Lattice, stamp
 
-    return Lattice.of_box(0.25, 20, 20).nodes(fx.spark).filter(s.rect(20, 10, 6, 4, invert=True))
+    points = fx.heads.filter("leaflet = 1").select("frame", "x", "y")
+    return stamp(points, Lattice.of_box(0.25, 20, 20), 0.6).filter(s.rect(20, 10, 6, 4, invert=True)).groupBy("frame", "gx", "gy").agg(F.count("*").alias("n"))
 
 
 @query("SELECT frame, count(*) AS n FROM fx1 a WHERE EXISTS (SELECT 1 FROM (VALUES (6e0, 6e0, 3e0, 2.3e0, 3e0), (14e0, 9e0, 2e0, 1.7e0, 5e0)) t(cx, cy, cz, radius, height) WHERE sqrt((a.x-cx)*(a.x-cx) + (a.y-cy)*(a.y-cy)) <= radius AND abs(a.z-cz) < height/2) GROUP BY frame")
