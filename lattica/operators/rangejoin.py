@@ -51,24 +51,45 @@ def near(a: DataFrame, b: DataFrame, radius: float, **options) -> DataFrame:
 
 
 def min_dist(a: DataFrame, b: DataFrame, key: list[str], radius: float, on: tuple[str, ...] = ("frame",), dims: str = "xyz") -> DataFrame:
-    """Least distance of each row of a (by on and key) to b. Rows without a partner in radius are compared with all of b in their frame."""
-    ids = [*on, *[f"a_{k}" for k in key]]
-    close = range_join(a, b, radius, on, dims).groupBy(*ids).agg(F.min("dist").alias("dist"))
-    rest = _prefixed(a, "a_", on).join(close.select(*ids), ids, "left_anti").join(_prefixed(b, "b_", on), list(on))
-    far = rest.groupBy(*ids).agg(F.min(_distance(dims)).alias("dist"))
-    return close.unionByName(far).select(*on, *[F.col(f"a_{k}").alias(k) for k in key], "dist")
+    """Least distance of each row of a (by on and key) to b; rows without a partner in radius look further by rounds."""
+    from .transforms import checkpointed
+
+    ids = [*on, *key]
+    close = range_join(a, b, radius, on, dims).groupBy(*on, *[F.col(f"a_{k}").alias(k) for k in key]).agg(F.min("dist").alias("dist"))
+    close = checkpointed(close)
+    rest = checkpointed(a.join(close.select(*ids), ids, "left_anti"))
+    if not rest.limit(1).count():
+        return close
+    far = knn(rest, b, 1, key, dims[0], 2 * radius, on, dims)
+    return close.unionByName(far.select(*on, *[F.col(f"a_{k}").alias(k) for k in key], "dist"))
 
 
 def knn(a: DataFrame, b: DataFrame, k: int, key: list[str], order: str, radius: float, on: tuple[str, ...] = ("frame",), dims: str = "xy") -> DataFrame:
-    """The k nearest rows of b for each row of a, rank 1..k; ties by b's column order. A row with fewer than k partners in radius is
-    compared with all of b in its frame."""
+    """The k nearest rows of b for each row of a (by on and key), rank 1..k; ties by b's column order.
+
+    Rounds: rows with k partners in the radius are settled, as all others are farther; the rest look within twice the radius, until it
+    spans all points. So a row is compared with a few times its k nearest, not with its whole frame."""
+    from .transforms import checkpointed
+
     ids = [*on, *[f"a_{c}" for c in key]]
-    w = Window.partitionBy(*ids).orderBy("dist", f"b_{order}")
-    ranked = range_join(a, b, radius, on, dims).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    full = ranked.groupBy(*ids).count().filter(F.col("count") == k).select(*ids)
-    rest = _prefixed(a, "a_", on).join(full, ids, "left_anti").join(_prefixed(b, "b_", on), list(on)).withColumn("dist", _distance(dims))
-    far = rest.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return ranked.join(full, ids, "left_semi").unionByName(far)
+    w = Window.partitionBy(*ids)
+    todo, b = checkpointed(a), checkpointed(b)
+    ends = todo.select(*dims).unionByName(b.select(*dims)).agg(*[(F.max(d) - F.min(d)).alias(d) for d in dims]).first()
+    span = 1.001 * sum((x or 0.0) ** 2 for x in ends) ** 0.5
+    found = None
+    while True:
+        last = radius > span
+        ranked = range_join(todo, b, radius, on, dims).withColumn("rank", F.row_number().over(w.orderBy("dist", f"b_{order}"))).filter(F.col("rank") <= k)
+        ranked = checkpointed(ranked.withColumn("_n", F.count("*").over(w)))
+        done = ranked if last else ranked.filter(F.col("_n") == k)
+        found = done if found is None else found.unionByName(done)
+        if last:
+            return found.drop("_n")
+        settled = done.select(*on, *[F.col(f"a_{c}").alias(c) for c in key]).distinct()
+        todo = checkpointed(todo.join(settled, [*on, *key], "left_anti"))
+        if not todo.limit(1).count():
+            return found.drop("_n")
+        radius = 2 * radius
 
 
 def hbonds(acceptors: DataFrame, donors: DataFrame, bonds: DataFrame, hydrogens: DataFrame, distance: float = 0.35, angle: float = 30.0, exclude: DataFrame | None = None) -> DataFrame:

@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lattice import Lattice, stamp
-from .rangejoin import near
-from .transforms import images
+from .rangejoin import knn, near
+from .transforms import checkpointed, images
 
 
 def tessellate(sites: DataFrame, grid: Lattice, radius: float, box: tuple[float, float] | None = None, label: str = "res_nr") -> DataFrame:
     """(frame, gx, gy, label): each node takes the label of the nearest site within radius, else of the nearest of its frame's sites;
-    ties go to the lower label. box: periodic images in x and y compete too. Nodes outside radius of all sites are the few for which all sites of the frame are compared."""
+    ties go to the lower label. box: periodic images in x and y compete too. Nodes outside radius of all sites look further by rounds."""
     s = sites.select("frame", F.col(label).alias("_label"), "x", "y")
     if box:
         s = images(s, *box)
@@ -20,10 +20,11 @@ def tessellate(sites: DataFrame, grid: Lattice, radius: float, box: tuple[float,
     dx, dy = F.col("gx") * grid.cell - F.col("x"), F.col("gy") * grid.cell - F.col("y")
     best = F.min(F.struct(F.sqrt(dx * dx + dy * dy).alias("d"), F.col("_label")))
     covered = near_.groupBy("frame", "gx", "gy").agg(best.alias("b"))
+    covered = checkpointed(covered.select("frame", "gx", "gy", F.col("b._label").alias(label)))
     nodes = s.select("frame").distinct().crossJoin(F.broadcast(grid.nodes(sites.sparkSession)))
-    rest = nodes.join(covered.select("frame", "gx", "gy"), ["frame", "gx", "gy"], "left_anti").join(s, "frame")
-    far = rest.groupBy("frame", "gx", "gy").agg(best.alias("b"))
-    return covered.unionByName(far).select("frame", "gx", "gy", F.col("b._label").alias(label))
+    rest = nodes.join(covered.select("frame", "gx", "gy"), ["frame", "gx", "gy"], "left_anti").select("frame", "gx", "gy", (F.col("gx") * grid.cell).alias("x"), (F.col("gy") * grid.cell).alias("y"))
+    far = knn(rest, s, 1, ["gx", "gy"], "_label", 2 * radius)
+    return covered.unionByName(far.select("frame", F.col("a_gx").alias("gx"), F.col("a_gy").alias("gy"), F.col("b__label").alias(label)))
 
 
 def frame_nodes(frames: DataFrame, aps: float) -> DataFrame:

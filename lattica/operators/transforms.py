@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .windows import unwrap
@@ -87,14 +89,23 @@ def components(bonds: DataFrame) -> DataFrame:
         now = new.select("node", "label")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the shared folder that the session names; a local one of our own only where it names none."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Where the session names none, a local master gets a temporary one (tests); a cluster has
+    to name one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if "cluster" in spark.sparkContext.master or not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
 
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df as a table written to the shared folder: the lineage ends there, and it is computed once."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def mend_bonds(df: DataFrame, bonds: DataFrame, box: tuple[float, float, float]) -> DataFrame:

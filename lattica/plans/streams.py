@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from lattica.operators.transforms import shared_folder
 from lattica.streaming.frames import majority_events_stream, run_to_table, window_report_stream
 
 from .fixtures import Fixture
@@ -14,8 +14,7 @@ from .registry import query, r6
 
 
 def shared(fx: Fixture) -> str:
-    """The session's shared folder; one of our own only where it names none."""
-    return (fx.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-stream-")).rstrip("/")
+    return shared_folder(fx.spark)
 
 
 @query("SELECT cell, lipid_nr, bind_i, bind_f, dwell FROM ev0 WHERE bind_f < (SELECT max(frame) FROM fx2)")
