@@ -53,7 +53,7 @@ def probability(features: np.ndarray, table: np.ndarray, bias: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(bias + table[some].astype(np.float64).sum(), -40, 40))))
 
 
-def train(rows: list[np.ndarray], y: np.ndarray, alpha: float = 2.0, beta: float = 1.0, l1: float = 6.0, l2: float = 0.1, epochs: int = 8, seed: int = 1) -> Weights:
+def train(rows: list[np.ndarray], y: np.ndarray, alpha: float = 2.0, beta: float = 1.0, l1: float = 6.0, l2: float = 0.1, epochs: int = 4, seed: int = 1) -> Weights:
     """Follow the regularized leader, a document at a time, in a seeded order. No rows: no weights, score one half."""
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     zb = nb = 0.0

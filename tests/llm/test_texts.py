@@ -132,7 +132,7 @@ def test_scores_cover_every_row(table, known, request):
 
 @pytest.mark.parametrize("module,label,modulus,held", [(quality, "quality", 4, 2), (toxicity, "toxic", 3, 1)])
 def test_held_out_accuracy(spark, module, label, modulus, held):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.01" if label == "quality" else "/root/testdata/sf0.1"  # toxic labels are few
     docs, marks = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     model = module.fit_on(docs, marks, where=module.training_rows())
     rows = module.score(docs, model).join(marks, "doc_id").filter(quality.fold("doc_id", modulus) == held).collect()
@@ -140,7 +140,13 @@ def test_held_out_accuracy(spark, module, label, modulus, held):
     if label == "quality":
         assert (y == p).mean() > 0.93
     else:  # two fifths of the toxic labels have no toxic word; clean texts stay clean
-        assert p[y].mean() > 0.3 and p[~y].mean() < 0.02
+        print("recall", p[y].mean(), "false positives", p[~y].mean())
+        assert p[y].mean() > 0.6 and p[~y].mean() < 0.02
+        plain = {"idiot", "pathetic", "worthless", "trash", "loser", "disgusting", "clown", "stupid", "scum", "moron"}
+        texts = {r["doc_id"]: set(r["text"].lower().split()) for r in docs.filter("text is not null").collect()}
+        worded = np.array([bool(texts.get(r["doc_id"], set()) & plain) for r in rows])
+        print('recall with a toxic word', p[y & worded].mean(), (y & worded).sum(), y.sum())
+        assert p[y & worded].mean() > 0.85
 
 
 def test_network_gradient_learns_xor():
