@@ -495,7 +495,8 @@ def links(docs: DataFrame, slim: DataFrame, levels, rounds: int, crowd: int) ->
     if not shared.limit(1).count():
         release(raw, shared)
         return None
-    odds = stash(slim.join(shared.select("sig"), "sig", "left_semi").groupBy("sig").agg(F.first("n_shingles").alias("n"), F.first("odd").alias("odd")))
+    once = slim.filter("sig != 0").groupBy("sig").agg(F.first("n_shingles").alias("n"), F.first("odd").alias("odd"))  # copies merge before they are dealt
+    odds = stash(once.join(shared.select("sig"), "sig", "left_semi"))
     groups = stash(raw.join(shared, "sig"))
     crowded = stash(groups.groupBy("token").agg(F.count("*").alias("sets")).filter(F.col("sets") > crowd).select("token"))
     crowds = stash(groups.join(crowded, "token", "left_semi"))
