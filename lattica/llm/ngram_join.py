@@ -233,7 +233,7 @@ FEW = 200_000
 def stored_sets(docs: DataFrame, slim: DataFrame, sigs: DataFrame, levels) -> DataFrame:
     """(sig, keys) of the distinct sets in sigs(sig), in the global order, eight bytes a key. One document of each set is read again, by its id, or by
     its key where all rows of the set lack an id; only these texts leave the scan."""
-    least = slim.join(sigs, "sig", "left_semi").groupBy("sig").agg(F.min("id").alias("id"), F.min("key").alias("key"))
+    least = slim.filter("sig != 0").groupBy("sig").agg(F.min("id").alias("id"), F.min("key").alias("key")).join(sigs, "sig", "left_semi")
     one = stash(least.select("id", F.when(F.col("id").isNull(), F.col("key")).alias("key")).distinct())
     named, nameless = one.agg(F.count("id"), F.count("key")).first()
     ids, keys = (one.select(c).filter(F.col(c).isNotNull()) for c in ("id", "key"))
