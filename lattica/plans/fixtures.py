@@ -120,5 +120,6 @@ ev AS (SELECT CAST(cell % 5 AS INT) AS gx, CAST(cell // 5 AS INT) AS gy, lipid_n
 
 
 def sql(body: str) -> str:
-    """body with the common tables before it; a body may begin with tables of its own (', name AS (...) SELECT ...')."""
-    return f"WITH {CTE} {body}"
+    """body with the common tables before it; a body may begin with tables of its own (', name AS (...) SELECT ...'), recursive ones
+    among them."""
+    return f"WITH RECURSIVE {CTE} {body}"

@@ -12,9 +12,9 @@ from lattica.operators import windows as w
 from lattica.operators.lattice import Lattice, frame_mean, stamp
 
 from .fixtures import Fixture
-from .lattices import G2, GT, K2, points, sites
+from .lattices import G2, GT, K2, TESS, points, sites
 from .molecules import TILT
-from .registry import query, r6
+from .registry import events_sql, passages_sql, query, r6
 
 EV = "gx, gy, lipid_nr, res_nr, res_name, bind_i, bind_f, dwell"
 EVC = EV.split(", ")
@@ -57,7 +57,7 @@ def w3_window_vote(fx: Fixture):
     return w.window_vote(dense(fx), ["lipid_nr"], 2, 2).select("frame", "lipid_nr", "occupied")
 
 
-@query()
+@query(passages_sql("SELECT cell AS key, frame, CAST(CASE WHEN lipid_nr >= 0 THEN lipid_nr % 5 ELSE 2 END AS INT) AS state FROM fx2", "cell"))
 def w4_state_fold(fx: Fixture):
     states = fx.occupancy.withColumn("state", F.when(F.col("lipid_nr") >= 0, F.col("lipid_nr") % 5).otherwise(2).cast("int"))
     return w.state_fold(states, "cell", "state")
@@ -90,7 +90,7 @@ def w9_jump_flags(fx: Fixture):
     return w.jump_flags(fx.atoms, 0.6)
 
 
-@query()
+@query(TESS + events_sql("SELECT gx AS k1, gy AS k2, res_nr AS lipid_nr, frame FROM t") + " SELECT k1 AS gx, k2 AS gy, lipid_nr AS res_nr, CAST(bind_i AS INT) AS bind_i, CAST(bind_f AS INT) AS bind_f, CAST(dwell AS INT) AS dwell FROM me")
 def k1_residence_2d(fx: Fixture):
     return e.kinetics2d(sites(fx), GT, 0.7, 1)
 
@@ -271,7 +271,16 @@ def k26_residence_by_share(fx: Fixture):
     return g.residence_by_distance_share(fx.events, bands5(fx), last_frame(fx) + 1, 0.5, 0.2, 2.5).select("q", "n", r6("mean"), r6("koff"))
 
 
-@query()
+def _shell_sql(k: int, border: str, seen: str) -> str:
+    """Labels with a node within 2.1 of the border that no shell before holds, and their nodes as the next border."""
+    return f", sh{k} AS MATERIALIZED (SELECT DISTINCT t.frame, t.res_nr FROM t JOIN {border} b ON b.frame = t.frame AND sqrt((t.gx-b.gx)*2e0*((t.gx-b.gx)*2e0) + (t.gy-b.gy)*2e0*((t.gy-b.gy)*2e0)) <= 2.1e0 WHERE (t.frame, t.res_nr) NOT IN ({seen})), bo{k} AS MATERIALIZED (SELECT t.frame, gx, gy FROM t JOIN sh{k} s ON s.frame = t.frame AND s.res_nr = t.res_nr)"
+
+
+_SEEN = ["SELECT -1, -1", "SELECT frame, res_nr FROM sh1", "SELECT frame, res_nr FROM sh1 UNION ALL SELECT frame, res_nr FROM sh2"]
+SHELLS = TESS + ", bo0 AS (SELECT f.frame, gx, gy FROM (SELECT DISTINCT frame FROM t) f CROSS JOIN tn WHERE abs(gx - 5) <= 1 AND abs(gy - 5) <= 1)" + "".join(_shell_sql(k, f"bo{k - 1}", _SEEN[k - 1]) for k in (1, 2, 3))
+
+
+@query(SHELLS + ", ws AS (SELECT frame, res_nr, 1 AS shell FROM sh1 UNION ALL SELECT frame, res_nr, 2 FROM sh2 UNION ALL SELECT frame, res_nr, 3 FROM sh3) SELECT l.frame, CAST(COALESCE(ws.shell, 4) AS INT) AS shell, count(*) AS n FROM (SELECT DISTINCT frame, res_nr FROM t) l LEFT JOIN ws ON ws.frame = l.frame AND ws.res_nr = l.res_nr GROUP BY 1, 2")
 def k27_solvation_shells(fx: Fixture):
     from lattica.operators.tessellate import tessellate
 
@@ -358,7 +367,7 @@ def d11_protein_mask(fx: Fixture):
     return g.protein_mask(fx.grid(1), G2, 0.9)
 
 
-@query()
+@query(", hs AS (SELECT DISTINCT frame, gx, gy FROM st WHERE leaflet = 1), em AS MATERIALIZED (SELECT f.frame, c.gx, c.gy FROM (SELECT DISTINCT frame FROM fx1) f CROSS JOIN cells c WHERE (f.frame, c.gx, c.gy) NOT IN (SELECT frame, gx, gy FROM hs)), rg AS (SELECT frame, CAST(min(gx * 41 + gy) // 41 AS INT) AS gx, CAST(min(gx * 41 + gy) % 41 AS INT) AS gy FROM em GROUP BY frame UNION SELECT e.frame, e.gx, e.gy FROM rg JOIN em e ON e.frame = rg.frame AND abs(e.gx - rg.gx) <= 1 AND abs(e.gy - rg.gy) <= 1) SELECT frame, gx, gy FROM rg")
 def d12_grow(fx: Fixture):
     """Frames are lattices: nodes without a sample, grown from the corner."""
     hit = stamp(points(fx), G2, 0.6).select("frame", *K2).distinct()
@@ -367,7 +376,7 @@ def d12_grow(fx: Fixture):
     return g.grow(empty, seeds, ("frame",))
 
 
-@query()
+@query(M12 + ", mk AS MATERIALIZED (SELECT c.gx, c.gy FROM cells c LEFT JOIN m1 ON m1.gx = c.gx AND m1.gy = c.gy WHERE m1.value IS NULL), rg AS (SELECT CAST(min(gx * 41 + gy) // 41 AS INT) AS gx, CAST(min(gx * 41 + gy) % 41 AS INT) AS gy FROM mk HAVING count(*) > 0 UNION SELECT k.gx, k.gy FROM rg JOIN mk k ON abs(k.gx - rg.gx) <= 1 AND abs(k.gy - rg.gy) <= 1) SELECT gx, gy FROM rg")
 def d13_nan_region(fx: Fixture):
     lat = G2.nodes(fx.spark).join(masked(fx, 1).select(*K2, "value"), K2, "left")
     return g.nan_region(lat, lat.filter("value is null").orderBy("gx", "gy").limit(1))

@@ -320,7 +320,10 @@ def g27_mean_lipid_coords(fx: Fixture):
     return ob.mean_lipid_coords(fx.upper, "PO4", G2, 0.6).select("atom_name", *K2, r6("x"), r6("y"), r6("z"), "rho")
 
 
-@query()
+SPREAD = f", s AS ({stamped('SELECT frame, res_nr, x, y FROM hd WHERE leaflet = 1')}), r AS (SELECT s.frame, s.res_nr, gx, gy, a.atom_name, a.x, a.y, a.z FROM s JOIN fx1 a ON a.frame = s.frame AND a.res_nr = s.res_nr), f AS (SELECT frame, gx, gy, atom_name, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM r GROUP BY frame, gx, gy, atom_name), m AS (SELECT gx, gy, atom_name, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM f GROUP BY gx, gy, atom_name), d AS (SELECT r.frame, r.res_nr, r.gx, r.gy, r.x - m.x AS dx, r.y - m.y AS dy, r.z - m.z AS dz FROM r JOIN m ON m.gx = r.gx AND m.gy = r.gy AND m.atom_name = r.atom_name), p AS (SELECT gx, gy, avg(sqrt(dx*dx + dy*dy + dz*dz)) AS dist, avg(dx*dx + dy*dy + dz*dz) AS d2, avg(dx) AS sx, avg(dy) AS sy, avg(dz) AS sz FROM d GROUP BY frame, res_nr, gx, gy)"
+
+
+@query(SPREAD + " SELECT gx, gy, round(avg(dist), 6) + 0.0 AS dist, round(avg(sqrt(greatest(0e0, d2 - sx*sx - sy*sy - sz*sz))), 6) + 0.0 AS rmsd, count(*) AS n FROM p GROUP BY gx, gy")
 def g27_lipid_spread(fx: Fixture):
     return ob.lipid_spread(fx.upper, "PO4", G2, 0.6).select(*K2, r6("dist"), r6("rmsd"), "n")
 

@@ -13,7 +13,7 @@ from lattica.operators import molecule as m
 from .fixtures import Fixture
 from .lattices import D3
 from .molecules import DIHEDRAL, TILT
-from .registry import query, r6
+from .registry import events_sql, passages_sql, query, r6
 
 XY = "sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y))"
 ABC = ["frame", "res_nr", "x", "y", "z"]
@@ -109,14 +109,6 @@ def t1_contact_frequency(fx: Fixture):
 
 
 #: Majority events in SQL, of rows (k1, k2, lipid_nr, frame); r is 1.
-def events_sql(rows: str, last: int = 24) -> str:
-    p = "PARTITION BY k1, k2, lipid_nr"
-    return f""", mr AS ({rows}), m1 AS (SELECT k1, k2, lipid_nr, f, sum(d) AS d FROM (SELECT k1, k2, lipid_nr, frame AS f, 1 AS d FROM mr UNION ALL SELECT k1, k2, lipid_nr, frame + 3, -1 FROM mr) GROUP BY k1, k2, lipid_nr, f),
- m2 AS (SELECT *, sum(d) OVER ({p} ORDER BY f) AS n, lead(f) OVER ({p} ORDER BY f) AS nf FROM m1), m3 AS (SELECT k1, k2, lipid_nr, greatest(f, 2) AS a, least(nf - 1, (SELECT max(frame) FROM mr)) AS b FROM m2 WHERE n >= 2 AND nf IS NOT NULL),
- m4 AS (SELECT *, CASE WHEN a = lag(b) OVER ({p} ORDER BY a) + 1 THEN 0 ELSE 1 END AS s FROM m3 WHERE a <= b), m5 AS (SELECT *, sum(s) OVER ({p} ORDER BY a) AS g FROM m4),
- me AS (SELECT k1, k2, lipid_nr, min(a) AS bind_i, max(b) AS bind_f, max(b) - min(a) + 1 AS dwell FROM m5 GROUP BY k1, k2, lipid_nr, g)"""
-
-
 BOUND = ", bo AS (SELECT CAST(n_nationkey AS INT) AS frame, CAST(n_nationkey AS INT) // 9 AS lipid_nr FROM nation)"
 
 
@@ -220,7 +212,7 @@ def t18_msd(fx: Fixture):
     return t.msd(fx.centers).select("lag", r6("value"), "n")
 
 
-@query()
+@query(", ion AS (SELECT frame, res_nr AS key, x, y, fmod(frame * (1 + res_nr % 5) * 0.37e0 + res_nr % 11, 7e0) AS z FROM fx1p), kd AS (SELECT i.frame, i.key, h.leaflet, h.z, row_number() OVER (PARTITION BY i.frame, i.key, h.leaflet ORDER BY sqrt((i.x-h.x)*(i.x-h.x) + (i.y-h.y)*(i.y-h.y)), h.res_nr) AS k FROM ion i JOIN hd h ON h.frame = i.frame), hz AS (SELECT frame, key, avg(CASE WHEN leaflet = 1 THEN z END) AS zu, avg(CASE WHEN leaflet = 2 THEN z END) AS zl FROM kd WHERE k <= 3 GROUP BY frame, key)" + passages_sql("SELECT i.key, i.frame, CASE WHEN z > zu + 0.6e0 THEN 0 WHEN z > zu - 0.6e0 THEN 1 WHEN z >= zl + 0.6e0 THEN 2 WHEN z >= zl - 0.6e0 THEN 3 ELSE 4 END AS state FROM ion i JOIN hz ON hz.frame = i.frame AND hz.key = i.key", "res_nr"))
 def t19_permeation(fx: Fixture):
     """Ions: the protein rows, moved up and down through the membrane frame by frame."""
     ions = fx.protein.withColumn("z", (F.col("frame") * (1 + F.col("res_nr") % 5) * 0.37 + F.col("res_nr") % 11) % 7.0)
@@ -297,7 +289,11 @@ def x6_mend_residues(fx: Fixture):
     return xyz(x.mend_residues(split(fx), BOX))
 
 
-@query()
+#: Along a residue's atoms from its first: the nearest image of each to the one before.
+CHAIN = f", sp AS MATERIALIZED ({SPLIT}), ch AS (SELECT frame, atom_nr, x, y, z FROM sp WHERE atom_nr % 5 = 0 UNION ALL SELECT s.frame, s.atom_nr, s.x - round((s.x - c.x)/20e0)*20e0, s.y - round((s.y - c.y)/20e0)*20e0, s.z - round((s.z - c.z)/6e0)*6e0 FROM ch c JOIN sp s ON s.frame = c.frame AND s.atom_nr = c.atom_nr + 1 AND s.atom_nr % 5 <> 0)"
+
+
+@query(CHAIN + f" SELECT frame, atom_nr, {R3} FROM ch")
 def x7_mend_bonds(fx: Fixture):
     bonds = fx.atoms.filter("frame = 0 AND atom_name != 'C4B'").select(F.col("atom_nr").alias("a"), (F.col("atom_nr") + 1).alias("b"))
     return xyz(x.mend_bonds(split(fx), bonds, BOX))
@@ -358,7 +354,7 @@ def x16_unwrap(fx: Fixture):
 from lattica.operators import observables as ob  # noqa: E402
 
 from .lattices import G2, K2  # noqa: E402
-from .registry import mapped_sql  # noqa: E402
+from .registry import events_sql, mapped_sql  # noqa: E402, passages_sql
 
 HC = HB + ", hc AS (SELECT a.frame, a.res_nr, CAST(count(hb.donor) AS DOUBLE) AS value FROM fx1 a LEFT JOIN hb ON hb.frame = a.frame AND hb.acceptor = a.atom_nr WHERE a.atom_name = 'GL2' GROUP BY a.frame, a.res_nr)"
 

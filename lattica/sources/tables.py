@@ -26,13 +26,27 @@ def write_frames(df: DataFrame, path: str, partitions: int | None = None) -> Non
     df.repartitionByRange(n, "frame", "atom_nr").sortWithinPartitions("frame", "atom_nr").write.mode("overwrite").parquet(path)
 
 
-def write_events(ev: DataFrame, path: str) -> None:
-    """Events partitioned by gx: a cell is found by partition pruning and row-group statistics."""
-    ev.repartition("gx").sortWithinPartitions("gx", "gy", "bind_i").write.mode("overwrite").partitionBy("gx").parquet(path)
+def write_events(ev: DataFrame, path: str, meta: DataFrame | None = None) -> None:
+    """Events partitioned by gx: a cell is found by partition pruning and row-group statistics. meta: the run's header, one row
+    (ef_dt, ef_frames, num_lipids, num_g_x, num_g_y, aps), beside them."""
+    ev.repartition("gx").sortWithinPartitions("gx", "gy", "bind_i").write.mode("overwrite").partitionBy("gx").parquet(f"{path}/events")
+    if meta is not None:
+        meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/run_meta")
+
+
+def run_meta(ev: DataFrame, dt: float, frames: int, grid: tuple[int, int], aps: float) -> DataFrame:
+    """The header of a run, with the number of lipids that its events name."""
+    fixed = {"ef_dt": float(dt), "ef_frames": int(frames), "num_g_x": int(grid[0]), "num_g_y": int(grid[1]), "aps": float(aps)}
+    return ev.agg(F.countDistinct("lipid_nr").cast("int").alias("num_lipids")).select("num_lipids", *[F.lit(v).alias(k) for k, v in fixed.items()])
+
+
+def read_run_meta(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/run_meta")
 
 
 def read_events(spark: SparkSession, path: str, x: int | None = None, y: int | None = None) -> DataFrame:
-    ev = spark.read.parquet(path)
+    """All events, or those of a column or cell; only its partition is read."""
+    ev = spark.read.parquet(f"{path}/events")
     ev = ev.filter(F.col("gx") == x) if x is not None else ev
     return ev.filter(F.col("gy") == y) if y is not None else ev
 

@@ -32,6 +32,34 @@ def test_gro(spark, tmp_path):
     assert a == [(0, 1, 1.0, 0.1, 10.0), (1, 1, 2.0, None, 10.0)]
 
 
+def test_gro_boxes_and_counts(spark, tmp_path):
+    import pytest
+
+    atom = f"{1:5d}{'POPE':<5s}{'PO4':>5s}{1:5d}{1.0:8.3f}{0.5:8.3f}{1.25:8.3f}"
+    (tmp_path / "t.gro").write_text(f"tilted t= 2.5 step= 7\n    1\n{atom}\n 9.0 8.0 7.0 0.1 0.2 0.3 0.4 0.5 0.6\n\n")
+    got = structures.read_gro(spark, str(tmp_path / "t.gro")).collect()
+    assert [[r[c] for c in ("time", "step", *structures.BOX)] for r in got] == [[2.5, 7, 9.0, 8.0, 7.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6]]
+    (tmp_path / "u.gro").write_text(f"a\n    1\n{atom}\n 9 8 7\nb\n    2\n{atom}\n{atom}\n 9 8 7\n")
+    with pytest.raises(Exception, match="number of atoms changes"):
+        structures.read_gro(spark, str(tmp_path / "u.gro")).collect()
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    from lattica.sources.lines import numbered
+
+    for name, n in (("a.txt", 500), ("b.txt", 300)):
+        (tmp_path / name).write_text("\n".join(f"{name} {k}" for k in range(n)) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        own = {r["value"]: r["line"] for r in numbered(spark, str(tmp_path)).collect()}
+        across = {r["value"]: r["line"] for r in numbered(spark, str(tmp_path), across=True).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert own == {f"{name} {k}": k for name, n in (("a.txt", 500), ("b.txt", 300)) for k in range(n)}
+    assert across == {f"{name} {k}": k + at for name, n, at in (("a.txt", 500, 0), ("b.txt", 300, 500)) for k in range(n)}
+
+
 def test_grid_text(spark, tmp_path):
     lat = Lattice(0.5, (4, 3)).nodes(spark).withColumn("value", F.when(F.col("gx") != F.col("gy"), F.col("gx") + F.col("gy") / 10.0))
     want = sorted(map(str, lat.select("gx", "gy", "value").collect()))
@@ -50,6 +78,11 @@ def test_volume(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "v")).agg(F.sum("value")).first()[0] == 4 * 1.5 - 4
     grids.write_volume(lat, str(tmp_path / "t"), -1.0, text=True)
     assert [r["value"] for r in spark.read.text(str(tmp_path / "t")).collect()].count("-1.0") == 4
+    got = {(r["gx"], r["gy"], r["gz"]): r["value"] for r in grids.read_volume(spark, str(tmp_path / "t")).collect()}
+    assert got == {(x, y, z): -1.0 if z else 1.5 for x in (0, 1) for y in (0, 1) for z in (0, 1)}
+    (tmp_path / "w.dx").write_text("object 1 class gridpositions counts 1 2 2\norigin 1 2 3\ndelta 0.5 0 0\ndelta 0 0.5 0\ndelta 0 0 2\nobject 2 class gridconnections counts 1 2 2\nobject 3 class array type double rank 0 items 4 data follows\n1 2 3\n4\n")
+    got = sorted((r["y"], r["z"], r["value"]) for r in grids.read_volume(spark, str(tmp_path / "w.dx")).collect())
+    assert got == [(2.0, 3.0, 1.0), (2.0, 5.0, 2.0), (2.5, 3.0, 3.0), (2.5, 5.0, 4.0)]
 
 
 def test_columns(spark, tmp_path):
