@@ -66,4 +66,4 @@ def op10_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_isolation_forest_rules, op3_html_block_rules, op4_quality_classifier, op5_secret_ledger, op6_ngram_trie_join, op7_histogram_shards, op8_weighted_fingerprints, op9_ftrl_toxicity, op10_slack_packing)}
 
-ORACLE_SQL = {"op1_mixing": mixing.ORACLE}
+ORACLE_SQL = {"op1_mixing": mixing.ORACLE, "op5_secret_ledger": secrets.ORACLE, "op6_ngram_trie_join": ngram_join.ORACLE, "op7_histogram_shards": sharding.ORACLE}

@@ -139,3 +139,21 @@ def redact(scanned: DataFrame, mask: str = "[SECRET]", text_col: str = "text") -
 
     masked = F.aggregate(spans, start, step, lambda a: F.concat(a["out"], text.substr((a["at"] + 1).cast("int"), F.length(text))))
     return scanned.withColumn(text_col, F.when(F.size(spans) > 0, masked).otherwise(text))
+
+
+def _found_sql(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
+    """SQL of one kind's spans: a match begins after the texts between matches and the matches before it."""
+    p = "'" + pattern.replace("'", "''") + "'"
+    lengths = lambda a: f"COALESCE(list_sum(list_transform({a}, lambda x: length(x))), 0)"
+    return f"""SELECT doc_id, {rank} AS rank, '{kind}' AS kind, CAST({lengths("s[1:i]")} + {lengths("m[1:i-1]")} AS BIGINT) AS start, length(m[i]) AS size FROM
+ (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, {p}, 0) AS m, regexp_extract_all(text, {p}, {group}) AS v, regexp_split_to_array(text, {p}) AS s FROM d)) WHERE length(v[i]) >= {least}"""
+
+
+_BASE_SQL = ", ".join(f"'{k}'" for k in BASE)
+ORACLE = f"""
+WITH d AS (SELECT doc_id, COALESCE(text, '') AS text FROM documents),
+f AS ({" UNION ALL ".join(_found_sql(k, r[0], r[1], r[3], r[4]) for k, r in enumerate(RULES))}),
+t AS (SELECT *, kind || ':' || start || ':' || (start + size) AS item FROM f),
+g AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)}, string_agg(item, ',' ORDER BY start, rank) FILTER (kind IN ({_BASE_SQL})) AS base, string_agg(item, ',' ORDER BY start, rank) AS spans FROM t GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"COALESCE(n_{k}, 0) AS n_{k}" for k in BASE)}, sha256(COALESCE(base, '')) AS base_sha256, COALESCE(spans, '') AS spans FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+"""

@@ -82,9 +82,15 @@ def shard(docs: DataFrame, n_shards: int = 40, tolerance: int = 0, overhead: int
     return out.select(id_col, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-ORACLE = r"""
-WITH d AS (SELECT doc_id, strlen(COALESCE(text, '')) + 16 AS size, md5(COALESCE(text, '')) || md5(COALESCE(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
+#: The checksum's remainders of half a byte.
+NIBBLES = "[0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]::BIGINT[]"
+_LOW = f"xor(c >> 4, ({NIBBLES})[(xor(c, b % 16) & 15) + 1])"
+_BYTE = f"xor(({_LOW}) >> 4, ({NIBBLES})[(xor({_LOW}, b // 16) & 15) + 1])"
+CRC32 = f"xor(list_reduce(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST('0x' || h AS BIGINT)), lambda c, b: {_BYTE}, 4294967295::BIGINT), 4294967295::BIGINT)"
+
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, COALESCE(text, '') AS text, strlen(COALESCE(text, '')) + 16 AS size, md5(COALESCE(text, '')) || md5(COALESCE(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
 r AS (SELECT *, SUM(size) OVER () AS total, SUM(size) OVER (ORDER BY k RANGE UNBOUNDED PRECEDING) - SUM(size) OVER (PARTITION BY k) AS start FROM d),
-s AS (SELECT doc_id, size, k, CAST(floor(CAST(start * 40 AS BIGINT) // CAST(total AS BIGINT)) AS INTEGER) AS shard FROM r)
-SELECT doc_id, size, shard, row_number() OVER (PARTITION BY shard ORDER BY substr(k, 1, 3) || substr(k, 33, 2), k, size) - 1 AS slot FROM s
+s AS (SELECT doc_id, text, size, k, CAST(floor(CAST(start * 40 AS BIGINT) // CAST(total AS BIGINT)) AS INTEGER) AS shard FROM r)
+SELECT doc_id, size, {CRC32} AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY substr(k, 1, 3) || substr(k, 33, 2), k, size) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
 """

@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lattica.llm import mixing, packing, secrets, sharding
+from lattica.llm import mixing, packing, queries, secrets, sharding
 from lattica.llm.common import dense_slots
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -118,12 +118,13 @@ def test_splitters_meet_a_tolerance(spark):
         assert abs(below - i * total / 8) <= total // 200
 
 
-def test_sharding_agrees_with_sql(spark, small):
-    docs = spark.read.parquet(f"{small}/documents.parquet")
-    got = sharding.shard(docs).toPandas()[["doc_id", "size", "shard", "slot"]].sort_values("doc_id").to_numpy().tolist()
-    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
-    want = duckdb.sql(sharding.ORACLE).df().sort_values("doc_id")[["doc_id", "size", "shard", "slot"]].astype(int).to_numpy().tolist()
-    assert got == want
+@pytest.mark.parametrize("name", ["op5_secret_ledger", "op6_ngram_trie_join", "op7_histogram_shards"])
+def test_query_agrees_with_sql(spark, small, name):
+    df = queries.QUERIES[name](spark, small)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({queries.ORACLE_SQL[name]}) ORDER BY doc_id").fetchall()
+    assert sorted(tuple(r) for r in df.collect()) == want and len(want) == 200
 
 
 RULES = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 8), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 16), ("hex", re.compile("[0-9a-f]+"), 0, 32)]
