@@ -2,6 +2,7 @@
 
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 import __spark_entry__  # noqa: F401  (registers the queries)
@@ -52,3 +53,21 @@ def test_average_of_all_frames(spark, small):
     assert got.keys() == rows.keys()
     for k, v in rows.items():
         assert got[k] == pytest.approx([sum(c) / len(v) for c in zip(*v)], abs=1e-6)
+
+
+def test_rmsd_after_a_fit_of_another_group(spark, small):
+    frames = defaultdict(dict)
+    for r in Fixture(spark, small).heads.collect():
+        frames[r["frame"]][r["atom_nr"]] = (r["res_nr"], r["leaflet"], r["mass"], r["x"], r["y"], r["z"])
+    keys = sorted(frames[0])
+    table = {f: np.array([rows[k] for k in keys]) for f, rows in frames.items()}
+    fit, measured = table[0][:, 0] % 7 == 0, table[0][:, 1] == 1
+    want = {}
+    for f, t in table.items():
+        m, a, b = t[fit, 2], t[:, 3:], table[0][:, 3:]
+        ca, cb = np.average(a[fit], axis=0, weights=m), np.average(b[fit], axis=0, weights=m)
+        u, _, vt = np.linalg.svd((a[fit] - ca).T @ ((b[fit] - cb) * m[:, None]))
+        turned = (a - ca) @ u @ np.diag([1, 1, np.sign(np.linalg.det(u @ vt))]) @ vt + cb
+        want[f] = np.sqrt(((turned - b)[measured] ** 2).sum(axis=1).mean())
+    got = {r["frame"]: r["rmsd"] for r in registry.QUERIES["t7_rmsd_series"](spark, small).collect()}
+    assert got == pytest.approx(want, abs=2e-6) and max(got.values()) > 0.1
