@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, htmltext, mixing, ngram_join, packing, quality, rules, secrets, sharding, toxicity
+from . import fingerprints, htmltext, merkle, mixing, ngram_join, packing, quality, rules, secrets, sharding, toxicity
 from .common import documents, labels
 
 
@@ -64,6 +64,10 @@ def op10_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir).select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_isolation_forest_rules, op3_html_block_rules, op4_quality_classifier, op5_secret_ledger, op6_ngram_trie_join, op7_histogram_shards, op8_weighted_fingerprints, op9_ftrl_toxicity, op10_slack_packing)}
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(documents(spark, sf_dir), merkle.tampered())
 
-ORACLE_SQL = {"op1_mixing": mixing.ORACLE, "op5_secret_ledger": secrets.ORACLE, "op6_ngram_trie_join": ngram_join.ORACLE, "op7_histogram_shards": sharding.ORACLE}
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_isolation_forest_rules, op3_html_block_rules, op4_quality_classifier, op5_secret_ledger, op6_ngram_trie_join, op7_histogram_shards, op8_weighted_fingerprints, op9_ftrl_toxicity, op10_slack_packing, op13_merkle_manifest)}
+
+ORACLE_SQL = {"op1_mixing": mixing.ORACLE, "op5_secret_ledger": secrets.ORACLE, "op6_ngram_trie_join": ngram_join.ORACLE, "op7_histogram_shards": sharding.ORACLE, "op13_merkle_manifest": merkle.ORACLE}
