@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, htmltext, merkle, mixing, ngram_join, packing, quality, rules, secrets, sharding, toxicity
+from . import fingerprints, htmltext, merkle, mixing, ngram_join, packing, passages, quality, rules, search, secrets, sharding, toxicity
 from .common import documents, labels
 
 
@@ -64,10 +64,19 @@ def op10_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op11_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.digest(passages.dedup(documents(spark, sf_dir).select("doc_id", "text")))
+
+
+def op12_shared_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return search.search(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(documents(spark, sf_dir), merkle.tampered())
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_isolation_forest_rules, op3_html_block_rules, op4_quality_classifier, op5_secret_ledger, op6_ngram_trie_join, op7_histogram_shards, op8_weighted_fingerprints, op9_ftrl_toxicity, op10_slack_packing, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_isolation_forest_rules, op3_html_block_rules, op4_quality_classifier, op5_secret_ledger, op6_ngram_trie_join, op7_histogram_shards, op8_weighted_fingerprints, op9_ftrl_toxicity, op10_slack_packing, op11_phrase_automata, op12_shared_search, op13_merkle_manifest)}
 
-ORACLE_SQL = {"op1_mixing": mixing.ORACLE, "op5_secret_ledger": secrets.ORACLE, "op6_ngram_trie_join": ngram_join.ORACLE, "op7_histogram_shards": sharding.ORACLE, "op13_merkle_manifest": merkle.ORACLE}
+ORACLE_SQL = {"op1_mixing": mixing.ORACLE, "op5_secret_ledger": secrets.ORACLE, "op6_ngram_trie_join": ngram_join.ORACLE, "op7_histogram_shards": sharding.ORACLE, "op12_shared_search": search.ORACLE, "op13_merkle_manifest": merkle.ORACLE}
