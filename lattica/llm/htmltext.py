@@ -34,7 +34,10 @@ CORE = frozenset(("article", "main"))
 VOID = frozenset(("hr",))
 NAMED = re.compile(rf"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 MARKED = re.compile(rf"(?:^|[\s_-])(?:{MARKS})(?:$|[\s_-])", re.I)
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)""", re.S)
+REST = r"<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)"
+TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:"[^"]*"|'[^']*'|[^'">])*+)>|{REST}""", re.S)
+#: From the first tag on whose quotes leave no end, quotes mean nothing; so no tag looks through the rest of the page in vain again.
+UNQUOTED = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>|{REST}", re.S)
 CLOSERS = {name: re.compile(rf"</{name}\s*>", re.I) for name in SILENT_SET}
 SPACE, BODY = re.compile(r"\s+"), re.compile(r"<body\b", re.I)
 
@@ -73,9 +76,25 @@ def blocks(page: str) -> list[Block]:
     root = Section(0, False)
     # of each open element: name, whether it marks boilerplate here or further out, innermost section, outermost core
     stack: list[tuple[str, bool, Section, Section | None]] = [("", False, root, None)]
+    depths: dict[str, list[int]] = {}  # where in the stack each name is open
+    ended: set[str] = set()  # names of which no closing tag follows, so that none is looked for again
+    token = TOKEN
     links, heading, anchor, low, at, n = 0, False, 0, 0, 0, len(page)
     parts: list[str] = []
 
+    def cut(k: int) -> None:
+        """Closes the elements from the k-th on."""
+        nonlocal low
+        while len(stack) > k:
+            depths[stack.pop()[0]].pop()
+        low = min(low, len(stack) - 1)
+
+    def found(name: str, pattern: re.Pattern) -> re.Match | None:
+        m = None if name in ended else pattern.search(page, at)
+        if not m:
+            ended.add(name)
+        return m
+
     def close() -> None:
         nonlocal links, heading, low
         if parts:
@@ -90,7 +109,7 @@ def blocks(page: str) -> list[Block]:
         links, heading = 0, False
 
     while at < n:
-        m = TOKEN.search(page, at)
+        m = token.search(page, at)
         text = page[at : m.start() if m else n]
         if text:
             parts.append(text)
@@ -100,14 +119,16 @@ def blocks(page: str) -> list[Block]:
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
+            if page[m.start() + 1 : m.start() + 3].lstrip("/")[:1].isalpha():
+                token = UNQUOTED
             continue
         if name in SILENT_SET and not m[1]:
             if name == "head" or name in ("option", "select", "button", "object", "map", "math", "svg"):
-                end = CLOSERS[name].search(page, at)
-                body = BODY.search(page, at) if name == "head" and not end else None
+                end = found(name, CLOSERS[name])
+                body = found("body", BODY) if name == "head" and not end else None
                 at = end.end() if end else body.start() if body else at
             else:
-                end = CLOSERS[name].search(page, at)
+                end = found(name, CLOSERS[name])
                 at = end.end() if end else n
             continue
         if name == "a":
@@ -117,21 +138,18 @@ def blocks(page: str) -> list[Block]:
         elif name in BLOCK_SET:
             close()
             if m[1]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        low = min(low, len(stack) - 1)
-                        break
+                if depths.get(name):
+                    cut(depths[name][-1])
             elif name not in VOID:
                 if name in ("p", "li", "td", "tr", "dd", "dt") and stack[-1][0] == name:
-                    stack.pop()
-                    low = min(low, len(stack) - 1)
+                    cut(len(stack) - 1)
                 _, boiler, inner, core = stack[-1]
                 marks = any(MARKED.search(x[0] or x[1] or x[2]) for x in NAMED.findall(m[3])) and name not in ("body", "html", *CORE)
                 boiler = boiler or marks or name in BOILER_SET and not (name == "header" and core is not None)
                 if name in SECTIONS:
                     inner = Section(len(stack), name in CORE)
                     core = core or (inner if inner.named else None)
+                depths.setdefault(name, []).append(len(stack))
                 stack.append((name, boiler, inner, core))
                 heading = name in HEADINGS
     close()
