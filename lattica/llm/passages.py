@@ -156,8 +156,15 @@ def numbers(hashes: np.ndarray) -> np.ndarray:
     return (hashes & np.uint64(0x7FFFFFFF)).astype(np.uint32)
 
 
-#: Words that pass through the automaton at once.
-STREAM = 1 << 16
+#: Words that pass through the automaton at once; and bits by which three words in a row are looked up before.
+STREAM, TRIPLES = 1 << 16, 20
+
+
+def triples(letters: np.ndarray) -> np.ndarray:
+    """A number below 2 ** TRIPLES for each three words in a row, along the last axis."""
+    a, b, c = (letters[..., k : letters.shape[-1] - 2 + k].astype(np.uint64) for k in range(3))
+    with np.errstate(over="ignore"):
+        return ((a * PRIME + b) * PRIME + c) * PRIME >> np.uint64(64 - TRIPLES)
 
 
 class Shard:
@@ -169,6 +176,7 @@ class Shard:
         self.spans: list[np.ndarray] = []
         self.units: list[np.ndarray] = []
         self.automaton = None
+        self.known = np.zeros(0, bool)
 
     def add(self, batch: pa.RecordBatch) -> None:
         kind = batch.column(1).to_numpy()
@@ -190,11 +198,22 @@ class Shard:
         for k, phrase in enumerate(words[where].tolist()):
             self.automaton.add_word(tuple(phrase), k)
         self.automaton.make_automaton()
+        self.known = np.zeros(1 << TRIPLES, bool)
+        self.known[triples(words[where])] = True
 
     def confirmed(self, found: np.ndarray) -> np.ndarray:
         near = np.minimum(np.searchsorted(self.units[0], found), len(self.units[0]) - 1)
         return self.units[0][near] == found
 
+    def runs(self, letters: np.ndarray) -> list[list[int]]:
+        """The stretches of words that can hold phrases, as each three words in a row are those of some phrase; all others need not be read by the automaton."""
+        good = np.concatenate([[0], np.cumsum(self.known[triples(letters)])])
+        starts = np.flatnonzero(good[PHRASE - 2 :] - good[: -(PHRASE - 2)] == PHRASE - 2)
+        edge = np.zeros(len(letters) + 1, np.int64)
+        edge[starts] += 1
+        edge[starts + PHRASE] -= 1
+        return np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(edge[:-1]) > 0, [0]]).astype(np.int8))).reshape(-1, 2).tolist()
+
     def covered(self, hashes: np.ndarray) -> np.ndarray | None:
         """Which words of a text are in a confirmed window; None if none is."""
         n = len(hashes)
@@ -202,9 +221,10 @@ class Shard:
             return None
         letters = numbers(hashes)
         hits: list[tuple[int, int]] = []
-        for low in range(0, n, STREAM):
-            begin = max(0, low - PHRASE + 1)
-            hits.extend((begin + end, k) for end, k in self.automaton.iter(tuple(letters[begin : low + STREAM].tolist())))
+        for first, last in self.runs(letters):
+            for low in range(first, last, STREAM):
+                begin = max(first, low - PHRASE + 1)
+                hits.extend((begin + end, k) for end, k in self.automaton.iter(tuple(letters[begin : min(last, low + STREAM)].tolist())))
         if not hits:
             return None
         at, which = np.array(hits, np.int64).T
