@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .blocks import scan
 from .lattice import Lattice
 from .rangejoin import nearest_event
 from .stats import histogram
@@ -136,9 +137,17 @@ def merge(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(moved.select(*a.columns))
 
 
+def held(ev: DataFrame, keys: tuple[str, ...] = CELL) -> DataFrame:
+    """(keys, start, end): the frames in which any event of a key is open, as intervals that don't overlap. An event is its two ends; the number of
+    open ones is their running sum, block by block; no frame in between gets a row."""
+    ends = ev.select(*keys, F.explode(F.array(F.struct(F.col("bind_i").alias("t"), F.lit(1).alias("s")), F.struct((F.col("bind_f") + 1).alias("t"), F.lit(-1).alias("s")))).alias("e"))
+    steps = ends.groupBy(*keys, F.col("e.t").alias("start")).agg(F.sum("e.s").alias("s"))
+    return scan(steps, list(keys), "start", sums={"n": F.col("s")}, following="next").filter("n > 0").select(*keys, "start", (F.col("next") - 1).alias("end"))
+
+
 def occupancy(ev: DataFrame, n_frames: int) -> DataFrame:
     """Share of frames in which a cell is held by any lipid."""
-    return timeline(ev).groupBy(*CELL).agg((F.countDistinct("frame") / F.lit(float(n_frames))).alias("value"))
+    return held(ev).groupBy(*CELL).agg((F.sum(F.col("end") - F.col("start") + 1) / F.lit(float(n_frames))).alias("value"))
 
 
 def contributors(ev: DataFrame) -> DataFrame:
@@ -147,10 +156,12 @@ def contributors(ev: DataFrame) -> DataFrame:
 
 
 def bound_counts(ev: DataFrame, n_frames: int) -> DataFrame:
-    """(frame, n): different lipids bound in each frame, 0 included."""
-    n = timeline(ev).groupBy("frame").agg(F.countDistinct("lipid_nr").alias("n"))
-    frames = ev.sparkSession.range(n_frames).select(F.col("id").cast("int").alias("frame"))
-    return frames.join(n, "frame", "left").select("frame", F.coalesce("n", F.lit(0)).alias("n"))
+    """(frame, n): different lipids bound in each frame, 0 included. A lipid's intervals in all cells are united first; then their ends are summed
+    along the frames."""
+    spans = held(ev, ("lipid_nr",))
+    steps = spans.select(F.explode(F.array(F.struct(F.col("start").alias("t"), F.lit(1).alias("s")), F.struct((F.col("end") + 1).alias("t"), F.lit(-1).alias("s")))).alias("e")).groupBy(F.greatest(F.lit(0), "e.t").cast("int").alias("frame")).agg(F.sum("e.s").alias("s"))
+    frames = ev.sparkSession.range(n_frames).select(F.col("id").cast("int").alias("frame")).join(steps, "frame", "left")
+    return scan(frames, [], "frame", sums={"n": F.coalesce("s", F.lit(0))}).select("frame", "n")
 
 
 def binding_timeline(ev: DataFrame, n_frames: int) -> DataFrame:

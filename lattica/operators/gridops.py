@@ -3,8 +3,10 @@ mask; extra key columns (by) keep many lattices apart."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .events import koff, stacked
 from .lattice import Lattice
@@ -16,11 +18,61 @@ from .windows import hysteresis, islands, shell_vote, window_vote
 XY = ["gx", "gy"]
 
 
-def mask_distance(grid: DataFrame, mask: DataFrame, cell: float) -> DataFrame:
-    """(gx, gy, dist): distance of every node to the nearest mask node. A mask is a part of one lattice, which is why it is broadcast."""
-    m = mask.select(F.col("gx").alias("mx"), F.col("gy").alias("my"))
-    dx, dy = (F.col("gx") - F.col("mx")) * F.lit(cell), (F.col("gy") - F.col("my")) * F.lit(cell)
-    return grid.select(*XY).crossJoin(F.broadcast(m)).groupBy(*XY).agg(F.min(F.sqrt(dx * dx + dy * dy)).alias("dist"))
+def _envelope(heights: list[tuple[int, int]], at: list[int]) -> list[tuple[int, int]]:
+    """For each place of at (ascending), (dx, dy) of the least dx * dx + dy * dy, over heights (y, dx) with ascending y and dy = place - y: the lower envelope of the
+    parabolas, in one pass."""
+    hull: list[tuple[int, int]] = []
+    starts: list[float] = []
+    for y, dx in heights:
+        while hull:
+            y0, d0 = hull[-1]
+            cross = ((y * y + dx * dx) - (y0 * y0 + d0 * d0)) / (2 * (y - y0))
+            if cross > starts[-1]:
+                break
+            hull.pop()
+            starts.pop()
+        starts.append(cross if hull else float("-inf"))
+        hull.append((y, dx))
+    out, k = [], 0
+    for y in at:
+        while k + 1 < len(hull) and starts[k + 1] <= y:
+            k += 1
+        out.append((hull[k][1], y - hull[k][0]))
+    return out
+
+
+def mask_distance(grid: DataFrame, mask: DataFrame, cell: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, gx, gy, dist): distance of every node to the nearest mask node of its lattice; lattices without a mask have no rows.
+
+    A separable distance transform. Along each row (one gy), the nearest mask nodes before and after a node give its distance in x; along each
+    column (one gx) the lower envelope of the rows' parabolas gives the nearest of all. No node meets all mask nodes, and lattices are kept apart by `by`."""
+    keys = [*by, *XY]
+    asked, marks = grid.select(*keys).distinct(), mask.select(*keys).distinct()
+    low, high = asked.agg(F.min("gx"), F.max("gx")).first()
+    along = F.sequence(F.lit(low or 0).cast("int"), F.lit(high or 0).cast("int"))
+    line = marks.select(*by, "gy").distinct().withColumn("gx", F.explode(along)).select(*keys, F.lit(0).alias("_on")).unionByName(marks.withColumn("_on", F.lit(1)))
+    row = Window.partitionBy(*by, "gy").orderBy("gx", F.desc("_on"))
+    hit = F.when(F.col("_on") == 1, F.col("gx"))
+    back = F.col("gx") - F.last(hit, True).over(row.rowsBetween(Window.unboundedPreceding, 0))
+    ahead = F.first(hit, True).over(row.rowsBetween(0, Window.unboundedFollowing)) - F.col("gx")
+    heights = line.withColumn("_dx", F.least(back, ahead)).filter("_on = 0")
+    node = lambda df, dx, ask: df.select(*by, F.col("gx").cast("int").alias("gx"), F.col("gy").cast("int").alias("gy"), dx.cast("int").alias("_dx"), F.lit(ask).alias("_ask"))
+    near = node(heights, F.col("_dx"), False).unionByName(node(asked, F.lit(None), True))
+    names = [*by, "gx", "gy", "_dx", "_dy"]
+
+    def column(table: pa.Table) -> pa.Table:
+        table = table.sort_by("gy")
+        gy, dx, ask = (table[c].to_pylist() for c in ("gy", "_dx", "_ask"))
+        heights = [(y, d) for y, d in zip(gy, dx) if d is not None]
+        asked = [k for k, a in enumerate(ask) if a] if heights else []
+        found = _envelope(heights, [gy[k] for k in asked]) if asked else []
+        part = table.take(pa.array(asked, pa.int64()))
+        return pa.table([*(part[c] for c in (*by, "gx", "gy")), pa.array([d for d, _ in found], pa.int32()), pa.array([d for _, d in found], pa.int32())], names)
+
+    schema = "".join(f"{c} {grid.schema[c].dataType.simpleString()}, " for c in by) + "gx int, gy int, _dx int, _dy int"
+    found = near.groupBy(*by, "gx").applyInArrow(column, schema)
+    x, y = F.col("_dx") * F.lit(cell), F.col("_dy") * F.lit(cell)
+    return found.select(*by, *XY, F.sqrt(x * x + y * y).alias("dist"))
 
 
 def distance_bands(dist: DataFrame, n: int, res: float, width: float, cumulative: bool = False) -> DataFrame:

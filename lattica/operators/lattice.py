@@ -7,8 +7,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-AXES = ("x", "y", "z")
+from . import scanline
+from .scanline import AXES
 
 
 @dataclass(frozen=True)
@@ -71,18 +73,24 @@ def grid_keys(df: DataFrame) -> list[str]:
     return [k for k in ("gx", "gy", "gz") if k in df.columns]
 
 
-def frame_mean(stamped: DataFrame, by: tuple[str, ...] = (), values: tuple[str, ...] = ("value",)) -> DataFrame:
-    return stamped.groupBy(*by, "frame", *grid_keys(stamped)).agg(*[F.avg(v).alias(v) for v in values])
+def stamp_counts(points: DataFrame, grid: Lattice, radius: float, by: tuple[str, ...] = ("frame",)) -> DataFrame:
+    """(by, nodes, n): how many points cover each node; nodes that none covers have no row."""
+    return scanline.totals(points, grid, radius, by)
 
 
-def time_mean(stamped: DataFrame, by: tuple[str, ...] = (), values: tuple[str, ...] = ("value",)) -> DataFrame:
+def frame_mean(points: DataFrame, grid: Lattice, radius: float, by: tuple[str, ...] = (), values: tuple[str, ...] = ("value",)) -> DataFrame:
+    """Mean of the points that cover a node in a frame; nulls are left out."""
+    return scanline.means(points, grid, radius, (*by, "frame"), values).drop("n")
+
+
+def time_mean(points: DataFrame, grid: Lattice, radius: float, by: tuple[str, ...] = (), values: tuple[str, ...] = ("value",)) -> DataFrame:
     """Mean in each frame, then the unweighted mean over the frames in which a node was hit; rho counts these frames."""
-    return frame_mean(stamped, by, values).groupBy(*by, *grid_keys(stamped)).agg(*[F.avg(v).alias(v) for v in values], F.count("*").alias("rho"))
+    return frame_mean(points, grid, radius, by, values).groupBy(*by, *grid.keys).agg(*[F.avg(v).alias(v) for v in values], F.count("*").alias("rho"))
 
 
-def sample_mean(stamped: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Mean over all samples of a node; rho counts samples."""
-    return stamped.groupBy(*by, *grid_keys(stamped)).agg(F.avg("value").alias("value"), F.count("*").alias("rho"))
+def sample_mean(points: DataFrame, grid: Lattice, radius: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """Mean over all samples of a node; rho counts samples. Frames need no rows of their own."""
+    return scanline.means(points, grid, radius, by).withColumnRenamed("n", "rho")
 
 
 def exclude(values: DataFrame, grid: Lattice, cutoff: float, rho: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
@@ -103,22 +111,22 @@ def exclude(values: DataFrame, grid: Lattice, cutoff: float, rho: DataFrame | No
     return full.select(*by, *keys, *[F.when(F.col("rho") > cutoff * F.col("_mean"), F.col(c)).alias(c) for c in vals], "rho")
 
 
-def time_stdev(stamped: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def time_stdev(points: DataFrame, grid: Lattice, radius: float, by: tuple[str, ...] = ()) -> DataFrame:
     """Standard deviation over frames (n - 1; null where rho is 1) and its standard error."""
-    f = frame_mean(stamped, by)
-    g = f.groupBy(*by, *grid_keys(stamped)).agg(F.avg("value").alias("value"), F.stddev_samp("value").alias("sd"), F.count("*").alias("rho"))
+    f = frame_mean(points, grid, radius, by)
+    g = f.groupBy(*by, *grid.keys).agg(F.avg("value").alias("value"), F.stddev_samp("value").alias("sd"), F.count("*").alias("rho"))
     sd = F.when(F.col("rho") > 1, F.col("sd"))
-    return g.select(*by, *grid_keys(stamped), "value", sd.alias("sd"), (sd / F.sqrt(F.col("rho").cast("double"))).alias("error"), "rho")
+    return g.select(*by, *grid.keys, "value", sd.alias("sd"), (sd / F.sqrt(F.col("rho").cast("double"))).alias("error"), "rho")
 
 
 def density(points: DataFrame, grid: Lattice, radius: float, n_frames: int, atoms_per_molecule: str = "n_atoms") -> DataFrame:
     """Each atom spreads 1 / (nodes it covers * frames * atoms of its molecule): the lattice sums to the number of molecules.
 
-    points need frame, atom_nr and atoms_per_molecule."""
-    s = _spread(points, grid, radius)
-    covered = s.groupBy("frame", "atom_nr").agg(F.count("*").alias("_k"))
-    share = 1.0 / (F.col("_k") * F.lit(n_frames) * F.col(atoms_per_molecule))
-    return s.join(covered, ["frame", "atom_nr"]).groupBy(*grid.keys).agg(F.sum(share).alias("value"))
+    points need frame, atom_nr and atoms_per_molecule. An atom's nodes are counted by its intervals; an atom off the lattice has none."""
+    found = scanline.intervals(points, grid, radius)
+    covered = F.sum(F.col("_high") - F.col("_low") + 1).over(Window.partitionBy("frame", "atom_nr"))
+    share = 1.0 / (covered * F.lit(n_frames) * F.col(atoms_per_molecule))
+    return scanline.summed(found.withColumn("value", share), grid, values=("value",)).select(*grid.keys, "value")
 
 
 def per_frame(values: DataFrame, n_frames: int, column: str = "value") -> DataFrame:

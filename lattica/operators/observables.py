@@ -8,9 +8,10 @@ from pyspark.sql.window import Window
 
 from lattica.functions.geometry import arccos, length
 
-from .lattice import Lattice, density, grid_keys, stamp, time_mean
+from .lattice import Lattice, density, frame_mean, grid_keys, stamp, stamp_counts, time_mean
 from .molecule import centers, gyration, order_parameter, pair_distance, pair_vector
 from .rangejoin import near, range_join
+from .scanline import totals
 from .tessellate import tessellate
 
 
@@ -21,7 +22,7 @@ def at_atoms(values: DataFrame, atoms: DataFrame, mapping: tuple[str, ...], colu
 
 
 def mapped(points: DataFrame, grid: Lattice, radius: float, values: tuple[str, ...] = ("value",)) -> DataFrame:
-    return time_mean(stamp(points, grid, radius), values=values)
+    return time_mean(points, grid, radius, values=values)
 
 
 def thickness(target: DataFrame, other: DataFrame, xy_cutoff: float, mapping: DataFrame, grid: Lattice, radius: float) -> DataFrame:
@@ -31,8 +32,7 @@ def thickness(target: DataFrame, other: DataFrame, xy_cutoff: float, mapping: Da
     pairs = range_join(target, other, xy_cutoff, dims="xy").withColumn("_k", F.row_number().over(w)).filter("_k = 1")
     found = pairs.select("frame", F.col("a_res_nr").alias("res_nr"), F.abs(F.col("a_z") - F.col("b_z")).alias("value"))
     points = mapping.select("frame", "res_nr", "x", "y").join(found, ["frame", "res_nr"], "left").withColumn("paired", F.col("value").isNotNull().cast("double"))
-    s = stamp(points, grid, radius)
-    f = s.groupBy("frame", *grid.keys).agg(F.avg("value").alias("value"), F.avg("paired").alias("paired"))
+    f = frame_mean(points, grid, radius, values=("value", "paired"))
     return f.groupBy(*grid.keys).agg(F.avg("value").alias("value"), F.avg("paired").alias("paired"), F.count("value").alias("rho"))
 
 
@@ -131,8 +131,8 @@ def salt_bridges(a: DataFrame, b: DataFrame, cutoff: float) -> DataFrame:
 
 def enrichment_lattice(points: DataFrame, is_a: Column, is_b: Column, bulk: float, grid: Lattice, radius: float) -> DataFrame:
     """Frames visited by sets A and B per node, and ((A / B) - bulk) / bulk * 100; null where B is 0."""
-    s = stamp(points.withColumns({"_a": is_a.cast("int"), "_b": is_b.cast("int")}), grid, radius)
-    f = s.groupBy("frame", *grid.keys).agg(F.max("_a").alias("a"), F.max("_b").alias("b"))
+    f = totals(points.withColumns({"a": is_a.cast("int"), "b": is_b.cast("int")}), grid, radius, ("frame",), ("a", "b"))
+    f = f.select(*grid.keys, *[(F.col(c) > 0.5).cast("int").alias(c) for c in "ab"])
     g = f.groupBy(*grid.keys).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count("*").alias("rho"))
     return g.withColumn("value", F.when(F.col("b") > 0, (F.col("a") / F.col("b") - bulk) / bulk * 100.0))
 
@@ -147,7 +147,7 @@ def density3(atoms: DataFrame, grid: Lattice, radius: float, n_frames: int, prot
     """Stamps per frame in 3D, of atoms near the protein if within is given."""
     rows = atoms.select("frame", "x", "y", "z")
     rows = near(rows, protein.select("frame", "x", "y", "z"), within) if within is not None else rows
-    return stamp(rows, grid, radius).groupBy(*grid.keys).agg((F.count("*") / F.lit(float(n_frames))).alias("value"))
+    return stamp_counts(rows, grid, radius, ()).select(*grid.keys, (F.col("n") / F.lit(float(n_frames))).alias("value"))
 
 
 def mean_lipid_coords(atoms: DataFrame, mapping: str, grid: Lattice, radius: float) -> DataFrame:

@@ -1,7 +1,8 @@
 """Distance, nearest and as-of joins (J1-J10).
 
 A distance predicate alone would be a nested loop. Here space is cut into cells as wide as the radius; one side is copied to the
-neighbouring cells, so that the join is a hash or merge join on (keys, cell), and the exact distance is filtered afterwards.
+neighbouring cells, so that the join is a hash or merge join on (keys, cell), and the exact distance is filtered afterwards. Cells are counted first;
+crowded ones are halved along every axis, as often as their count asks for, and the other side is copied only to the parts in its reach.
 """
 
 from __future__ import annotations
@@ -23,14 +24,50 @@ def _distance(dims: str) -> Column:
     return length(*[F.col(f"a_{d}") - F.col(f"b_{d}") for d in dims])
 
 
-def range_join(a: DataFrame, b: DataFrame, radius: float, on: tuple[str, ...] = ("frame",), dims: str = "xyz", closed: bool = False, how: str = "inner", where: Column | None = None) -> DataFrame:
-    """Pairs with distance < radius (closed: <=): columns of a as a_*, of b as b_*, and dist. how left_semi keeps rows of a."""
+#: Rows of one side in a cell, or in a part of it, above which it is parted further; and how often its sides may be halved.
+CROWD, HALVINGS = 4096, 8
+
+
+def _parted(left: DataFrame, right: DataFrame, radius: float, on: tuple[str, ...], dims: str, crowd: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with further join keys: the part of a crowded cell (a quadtree's or octree's, of a depth that its count asks for), and, for points so
+    close together that even the smallest part is crowded, a number by which they are dealt out. A row of the left side has one part; one of the right
+    side is copied to the parts of its cell that its radius reaches."""
+    from .transforms import checkpointed
+
+    cells, parts = [f"_c{d}" for d in dims], [f"_p{d}" for d in dims]
+    count = lambda keys: left.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > crowd)
+    depth = F.least(F.lit(HALVINGS), F.ceil(F.log2(F.col("_n") / F.lit(crowd)) / len(dims)))
+    deep = checkpointed(count([*on, *cells]).select(*on, *cells, depth.cast("int").alias("_deep")))
+    scaled = lambda side, d: F.col(f"{side}_{d}") / radius
+    times = F.pow(F.lit(2.0), F.coalesce("_deep", F.lit(0)))  # a power of two, so that a part lies in one cell
+    left = left.join(deep, [*on, *cells], "left").withColumn("_times", times).withColumns({q: F.floor(scaled("a", d) * F.col("_times")) for d, q in zip(dims, parts)})
+    right = right.join(deep, [*on, *cells], "left").withColumn("_times", times)
+    for d, c, q in zip(dims, cells, parts):
+        slack = 1e-12 * (F.abs(scaled("b", d)) + 1.0)
+        low = F.greatest(F.floor((scaled("b", d) - 1.0 - slack) * F.col("_times")), F.col(c) * F.col("_times").cast("long"))
+        high = F.least(F.floor((scaled("b", d) + 1.0 + slack) * F.col("_times")), (F.col(c) + 1) * F.col("_times").cast("long") - 1)
+        right = right.withColumn(q, F.explode(F.when(low <= high, F.sequence(low, high))))
+    dealt = checkpointed(count([*on, *cells, *parts]).select(*on, *cells, *parts, F.ceil(F.col("_n") / F.lit(crowd)).cast("int").alias("_ways")))
+    names = [c for c in left.columns if c.startswith("a_")]
+    left = left.join(dealt, [*on, *cells, *parts], "left").withColumn("_way", F.pmod(F.xxhash64(*names), F.coalesce("_ways", F.lit(1))).cast("int"))
+    right = right.join(dealt, [*on, *cells, *parts], "left").withColumn("_way", F.explode(F.sequence(F.lit(0), F.coalesce("_ways", F.lit(1)) - 1)))
+    return left.drop("_deep", "_times", "_ways"), right.drop("_deep", "_times", "_ways"), [*parts, "_way"]
+
+
+def range_join(a: DataFrame, b: DataFrame, radius: float, on: tuple[str, ...] = ("frame",), dims: str = "xyz", closed: bool = False, how: str = "inner", where: Column | None = None, crowd: int = CROWD) -> DataFrame:
+    """Pairs with distance < radius (closed: <=): columns of a as a_*, of b as b_*, and dist. how left_semi keeps rows of a.
+
+    The rows of a in each cell are counted; where a cell has more than crowd, crowded cells are parted, with the same pairs."""
     left, right = _prefixed(a, "a_", on), _prefixed(b, "b_", on)
     cells = [f"_c{d}" for d in dims]
     for d, c in zip(dims, cells):
         left = left.withColumn(c, F.floor(F.col(f"a_{d}") / radius))
         right = right.withColumn(c, F.explode(F.sequence(F.floor(F.col(f"b_{d}") / radius) - 1, F.floor(F.col(f"b_{d}") / radius) + 1)))
     keys = [*on, *cells]
+    most = left.groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if most > crowd:
+        left, right, more = _parted(left, right, radius, on, dims, crowd)
+        cells, keys = [*cells, *more], [*keys, *more]
     right = right.select(*[F.col(k).alias(f"_r{k}") for k in keys], *[c for c in right.columns if c not in keys])
     dist = _distance(dims)
     match = reduce(Column.__and__, [F.col(k) == F.col(f"_r{k}") for k in keys]) & (dist <= radius if closed else dist < radius)
@@ -100,7 +137,7 @@ def hbonds(acceptors: DataFrame, donors: DataFrame, bonds: DataFrame, hydrogens:
     pairs = range_join(acceptors.select(cols), donors.select(cols), distance).filter("a_atom_nr != b_atom_nr")
     if exclude is not None:
         both = exclude.select("a", "b").union(exclude.select("b", "a")).distinct()
-        pairs = pairs.join(F.broadcast(both), (F.col("a_atom_nr") == F.col("a")) & (F.col("b_atom_nr") == F.col("b")), "left_anti")
+        pairs = pairs.join(both, (F.col("a_atom_nr") == F.col("a")) & (F.col("b_atom_nr") == F.col("b")), "left_anti")
     sym = bonds.select(F.col("a").alias("b_atom_nr"), F.col("b").alias("h_atom_nr")).union(bonds.select("b", "a")).distinct()
     h = hydrogens.select("frame", F.col("atom_nr").alias("h_atom_nr"), *[F.col(c).alias(f"h_{c}") for c in "xyz"])
     rows = pairs.join(sym, "b_atom_nr").join(h, ["frame", "h_atom_nr"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -132,15 +134,47 @@ def flip_series(centers: DataFrame) -> DataFrame:
     return centers.select("res_nr", "frame", "z")
 
 
-def msd(centers: DataFrame, max_lag: int | None = None) -> DataFrame:
-    """(lag, value, n): xy mean square displacement over all time origins, averaged per lipid, then over lipids."""
-    a = centers.select("res_nr", "frame", "x", "y")
-    b = centers.select("res_nr", F.col("frame").alias("f2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    lag = F.col("f2") - F.col("frame")
-    pairs = a.join(b, "res_nr").filter((lag > 0) & (lag <= max_lag if max_lag else F.lit(True)))
-    dx, dy = F.col("x2") - F.col("x"), F.col("y2") - F.col("y")
-    per = pairs.groupBy("res_nr", lag.alias("lag")).agg(F.avg(dx * dx + dy * dy).alias("m"))
-    return per.groupBy("lag").agg(F.avg("m").alias("value"), F.count("*").alias("n"))
+def _correlation(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+    """sum over t of a[t] b[t + lag], for each lag below size."""
+    room = 1 << (2 * size - 1).bit_length()
+    return np.fft.irfft(np.conj(np.fft.rfft(a, room)) * np.fft.rfft(b, room), room)[:size]
+
+
+def _displacements(frames: np.ndarray, x: np.ndarray, y: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lags above 0 that occur, and the mean square displacement of each, of one series in any order. (a - b)^2 is a^2 + b^2 - 2 a b, and each of these, and the
+    number of pairs, is a correlation over frames, whatever frames are missing or repeated."""
+    first = frames.min()
+    step = max(1, int(np.gcd.reduce(frames - first)))
+    at = (frames - first) // step
+    size = int(at.max()) + 1
+    put = lambda v: np.bincount(at, v, size)
+    x, y = x - x.mean(), y - y.mean()
+    n, sx, sy, sq = put(np.ones(len(at))), put(x), put(y), put(x * x + y * y)
+    origin = np.arange(size) * step % stride == 0
+    pairs = np.rint(_correlation(n * origin, n, size))
+    total = _correlation(n * origin, sq, size) + _correlation(sq * origin, n, size) - 2 * (_correlation(sx * origin, sx, size) + _correlation(sy * origin, sy, size))
+    lag = np.flatnonzero(pairs[1:] > 0) + 1
+    return lag * step, np.maximum(total[lag], 0.0) / pairs[lag]
+
+
+def msd_by_lipid(centers: DataFrame, max_lag: int | None = None, stride: int = 1) -> DataFrame:
+    """(res_nr, lag, value): each lipid's xy mean square displacement over its time origins, which are every stride frames from its first on.
+
+    By fast Fourier transforms, one lipid at a time: its series of frames is the group, and time grows as n log n in its frames. Rows without a frame
+    or a position are left out; several rows of one frame all count."""
+    def run(table: pa.Table) -> pa.Table:
+        frames, x, y = (table[c].to_numpy() for c in ("frame", "x", "y"))
+        lag, value = _displacements(frames.astype(np.int64), x, y, stride)
+        keep = lag <= max_lag if max_lag is not None else np.ones(len(lag), bool)
+        return pa.table([pa.repeat(table["res_nr"][0], int(keep.sum())), pa.array(lag[keep].astype(np.int32)), pa.array(value[keep])], ["res_nr", "lag", "value"])
+
+    rows = centers.select("res_nr", "frame", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna(subset=["frame", "x", "y"])
+    return rows.groupBy("res_nr").applyInArrow(run, f"res_nr {centers.schema['res_nr'].dataType.simpleString()}, lag int, value double")
+
+
+def msd(centers: DataFrame, max_lag: int | None = None, stride: int = 1) -> DataFrame:
+    """(lag, value, n): the mean over lipids of their mean square displacements, and the number of lipids that have the lag."""
+    return msd_by_lipid(centers, max_lag, stride).groupBy("lag").agg(F.avg("value").alias("value"), F.count("*").alias("n"))
 
 
 def regions(ions: DataFrame, upper: DataFrame, lower: DataFrame, k: int, buffer: float, radius: float, key: str = "res_nr") -> DataFrame:
@@ -175,7 +209,9 @@ def mixing(a: DataFrame, b: DataFrame, shell: float, r: int, n_b: int, stride: i
 
 
 def circular_stats(angles: DataFrame, *by: str) -> DataFrame:
-    """Plain mean and sd of degrees; circular mean atan2(mean sin, mean cos), and circular sd about it (n - 1, differences folded to +-180)."""
+    """Plain mean and sd of degrees; circular mean atan2(mean sin, mean cos), and circular sd about it (n - 1, differences folded to +-180).
+    Null angles are left out."""
+    angles = angles.filter(F.col("angle").isNotNull())
     rad = F.radians("angle")
     m = angles.groupBy(*by).agg(F.avg("angle").alias("mean"), F.stddev_samp("angle").alias("sd"), F.degrees(F.atan2(F.avg(F.sin(rad)), F.avg(F.cos(rad)))).alias("circular_mean"))
     j = angles.join(m, list(by)) if by else angles.crossJoin(m)

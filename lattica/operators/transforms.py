@@ -7,14 +7,14 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.functions.rotation import XYZ, turns
+
 from .windows import unwrap
 
-XYZ = ("x", "y", "z")
 
 
 def scan_frames(df: DataFrame, b: int | None = None, e: int | None = None, stride: int = 1, renumber: bool = True) -> DataFrame:
@@ -108,26 +108,50 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forest(bonds: DataFrame) -> DataFrame:
+    """(atom_nr, parent, depth) of a spanning forest of the bonds (a, b): breadth first from the least atom of each molecule; of several bonded atoms a level above,
+    the least is the parent. Roots have no row. One molecule is one group: bonds are a part of the topology, and don't grow with the frames."""
+    both = bonds.select("a", "b").union(bonds.select("b", "a")).distinct()
+    named = both.join(components(bonds).select(F.col("atom_nr").alias("a"), "molecule"), "a").select("molecule", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+
+    def walk(table: pa.Table) -> pa.Table:
+        near: dict[int, list[int]] = {}
+        for x, y in zip(table["a"].to_pylist(), table["b"].to_pylist()):
+            near.setdefault(x, []).append(y)
+        level, parent, depth = [min(near)], {min(near): None}, {min(near): 0}
+        while level:
+            for x in level:
+                for y in near[x]:
+                    if y not in parent:
+                        parent[y], depth[y] = x, depth[x] + 1
+            level = sorted(y for y in {y for x in level for y in near[x]} if depth[y] == depth[level[0]] + 1)
+        rows = [(x, p, depth[x]) for x, p in parent.items() if p is not None]
+        return pa.table([pa.array(c, kind) for c, kind in zip(zip(*rows) if rows else ([], [], []), (pa.int64(), pa.int64(), pa.int32()))], ["atom_nr", "parent", "depth"])
+
+    return named.groupBy("molecule").applyInArrow(walk, "atom_nr long, parent long, depth int")
+
+
 def mend_bonds(df: DataFrame, bonds: DataFrame, box: tuple[float, float, float]) -> DataFrame:
-    """Makes molecules whole along their bonds: walking from the least atom of a molecule, an atom more than half a box from the bonded atom
-    before it is shifted by a box. Level-wise: the walk is the same in all frames, so that its levels are joined once each."""
-    both = checkpointed(bonds.select("a", "b").union(bonds.select("b", "a")).distinct())
-    roots = components(bonds).filter("atom_nr = molecule").select(F.col("atom_nr").alias("b"))
-    seen, frontier, levels = roots, roots, []
-    while True:
-        nxt = both.join(frontier.select(F.col("b").alias("a")), "a").join(seen, "b", "left_anti").groupBy("b").agg(F.min("a").alias("a"))
-        nxt = checkpointed(nxt)
-        if not nxt.limit(1).count():
-            break
-        levels.append(nxt)
-        frontier, seen = nxt.select("b"), checkpointed(seen.union(nxt.select("b")))
-    cols = ["frame", "atom_nr", *XYZ]
-    out = df.select(cols)
-    for tree in levels:
-        parent = out.select("frame", F.col("atom_nr").alias("a"), *[F.col(k).alias(f"p{k}") for k in XYZ]).join(F.broadcast(tree), "a").select("frame", F.col("b").alias("atom_nr"), "px", "py", "pz")
-        j = out.join(parent, ["frame", "atom_nr"], "left")
-        out = j.select("frame", "atom_nr", *[(F.col(k) - F.coalesce(F.round((F.col(k) - F.col(f"p{k}")) / l), F.lit(0.0)) * l).alias(k) for k, l in zip(XYZ, box)])
-    return df.drop(*XYZ).join(out, ["frame", "atom_nr"])
+    """Makes molecules whole along their bonds: from the least atom of a molecule on, an atom more than half a box from its parent is shifted by boxes.
+
+    An atom's image is its parent's and what its own bond adds, so that images add up along the path to the root, and paths are doubled: a
+    round adds what the atom 2 ** k steps above has summed up. Rounds grow with the logarithm of the depth, and pointers are the same in all frames."""
+    tree = checkpointed(forest(bonds))
+    deepest = tree.agg(F.max("depth")).first()[0] or 0
+    at = df.select("frame", F.col("atom_nr").cast("long").alias("atom_nr"), *XYZ)
+    up = at.select("frame", F.col("atom_nr").alias("parent"), *[F.col(k).alias(f"p{k}") for k in XYZ])
+    add = {f"i{k}": -F.round((F.col(k) - F.col(f"p{k}")) / F.lit(l)) for k, l in zip(XYZ, box)}
+    sums = at.join(tree.select("atom_nr", "parent"), "atom_nr").join(up, ["frame", "parent"]).select("frame", "atom_nr", *[c.alias(n) for n, c in add.items()])
+    pointer = tree.select("atom_nr", F.col("parent").alias("to"))
+    reach = 1
+    while reach < deepest:
+        sums = checkpointed(sums)
+        above = sums.select("frame", F.col("atom_nr").alias("to"), *[F.col(n).alias(f"u{n}") for n in add])
+        sums = sums.join(pointer, "atom_nr", "left").join(above, ["frame", "to"], "left").select("frame", "atom_nr", *[(F.col(n) + F.coalesce(f"u{n}", F.lit(0.0))).alias(n) for n in add])
+        pointer = checkpointed(pointer.join(pointer.select(F.col("atom_nr").alias("to"), F.col("to").alias("next")), "to").select("atom_nr", F.col("next").alias("to")))
+        reach *= 2
+    moved = df.withColumn("_a", F.col("atom_nr").cast("long")).join(sums.withColumnRenamed("atom_nr", "_a"), ["frame", "_a"], "left")
+    return moved.withColumns({k: F.col(k) + F.coalesce(f"i{k}", F.lit(0.0)) * l for k, l in zip(XYZ, box)}).drop("_a", *add).select(*df.columns)
 
 
 def rotate(df: DataFrame, m: list[list[float]]) -> DataFrame:
@@ -174,7 +198,7 @@ def images(df: DataFrame, bx: float, by: float) -> DataFrame:
 def superpose(df: DataFrame, group: Column, ref: DataFrame, dims: int = 3) -> DataFrame:
     """Mass-weighted least-squares fit of each frame's group to ref (atom_nr, x, y, z of one frame), applied to all atoms.
 
-    Nine weighted products a frame are summed in SQL; a small rotation a frame is solved in Python; frames' rotations are joined back. dims 2
+    Nine weighted products a frame are summed, the rotation follows from them in columns, and frames' rotations are joined back. dims 2
     turns about z only."""
     r = ref.select("atom_nr", *[F.col(c).alias(f"r{c}") for c in XYZ])
     g = df.filter(group).join(r, "atom_nr")
@@ -183,22 +207,8 @@ def superpose(df: DataFrame, group: Column, ref: DataFrame, dims: int = 3) -> Da
     j = g.join(centers, "frame")
     sums = j.groupBy("frame").agg(*[F.sum(m * (F.col(a) - F.col(f"c{a}")) * (F.col(f"r{b}") - F.col(f"o{b}"))).alias(f"m{a}{b}") for a in XYZ for b in XYZ])
 
-    def solve(batches):
-        for pdf in batches:
-            rows = []
-            for v in pdf[[f"m{a}{b}" for a in XYZ for b in XYZ]].to_numpy(float):
-                h = v.reshape(3, 3)
-                if dims == 2:
-                    h = h.copy()
-                    h[2, :], h[:, 2] = 0.0, 0.0
-                    h[2, 2] = 1e-12 + np.abs(h).max()
-                u, _, vt = np.linalg.svd(h)
-                d = np.diag([1.0, 1.0, np.sign(np.linalg.det(vt.T @ u.T)) or 1.0])
-                rows.append((vt.T @ d @ u.T).reshape(-1))
-            yield pd.concat([pdf[["frame"]].reset_index(drop=True), pd.DataFrame(np.array(rows).reshape(-1, 9), columns=[f"q{a}{b}" for a in XYZ for b in XYZ])], axis=1)
-
-    turns = sums.mapInPandas(solve, "frame int, " + ", ".join(f"q{a}{b} double" for a in XYZ for b in XYZ)).join(centers, "frame")
-    j = df.join(turns, "frame")
+    turned = turns(sums, dims).drop(*[f"m{a}{b}" for a in XYZ for b in XYZ]).join(centers, "frame")
+    j = df.join(turned, "frame")
     new = {a: sum(F.col(f"q{a}{b}") * (F.col(b) - F.col(f"c{b}")) for b in XYZ) + F.col(f"o{a}") for a in XYZ}
     return j.select(*[c for c in df.columns if c not in XYZ], *[e.alias(a) for a, e in new.items()])
 
@@ -214,7 +224,7 @@ def symmetrize(df: DataFrame, mapping: DataFrame, cycle: int, n: int, ref: DataF
     src = mapping.select(F.col("atom_nr").alias("_from"), F.col("protomer").alias("_p"), F.col("slot").alias("_s"))
     pairs = mapping.join(src, (F.col("_p") == (F.col("protomer") + cycle) % n) & (F.col("_s") == F.col("slot"))).select("atom_nr", "_from")
     other = df.select("frame", F.col("atom_nr").alias("_from"), *[F.col(c).alias(f"n{c}") for c in XYZ])
-    out = df.join(F.broadcast(pairs), "atom_nr").join(other, ["frame", "_from"]).withColumns({c: F.col(f"n{c}") for c in XYZ}).drop("nx", "ny", "nz", "_from")
+    out = df.join(pairs, "atom_nr").join(other, ["frame", "_from"]).withColumns({c: F.col(f"n{c}") for c in XYZ}).drop("nx", "ny", "nz", "_from")
     return superpose(out, F.lit(True), ref) if ref is not None else out
 
 

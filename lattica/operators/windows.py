@@ -2,46 +2,38 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import blocks
+from .blocks import BLOCK
 
-def majority_events(occupancy: DataFrame, r: int, keys: list[str] = ["cell"], label: str = "lipid_nr", frame: str = "frame", dump: bool = True) -> DataFrame:  # noqa: B006
+
+def majority_events(occupancy: DataFrame, r: int, keys: list[str] = ["cell"], label: str = "lipid_nr", frame: str = "frame", dump: bool = True, block: int = BLOCK) -> DataFrame:  # noqa: B006
     """Dwell intervals (keys, label, bind_i, bind_f, dwell) of a noise-filtered occupancy; negative labels are nothing.
 
     A label holds its cell at frame f when it fills at least half of the frames f - 2r .. f; nothing is emitted before frame 2r. Sweep
-    line: a row adds one from f on and takes one away from f + 2r + 1 on, so that a running sum counts without copying rows.
+    line: a row adds one from f on and takes one away from f + 2r + 1 on, so that a running sum counts without copying rows; it runs block by block.
     dump False leaves out intervals that are open on the last frame.
     """
-    span = 2 * r + 1
-    occ = occupancy.filter(F.col(label) >= 0).select(*keys, label, F.col(frame).alias("_f"))
-    steps = occ.withColumn("_d", F.lit(1)).unionByName(occ.select(*keys, label, (F.col("_f") + span).alias("_f"), F.lit(-1).alias("_d"))).groupBy(*keys, label, "_f").agg(F.sum("_d").alias("_d"))
-    w = Window.partitionBy(*keys, label).orderBy("_f")
+    span, series = 2 * r + 1, [*keys, label]
+    occ = occupancy.filter(F.col(label) >= 0).select(*series, F.col(frame).alias("_f"))
+    steps = occ.withColumn("_d", F.lit(1)).unionByName(occ.select(*series, (F.col("_f") + span).alias("_f"), F.lit(-1).alias("_d"))).groupBy(*series, "_f").agg(F.sum("_d").alias("_d"))
     last = occupancy.agg(F.max(frame).alias("_last"))
-    rows = steps.select(*keys, label, "_f", F.sum("_d").over(w).alias("_n"), F.lead("_f").over(w).alias("_nf")).filter((2 * F.col("_n") >= span) & F.col("_nf").isNotNull())
-    rows = rows.crossJoin(F.broadcast(last)).select(*keys, label, F.greatest("_f", F.lit(2 * r)).alias("_a"), F.least(F.col("_nf") - 1, F.col("_last")).alias("_b"), "_last").filter("_a <= _b")
-    runs = _runs(rows, [*keys, label], "_a", "_b")
-    out = runs.groupBy(*keys, label, "_run").agg(F.min("_a").cast("int").alias("bind_i"), F.max("_b").cast("int").alias("bind_f"), F.max("_last").alias("_last"))
+    rows = blocks.scan(steps, series, "_f", sums={"_n": F.col("_d")}, following="_nf", block=block).filter((2 * F.col("_n") >= span) & F.col("_nf").isNotNull())
+    rows = rows.crossJoin(F.broadcast(last)).select(*series, F.greatest("_f", F.lit(2 * r)).alias("_a"), F.least(F.col("_nf") - 1, F.col("_last")).alias("_b"), "_last").filter("_a <= _b")
+    out = blocks.runs(rows, series, "_a", "_b", block=block).groupBy(*series, "_run").agg(F.min("_a").cast("int").alias("bind_i"), F.max("_b").cast("int").alias("bind_f"), F.max("_last").alias("_last"))
     if not dump:
         out = out.filter("bind_f < _last")
-    return out.select(*keys, label, "bind_i", "bind_f", (F.col("bind_f") - F.col("bind_i") + 1).cast("int").alias("dwell"))
-
-
-def _runs(df: DataFrame, keys: list[str], a: str, b: str, gap: int = 0) -> DataFrame:
-    """Numbers runs of intervals that touch, or are at most gap frames apart."""
-    w = Window.partitionBy(*keys).orderBy(a, b)
-    fresh = F.when(F.col(a) - F.lag(b).over(w) <= 1 + gap, 0).otherwise(1)
-    return df.withColumn("_fresh", fresh).withColumn("_run", F.sum("_fresh").over(w)).drop("_fresh")
+    return out.select(*series, "bind_i", "bind_f", (F.col("bind_f") - F.col("bind_i") + 1).cast("int").alias("dwell"))
 
 
-def islands(timeline: DataFrame, keys: list[str], last: int, frame: str = "frame", closed_end: bool = False) -> DataFrame:
+def islands(timeline: DataFrame, keys: list[str], last: int, frame: str = "frame", closed_end: bool = False, block: int = BLOCK) -> DataFrame:
     """Runs of frames (rows present) as intervals. Unless closed_end, a run open on the last frame ends one frame early and one that starts
-    there is dropped."""
-    w = Window.partitionBy(*keys).orderBy(frame)
-    rows = timeline.select(*keys, frame).distinct().withColumn("_run", F.col(frame) - F.row_number().over(w))
-    out = rows.groupBy(*keys, "_run").agg(F.min(frame).cast("int").alias("bind_i"), F.max(frame).cast("int").alias("bind_f")).drop("_run")
+    there is dropped. Runs are found block by block."""
+    rows = blocks.runs(timeline.select(*keys, F.col(frame).alias("_f")).distinct(), keys, "_f", "_f", block=block)
+    out = rows.groupBy(*keys, "_run").agg(F.min("_f").cast("int").alias("bind_i"), F.max("_f").cast("int").alias("bind_f")).drop("_run")
     if not closed_end:
         out = out.withColumn("bind_f", F.when(F.col("bind_f") == last, last - 1).otherwise(F.col("bind_f")).cast("int")).filter("bind_i <= bind_f")
     return out.withColumn("dwell", (F.col("bind_f") - F.col("bind_i") + 1).cast("int"))
@@ -55,54 +47,34 @@ def window_vote(timeline: DataFrame, keys: list[str], w: int, cutoff: float, cou
     return timeline.withColumn("occupied", F.when(full & (2 * votes > 2 * w + 1), 1).otherwise(0))
 
 
-def state_fold(df: DataFrame, key: str, state: str, levels: int = 5) -> DataFrame:
+def state_fold(df: DataFrame, key: str, state: str, levels: int = 5, block: int = BLOCK) -> DataFrame:
     """Ordered passages through states 0 .. levels - 1 of each entity: (key, direction, start, end, duration).
 
-    Downward 0, 1, .., levels - 1, upward the reverse; start is the last frame in the first state before the passage. Only changes of
-    state are folded, in Python, one entity at a time; each direction starts clean."""
-    w = Window.partitionBy(key).orderBy("frame")
-    before, after = F.lag(state).over(w), F.lead(state).over(w)
-    edges = df.select(key, "frame", F.col(state).alias("state"), before.alias("p"), after.alias("q"))
-    edges = edges.filter(F.col("p").isNull() | F.col("q").isNull() | (F.col("p") != F.col("state")) | (F.col("q") != F.col("state"))).select(key, "frame", "state")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        pdf = pdf.sort_values("frame")
-        for direction, path in (("down", list(range(levels))), ("up", list(range(levels))[::-1])):
-            at, start = -1, None
-            for frame, s in zip(pdf["frame"], pdf["state"]):
-                if s == path[0]:
-                    at, start = 0, frame
-                elif at >= 0 and at + 1 < levels and s == path[at + 1]:
-                    at += 1
-                elif at >= 0 and s != path[at]:
-                    at = path.index(s) if path.index(s) <= at else -1
-                if at == levels - 1:
-                    out.append((pdf[key].iloc[0], direction, int(start), int(frame), int(frame - start)))
-                    at, start = -1, None
-        return pd.DataFrame(out, columns=[key, "direction", "start", "end", "duration"])
-
-    kind = df.schema[key].dataType.simpleString()
-    return edges.groupBy(key).applyInPandas(fold, f"{key} {kind}, direction string, start int, end int, duration int")
-
-
-def hysteresis(df: DataFrame, keys: list[str], ratio: str, high: float, low: float) -> DataFrame:
-    """on turns 1 at ratio >= high, stays while ratio > low, else 0: the last row that decides either way counts."""
-    w = Window.partitionBy(*keys).orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
+    Downward 0, 1, .., levels - 1, upward the reverse; start is the last frame in the first state before the passage. Each direction starts clean.
+    A visit of the first state forgets all before it, and from there a step back or one level on keeps the passage alive, a skip ends it. So the
+    automaton is a last visit, carried block by block, and for the rows after it their first frame in the last state, if no skip lies before that.
+    Null states, and those beyond the levels, are skips."""
+    rows = df.select(key, "frame", F.col(state).alias("_s"))
+    turns = F.explode(F.array(*[F.struct(F.lit(d).alias("direction"), level.alias("_at")) for d, level in (("down", F.col("_s")), ("up", F.lit(levels - 1) - F.col("_s")))]))
+    rows = rows.select(key, "frame", turns.alias("_t")).select(key, "frame", "_t.direction", F.coalesce("_t._at", F.lit(levels + 1)).alias("_at"))
+    series = [key, "direction"]
+    rows = blocks.scan(rows, series, "frame", lasts={"_start": F.when(F.col("_at") == 0, F.col("frame"))}, previous={"_was": F.col("_at")}, block=block)
+    there, skip = F.min(F.when(F.col("_at") == levels - 1, F.col("frame"))), F.min(F.when(F.col("_at") > F.col("_was") + 1, F.col("frame")))
+    passed = rows.filter(F.col("_start").isNotNull()).groupBy(*series, "_start").agg(there.alias("_end"), skip.alias("_skip")).filter(F.col("_skip").isNull() & F.col("_end").isNotNull() | (F.col("_end") < F.col("_skip")))
+    return passed.select(*series, F.col("_start").cast("int").alias("start"), F.col("_end").cast("int").alias("end"), (F.col("_end") - F.col("_start")).cast("int").alias("duration"))
+
+
+def hysteresis(df: DataFrame, keys: list[str], ratio: str, high: float, low: float, block: int = BLOCK) -> DataFrame:
+    """on turns 1 at ratio >= high, stays while ratio > low, else 0: the last row that decides either way counts, carried block by block."""
     decisive = F.when(F.col(ratio) >= high, 1).when(F.col(ratio) <= low, 0)
-    return df.withColumn("on", F.coalesce(F.last(decisive, ignorenulls=True).over(w), F.lit(0)))
-
-
-def unwrap(df: DataFrame, axes: str, box: dict[str, float], key: str = "atom_nr", cutoff: float = 0.5, where: Column | None = None) -> DataFrame:
-    """Undoes periodic jumps: a step beyond +-cutoff boxes adds one image against it, from that frame on."""
-    w = Window.partitionBy(key).orderBy("frame")
-    for axis in axes:
-        step = F.col(axis) - F.lag(axis).over(w)
-        jump = F.when(step > cutoff * box[axis], -1).when(step < -cutoff * box[axis], 1).otherwise(0)
-        df = df.withColumn("_jump", jump).withColumn("_images", F.sum("_jump").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        moved = F.col(axis) + F.col("_images") * box[axis]
-        df = df.withColumn(axis, moved if where is None else F.when(where, moved).otherwise(F.col(axis))).drop("_jump", "_images")
-    return df
+    return blocks.scan(df, keys, "frame", lasts={"on": decisive}, block=block).withColumn("on", F.coalesce("on", F.lit(0)))
+
+
+def unwrap(df: DataFrame, axes: str, box: dict[str, float], key: str = "atom_nr", cutoff: float = 0.5, where: Column | None = None, block: int = BLOCK) -> DataFrame:
+    """Undoes periodic jumps: a step beyond +-cutoff boxes adds one image against it, from that frame on; images add up block by block."""
+    rows = blocks.jumps(df, [key], "frame", {f"_images_{a}": (a, cutoff * box[a]) for a in axes}, block)
+    moved = {a: F.col(a) + F.col(f"_images_{a}") * box[a] for a in axes}
+    return rows.withColumns({a: m if where is None else F.when(where, m).otherwise(F.col(a)) for a, m in moved.items()}).drop(*[f"_images_{a}" for a in axes])
 
 
 def running_average(df: DataFrame, column: str, r: int, order: str = "pos", keys: tuple[str, ...] = ()) -> DataFrame:

@@ -82,10 +82,10 @@ class Fixture:
 
     def grid(self, leaflet: int) -> DataFrame:
         """Mean z of the heads of a leaflet on the lattice, with rho: (gx, gy, value, rho)."""
-        from lattica.operators.lattice import Lattice, stamp, time_mean
+        from lattica.operators.lattice import Lattice, time_mean
 
         points = self.heads.filter(F.col("leaflet") == leaflet).select("frame", "x", "y", F.col("z").alias("value"))
-        return time_mean(stamp(points, Lattice.of_box(CELL * CELL, BOX, BOX), RADIUS))
+        return time_mean(points, Lattice.of_box(CELL * CELL, BOX, BOX), RADIUS)
 
     @property
     def events(self) -> DataFrame:

@@ -9,7 +9,7 @@ from lattica.operators import gridops as g
 from lattica.operators import select as s
 from lattica.operators import stats as h
 from lattica.operators import windows as w
-from lattica.operators.lattice import Lattice, frame_mean, stamp
+from lattica.operators.lattice import Lattice, frame_mean, stamp_counts
 
 from .fixtures import Fixture
 from .lattices import G2, GT, K2, TESS, points, sites
@@ -370,7 +370,7 @@ def d11_protein_mask(fx: Fixture):
 @query(", hs AS (SELECT DISTINCT frame, gx, gy FROM st WHERE leaflet = 1), em AS MATERIALIZED (SELECT f.frame, c.gx, c.gy FROM (SELECT DISTINCT frame FROM fx1) f CROSS JOIN cells c WHERE (f.frame, c.gx, c.gy) NOT IN (SELECT frame, gx, gy FROM hs)), rg AS (SELECT frame, CAST(min(gx * 41 + gy) // 41 AS INT) AS gx, CAST(min(gx * 41 + gy) % 41 AS INT) AS gy FROM em GROUP BY frame UNION SELECT e.frame, e.gx, e.gy FROM rg JOIN em e ON e.frame = rg.frame AND abs(e.gx - rg.gx) <= 1 AND abs(e.gy - rg.gy) <= 1) SELECT frame, gx, gy FROM rg")
 def d12_grow(fx: Fixture):
     """Frames are lattices: nodes without a sample, grown from the corner."""
-    hit = stamp(points(fx), G2, 0.6).select("frame", *K2).distinct()
+    hit = stamp_counts(points(fx), G2, 0.6).select("frame", *K2)
     empty = fx.atoms.select("frame").distinct().crossJoin(F.broadcast(G2.nodes(fx.spark))).join(hit, ["frame", *K2], "left_anti")
     seeds = empty.groupBy("frame").agg(F.min(F.struct(*K2)).alias("s")).select("frame", "s.gx", "s.gy")
     return g.grow(empty, seeds, ("frame",))
@@ -389,7 +389,7 @@ def d14_free_energy_map(fx: Fixture):
 
 
 def frame_values(fx: Fixture):
-    return frame_mean(stamp(points(fx), G2, 0.6))
+    return frame_mean(points(fx), G2, 0.6)
 
 
 @query(SEED + ", v AS (SELECT f.v FROM fm f JOIN sd ON f.gx = sd.gx AND f.gy = sd.gy WHERE leaflet = 1), hh AS (SELECT CAST(floor(v/0.2e0) AS INT) AS bin, count(*) AS count FROM v GROUP BY 1) SELECT i AS bin, COALESCE(hh.count, 0) AS count, round(COALESCE(hh.count, 0)/CAST((SELECT count(*) FROM v) AS DOUBLE), 6) + 0.0 AS p FROM nd LEFT JOIN hh ON nd.i = hh.bin WHERE i < ceil((SELECT max(v) FROM v)/0.2e0)")

@@ -38,12 +38,12 @@ def l1_lattice(fx: Fixture):
 
 @query(f", s AS ({stamped(UP)}) SELECT frame, gx, gy, count(*) AS n FROM s GROUP BY frame, gx, gy")
 def l2_disc_stamp(fx: Fixture):
-    return la.stamp(points(fx), G2, 0.6).groupBy("frame", *K2).agg(F.count("*").alias("n"))
+    return la.stamp_counts(points(fx), G2, 0.6)
 
 
 @query(f", s AS ({stamped(UP, 3)}) SELECT frame, gx, gy, gz, count(*) AS n FROM s GROUP BY frame, gx, gy, gz")
 def l3_sphere_stamp(fx: Fixture):
-    return la.stamp(points(fx), G3, 1.1).groupBy("frame", *K3).agg(F.count("*").alias("n"))
+    return la.stamp_counts(points(fx), G3, 1.1)
 
 
 @query(f", s AS ({stamped('SELECT frame, res_nr, x, y, z AS value FROM hd WHERE leaflet = 1')}), m AS (SELECT gx, gy FROM cells WHERE abs(gx - 20) <= 5 AND abs(gy - 20) <= 5) SELECT frame, gx, gy, round(arg_max(value, res_nr), 6) + 0.0 AS value FROM s WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.gx = s.gx AND m.gy = s.gy) GROUP BY frame, gx, gy")
@@ -61,7 +61,7 @@ def l5_time_mean(fx: Fixture):
 
 @query(f", s AS ({stamped(UP)}) SELECT gx, gy, round(avg(value), 6) + 0.0 AS value, count(*) AS rho FROM s GROUP BY gx, gy")
 def l6_sample_mean(fx: Fixture):
-    return out(la.sample_mean(la.stamp(points(fx), G2, 0.6)))
+    return out(la.sample_mean(points(fx), G2, 0.6))
 
 
 @query(", m AS (SELECT sum(rho)/1681e0 AS m FROM l1) SELECT c.gx, c.gy, CASE WHEN COALESCE(rho, 0) > 0.9e0*m THEN round(value, 6) + 0.0 END AS value, COALESCE(rho, 0) AS rho FROM cells c CROSS JOIN m LEFT JOIN l1 ON c.gx = l1.gx AND c.gy = l1.gy")
@@ -71,7 +71,7 @@ def l7_exclude(fx: Fixture):
 
 @query("SELECT gx, gy, round(avg(v), 6) + 0.0 AS value, CASE WHEN count(*) > 1 THEN round(stddev_samp(v), 6) + 0.0 END AS sd, CASE WHEN count(*) > 1 THEN round(stddev_samp(v)/sqrt(count(*)), 6) + 0.0 END AS error, count(*) AS rho FROM fm WHERE leaflet = 1 GROUP BY gx, gy")
 def l8_time_stdev(fx: Fixture):
-    return out(la.time_stdev(la.stamp(points(fx), G2, 0.6)), "value", "sd", "error")
+    return out(la.time_stdev(points(fx), G2, 0.6), "value", "sd", "error")
 
 
 DENSITY = f", s AS ({stamped('SELECT frame, atom_nr, x, y FROM fx1 WHERE leaflet = 1')}), k AS (SELECT frame, atom_nr, count(*) AS k FROM s GROUP BY frame, atom_nr) SELECT gx, gy, round(sum(1e0/(k*25*5)), 6) + 0.0 AS value FROM s JOIN k USING (frame, atom_nr) GROUP BY gx, gy"
@@ -85,8 +85,8 @@ def l9_density(fx: Fixture):
 
 @query(f", s AS ({stamped(UP)}) SELECT gx, gy, round(count(*)/25e0, 6) + 0.0 AS value FROM s GROUP BY gx, gy")
 def l10_per_frame(fx: Fixture):
-    n = la.stamp(points(fx), G2, 0.6).groupBy(*K2).agg(F.count("*").alias("value"))
-    return la.per_frame(n, 25).select(*K2, r6("value"))
+    n = la.stamp_counts(points(fx), G2, 0.6, ())
+    return la.per_frame(n.withColumnRenamed("n", "value"), 25).select(*K2, r6("value"))
 
 
 #: A coarse lattice, 11 x 11 nodes of 2.0; all upper heads are sites.

@@ -77,10 +77,10 @@ def f7_census(fx: Fixture):
 @query(f", s AS ({stamped('SELECT frame, x, y FROM hd WHERE leaflet = 1')}) SELECT frame, gx, gy, count(*) AS n FROM s WHERE NOT (abs(gx - 20) <= 6 AND abs(gy - 10) <= 4) GROUP BY frame, gx, gy")
 def f8_rectangle(fx: Fixture):
     """Stamped heads of every frame outside of a window of nodes."""
-    from lattica.operators.lattice import Lattice, stamp
+    from lattica.operators.lattice import Lattice, stamp_counts
 
     points = fx.heads.filter("leaflet = 1").select("frame", "x", "y")
-    return stamp(points, Lattice.of_box(0.25, 20, 20), 0.6).filter(s.rect(20, 10, 6, 4, invert=True)).groupBy("frame", "gx", "gy").agg(F.count("*").alias("n"))
+    return stamp_counts(points, Lattice.of_box(0.25, 20, 20), 0.6).filter(s.rect(20, 10, 6, 4, invert=True))
 
 
 @query("SELECT frame, count(*) AS n FROM fx1 a WHERE EXISTS (SELECT 1 FROM (VALUES (6e0, 6e0, 3e0, 2.3e0, 3e0), (14e0, 9e0, 2e0, 1.7e0, 5e0)) t(cx, cy, cz, radius, height) WHERE sqrt((a.x-cx)*(a.x-cx) + (a.y-cy)*(a.y-cy)) <= radius AND abs(a.z-cz) < height/2) GROUP BY frame")
@@ -155,14 +155,19 @@ def a7_pair_vector(fx: Fixture):
 DIHEDRAL = WIDE + """, q AS (SELECT *, lag(px) OVER k AS ix, lag(py) OVER k AS iy, lag(pz) OVER k AS iz, lead(cx) OVER k AS mx, lead(cy) OVER k AS my, lead(cz) OVER k AS mz FROM w WINDOW k AS (PARTITION BY frame ORDER BY res_nr)),
  b AS (SELECT frame, res_nr, res_name, ix-gx AS ax, iy-gy AS ay, iz-gz AS az, hx-gx AS bx, hy-gy AS by_, hz-gz AS bz, hx-mx AS cx, hy-my AS cy, hz-mz AS cz FROM q WHERE ix IS NOT NULL AND mx IS NOT NULL),
  n AS (SELECT *, ay*bz-az*by_ AS n1x, az*bx-ax*bz AS n1y, ax*by_-ay*bx AS n1z, by_*cz-bz*cy AS n2x, bz*cx-bx*cz AS n2y, bx*cy-by_*cx AS n2z FROM b),
- d AS (SELECT frame, res_nr, res_name, degrees(acos(least(1e0, greatest(-1e0, (n1x*n2x+n1y*n2y+n1z*n2z)/(sqrt(n1x*n1x+n1y*n1y+n1z*n1z)*sqrt(n2x*n2x+n2y*n2y+n2z*n2z)))))) * CASE WHEN ax*n2x+ay*n2y+az*n2z < 0 THEN -1e0 ELSE 1e0 END AS angle
-   FROM n WHERE n1x*n1x+n1y*n1y+n1z*n1z > 1e-9 AND n2x*n2x+n2y*n2y+n2z*n2z > 1e-9)"""
+ d0 AS (SELECT frame, res_nr, res_name, CASE WHEN n1x*n1x+n1y*n1y+n1z*n1z > 1e-9 AND n2x*n2x+n2y*n2y+n2z*n2z > 1e-9 THEN degrees(acos(least(1e0, greatest(-1e0, (n1x*n2x+n1y*n2y+n1z*n2z)/(sqrt(n1x*n1x+n1y*n1y+n1z*n1z)*sqrt(n2x*n2x+n2y*n2y+n2z*n2z)))))) * CASE WHEN ax*n2x+ay*n2y+az*n2z < 0 THEN -1e0 ELSE 1e0 END END AS angle FROM n),
+ d AS (SELECT frame, res_nr, res_name, CASE WHEN angle < -179.999e0 THEN angle + 360e0 ELSE angle END AS angle FROM d0)"""
 
 
-@query(DIHEDRAL + " SELECT frame, res_nr, round(abs(angle), 5) + 0.0 AS angle FROM d WHERE abs(angle) BETWEEN 0.5e0 AND 179.5e0")
-def a8_dihedral(fx: Fixture):
+def dihedrals(fx: Fixture):
+    """Signed, of all residues with neighbours; -180 is written as 180, and the angle is null where atoms lie on a line."""
     d = m.dihedral(fx.atoms, "PO4", "GL1", "GL2", "C4A", previous=("i",), following=("m",))
-    return d.filter(F.abs("angle").between(0.5, 179.5)).select("frame", "res_nr", (F.round(F.abs("angle"), 5) + 0.0).alias("angle"))
+    return d.withColumn("angle", F.when(F.col("angle") < -179.999, F.col("angle") + 360.0).otherwise(F.col("angle")))
+
+
+@query(DIHEDRAL + " SELECT frame, res_nr, round(angle, 3) + 0.0 AS angle FROM d")
+def a8_dihedral(fx: Fixture):
+    return dihedrals(fx).select("frame", "res_nr", (F.round("angle", 3) + 0.0).alias("angle"))
 
 
 TILT = ", v AS (SELECT frame, avg(CASE WHEN leaflet = 1 THEN x END) - avg(CASE WHEN leaflet = 2 THEN x END) AS vx, avg(CASE WHEN leaflet = 1 THEN y END) - avg(CASE WHEN leaflet = 2 THEN y END) AS vy, avg(CASE WHEN leaflet = 1 THEN z END) - avg(CASE WHEN leaflet = 2 THEN z END) AS vz FROM fx1 GROUP BY frame), t AS (SELECT frame, degrees(acos(least(1e0, greatest(-1e0, vz/sqrt(vx*vx+vy*vy+vz*vz))))) AS theta, vx, degrees(acos(least(1e0, greatest(-1e0, vy/sqrt(vx*vx+vy*vy))))) AS p FROM v)"

@@ -12,7 +12,7 @@ from lattica.operators import molecule as m
 
 from .fixtures import Fixture
 from .lattices import D3
-from .molecules import DIHEDRAL, TILT
+from .molecules import DIHEDRAL, TILT, dihedrals
 from .registry import events_sql, passages_sql, query, r6
 
 XY = "sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y))"
@@ -147,7 +147,27 @@ def t6_min_distance_series(fx: Fixture):
     return t.min_distance_series(fx.protein.withColumnRenamed("res_nr", "atom_nr"), fx.heads, 0.6).select("frame", r6("dist"))
 
 
-@query()
+def fitted(rows: str, group: str) -> str:
+    """SQL of rows (frame, atom_nr, x, y, z, mass, ..) fitted by a group of them to frame 0: table fit (frame, atom_nr, x, y, z). The root comes from Newton steps on the
+    characteristic polynomial, the quaternion from the cofactors of the first row."""
+    sums = ", ".join(f"sum(mass*({a}-c{a})*(r{b}-o{b})) AS s{a}{b}" for a in "xyz" for b in "xyz")
+    norm = "sqrt(" + "+".join(f"s{a}{b}*s{a}{b}" for a in "xyz" for b in "xyz") + ")"
+    unit = ", ".join(f"s{a}{b}/{norm} AS s{a}{b}" for a in "xyz" for b in "xyz")
+    det = "(sxx*(syy*szz-syz*szy)-sxy*(syx*szz-syz*szx)+sxz*(syx*szy-syy*szx))"
+    gram = "+".join(f"(sx{a}*sx{b}+sy{a}*sy{b}+sz{a}*sz{b})*(sx{a}*sx{b}+sy{a}*sy{b}+sz{a}*sz{b})" for a in "xyz" for b in "xyz")
+    return f""", fg AS (SELECT a.*, b.x AS rx, b.y AS ry, b.z AS rz FROM {rows} a JOIN {rows} b ON b.frame = 0 AND b.atom_nr = a.atom_nr WHERE {group}),
+ fc AS (SELECT frame, {", ".join(f"sum(mass*{c})/sum(mass) AS c{c}, sum(mass*r{c})/sum(mass) AS o{c}" for c in "xyz")} FROM fg GROUP BY frame),
+ f0 AS (SELECT frame, {sums} FROM fg JOIN fc USING (frame) GROUP BY frame), f1 AS (SELECT frame, {unit} FROM f0),
+ f2 AS (SELECT *, -8e0*{det} AS c1, 2e0*({gram}) - 1e0 AS c0 FROM f1),
+ f3 AS (SELECT *, list_reduce(list_prepend(sqrt(3e0), list_transform(range(60), lambda k: CAST(k AS DOUBLE))), lambda l, k: l - (((l*l - 2e0)*l + c1)*l + c0)/(4e0*l*l*l - 4e0*l + c1)) AS l FROM f2),
+ f4 AS (SELECT frame, szx-sxz AS b, sxy-syx AS c, syz-szy AS a, sxx-syy-szz-l AS e, sxy+syx AS f, szx+sxz AS g, syy-sxx-szz-l AS h, syz+szy AS i, szz-sxx-syy-l AS j FROM f3),
+ f5 AS (SELECT frame, e*(h*j-i*i)-f*(f*j-i*g)+g*(f*i-h*g) AS w, -(a*(h*j-i*i)-f*(b*j-i*c)+g*(b*i-h*c)) AS x, a*(f*j-g*i)-e*(b*j-c*i)+g*(b*g-c*f) AS y, -(a*(f*i-g*h)-e*(b*i-c*h)+f*(b*g-c*f)) AS z FROM f4),
+ f6 AS (SELECT frame, w/n AS w, x/n AS x, y/n AS y, z/n AS z FROM (SELECT *, sqrt(w*w+x*x+y*y+z*z) AS n FROM f5)),
+ fd AS (SELECT a.frame, a.atom_nr, a.x-cx AS dx, a.y-cy AS dy, a.z-cz AS dz, ox, oy, oz, q.w AS qw, q.x AS qx, q.y AS qy, q.z AS qz FROM {rows} a JOIN fc USING (frame) JOIN f6 q USING (frame)),
+ fit AS (SELECT frame, atom_nr, (qw*qw+qx*qx-qy*qy-qz*qz)*dx + 2e0*(qx*qy-qw*qz)*dy + 2e0*(qx*qz+qw*qy)*dz + ox AS x, 2e0*(qx*qy+qw*qz)*dx + (qw*qw-qx*qx+qy*qy-qz*qz)*dy + 2e0*(qy*qz-qw*qx)*dz + oy AS y, 2e0*(qx*qz-qw*qy)*dx + 2e0*(qy*qz+qw*qx)*dy + (qw*qw-qx*qx-qy*qy+qz*qz)*dz + oz AS z FROM fd)"""
+
+
+@query(fitted("hd", "a.res_nr % 7 = 0") + " SELECT f.frame, round(sqrt(avg((f.x-r.x)*(f.x-r.x)+(f.y-r.y)*(f.y-r.y)+(f.z-r.z)*(f.z-r.z))), 6) + 0.0 AS rmsd FROM fit f JOIN hd r ON r.frame = 0 AND r.atom_nr = f.atom_nr WHERE r.leaflet = 1 GROUP BY f.frame")
 def t7_rmsd_series(fx: Fixture):
     return t.rmsd_series(fx.heads, F.col("res_nr") % 7 == 0, s.upper(), fx.heads.filter("frame = 0")).select("frame", r6("rmsd"))
 
@@ -212,6 +232,12 @@ def t18_msd(fx: Fixture):
     return t.msd(fx.centers).select("lag", r6("value"), "n")
 
 
+@query(", p AS (SELECT a.res_nr, b.frame - a.frame AS lag, avg((b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y)) AS m FROM cen a JOIN cen b ON a.res_nr = b.res_nr AND b.frame > a.frame AND b.frame - a.frame <= 15 AND a.frame % 4 = 0 GROUP BY a.res_nr, b.frame - a.frame) SELECT res_nr, lag, round(m, 6) + 0.0 AS value FROM p")
+def t18_msd_by_lipid(fx: Fixture):
+    """Every fourth frame is an origin, lags up to 15."""
+    return t.msd_by_lipid(fx.centers, max_lag=15, stride=4).select("res_nr", "lag", r6("value"))
+
+
 @query(", ion AS (SELECT frame, res_nr AS key, x, y, fmod(frame * (1 + res_nr % 5) * 0.37e0 + res_nr % 11, 7e0) AS z FROM fx1p), kd AS (SELECT i.frame, i.key, h.leaflet, h.z, row_number() OVER (PARTITION BY i.frame, i.key, h.leaflet ORDER BY sqrt((i.x-h.x)*(i.x-h.x) + (i.y-h.y)*(i.y-h.y)), h.res_nr) AS k FROM ion i JOIN hd h ON h.frame = i.frame), hz AS (SELECT frame, key, avg(CASE WHEN leaflet = 1 THEN z END) AS zu, avg(CASE WHEN leaflet = 2 THEN z END) AS zl FROM kd WHERE k <= 3 GROUP BY frame, key)" + passages_sql("SELECT i.key, i.frame, CASE WHEN z > zu + 0.6e0 THEN 0 WHEN z > zu - 0.6e0 THEN 1 WHEN z >= zl + 0.6e0 THEN 2 WHEN z >= zl - 0.6e0 THEN 3 ELSE 4 END AS state FROM ion i JOIN hz ON hz.frame = i.frame AND hz.key = i.key", "res_nr"))
 def t19_permeation(fx: Fixture):
     """Ions: the protein rows, moved up and down through the membrane frame by frame."""
@@ -228,9 +254,9 @@ def t20_mixing(fx: Fixture):
     return t.mixing(c.filter("res_name = 'POPG'"), b, 0.7, 1, n, 5, 25).select("frame", r6("mean"), r6("sd"))
 
 
-@query(DIHEDRAL + ", u AS (SELECT res_name, abs(angle) AS angle FROM d WHERE abs(angle) BETWEEN 0.5e0 AND 179.5e0), mm AS (SELECT res_name, avg(angle) AS mean, stddev_samp(angle) AS sd, degrees(atan2(avg(sin(radians(angle))), avg(cos(radians(angle))))) AS cm FROM u GROUP BY res_name) SELECT u.res_name, round(max(mean), 5) + 0.0 AS mean, round(max(sd), 5) + 0.0 AS sd, round(max(cm), 5) + 0.0 AS circular_mean, round(sqrt(sum((angle-cm-360e0*round((angle-cm)/360e0))*(angle-cm-360e0*round((angle-cm)/360e0)))/(count(*)-1)), 5) + 0.0 AS circular_sd FROM u JOIN mm USING (res_name) GROUP BY u.res_name")
+@query(DIHEDRAL + ", u AS (SELECT res_name, angle FROM d WHERE angle IS NOT NULL), mm AS (SELECT res_name, avg(angle) AS mean, stddev_samp(angle) AS sd, degrees(atan2(avg(sin(radians(angle))), avg(cos(radians(angle))))) AS cm FROM u GROUP BY res_name) SELECT u.res_name, round(max(mean), 5) + 0.0 AS mean, round(max(sd), 5) + 0.0 AS sd, round(max(cm), 5) + 0.0 AS circular_mean, round(sqrt(sum((angle-cm-360e0*round((angle-cm)/360e0))*(angle-cm-360e0*round((angle-cm)/360e0)))/(count(*)-1)), 5) + 0.0 AS circular_sd FROM u JOIN mm USING (res_name) GROUP BY u.res_name")
 def t21_circular_stats(fx: Fixture):
-    d = m.dihedral(fx.atoms, "PO4", "GL1", "GL2", "C4A", previous=("i",), following=("m",)).withColumn("angle", F.abs("angle")).filter("angle between 0.5 and 179.5")
+    d = dihedrals(fx)
     out = t.circular_stats(d, "res_name")
     return out.select("res_name", *[(F.round(c, 5) + 0.0).alias(c) for c in ("mean", "sd", "circular_mean", "circular_sd")])
 
@@ -253,7 +279,7 @@ def x1_prepare(fx: Fixture):
     return xyz(x.prepare(fx.atoms, 0, 10, 2))
 
 
-@query()
+@query(fitted("fx1", "a.atom_name = 'PO4'") + " SELECT frame, round(avg(x), 6) + 0.0 AS x, round(avg(y), 6) + 0.0 AS y, count(*) AS n FROM fit GROUP BY frame")
 def x2_superpose(fx: Fixture):
     return x.superpose(fx.atoms, s.atom("PO4"), fx.atoms.filter("frame = 0")).groupBy("frame").agg(r6(F.avg("x"), "x"), r6(F.avg("y"), "y"), F.count("*").alias("n"))
 
