@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bitmaps import marked, passes
 from .common import FOLDED, PRIME, field, in_python, mix64, release, stash, text_portions
 
 SHINGLE = 5
@@ -226,28 +227,28 @@ def shared_tokens(docs: DataFrame, levels) -> DataFrame:
     return in_python(rows.repartition(deal).sortWithinPartitions("token", "sig"), shared, "token long, sig long, n int, pos int")
 
 
-#: Ids up to this number are broadcast (a few MB, counted first); more are joined by a shuffle, with the same result.
-FEW = 200_000
-
-
 def stored_sets(docs: DataFrame, slim: DataFrame, sigs: DataFrame, levels) -> DataFrame:
     """(sig, keys) of the distinct sets in sigs(sig), in the global order, eight bytes a key. One document of each set is read again, by its id, or by
-    its key where all rows of the set lack an id; only these texts leave the scan."""
+    its key where all rows of the set lack an id. Bit maps of a fixed size, of these documents and of the sets, drop the other rows in the
+    scan, so that no text is dealt out at any size; what they pass in excess goes when sets meet sigs."""
     least = slim.filter("sig != 0").groupBy("sig").agg(F.min("id").alias("id"), F.min("key").alias("key")).join(sigs, "sig", "left_semi")
-    one = stash(least.select("id", F.when(F.col("id").isNull(), F.col("key")).alias("key")).distinct())
-    named, nameless = one.agg(F.count("id"), F.count("key")).first()
-    ids, keys = (one.select(c).filter(F.col(c).isNotNull()) for c in ("id", "key"))
-    texts = docs.join(F.broadcast(ids) if named <= FEW else ids, "id", "left_semi").select("text")
-    if nameless:
-        texts = texts.union(docs.join(F.broadcast(keys) if nameless <= FEW else keys, "key", "left_semi").select("text"))
+    place = F.when(F.col("id").isNull(), F.col("key")).otherwise(F.xxhash64("id"))
+    wanted_rows = stash(least.select(place.alias("place"), "sig"))
+    shared = docs.sparkSession.sparkContext.broadcast((marked(wanted_rows, F.col("place")), marked(wanted_rows, F.col("sig"))))
+    release(wanted_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        rows, sets = shared.value
         for batch in batches:
-            out = [(sig, ordered(keys, levels.value).astype("<u8").tobytes()) for sig, keys in _sets(batch.column(0), seen)]
+            texts = batch.column(1).filter(pa.array(passes(rows, batch.column(0).to_numpy())))
+            found = [(sig, keys) for sig, keys in _sets(texts, seen)]
+            kept = passes(sets, np.array([sig for sig, _ in found], np.int64)) if found else []
+            out = [(sig, ordered(keys, levels.value).astype("<u8").tobytes()) for (sig, keys), keep in zip(found, kept) if keep]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.binary()))], ["sig", "keys"])
 
-    return stash(in_python(texts, run, "sig long, keys binary").dropDuplicates(["sig"]))
+    made = in_python(docs.select(place.alias("place"), "text"), run, "sig long, keys binary").dropDuplicates(["sig"])
+    return stash(made.join(sigs, "sig", "left_semi"))
 
 
 def plausible(edges: DataFrame, odds: DataFrame) -> DataFrame:
