@@ -110,19 +110,20 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield finish(held)
 
 
-#: Bytes of text in a block at most, about; and sampled rows for each block.
-BLOCK_BYTES, SAMPLED = 64 << 20, 64
+#: Bytes of text in a block, about, up to so many blocks, which then grow (a block is sorted on disk and streamed, so that its size costs no memory); and sampled
+#: rows for each block. The driver gets BLOCKS * SAMPLED ids and BLOCKS rows at most, at any size of input.
+BLOCK_BYTES, BLOCKS, SAMPLED = 64 << 20, 8192, 32
 
 
 def cut_ids(rows: DataFrame, blocks: int | None) -> tuple[list[int], dict[int, int], int]:
     """Descending ids at which blocks begin after the first, for ids that fill several blocks how many, and the number of blocks.
 
-    Blocks have about equal bytes, not more than BLOCK_BYTES, and are at least the session's shuffle partitions, so that a block doesn't
-    grow with the input. The cuts come from a sample of rows by a hash, some SAMPLED a block; its size is in step with the blocks."""
+    Blocks have about equal bytes and are at least the session's shuffle partitions and at most BLOCKS. The cuts come from a sample of rows by a
+    hash, some SAMPLED a block; its size is in step with the blocks."""
     total, n = rows.agg(F.sum(F.octet_length("text") + 16), F.count("*")).first()
     if not n:
         return [], {}, 0
-    blocks = blocks or max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK_BYTES))
+    blocks = blocks or min(BLOCKS, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK_BYTES)))
     one_in = max(1, n // (SAMPLED * blocks))
     some = rows.filter(F.pmod(F.xxhash64("_id", "_u"), F.lit(one_in)) == 0).groupBy("_id").agg(F.sum(F.octet_length("text") + 16).alias("bytes")).orderBy(F.desc("_id")).collect()
     each = sum(r["bytes"] for r in some) / blocks
