@@ -123,10 +123,10 @@ def list_events(ev: DataFrame, gap: int, dt: float, cutoff: float, mode: str = "
 def extract(ev: DataFrame, last: int, cutoff: int = 0, gap: int = 0, drop: DataFrame | None = None, spans: DataFrame | None = None) -> DataFrame:
     """Drops short events, fills gaps, removes lipids on drop(res_nr) and frames in spans(lipid_nr, b, e), and joins what is left to events."""
     out = fill_gaps(ev.filter(F.col("dwell") >= cutoff), gap)
-    out = out.join(F.broadcast(drop.select("res_nr")), "res_nr", "left_anti") if drop is not None else out
+    out = out.join(drop.select("res_nr"), "res_nr", "left_anti") if drop is not None else out
     tl = timeline(out)
     if spans is not None:
-        tl = tl.join(F.broadcast(spans.withColumnRenamed("lipid_nr", "_l")), (F.col("lipid_nr") == F.col("_l")) & F.col("frame").between(F.col("b"), F.col("e")), "left_anti")
+        tl = tl.join(spans.withColumnRenamed("lipid_nr", "_l"), (F.col("lipid_nr") == F.col("_l")) & F.col("frame").between(F.col("b"), F.col("e")), "left_anti")
     return islands(tl, [*CELL, *LIPID], last)
 
 
@@ -176,7 +176,7 @@ def frames_from_events(ev: DataFrame, highlight: DataFrame | None = None) -> Dat
     out = timeline(ev).groupBy("frame", *CELL).agg(F.min("lipid_nr").alias("lipid_nr"))
     if highlight is None:
         return out.withColumnRenamed("lipid_nr", "label")
-    h = F.broadcast(highlight.select("lipid_nr").distinct().withColumn("_h", F.lit(1)))
+    h = highlight.select("lipid_nr").distinct().withColumn("_h", F.lit(1))
     return out.join(h, "lipid_nr", "left").select("frame", *CELL, F.when(F.col("_h") == 1, -(F.col("lipid_nr") + 1)).otherwise(F.col("lipid_nr")).alias("label"))
 
 

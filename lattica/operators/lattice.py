@@ -30,6 +30,12 @@ class Lattice:
     def keys(self) -> list[str]:
         return [f"g{a}" for a in AXES[: len(self.n)]]
 
+    def over(self, df: DataFrame) -> DataFrame:
+        """Each row of df at every node; no join, so that neither side is copied to all machines."""
+        for key, n in zip(self.keys, self.n):
+            df = df.withColumn(key, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        return df
+
     def nodes(self, spark: SparkSession) -> DataFrame:
         """All nodes; generated on executors."""
         total = math.prod(self.n)
@@ -98,15 +104,12 @@ def exclude(values: DataFrame, grid: Lattice, cutoff: float, rho: DataFrame | No
 
     rho: counts of another table (gx, gy, rho) instead of the values' own. The mean is one number per lattice: a sum over a known number of nodes.
     """
-    spark = values.sparkSession
     keys = grid.keys
-    cells = grid.nodes(spark)
-    if by:
-        cells = values.select(*by).distinct().crossJoin(F.broadcast(cells))
+    cells = grid.over(values.select(*by).distinct()) if by else grid.nodes(values.sparkSession)
     counts = (rho if rho is not None else values).select(*by, *keys, "rho")
     mean = counts.groupBy(*by).agg((F.sum("rho") / F.lit(float(math.prod(grid.n)))).alias("_mean"))
     full = cells.join(values.drop("rho"), [*by, *keys], "left").join(counts, [*by, *keys], "left").withColumn("rho", F.coalesce("rho", F.lit(0)))
-    full = full.join(F.broadcast(mean), list(by), "left") if by else full.crossJoin(F.broadcast(mean))
+    full = full.join(mean, list(by), "left") if by else full.crossJoin(F.broadcast(mean))
     vals = [c for c in values.columns if c not in (*by, *keys, "rho")]
     return full.select(*by, *keys, *[F.when(F.col("rho") > cutoff * F.col("_mean"), F.col(c)).alias(c) for c in vals], "rho")
 

@@ -21,7 +21,7 @@ def tessellate(sites: DataFrame, grid: Lattice, radius: float, box: tuple[float,
     best = F.min(F.struct(F.sqrt(dx * dx + dy * dy).alias("d"), F.col("_label")))
     covered = near_.groupBy("frame", "gx", "gy").agg(best.alias("b"))
     covered = checkpointed(covered.select("frame", "gx", "gy", F.col("b._label").alias(label)))
-    nodes = s.select("frame").distinct().crossJoin(F.broadcast(grid.nodes(sites.sparkSession)))
+    nodes = grid.over(s.select("frame").distinct())
     rest = nodes.join(covered.select("frame", "gx", "gy"), ["frame", "gx", "gy"], "left_anti").select("frame", "gx", "gy", (F.col("gx") * grid.cell).alias("x"), (F.col("gy") * grid.cell).alias("y"))
     far = knn(rest, s, 1, ["gx", "gy"], "_label", 2 * radius)
     return covered.unionByName(far.select("frame", F.col("a_gx").alias("gx"), F.col("a_gy").alias("gy"), F.col("b__label").alias(label)))
