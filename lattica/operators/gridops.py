@@ -12,7 +12,7 @@ from .events import koff, stacked
 from .lattice import Lattice
 from .rangejoin import align, lookup
 from .stats import histogram
-from .transforms import checkpointed
+from .transforms import checkpointed, components
 from .windows import hysteresis, islands, shell_vote, window_vote
 
 XY = ["gx", "gy"]
@@ -146,18 +146,64 @@ def protein_mask(rho: DataFrame, grid: Lattice, cutoff: float) -> DataFrame:
     return full.select(*XY, F.when(F.coalesce("rho", F.lit(0)) <= cutoff * F.col("_m"), 1).otherwise(0).alias("mask"))
 
 
-def grow(cells: DataFrame, seeds: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Nodes of cells that an 8-connected walk reaches from seeds, for many lattices at once. One frontier join a round, until it is empty."""
+#: Nodes a side of a block in which regions are found at once.
+SIDE = 256
+
+
+def _block_regions(names: list[str]):
+    """Numbers the 8-connected regions of one block's nodes, by union and find along its rows."""
+    def run(table: pa.Table) -> pa.Table:
+        nodes = list(zip(table["gx"].to_pylist(), table["gy"].to_pylist()))
+        number = {n: k for k, n in enumerate(nodes)}
+        parent = list(range(len(nodes)))
+
+        def find(k: int) -> int:
+            while parent[k] != k:
+                parent[k] = k = parent[parent[k]]
+            return k
+
+        for k, (x, y) in enumerate(nodes):
+            for near in ((x - 1, y - 1), (x - 1, y), (x - 1, y + 1), (x, y - 1)):
+                if near in number:
+                    one, two = find(k), find(number[near])
+                    parent[max(one, two)] = min(one, two)
+        return table.append_column("_region", pa.array([find(k) for k in range(len(nodes))], pa.int32())).select(names)
+
+    return run
+
+
+def regions(cells: DataFrame, by: tuple[str, ...] = (), side: int = SIDE) -> DataFrame:
+    """(by, gx, gy, region): the 8-connected regions of nodes, for many lattices at once; a region's name is that of one of its parts.
+
+    On two levels: regions inside blocks of nodes, each block on its own; then the graph of regions that touch across block borders, whose labels spread and
+    jump. So rounds grow with the logarithm of the blocks that a region passes, not with the lattice's side."""
+    keys = [*by, *XY]
+    block = [F.floor(F.col(k) / F.lit(side)).cast("int").alias(f"_b{k}") for k in XY]
+    nodes = cells.select(*keys).distinct().select(*by, *[F.col(k).cast("int").alias(k) for k in XY], *block)
+    names = [*nodes.columns, "_region"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in nodes.schema) + ", _region int"
+    inside = nodes.groupBy(*by, "_bgx", "_bgy").applyInArrow(_block_regions(names), schema)
+    name = F.concat_ws(":", *[F.coalesce(F.col(k).cast("string"), F.lit("-")) for k in (*by, "_bgx", "_bgy", "_region")])
+    inside = checkpointed(inside.select(*keys, "_bgx", "_bgy", name.alias("_name")))
+    on_edge = [F.pmod(F.col(k), F.lit(side)).isin(0, side - 1) for k in XY]
+    edge = inside.filter(on_edge[0] | on_edge[1])
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) > (0, 0)])
+    far = edge.select(*by, "gx", "gy", F.col("_bgx").alias("_ox"), F.col("_bgy").alias("_oy"), F.col("_name").alias("_from"), F.explode(around).alias("_s"))
+    far = far.select(*by, (F.col("gx") + F.col("_s.i")).alias("gx"), (F.col("gy") + F.col("_s.j")).alias("gy"), "_ox", "_oy", "_from")
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) if k in by else F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys]
+    links = checkpointed(far.alias("l").join(edge.alias("r"), same).filter((F.col("_ox") != F.col("_bgx")) | (F.col("_oy") != F.col("_bgy"))).select(F.col("_from").alias("a"), F.col("_name").alias("b")).distinct())
+    if not links.limit(1).count():
+        return inside.select(*keys, F.col("_name").alias("region"))
+    labels = components(links).select(F.col("atom_nr").alias("_name"), F.col("molecule").alias("_label"))
+    return inside.join(labels, "_name", "left").select(*keys, F.coalesce("_label", "_name").alias("region"))
+
+
+def grow(cells: DataFrame, seeds: DataFrame, by: tuple[str, ...] = (), side: int = SIDE) -> DataFrame:
+    """Nodes of cells that an 8-connected walk reaches from seeds, for many lattices at once: the regions that hold a seed."""
     keys = [*by, *XY]
-    step = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    cells = checkpointed(cells.select(*keys).distinct())
-    reached = frontier = checkpointed(cells.join(seeds.select(*keys).distinct(), keys, "left_semi"))
-    while True:
-        around = frontier.withColumn("_s", F.explode(step)).select(*by, (F.col("gx") + F.col("_s.i")).alias("gx"), (F.col("gy") + F.col("_s.j")).alias("gy")).distinct()
-        frontier = checkpointed(cells.join(around, keys, "left_semi").join(reached, keys, "left_anti"))
-        if not frontier.limit(1).count():
-            return reached
-        reached = checkpointed(reached.unionByName(frontier))
+    found = checkpointed(regions(cells, by, side))
+    hit = found.join(seeds.select(*keys).distinct(), keys, "left_semi").select("region").distinct()
+    return found.join(hit, "region", "left_semi").select(*keys)
 
 
 def nan_region(data: DataFrame, seeds: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

@@ -262,3 +262,40 @@ def test_a_long_chain_is_mended_in_few_rounds(spark, monkeypatch):
         start = [(c + frame) % 10.0 for c in true[0]]
         for k in range(n):
             assert got[frame, k] == pytest.approx([s + t for s, t in zip(start, true[k])], abs=1e-6)
+
+
+def snake(n):
+    """A path one node wide that winds through an n x n lattice."""
+    return [(x, y) for y in range(0, n, 2) for x in range(n)] + [(n - 1 if y % 4 == 1 else 0, y) for y in range(1, n - 1, 2)]
+
+
+@pytest.mark.parametrize("side", [3, 8, 256])
+def test_regions_are_those_of_a_walk(spark, side):
+    rng = random.Random(14)
+    cells = [(k, x, y) for k in range(3) for x in range(-5, 15) for y in range(20) if rng.random() < 0.42] + [(9, x, y) for x, y in snake(21)]
+    left, groups = set(cells), []
+    while left:
+        todo, seen = [left.pop()], set()
+        while todo:
+            k, x, y = todo.pop()
+            seen.add((k, x, y))
+            near = {(k, x + i, y + j) for i in (-1, 0, 1) for j in (-1, 0, 1)} & left
+            left -= near
+            todo += near
+        groups.append(frozenset(seen))
+    df = spark.createDataFrame(cells, "k int, gx int, gy int")
+    got = defaultdict(set)
+    for r in gridops.regions(df, ("k",), side).collect():
+        got[r["region"]].add((r["k"], r["gx"], r["gy"]))
+    assert set(map(frozenset, got.values())) == set(groups)
+    seeds = spark.createDataFrame([(9, 0, 0), (0, *cells[0][1:]), (1, 99, 99)], "k int, gx int, gy int")
+    reached = {tuple(r) for r in gridops.grow(df, seeds, ("k",), side).collect()}
+    assert reached == set().union(*(g for g in groups if (9, 0, 0) in g or cells[0] in g))
+
+
+def test_rounds_of_a_long_walk_do_not_grow_with_its_side(spark, monkeypatch):
+    written, plain = [], transforms.checkpointed
+    monkeypatch.setattr(transforms, "checkpointed", lambda d: written.append(1) or plain(d))
+    df = spark.createDataFrame(snake(61), "gx int, gy int")
+    assert gridops.grow(df, df.filter("gx = 0 and gy = 0"), side=16).count() == len(snake(61))
+    assert len(written) < 20  # a frontier would take some 1,900 rounds
