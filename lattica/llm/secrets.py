@@ -71,19 +71,40 @@ class Ledger:
     def append(self, scanned: DataFrame, rule_version: str) -> None:
         scanned.select("blob", F.col("spans").cast(self.SPANS).alias("spans"), F.lit(rule_version).alias("rule_version")).write.mode("append").partitionBy("rule_version").parquet(self.path)
 
+    VERSIONS = "path string, version string, blob string"
+
+    def note(self, versions: DataFrame) -> None:
+        """Appends (path, version, blob) of an increment; what a path held earlier stays known."""
+        versions.select(*[F.col(c).cast("string").alias(c) for c in ("path", "version", "blob")]).write.mode("append").parquet(f"{self.path}-versions")
+
+    def versions(self) -> DataFrame:
+        """Every recorded (path, version, blob), once each; none, where no increment named its paths."""
+        self.spark.createDataFrame([], self.VERSIONS).write.mode("append").parquet(f"{self.path}-versions")
+        return self.spark.read.schema(self.VERSIONS).parquet(f"{self.path}-versions").distinct()
+
     def read(self, rule_version: str) -> DataFrame:
         """(blob, spans) of one rule version; only its folder is read."""
         return self.spark.read.schema(self.SCHEMA).parquet(self.path).filter(F.col("rule_version") == rule_version).select("blob", "spans")
 
 
-def record(versions: DataFrame, ledger: Ledger, rule_version: str = RULE_VERSION, rules=RULES, text_col: str = "text") -> None:
-    """One increment: scans the blobs of versions that the ledger doesn't hold for the rule version, once each, and appends them to it.
+def record(versions: DataFrame, ledger: Ledger, rule_version: str = RULE_VERSION, rules=RULES, text_col: str = "text", path_col: str | None = None, version_col: str | None = None) -> None:
+    """One increment: scans the blobs of versions that the ledger doesn't hold for the rule version, once each, and appends them to it. With path_col, the
+    increment's paths, and versions (null without version_col), are kept beside the ledger.
 
     Copies, repeated rows and repeated paths share one scan. Blobs are merged before they are dealt out, and meet the ledger under the same
     key, so that texts travel once."""
     blobs = versions.select(address(text_col).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
     unseen = blobs.join(ledger.read(rule_version).select("blob"), "blob", "left_anti")
     ledger.append(scan_blobs(unseen, rules, keep_clean=True), rule_version)
+    if path_col:
+        ledger.note(versions.select(F.col(path_col).alias("path"), (F.col(version_col) if version_col else F.lit(None)).alias("version"), address(text_col).alias("blob")))
+
+
+def history(ledger: Ledger, rule_version: str = RULE_VERSION) -> DataFrame:
+    """(path, version, blob, spans) of every version that any increment recorded with its path, handed in again or not; spans is null where
+    nothing was found, or where the blob was not scanned under the rule version."""
+    found = ledger.read(rule_version).filter("spans is not null").dropDuplicates(["blob"])
+    return join_back(ledger.versions(), found)
 
 
 def scan(versions: DataFrame, ledger: Ledger | None = None, rule_version: str = RULE_VERSION, rules=RULES, text_col: str = "text") -> DataFrame:

@@ -262,3 +262,18 @@ def test_added_tokens_are_those_of_the_file(spark):
         ids = plain.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(words.of(text.replace("\n", " ")), "<u4").tolist() == ids
         assert got[k] == (len(ids) + 1, zlib.crc32(np.array([*ids, 1], "<u4").tobytes()))
+
+
+def test_ledger_keeps_versions_that_are_not_handed_in_again(spark):
+    old, new = "token = abcdefgh1234", "token removed"
+    ledger = secrets.Ledger(spark)
+    schema = "path string, version int, text string"
+    assert secrets.history(ledger).count() == 0
+    secrets.record(spark.createDataFrame([("a", 1, old), ("b", 1, new), ("c", 1, old), ("c", 1, old)], schema), ledger, path_col="path", version_col="version")
+    secrets.record(spark.createDataFrame([("a", 2, new), ("d", None, None)], schema), ledger, path_col="path", version_col="version")
+    got = {(r["path"], r["version"]): [s["kind"] for s in r["spans"] or []] for r in secrets.history(ledger).collect()}
+    assert got == {("a", "1"): ["assign"], ("b", "1"): [], ("c", "1"): ["assign"], ("a", "2"): [], ("d", None): []}
+    assert secrets.history(ledger).count() == 5
+    assert all(r["spans"] is None for r in secrets.history(ledger, "rules-2").collect())
+    secrets.record(spark.createDataFrame([(0, old)], "n int, text string"), ledger, "rules-2")
+    assert {r["path"] for r in secrets.history(ledger, "rules-2").filter("spans is not null").collect()} == {"a", "c"}

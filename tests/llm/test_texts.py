@@ -92,6 +92,15 @@ def test_main_text(page, text):
     assert htmltext.main_text(page) == text
 
 
+@pytest.mark.parametrize("page", ["<div>" * 200_000 + "</p>" * 200_000, "<option>x" * 220_000, '<a ">"' * 300_000, "<" + "a" * 2_000_000, "<head>" * 300_000, "<ul><li>x" * 5_000 + "</ul>" * 400_000, "</p '" * 400_000], ids=["nested", "unclosed", "quotes", "name", "heads", "lists", "closers"])
+def test_long_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    htmltext.main_text(page)
+    assert time.process_time() - began < 4  # some 2 MB; under 2 seconds on an idle machine, an hour if it were quadratic
+
+
 def test_extract_keeps_rows(spark):
     rows = [(k, f"http://x/{k}", p, "old", 1) for k, (p, _) in enumerate(PAGES)] * 2
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
@@ -327,6 +336,29 @@ def test_join_at_the_threshold(spark):
     assert Counter(map(tuple, got)) == brute_components(rows)
 
 
+def test_join_when_the_maps_pass_everything(spark, monkeypatch):
+    """The maps that pick texts only thin out: with all bits set the rows are the same."""
+    rng = random.Random(21)
+    base = [f"w{rng.randrange(300)}" for _ in range(120)]
+    rows = [(k, " ".join(base[:k % 7 * 3] + ["x"] + base[k % 7 * 3 :])) for k in range(20)] + [(None, " ".join(base)), (50, " ".join(reversed(base)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(str, ngram_join.join(docs).collect()))
+    assert len({r["component_id"] for r in ngram_join.join(docs).collect()}) == 2
+    monkeypatch.setattr(ngram_join, "marked", lambda df, column: np.full(1 << 20, ~np.uint64(0)))
+    assert sorted(map(str, ngram_join.join(docs).collect())) == want
+
+
+def test_calibration_puts_the_threshold_at_the_share_of_false_positives():
+    rng = np.random.default_rng(6)
+    y = (np.arange(1200) % 4 == 0).astype(float)
+    rows = [np.unique(np.concatenate([rng.integers(0, 500, 20), [1000] if label and rng.random() < 0.8 or rng.random() < 0.002 else []])).astype(np.int64) for label in y]
+    slope, offset = toxicity.calibration(rows, y, l1=2.0)
+    w = toxicity.train(rows, y, l1=2.0)
+    s = np.array([toxicity.probability(f, w.table(), w.bias, slope, offset) for f in rows])
+    assert slope > 0 and (s[y == 0] >= 0.7).mean() <= 0.01 and (s[y == 1] >= 0.7).mean() > 0.7
+    assert toxicity.calibration(rows[:3], y[:3]) == toxicity.calibration([], np.zeros(0)) == (1.0, 0.0)
+
+
 def test_join_links_rows_without_ids(spark):
     """A text that only rows without an id hold bridges two texts that do not link themselves; two others link without any id."""
     words = [f"w{k}" for k in range(100)]
