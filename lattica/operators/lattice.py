@@ -91,7 +91,7 @@ def frame_mean(points: DataFrame, grid: Lattice, radius: float, by: tuple[str, .
 
 def time_mean(points: DataFrame, grid: Lattice, radius: float, by: tuple[str, ...] = (), values: tuple[str, ...] = ("value",)) -> DataFrame:
     """Mean in each frame, then the unweighted mean over the frames in which a node was hit; rho counts these frames."""
-    return frame_mean(points, grid, radius, by, values).groupBy(*by, *grid.keys).agg(*[F.avg(v).alias(v) for v in values], F.count("*").alias("rho"))
+    return frame_mean(points, grid, radius, by, values).groupBy(*by, *grid.keys).agg(*[scanline.even_mean(v) for v in values], F.count("*").alias("rho"))
 
 
 def sample_mean(points: DataFrame, grid: Lattice, radius: float, by: tuple[str, ...] = ()) -> DataFrame:

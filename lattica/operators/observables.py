@@ -11,7 +11,7 @@ from lattica.functions.geometry import arccos, length
 from .lattice import Lattice, density, frame_mean, grid_keys, stamp, stamp_counts, time_mean
 from .molecule import centers, gyration, order_parameter, pair_distance, pair_vector
 from .rangejoin import near, range_join
-from .scanline import totals
+from .scanline import even_mean, totals
 from .tessellate import tessellate
 
 
@@ -33,7 +33,7 @@ def thickness(target: DataFrame, other: DataFrame, xy_cutoff: float, mapping: Da
     found = pairs.select("frame", F.col("a_res_nr").alias("res_nr"), F.abs(F.col("a_z") - F.col("b_z")).alias("value"))
     points = mapping.select("frame", "res_nr", "x", "y").join(found, ["frame", "res_nr"], "left").withColumn("paired", F.col("value").isNotNull().cast("double"))
     f = frame_mean(points, grid, radius, values=("value", "paired"))
-    return f.groupBy(*grid.keys).agg(F.avg("value").alias("value"), F.avg("paired").alias("paired"), F.count("value").alias("rho"))
+    return f.groupBy(*grid.keys).agg(even_mean("value"), even_mean("paired"), F.count("value").alias("rho"))
 
 
 def lipid_areas(sites: DataFrame, grid: Lattice, radius: float, box: tuple[float, float] | None) -> DataFrame:

@@ -17,6 +17,20 @@ if TYPE_CHECKING:
     from .lattice import Lattice
 
 AXES = ("x", "y", "z")
+#: 2 ** 27 + 1: parts a double into two halves of its bits.
+SPLIT = 134217729.0
+
+
+def halves(value: Column) -> tuple[Column, Column]:
+    """A double as its upper 26 bits and the rest."""
+    high = value * SPLIT - (value * SPLIT - value)
+    return high, value - high
+
+
+def even_mean(column: str) -> Column:
+    """The mean of a column, as an aggregate that doesn't depend on the order of rows."""
+    high, low = halves(F.col(column).cast("double"))
+    return F.try_divide(F.sum(high) + F.sum(low), F.count(column)).alias(column)
 
 
 def _reach(grid: Lattice, k: int, radius: float) -> Column:
@@ -67,8 +81,8 @@ def totals(points: DataFrame, grid: Lattice, radius: float, by: tuple[str, ...]
     """(by, gx, gy[, gz], n, and for each value v: v, n_v): of the points (by, x, y[, z], values) within radius of each node, their number, and
     the sum and number of values that are not null; nodes without a point have no row.
 
-    A value that is no finite number makes the sum NaN at the nodes it covers, and nowhere else. Sums are rounded like any
-    running sum: to some 1e-16 of the largest total in the row."""
+    A value that is no finite number makes the sum NaN at the nodes it covers, and nowhere else. Values are summed in two halves of their bits, so that adding and
+    taking away again leaves nothing behind: the sums don't depend on an order, as long as values are within some 10^5 times each other."""
     return summed(intervals(points.select(*by, *AXES[: len(grid.n)], *values), grid, radius), grid, by, values)
 
 
@@ -81,11 +95,13 @@ def summed(found: DataFrame, grid: Lattice, by: tuple[str, ...] = (), values: tu
     for v in values:
         value = F.col(v).cast("double")
         odd = F.isnan(value) | (F.abs(value) == float("inf"))
-        sums |= {v: F.when(odd, 0.0).otherwise(F.coalesce(value, F.lit(0.0)) * sign), f"n_{v}": F.when(value.isNotNull(), sign).otherwise(0), f"_odd_{v}": F.when(odd, sign).otherwise(0)}
+        plain = F.when(odd, 0.0).otherwise(F.coalesce(value, F.lit(0.0)))
+        high, low = halves(plain)
+        sums |= {v: high * sign, f"_low_{v}": low * sign, f"n_{v}": F.when(value.isNotNull(), sign).otherwise(0), f"_odd_{v}": F.when(odd, sign).otherwise(0)}
     steps = edges.groupBy(*keys, "gx").agg(*[F.sum(c).alias(name) for name, c in sums.items()])
     row = Window.partitionBy(*keys).orderBy("gx")
     runs = steps.select(*keys, "gx", F.lead("gx").over(row).alias("_next"), *[F.sum(c).over(row).alias(c) for c in sums]).filter("n > 0")
-    out = [F.when(F.col(f"_odd_{v}") > 0, float("nan")).when(F.col(f"n_{v}") > 0, F.col(v)).alias(v) for v in values]
+    out = [F.when(F.col(f"_odd_{v}") > 0, float("nan")).when(F.col(f"n_{v}") > 0, F.col(v) + F.col(f"_low_{v}")).alias(v) for v in values]
     counts = [F.col(f"n_{v}") for v in values]
     return runs.select(*by, F.explode(F.sequence("gx", F.col("_next") - 1)).alias("gx"), *grid.keys[1:], "n", *out, *counts)
 
