@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .connectors import CELL_SCHEMA, register
+
 
 def load_topology(ref: DataFrame) -> DataFrame:
     """Static atom table of one reference frame, with ordinal: residues numbered 1, 2, .. by res_nr. The roster of residues is numbered, then joined."""
@@ -51,6 +53,24 @@ def read_events(spark: SparkSession, path: str, x: int | None = None, y: int | N
     return ev.filter(F.col("gy") == y) if y is not None else ev
 
 
+def write_cells(ev: DataFrame, path: str, meta: DataFrame) -> None:
+    """Events in files of cell after cell, each with the run's header (meta, one row): a file a column, with an index of its cells beside it. Cells without events are written, too.
+
+    One exchange by column; a column is one task, and spills. A cell is counted in a window, as its number of events stands before them."""
+    register(ev.sparkSession)
+    cells = meta.select("*", F.explode(F.sequence(F.lit(0), F.col("num_g_x") - 1)).alias("gx")).select("*", F.explode(F.sequence(F.lit(0), F.col("num_g_y") - 1)).alias("gy"))
+    rows = ev.join(cells, ["gx", "gy"], "right").repartition("gx")
+    n = F.count("lipid_nr").over(Window.partitionBy("gx", "gy")).cast("int").alias("num_events")
+    names = [c.split()[0] for c in CELL_SCHEMA.split(", ")]
+    rows.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in CELL_SCHEMA.split(", ")], n).sortWithinPartitions("gx", "gy", "bind_i", "lipid_nr").select(*names, "num_events").write.format("cell_events").mode("overwrite").save(path)
+
+
+def read_cells(spark: SparkSession, path: str) -> DataFrame:
+    """Events with their run's header, from files of cells (CELL_SCHEMA); filters on gx and gy read only those cells. Cells without events have no row."""
+    register(spark)
+    return spark.read.format("cell_events").load(path)
+
+
 def write_timeline(tl: DataFrame, path: str) -> None:
     """Sparse timeline; timeline_text gives the dense form."""
     tl.write.mode("overwrite").parquet(path)
