@@ -12,7 +12,7 @@ from .events import koff, stacked
 from .lattice import Lattice
 from .rangejoin import align, lookup
 from .stats import histogram
-from .transforms import checkpointed, components
+from .transforms import checkpointed, components, discard
 from .windows import hysteresis, islands, shell_vote, window_vote
 
 XY = ["gx", "gy"]
@@ -195,6 +195,7 @@ def regions(cells: DataFrame, by: tuple[str, ...] = (), side: int = SIDE) -> Dat
     if not links.limit(1).count():
         return inside.select(*keys, F.col("_name").alias("region"))
     labels = components(links).select(F.col("atom_nr").alias("_name"), F.col("molecule").alias("_label"))
+    discard(links)
     return inside.join(labels, "_name", "left").select(*keys, F.coalesce("_label", "_name").alias("region"))
 
 

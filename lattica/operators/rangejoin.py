@@ -89,7 +89,7 @@ def near(a: DataFrame, b: DataFrame, radius: float, **options) -> DataFrame:
 
 def min_dist(a: DataFrame, b: DataFrame, key: list[str], radius: float, on: tuple[str, ...] = ("frame",), dims: str = "xyz") -> DataFrame:
     """Least distance of each row of a (by on and key) to b; rows without a partner in radius look further by rounds."""
-    from .transforms import checkpointed
+    from .transforms import checkpointed, discard
 
     ids = [*on, *key]
     close = range_join(a, b, radius, on, dims).groupBy(*on, *[F.col(f"a_{k}").alias(k) for k in key]).agg(F.min("dist").alias("dist"))
@@ -98,6 +98,7 @@ def min_dist(a: DataFrame, b: DataFrame, key: list[str], radius: float, on: tupl
     if not rest.limit(1).count():
         return close
     far = knn(rest, b, 1, key, dims[0], 2 * radius, on, dims)
+    discard(rest)
     return close.unionByName(far.select(*on, *[F.col(f"a_{k}").alias(k) for k in key], "dist"))
 
 
@@ -106,7 +107,7 @@ def knn(a: DataFrame, b: DataFrame, k: int, key: list[str], order: str, radius:
 
     Rounds: rows with k partners in the radius are settled, as all others are farther; the rest look within twice the radius, until it
     spans all points. So a row is compared with a few times its k nearest, not with its whole frame."""
-    from .transforms import checkpointed
+    from .transforms import checkpointed, discard
 
     ids = [*on, *[f"a_{c}" for c in key]]
     w = Window.partitionBy(*ids)
@@ -121,10 +122,13 @@ def knn(a: DataFrame, b: DataFrame, k: int, key: list[str], order: str, radius:
         done = ranked if last else ranked.filter(F.col("_n") == k)
         found = done if found is None else found.unionByName(done)
         if last:
+            discard(todo, b)
             return found.drop("_n")
         settled = done.select(*on, *[F.col(f"a_{c}").alias(c) for c in key]).distinct()
-        todo = checkpointed(todo.join(settled, [*on, *key], "left_anti"))
+        todo, old = checkpointed(todo.join(settled, [*on, *key], "left_anti")), todo
+        discard(old)
         if not todo.limit(1).count():
+            discard(todo, b)
             return found.drop("_n")
         radius = 2 * radius
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
-from functools import reduce
+from functools import cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,17 +78,25 @@ def components(bonds: DataFrame) -> DataFrame:
     checkpoint a round, until nothing changes."""
     both = bonds.select("a", "b").union(bonds.select("b", "a")).distinct()
     now = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node")
-    now = checkpointed(now)
+    now = table = checkpointed(now)
     while True:
         near = both.join(now.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = now.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
         far = now.select(F.col("node").alias("mid"), F.col("label").alias("far"))
         new = checkpointed(step.join(far, "mid").select("node", "old", F.least("mid", "far").alias("label")))
+        discard(table)
+        table = new
         if not new.filter("label != old").limit(1).count():
             return new.select(F.col("node").alias("atom_nr"), F.col("label").alias("molecule"))
         now = new.select("node", "label")
 
 
+@cache
+def _own_folder(application: str) -> str:
+    """An application's temporary folder, the same at each call: a running session takes no new spark.checkpoint.dir."""
+    return "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share. Where the session names none, a local master gets a temporary one (tests); a cluster has
     to name one."""
@@ -96,16 +104,39 @@ def shared_folder(spark: SparkSession) -> str:
     if not found:
         if "cluster" in spark.sparkContext.master or not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _own_folder(spark.sparkContext.applicationId)
     return found.rstrip("/")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """df as a table written to the shared folder: the lineage ends there, and it is computed once."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = f"{_tables(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
+
+
+def _tables(spark: SparkSession) -> str:
+    """The folder of this application's tables."""
+    return f"{shared_folder(spark)}/tables-{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of checkpointed tables that no later step reads; other DataFrames are left alone."""
+    for df in tables:
+        if getattr(df, "_table", None):
+            _delete(df.sparkSession, df._table)
+
+
+def clear_tables(spark: SparkSession) -> None:
+    """Deletes all checkpointed tables of this application. For long sessions: results that are not yet written or collected can't be computed any more."""
+    _delete(spark, _tables(spark))
 
 
 def forest(bonds: DataFrame) -> DataFrame:
@@ -143,9 +174,11 @@ def mend_bonds(df: DataFrame, bonds: DataFrame, box: tuple[float, float, float])
     add = {f"i{k}": -F.round((F.col(k) - F.col(f"p{k}")) / F.lit(l)) for k, l in zip(XYZ, box)}
     sums = at.join(tree.select("atom_nr", "parent"), "atom_nr").join(up, ["frame", "parent"]).select("frame", "atom_nr", *[c.alias(n) for n, c in add.items()])
     pointer = tree.select("atom_nr", F.col("parent").alias("to"))
-    reach = 1
+    reach, stale = 1, []
     while reach < deepest:
         sums = checkpointed(sums)
+        discard(*stale)
+        stale = [sums, pointer]
         above = sums.select("frame", F.col("atom_nr").alias("to"), *[F.col(n).alias(f"u{n}") for n in add])
         sums = sums.join(pointer, "atom_nr", "left").join(above, ["frame", "to"], "left").select("frame", "atom_nr", *[(F.col(n) + F.coalesce(f"u{n}", F.lit(0.0))).alias(n) for n in add])
         pointer = checkpointed(pointer.join(pointer.select(F.col("atom_nr").alias("to"), F.col("to").alias("next")), "to").select("atom_nr", F.col("next").alias("to")))

@@ -212,3 +212,24 @@ def test_shells_grow_outwards(spark):
     mask = spark.createDataFrame([(0, 0)], "gx int, gy int")
     got = {r["label"]: r["shell"] for r in gridops.solvation_shells(labels, mask, (1.0, 2.0), 1.0).collect()}
     assert got == {0: 1, 1: 1, 2: 2, 3: 2, **dict.fromkeys(range(4, 10), 3)}
+
+
+def test_rounds_leave_only_the_tables_that_results_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(transforms, "shared_folder", lambda spark: f"file://{tmp_path}/shared")
+    left = lambda: len(list((tmp_path / "shared").glob("tables-*/table-*")))
+    chain = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    molecules = transforms.components(chain)
+    assert left() == 1 and molecules.select("molecule").distinct().collect() == [(0,)] and molecules.count() == 201
+    atoms = spark.range(201).select(F.lit(0).alias("frame"), F.col("id").alias("atom_nr"), (F.col("id") * 1.0 % 10).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    whole = transforms.mend_bonds(atoms, chain, (10.0, 10.0, 10.0))
+    assert left() < 10 and [r["x"] for r in whole.orderBy("atom_nr").collect()] == [float(k) for k in range(201)]
+    points = spark.range(60).select(F.lit(0).alias("frame"), F.col("id").alias("k"), (F.col("id") * F.col("id") * 1.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    near = rangejoin.min_dist(points.withColumn("x", F.col("x") + 0.25), points, ["k"], 0.1)
+    far = rangejoin.min_dist(points.withColumn("x", -1000.0 * (F.col("k") + 1)), points, ["k"], 0.1)
+    assert near.count() == 60 and {r["dist"] for r in near.collect()} == {0.25}
+    assert {r["k"]: r["dist"] for r in far.collect()} == {k: 1000.0 * (k + 1) for k in range(60)}
+    cells = spark.range(90).select(F.col("id").cast("int").alias("gx"), F.lit(3).alias("gy")).filter("gx != 70")
+    assert gridops.grow(cells, cells.filter("gx = 2"), side=8).count() == 70
+    transforms.clear_tables(spark)
+    assert left() == 0
+    transforms.clear_tables(spark)  # nothing there
