@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +47,12 @@ def field(df: DataFrame, column: str, name: str | None = None) -> str:
     return f"`{quoted}` {df.schema[column].dataType.simpleString()}"
 
 
+@cache
+def _own_folder(application: str) -> str:
+    """An application's temporary folder, the same at each call: a running session takes no new spark.checkpoint.dir."""
+    return "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. Where the session names none, a local master gets a temporary folder (tests); a
     cluster has to name one."""
@@ -54,8 +60,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _own_folder(spark.sparkContext.applicationId)
     return found.rstrip("/")
 
 
