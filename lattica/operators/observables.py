@@ -139,8 +139,9 @@ def enrichment_lattice(points: DataFrame, is_a: Column, is_b: Column, bulk: floa
 
 def density_lattice(atoms: DataFrame, grid: Lattice, radius: float, n_frames: int) -> DataFrame:
     """Mass-conserving density: sums to the number of molecules whose discs lie inside."""
-    sizes = atoms.groupBy("frame", "res_nr").agg(F.count("*").alias("n_atoms"))
-    return density(atoms.join(sizes, ["frame", "res_nr"]).select("frame", "atom_nr", "n_atoms", "x", "y", "z"), grid, radius, n_frames)
+    molecule = Window.partitionBy("frame", "res_nr")
+    sized = atoms.select("frame", "res_nr", "atom_nr", F.count("*").over(molecule).alias("n_atoms"), "x", "y", "z")
+    return density(sized, grid, radius, n_frames, atom=("frame", "res_nr", "atom_nr"))
 
 
 def density3(atoms: DataFrame, grid: Lattice, radius: float, n_frames: int, protein: DataFrame | None = None, within: float | None = None) -> DataFrame:
