@@ -11,8 +11,8 @@ from pyspark.sql.window import Window
 from lattica.functions.geometry import length
 
 from .molecule import tilt
-from .rangejoin import contacts, knn, min_dist, range_join
-from .transforms import group_center, superpose
+from .rangejoin import classes, contacts, count_near, knn, min_dist, range_join
+from .transforms import checkpointed, group_center, superpose
 from .windows import majority_events, state_fold
 
 
@@ -98,15 +98,19 @@ def orientation_series(df: DataFrame, upper: Column, lower: Column) -> DataFrame
 def contacts_per(a: DataFrame, b: DataFrame, cutoff: float, key: str, n_frames: int) -> DataFrame:
     """(key, value): mean contacts per frame with b of each atom or residue of a, 0 included."""
     cols = ["frame", key, "x", "y", "z"]
-    n = contacts(a.select(cols), b.select("frame", "x", "y", "z"), cutoff).groupBy(F.col(f"a_{key}").alias(key)).agg(F.count("*").alias("n"))
-    return a.select(key).distinct().join(n, key, "left").select(key, (F.coalesce("n", F.lit(0)) / F.lit(float(n_frames))).alias("value"))
+    return count_near(a.select(cols), b.select("frame", "x", "y", "z"), cutoff).groupBy(key).agg((F.sum("n") / F.lit(float(n_frames))).alias("value"))
 
 
 def residue_enrichment(protein: DataFrame, lipids: DataFrame, cutoff: float, is_a: Column, is_b: Column, bulk: float) -> DataFrame:
     """(res_nr, a, b, value): different (frame, lipid) of sets A and B touching a residue, and their ratio against bulk; null if either is 0."""
-    pairs = contacts(protein.select("frame", "res_nr", "x", "y", "z"), lipids.withColumns({"in_a": is_a, "in_b": is_b}).select("frame", "res_nr", "in_a", "in_b", "x", "y", "z"), cutoff)
-    hit = F.struct("frame", "b_res_nr")
-    g = pairs.groupBy(F.col("a_res_nr").alias("res_nr")).agg(F.countDistinct(F.when(F.col("b_in_a"), hit)).alias("a"), F.countDistinct(F.when(F.col("b_in_b"), hit)).alias("b"))
+    cols = ["frame", "res_nr", "x", "y", "z"]
+    marked = lipids.withColumns({"in_a": is_a, "in_b": is_b}).select(*cols, "in_a", "in_b")
+    ma, mb = checkpointed(classes(protein, "res_nr")), checkpointed(classes(marked, "res_nr", shape=("x", "y", "z", "in_a", "in_b")))
+    one = lambda df, m: df.join(m.filter("res_nr = rep").select("frame", "res_nr", "size"), ["frame", "res_nr"])
+    pairs = contacts(one(protein.select(cols), ma).drop("size"), one(marked, mb), cutoff)
+    met = pairs.groupBy("frame", F.col("a_res_nr").alias("rep"), "b_res_nr").agg(*[F.max(F.when(F.col(f"b_in_{c}"), F.col("b_size")).otherwise(0)).alias(c) for c in "ab"])
+    per = met.groupBy("frame", "rep").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    g = ma.select("frame", "res_nr", "rep").join(per, ["frame", "rep"]).groupBy("res_nr").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     return g.withColumn("value", F.when((F.col("a") > 0) & (F.col("b") > 0), (F.col("a") / F.col("b") - bulk) / bulk * 100.0))
 
 
@@ -195,16 +199,21 @@ def permeation(ions: DataFrame, upper: DataFrame, lower: DataFrame, k: int, buff
 
 
 def mixing(a: DataFrame, b: DataFrame, shell: float, r: int, n_b: int, stride: int, n_frames: int) -> DataFrame:
-    """(frame, mean, sd): percent of B lipids ever majority-bound to an A lipid, over A lipids, every stride frames."""
-    pairs = range_join(a.select("frame", "res_nr", "x", "y"), b.select("frame", "res_nr", "x", "y"), shell, dims="xy", where=F.col("a_res_nr") != F.col("b_res_nr"))
+    """(frame, mean, sd): percent of B lipids ever majority-bound to an A lipid, over A lipids, every stride frames. Lipids with the same path in all frames are a class, of which
+    one is followed; its events count for all members, and a lipid's own path is taken away."""
+    ma, mb = (checkpointed(classes(df, "res_nr", (), ("frame", "x", "y"))) for df in (a, b))
+    ra, rb = (df.select("frame", "res_nr", "x", "y").join(m.filter("res_nr = rep").select("res_nr"), "res_nr", "left_semi") for df, m in ((a, ma), (b, mb)))
+    pairs = range_join(ra, rb, shell, dims="xy")
     rows = pairs.select(F.col("a_res_nr").alias("a"), F.col("b_res_nr").alias("b"), "frame", F.lit(1).alias("one"))
     ev = majority_events(rows, r, keys=["a", "b"], label="one")
-    first = ev.groupBy("a", "b").agg(F.min("bind_i").alias("t"))
-    steps = first.groupBy("a", F.ceil(F.col("t") / stride).cast("int").alias("k")).agg(F.count("*").alias("n"))
+    first = checkpointed(ev.groupBy(F.col("a").alias("rep"), F.col("b").alias("_b")).agg(F.ceil(F.min("bind_i") / stride).cast("int").alias("k")))
+    sizes = mb.filter("res_nr = rep").select(F.col("rep").alias("_b"), "size")
+    steps = first.join(sizes, "_b").groupBy("rep", "k").agg(F.sum("size").alias("n"))
+    own = ma.join(mb.select("res_nr", F.col("rep").alias("_b")), "res_nr").join(first, ["rep", "_b"]).select("res_nr", "k", F.lit(1).alias("_own"))
     marks = a.sparkSession.range((n_frames + stride - 1) // stride).select(F.col("id").cast("int").alias("k"))
-    full = a.select(F.col("res_nr").alias("a")).distinct().crossJoin(F.broadcast(marks)).join(steps, ["a", "k"], "left")
-    w = Window.partitionBy("a").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    pct = full.withColumn("p", F.sum(F.coalesce("n", F.lit(0))).over(w) * 100.0 / F.lit(n_b))
+    full = ma.select("res_nr", "rep").crossJoin(F.broadcast(marks)).join(steps, ["rep", "k"], "left").join(own, ["res_nr", "k"], "left")
+    w = Window.partitionBy("res_nr").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    pct = full.withColumn("p", F.sum(F.coalesce("n", F.lit(0)) - F.coalesce("_own", F.lit(0))).over(w) * 100.0 / F.lit(n_b))
     return pct.groupBy((F.col("k") * stride).alias("frame")).agg(F.avg("p").alias("mean"), F.stddev_samp("p").alias("sd"))
 
 

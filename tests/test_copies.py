@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.operators import lattice as la
+from lattica.operators import observables as ob
+from lattica.operators import rangejoin as rj
 from lattica.operators import scanline
 from lattica.operators.lattice import Lattice
 from lattica.plans import fixtures
@@ -38,3 +40,40 @@ def test_fixtures_are_dealt_to_tasks(spark, small, monkeypatch):
     dealt, whole = Fixture(spark, small), 150 * 25 * 5
     assert dealt.atoms.count() == whole
     assert dealt.atoms.select(F.spark_partition_id()).distinct().count() > 4
+
+
+def lipids(spark, copies):
+    """Residues of two atoms at few places, copies of each."""
+    rows = [(0, k * 10 + p, 0.5 * p + 0.3 * i, 0.2 * p, 0.7 * i) for k in range(copies) for p in range(4) for i in range(2)]
+    return spark.createDataFrame(rows, "frame int, res_nr int, x double, y double, z double"), rows
+
+
+def test_contacts_of_copies(spark):
+    df, rows = lipids(spark, 5)
+    got = {r["res_nr"]: (r["value"], r["molecules"]) for r in ob.contact_counts(df, df, 0.8).collect()}
+    for n in {r[1] for r in rows}:
+        met = [b[1] for a in rows for b in rows if a[1] == n != b[1] and sum((u - v) ** 2 for u, v in zip(a[2:], b[2:])) ** 0.5 < 0.8]
+        assert got[n] == (len(met), len(set(met)))
+
+
+def test_places_are_joined_not_rows(spark, monkeypatch):
+    df, rows = lipids(spark, 40)
+    joined, plain = [], rj.range_join
+    monkeypatch.setattr(rj, "range_join", lambda a, b, *args, **kw: joined.append(plain(a, b, *args, **kw)) or joined[-1])
+    got = {(r["res_nr"], r["x"], r["z"]): r["n"] for r in rj.count_near(df, df, 0.8, other="res_nr").collect()}
+    assert joined[0].count() <= 8 * 8
+    a = rows[9]
+    assert got[a[1], a[2], a[4]] == sum(a[1] != b[1] and sum((u - v) ** 2 for u, v in zip(a[2:], b[2:])) ** 0.5 < 0.8 for b in rows)
+    atoms = df.withColumns({"atom_nr": F.monotonically_increasing_id(), "atom_name": F.lit("P")})
+    assert rj.plane_pair_counts(atoms, 0.5, 0.6).first()["n"] == plain_count(rj.plane_pairs(atoms, 0.5, 0.6))
+
+
+def plain_count(df):
+    return df.count()
+
+
+def test_nearest_event_looks_ahead_in_one_pass(spark):
+    events = spark.createDataFrame([(0, 0, 1, 17, "POPE", 0, 4, 5), (0, 0, 2, 27, "POPG", 6, 9, 4)], "gx int, gy int, lipid_nr int, res_nr int, res_name string, bind_i int, bind_f int, dwell int")
+    found = rj.nearest_event(events)
+    assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
+    assert {r["lipid_nr"]: r["next_lipid"] for r in found.collect()} == {1: 2, 2: 2}
