@@ -214,13 +214,13 @@ def nan_region(data: DataFrame, seeds: DataFrame, by: tuple[str, ...] = ()) -> D
 
 def free_energy_map(thickness: DataFrame, density: DataFrame, steps: DataFrame) -> DataFrame:
     """Free energy of each node's thickness by the lookup table (thickness, fe), and times its lipid density."""
-    found = lookup(thickness.filter("value is not null").select(*XY, "value"), steps, "value", "thickness")
+    found = lookup(thickness.filter("value is not null").select(*XY, "value"), steps, "value", "thickness", 9)
     return found.join(density.select(*XY, F.col("value").alias("density")), XY).select(*XY, "fe", (F.col("fe") * F.col("density")).alias("value"))
 
 
 def frame_distribution(frame_values: DataFrame, mask: DataFrame, width: float) -> DataFrame:
-    """Histogram of per-frame node values inside a mask."""
-    return histogram(frame_values.join(mask.select(*XY), XY, "left_semi"), "value", width)
+    """Histogram of per-frame node values inside a mask; means on an edge (to 9 digits) belong to the bin above it."""
+    return histogram(frame_values.join(mask.select(*XY), XY, "left_semi"), "value", width, digits=9)
 
 
 def frame_errors(frame_values: DataFrame, mean: DataFrame, mask: DataFrame) -> DataFrame:

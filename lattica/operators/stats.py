@@ -11,16 +11,18 @@ from pyspark.sql.window import Window
 GAS_CONSTANT = 0.0083144621
 
 
-def histogram(values: DataFrame, column: str, width: float, low: float | None = None, high: float | None = None) -> DataFrame:
+def histogram(values: DataFrame, column: str, width: float, low: float | None = None, high: float | None = None, digits: int | None = None) -> DataFrame:
     """(bin, left, count, p): half-open bins k * width from floor(min(0, data) / width), ceil(range / width) of them.
 
-    The range includes 0, and the greatest value may fall beyond the last bin; p still divides by all samples. low and high force the range."""
+    The range includes 0, and the greatest value may fall beyond the last bin; p still divides by all samples. low and high force the range.
+    digits: value / width is rounded to so many digits, so that means that lie on an edge fall into the bin above it, however they were summed up."""
+    places = lambda c: c / width if digits is None else F.round(c / width, digits)
     ends = values.agg(F.least(F.lit(0.0), F.min(column)).alias("lo"), F.greatest(F.lit(0.0), F.max(column)).alias("hi"), F.count(column).alias("n"))
     if low is not None and high is not None:
         ends = ends.withColumns({"lo": F.lit(float(low)), "hi": F.lit(float(high))})
-    ends = ends.filter("n > 0").select("n", F.floor(F.col("lo") / width).cast("int").alias("first"), F.ceil((F.col("hi") - F.col("lo")) / width).cast("int").alias("bins"))
+    ends = ends.filter("n > 0").select("n", F.floor(places(F.col("lo"))).cast("int").alias("first"), F.ceil(places(F.col("hi") - F.col("lo"))).cast("int").alias("bins"))
     bins = ends.filter("bins > 0").select("n", F.explode(F.expr("sequence(first, first + bins - 1)")).alias("bin"))
-    counts = values.groupBy(F.floor(F.col(column) / width).cast("int").alias("bin")).agg(F.count(column).alias("count"))
+    counts = values.groupBy(F.floor(places(F.col(column))).cast("int").alias("bin")).agg(F.count(column).alias("count"))
     full = bins.join(counts, "bin", "left").withColumn("count", F.coalesce("count", F.lit(0)))
     return full.select("bin", (F.col("bin") * F.lit(width)).alias("left"), "count", (F.col("count") / F.col("n")).alias("p"))
 

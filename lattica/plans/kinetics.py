@@ -382,7 +382,7 @@ def d13_nan_region(fx: Fixture):
     return g.nan_region(lat, lat.filter("value is null").orderBy("gx", "gy").limit(1))
 
 
-@query(", st2 AS (SELECT i*0.25e0 AS thickness, i*i*0.5e0 AS fe FROM nd), lk AS (SELECT gx, gy, fe, row_number() OVER (PARTITION BY gx, gy ORDER BY thickness DESC) AS k FROM l1 JOIN st2 ON value >= thickness) SELECT lk.gx, lk.gy, fe, round(fe*l2.value, 6) + 0.0 AS value FROM lk JOIN l2 ON lk.gx = l2.gx AND lk.gy = l2.gy WHERE k = 1")
+@query(", st2 AS (SELECT i*0.25e0 AS thickness, i*i*0.5e0 AS fe FROM nd), lk AS (SELECT gx, gy, fe, row_number() OVER (PARTITION BY gx, gy ORDER BY thickness DESC) AS k FROM l1 JOIN st2 ON round(value, 9) >= thickness) SELECT lk.gx, lk.gy, fe, round(fe*l2.value, 6) + 0.0 AS value FROM lk JOIN l2 ON lk.gx = l2.gx AND lk.gy = l2.gy WHERE k = 1")
 def d14_free_energy_map(fx: Fixture):
     steps = fx.spark.range(41).select((F.col("id") * 0.25).alias("thickness"), (F.col("id") * F.col("id") * 0.5).alias("fe"))
     return g.free_energy_map(fx.grid(1), fx.grid(2), steps).select(*K2, "fe", r6("value"))
@@ -392,7 +392,7 @@ def frame_values(fx: Fixture):
     return frame_mean(points(fx), G2, 0.6)
 
 
-@query(SEED + ", v AS (SELECT f.v FROM fm f JOIN sd ON f.gx = sd.gx AND f.gy = sd.gy WHERE leaflet = 1), hh AS (SELECT CAST(floor(v/0.2e0) AS INT) AS bin, count(*) AS count FROM v GROUP BY 1) SELECT i AS bin, COALESCE(hh.count, 0) AS count, round(COALESCE(hh.count, 0)/CAST((SELECT count(*) FROM v) AS DOUBLE), 6) + 0.0 AS p FROM nd LEFT JOIN hh ON nd.i = hh.bin WHERE i < ceil((SELECT max(v) FROM v)/0.2e0)")
+@query(SEED + ", v AS (SELECT f.v FROM fm f JOIN sd ON f.gx = sd.gx AND f.gy = sd.gy WHERE leaflet = 1), hh AS (SELECT CAST(floor(round(v/0.2e0, 9)) AS INT) AS bin, count(*) AS count FROM v GROUP BY 1) SELECT i AS bin, COALESCE(hh.count, 0) AS count, round(COALESCE(hh.count, 0)/CAST((SELECT count(*) FROM v) AS DOUBLE), 6) + 0.0 AS p FROM nd LEFT JOIN hh ON nd.i = hh.bin WHERE i < ceil(round((SELECT max(v) FROM v)/0.2e0, 9))")
 def d15_frame_distribution(fx: Fixture):
     return g.frame_distribution(frame_values(fx), seed(fx), 0.2).select("bin", "count", r6("p"))
 
