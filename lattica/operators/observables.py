@@ -189,15 +189,16 @@ def lipid_tracks(atoms: DataFrame, grid: Lattice, radius: float) -> DataFrame:
 
 
 def lipid_hbond_counts(bonds: DataFrame, atoms: DataFrame, side: str = "acceptor") -> DataFrame:
-    """(frame, res_nr, value): hydrogen bonds (frame, acceptor, donor, hydrogen) of each residue's atoms on one side, 0 included."""
-    who = atoms.select("frame", F.col("atom_nr").alias(side), "res_nr")
-    n = bonds.join(who, ["frame", side]).groupBy("frame", "res_nr").agg(F.count("*").alias("n"))
+    """(frame, res_nr, value): hydrogen bonds of each residue's atoms on one side, 0 included: bonds as rows (frame, acceptor, donor, hydrogen), or the numbers n of the acceptors (hbond_counts)."""
+    if "n" in bonds.columns:
+        n = bonds.groupBy("frame", "res_nr").agg(F.sum("n").alias("n"))
+    else:
+        who = atoms.select("frame", F.col("atom_nr").alias(side), "res_nr")
+        n = bonds.join(who, ["frame", side]).groupBy("frame", "res_nr").agg(F.count("*").alias("n"))
     return atoms.select("frame", "res_nr").distinct().join(n, ["frame", "res_nr"], "left").select("frame", "res_nr", F.coalesce("n", F.lit(0)).cast("double").alias("value"))
 
 
-def hbond_types(bonds: DataFrame, atoms: DataFrame, n_frames: int) -> DataFrame:
-    """Per (donor name, acceptor name, lipid type of the acceptor): bonds a frame, and the acceptors' mean position."""
-    a = atoms.select("frame", F.col("atom_nr").alias("acceptor"), F.col("atom_name").alias("acceptor_name"), "res_name", "x", "y", "z")
-    d = atoms.select("frame", F.col("atom_nr").alias("donor"), F.col("atom_name").alias("donor_name"))
-    rows = bonds.join(a, ["frame", "acceptor"]).join(d, ["frame", "donor"])
-    return rows.groupBy("donor_name", "acceptor_name", "res_name").agg((F.count("*") / F.lit(float(n_frames))).alias("frequency"), *[F.avg(c).alias(c) for c in "xyz"])
+def hbond_types(counts: DataFrame, n_frames: int) -> DataFrame:
+    """Per (donor name, acceptor name, lipid type of the acceptor): bonds a frame, and the acceptors' mean position, each as often as it has bonds. counts: acceptors with n and donor_name (hbond_counts)."""
+    mean = lambda c: (F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c)
+    return counts.groupBy("donor_name", F.col("atom_name").alias("acceptor_name"), "res_name").agg((F.sum("n") / F.lit(float(n_frames))).alias("frequency"), *[mean(c) for c in "xyz"])

@@ -23,8 +23,8 @@ def contact_pairs(a: DataFrame, b: DataFrame, cutoff: float) -> DataFrame:
 
 
 def contact_series(pairs: DataFrame, frames: DataFrame) -> DataFrame:
-    """(frame, n) with 0 for frames without contacts."""
-    n = pairs.groupBy("frame").agg(F.count("*").alias("n"))
+    """(frame, n) with 0 for frames without contacts; pairs, or numbers n of them."""
+    n = pairs.groupBy("frame").agg((F.sum("n") if "n" in pairs.columns else F.count("*")).alias("n"))
     return frames.join(n, "frame", "left").select("frame", F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -77,3 +77,44 @@ def test_nearest_event_looks_ahead_in_one_pass(spark):
     found = rj.nearest_event(events)
     assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
     assert {r["lipid_nr"]: r["next_lipid"] for r in found.collect()} == {1: 2, 2: 2}
+
+
+def molecules(spark, copies):
+    """Residues of a donor, its hydrogen and an acceptor, at few places; copies of each."""
+    rows = [(0, 3 * (k * 4 + p) + i, 0.4 * p + (0.0, 0.1, 0.3)[i], 0.05 * p * i, 0.1 * i) for k in range(copies) for p in range(4) for i in range(3)]
+    atoms = spark.createDataFrame(rows, "frame int, atom_nr int, x double, y double, z double")
+    ids = [3 * n for n in range(4 * copies)]
+    bonds = spark.createDataFrame([(n, n + 1) for n in ids], "a int, b int")
+    own = spark.createDataFrame([(n + 2, n) for n in ids], "a int, b int")
+    part = lambda k: atoms.filter(F.col("atom_nr") % 3 == k)
+    return part(2), part(0).withColumn("kind", F.lit("N")), bonds, part(1), 0.7, 60.0, own
+
+
+def test_hydrogen_bonds_of_copies(spark):
+    one = rj.hbonds(*molecules(spark, 1)).count()
+    few, many = (molecules(spark, n) for n in (3, 30))
+    pairs = {(r["acceptor"], r["donor"], r["hydrogen"]) for r in rj.hbonds(*few).collect()}
+    rows = rj.hbond_groups(*few).collect()
+    takers, givers = {}, {}
+    for r in rows:
+        if r["kind"] == "acceptor":
+            takers.setdefault(r["acceptor"], []).append(r["member"])
+        if r["kind"] == "donor":
+            givers.setdefault((r["donor"], r["hydrogen"]), []).append((r["member"], r["member_hydrogen"]))
+    not_bonds = {(r["acceptor"], r["donor"], r["hydrogen"]) for r in rows if r["kind"] == "excluded"}
+    links = [r for r in rows if r["kind"] == "bonds"]
+    assert {(a, *d) for r in links for a in takers[r["acceptor"]] for d in givers[r["donor"], r["hydrogen"]]} - not_bonds == pairs and not_bonds and len(pairs) > one
+    assert sum(r["n"] for r in links) == len(pairs)
+    counts = {r["atom_nr"]: r["n"] for r in rj.hbond_counts(*few, names=("kind",)).collect()}
+    assert counts == {a: sum(p[0] == a for p in pairs) for a in {p[0] for p in pairs}}
+    assert rj.hbond_groups(*many).count() < 4 * 30 * 4
+    assert rj.hbonds(*many).count() > 4 * 30 * 30
+
+
+def test_contacts_as_places_and_members(spark):
+    df, rows = lipids(spark, 20)
+    a, b = df.withColumn("atom_nr", F.col("res_nr") * 2), df
+    got = rj.contact_groups(a, b, 0.8, "atom_nr", "res_nr").collect()
+    met = sum(sum((u - v) ** 2 for u, v in zip(p[2:], q[2:])) ** 0.5 < 0.8 for p in rows for q in rows)
+    assert sum(r["n"] or 0 for r in got) == met == rj.contacts(a, b, 0.8).count()
+    assert sum(r["kind"] != "contacts" for r in got) == 2 * len(rows) and len(got) < met / 10
