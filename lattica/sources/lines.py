@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lattica.operators.transforms import checkpointed
+
 
 def numbered(spark: SparkSession, path: str, across: bool = False) -> DataFrame:
     """(file, line, value) and the partition columns of path: line counts from 0 in each file, or with across over all files in the order of
-    their names. A window holds the lines of one split; of the splits only the counts meet."""
+    their names. Lines stay where they are read: of each split only its count and the number of its first line, one row, meet the others."""
     raw = spark.read.text(path).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
-    rows = raw.withColumn("_k", F.row_number().over(Window.partitionBy("file", "_block").orderBy("_id")))
     before = (Window.orderBy("file", "_block") if across else Window.partitionBy("file").orderBy("_block")).rowsBetween(Window.unboundedPreceding, -1)
-    counts = raw.groupBy("file", "_block").agg(F.count("*").alias("_n")).select("file", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return rows.join(counts, ["file", "_block"]).withColumn("line", F.col("_before") + F.col("_k") - 1).drop("_block", "_id", "_k", "_before")
+    counts = checkpointed(raw.groupBy("file", "_block").agg(F.count("*").alias("_n"), F.min("_id").alias("_first")))
+    counts = counts.select("file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    # ids count on along the lines of a split
+    return raw.join(F.broadcast(counts), ["file", "_block"]).withColumn("line", F.col("_before") + F.col("_id") - F.col("_first")).drop("_block", "_id", "_first", "_before")

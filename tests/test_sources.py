@@ -120,3 +120,16 @@ def test_topology_has_to_know_all_atoms(spark):
     assert {r["res_nr"]: r["ordinal"] for r in t.collect()} == {5: 1, 9: 2}
     with pytest.raises(Exception, match="no topology"):
         tables.with_topology(spark.createDataFrame([(3, 0.5)], "atom_nr int, x double"), t).collect()
+
+
+def test_frames_that_lie_in_several_files(spark, tmp_path):
+    rows = [(f, a, a, "POPE", "PO4", a / 8, f / 4, 1.5) for f in range(3) for a in range(9000)]
+    df = spark.createDataFrame(rows, "frame int, atom_nr int, res_nr int, res_name string, atom_name string, x double, y double, z double")
+    for fmt, read in (("pdb", structures.read_pdb), ("gro", structures.read_gro)):
+        path = str(tmp_path / fmt)
+        structures.write_text_frames(df, path, fmt, (20.0, 21.0, 22.0), partitions=8, whole=False)
+        assert len([p for p in (tmp_path / fmt).iterdir() if p.name.startswith("part-") and p.stat().st_size]) > 3
+        got = read(spark, path, across=True).select("frame", "atom_nr", "x", "y", "by").collect()
+        assert {(r[0], r[1], r[2], r[3]) for r in got} == {(r[0], r[1], r[5], r[6]) for r in rows} and len(got) == len(rows) and {r["by"] for r in got} == {21.0}
+    plan = structures.read_pdb(spark, str(tmp_path / "pdb"), across=True)._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" not in plan and "collect_list" not in plan  # lines aren't numbered by a sort, and no row holds a frame
