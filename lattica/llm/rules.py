@@ -1,7 +1,7 @@
 """Quality rules: counts over whole texts, and an isolation forest on the rule statistics.
 
-The forest is fitted on a bounded labelled sample; short average paths over random splits mark a document as anomalous, and the
-threshold is set on the same labelled rows. Everything else is one pass over the documents, a batch at a time.
+Each tree of the forest is grown on its own draw of labelled rows; short average paths over random splits mark a document as anomalous, and the
+threshold is set on all labelled rows. Everything else is a pass over the documents to count for the fit, and one to judge, a batch at a time.
 """
 
 from __future__ import annotations
@@ -14,8 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import field, in_python, mix64, text_words
-from .learning import labelled
+from .common import field, in_python, mix64, release, stash, text_words
 
 BLANKS, SYMBOLS, CAPITALS = " \t\n\x0b\x0c\r", "#*$%&|<>", bytes(range(65, 91))
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals"]
@@ -152,18 +151,59 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
         yield batch, np.array([counts(t.as_py(), words) for t, words in zip(texts, text_words(texts))], np.int64).reshape(len(texts), len(COUNTS))
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, bound: int = 4000, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", **options) -> Forest:
+def order_statistic(df: DataFrame, column: str, k: int, bins: int = 1024) -> float:
+    """The value at place k, from 0, of a column of finite numbers in ascending order, exactly: counts by bins, then by bins of the bin that holds the place, until that has one value. bins rows a round reach the driver."""
+    low, high = df.agg(F.min(column), F.max(column)).first()
+    while low < high:
+        part = F.least(F.lit(bins - 1), F.floor((F.col(column) - F.lit(low)) / F.lit((high - low) / bins)))
+        inside = df.filter(F.col(column).between(low, high))
+        for r in sorted(inside.groupBy(part.alias("bin")).agg(F.count("*").alias("n"), F.min(column).alias("low"), F.max(column).alias("high")).collect(), key=lambda r: r["bin"]):
+            if k < r["n"]:
+                low, high = r["low"], r["high"]
+                break
+            k -= r["n"]
+    return low
+
+
+def fit_on(docs: DataFrame, labels: DataFrame, bound: int = 4000, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", loss: float = 0.008, trees: int = 150, points: int = 256, **options) -> Forest:
+    """The forest, with the threshold of fit over all labelled rows. Each tree is grown on its own draw of points rows, as the method has it; they are drawn from max(bound, trees x points) labelled rows, the first by a hash
+    of the id, which are all that reaches the driver. Counts are taken before labels are joined, so that no text is dealt out."""
+
     def run(batches):
         for batch, c in _counted(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c[:, k]) for k in range(len(COUNTS)))], ["doc_id", "label", *COUNTS])
-
-    rows = labelled(docs, labels, label, bound, id_col, text_col=text_col).withColumn("doc_id", F.col("doc_id").cast("string"))
-    rows = in_python(rows, run, "doc_id string, label int, " + ", ".join(f"{c} long" for c in COUNTS))
-    rows = rows.groupBy("doc_id").agg(F.min(F.struct("label", *COUNTS)).alias("r")).orderBy("doc_id").select("r.*").toPandas()
-    c = rows[COUNTS].to_numpy(np.int64).reshape(-1, len(COUNTS))
-    good = rows["label"].to_numpy() > 0
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c[:, k]) for k in range(len(COUNTS)))], ["doc_id", *COUNTS])
+
+    known = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("label"))
+    counted = in_python(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"{field(docs, id_col, 'doc_id')}, " + ", ".join(f"{c} long" for c in COUNTS))
+    rows = counted.join(known, F.col("doc_id") == F.col("_id")).groupBy("doc_id").agg(F.min(F.struct("label", *COUNTS)).alias("r"))
+    rows = stash(rows.select("doc_id", "r.*"))
+    pool = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max(bound, trees * points)).withColumn("doc_id", F.col("doc_id").cast("string")).orderBy("doc_id").drop("doc_id").toPandas()
+    c = pool[COUNTS].to_numpy(np.int64).reshape(-1, len(COUNTS))
     passes = _passes(c)
-    return fit(statistics(c)[passes], good[passes], **options)
+    forest = fit(statistics(c)[passes], pool["label"].to_numpy()[passes] > 0, trees, points, loss=loss, **options)
+    if np.isfinite(forest.threshold):
+        forest.threshold = _threshold(rows, forest, loss)
+    release(rows)
+    return forest
+
+
+def _threshold(rows: DataFrame, forest: Forest, loss: float) -> float:
+    """The threshold of fit, from all rows (label, COUNTS) that pass the base."""
+    model = rows.sparkSession.sparkContext.broadcast(forest)  # trees x nodes
+
+    def run(batches):
+        for batch in batches:
+            c = np.column_stack([batch.column(name).to_numpy(zero_copy_only=False) for name in COUNTS]).astype(np.int64).reshape(-1, len(COUNTS))
+            passes = _passes(c)
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column("label").to_numpy(zero_copy_only=False)[passes] > 0), pa.array(model.value.scores(statistics(c[passes])))], ["good", "score"])
+
+    scored = stash(in_python(rows.select("label", *COUNTS), run, "good boolean, score double"))
+    good = scored.filter("good")
+    n = good.count()
+    bound = order_statistic(good, "score", min(n - 1, int(np.ceil(n * (1 - loss))) - 1))
+    above = scored.filter(~F.col("good") & (F.col("score") > bound)).agg(F.min("score")).first()[0]
+    release(scored)
+    return float(np.nextafter(bound, 2)) if above is None else (bound + above) / 2
 
 
 def judge(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

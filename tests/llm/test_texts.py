@@ -57,6 +57,24 @@ def test_forest_finds_planted_outliers(spark, no_labels, edges):
     assert r == 0
 
 
+def test_threshold_comes_from_all_labelled_rows(spark):
+    rng = np.random.default_rng(5)
+    text = lambda k: " ".join(f"{'#' * (k % 7 == 0) * int(rng.integers(1, 4))}{'w' * int(rng.integers(2, 9))}{n}" for n in range(30))
+    docs = spark.createDataFrame([(k, text(k)) for k in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 7 != 0)) for k in range(600)], "doc_id long, quality int")
+    forest = rules.fit_on(docs, labels, bound=40, trees=5, points=8, loss=0.1)
+    rows = rules.judge(docs, forest).collect()
+    s, good = np.array([r["anomaly"] for r in rows]), np.array([r["doc_id"] % 7 != 0 for r in rows])
+    assert not any(r["base_failed"] for r in rows)
+    ordered = np.sort(s[good])
+    bound = ordered[int(np.ceil(len(ordered) * 0.9)) - 1]
+    above = s[~good][s[~good] > bound]
+    assert forest.threshold == (pytest.approx((bound + above.min()) / 2, abs=1e-15) if len(above) else np.nextafter(bound, 2))
+    values = [r["anomaly"] for r in rows]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [rules.order_statistic(df, "v", k, 4) for k in (0, 311, 599)] == [sorted(values)[k] for k in (0, 311, 599)]
+
+
 def test_forest_path_is_exact_on_one_split():
     x = np.array([[0.0], [10.0]])
     feature, cut, left, path = rules.grow(x, np.random.default_rng(0), 5)
