@@ -43,22 +43,29 @@ def scan(df: DataFrame, keys: list[str], order: str, sums: dict[str, Column] | N
     rows, alone = written(df, order, block)
     values = sums | lasts | previous
     rows = rows.withColumns({f"_v_{n}": c for n, c in values.items()})
-    newest = lambda n: F.struct(order, f"_v_{n}")
+    newest = {n: F.struct(order, f"_v_{n}") for n in previous} | {n: F.when(F.col(f"_v_{n}").isNotNull(), F.struct(order, f"_v_{n}")) for n in lasts}
+    inside = Window.partitionBy(*keys, "_blk").orderBy(order)
     if not alone:
-        table = rows.groupBy(*keys, "_blk").agg(F.min(order).alias("_first"), *[F.sum(f"_v_{n}").alias(f"_c_{n}") for n in sums], *[F.max(F.when(F.col(f"_v_{n}").isNotNull(), newest(n))).alias(f"_c_{n}") for n in lasts], *[F.max(newest(n)).alias(f"_c_{n}") for n in previous])
+        # max_by of plain columns is taken in a hash table; the greatest struct would have all rows sorted first
+        latest = lambda n, at: F.when(F.max(at).isNotNull(), F.struct(F.max(at).alias(order), F.max_by(f"_v_{n}", at).alias(f"_v_{n}")))
+        known = lambda n: F.when(F.col(f"_v_{n}").isNotNull(), F.col(order))
+        table = rows.groupBy(*keys, "_blk").agg(F.min(order).alias("_first"), *[F.sum(f"_v_{n}").alias(f"_c_{n}") for n in sums], *[latest(n, known(n)).alias(f"_c_{n}") for n in lasts], *[latest(n, F.col(order)).alias(f"_c_{n}") for n in previous])
         along = Window.partitionBy(*keys).orderBy("_blk")
         before = along.rowsBetween(Window.unboundedPreceding, -1)
-        carried = [F.sum(f"_c_{n}").over(before).alias(f"_c_{n}") for n in sums] + [F.last(f"_c_{n}", True).over(before).alias(f"_c_{n}") for n in lasts] + [F.lag(f"_c_{n}").over(along).alias(f"_c_{n}") for n in previous]
-        rows = _back(rows, table.select(*keys, "_blk", *carried, F.lead("_first").over(along).alias("_first")), [*keys, "_blk"])
-    carry = lambda n: [] if alone else [F.col(f"_c_{n}")]
-    inside = Window.partitionBy(*keys, "_blk").orderBy(order)
+        carried = [F.sum(f"_c_{n}").over(before).alias(f"_v_{n}") for n in sums] + [F.last(f"_c_{n}", True).over(before).alias(f"_c_{n}") for n in lasts] + [F.lag(f"_c_{n}").over(along).alias(f"_c_{n}") for n in previous]
+        carries = table.select(*keys, "_blk", *carried, F.lead("_first").over(along).alias("_first"), F.lit(False).alias("_row"))
+        # a carry is the first row of its block, so that rows are dealt out once and no join follows
+        rows = rows.withColumn("_row", F.lit(True)).unionByName(carries, allowMissingColumns=True)
+        newest = {n: F.when(F.col("_row"), s).otherwise(F.col(f"_c_{n}")) for n, s in newest.items()}
+        inside = Window.partitionBy(*keys, "_blk").orderBy("_row", order)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    out = {n: sum((F.coalesce(c, F.lit(0)) for c in carry(n)), F.coalesce(F.sum(f"_v_{n}").over(upto), F.lit(0))) for n in sums}
-    out |= {n: F.coalesce(F.last(F.when(F.col(f"_v_{n}").isNotNull(), newest(n)), True).over(upto), *carry(n))[f"_v_{n}"] for n in lasts}
-    out |= {n: F.coalesce(F.lag(newest(n)).over(inside), *carry(n))[f"_v_{n}"] for n in previous}
+    out = {n: F.coalesce(F.sum(f"_v_{n}").over(upto), F.lit(0)) for n in sums}
+    out |= {n: F.last(newest[n], True).over(upto)[f"_v_{n}"] for n in lasts}
+    out |= {n: F.lag(newest[n]).over(inside)[f"_v_{n}"] for n in previous}
     if following:
-        out |= {following: F.coalesce(F.lead(order).over(inside), *([] if alone else [F.col("_first")]))}
-    return rows.withColumns(out).drop("_blk", "_first", *[f"_{x}_{n}" for n in values for x in "vc"])
+        out |= {following: F.coalesce(F.lead(order).over(inside), *([] if alone else [F.first("_first").over(upto)]))}
+    rows = rows.withColumns(out)
+    return (rows if alone else rows.filter("_row")).drop("_blk", "_first", "_row", *[f"_{x}_{n}" for n in values for x in "vc"])
 
 
 def runs(df: DataFrame, keys: list[str], a: str, b: str, gap: int = 0, block: int = BLOCK) -> DataFrame:

@@ -53,12 +53,14 @@ def state_fold(df: DataFrame, key: str, state: str, levels: int = 5, block: int
     Downward 0, 1, .., levels - 1, upward the reverse; start is the last frame in the first state before the passage. Each direction starts clean.
     A visit of the first state forgets all before it, and from there a step back or one level on keeps the passage alive, a skip ends it. So the
     automaton is a last visit, carried block by block, and for the rows after it their first frame in the last state, if no skip lies before that.
+    Both directions are carried by one scan; rows are told apart by direction behind it.
     Null states, and those beyond the levels, are skips."""
-    rows = df.select(key, "frame", F.col(state).alias("_s"))
-    turns = F.explode(F.array(*[F.struct(F.lit(d).alias("direction"), level.alias("_at")) for d, level in (("down", F.col("_s")), ("up", F.lit(levels - 1) - F.col("_s")))]))
-    rows = rows.select(key, "frame", turns.alias("_t")).select(key, "frame", "_t.direction", F.coalesce("_t._at", F.lit(levels + 1)).alias("_at"))
-    series = [key, "direction"]
-    rows = blocks.scan(rows, series, "frame", lasts={"_start": F.when(F.col("_at") == 0, F.col("frame"))}, previous={"_was": F.col("_at")}, block=block)
+    beyond = F.lit(levels + 1)
+    at = {"down": F.coalesce(F.col(state), beyond), "up": F.coalesce(F.lit(levels - 1) - F.col(state), beyond)}
+    rows = df.select(key, "frame", *[level.alias(f"_at_{d}") for d, level in at.items()])
+    rows = blocks.scan(rows, [key], "frame", lasts={f"_start_{d}": F.when(F.col(f"_at_{d}") == 0, F.col("frame")) for d in at}, previous={f"_was_{d}": F.col(f"_at_{d}") for d in at}, block=block)
+    turns = F.explode(F.array(*[F.struct(F.lit(d).alias("direction"), *[F.col(f"_{c}_{d}").alias(f"_{c}") for c in ("at", "was", "start")]) for d in at]))
+    rows, series = rows.select(key, "frame", turns.alias("_t")).select(key, "frame", "_t.*"), [key, "direction"]
     there, skip = F.min(F.when(F.col("_at") == levels - 1, F.col("frame"))), F.min(F.when(F.col("_at") > F.col("_was") + 1, F.col("frame")))
     passed = rows.filter(F.col("_start").isNotNull()).groupBy(*series, "_start").agg(there.alias("_end"), skip.alias("_skip")).filter(F.col("_skip").isNull() & F.col("_end").isNotNull() | (F.col("_end") < F.col("_skip")))
     return passed.select(*series, F.col("_start").cast("int").alias("start"), F.col("_end").cast("int").alias("end"), (F.col("_end") - F.col("_start")).cast("int").alias("duration"))
