@@ -125,13 +125,19 @@ def time_stdev(points: DataFrame, grid: Lattice, radius: float, by: tuple[str, .
 def density(points: DataFrame, grid: Lattice, radius: float, n_frames: int, atoms_per_molecule: str = "n_atoms", atom: tuple[str, ...] = ("frame", "atom_nr")) -> DataFrame:
     """Each atom spreads 1 / (nodes it covers * frames * atoms of its molecule): the lattice sums to the number of molecules.
 
-    points need atom (the columns that name one) and atoms_per_molecule. Intervals are made once a place; its nodes are counted by them, and an atom off the lattice has none."""
+    points need atom (the columns that name one) and atoms_per_molecule. Intervals are made once a place; its nodes are counted by them, and an atom off the lattice has none.
+    An atom of one row needs no name beyond its place and its molecule's size, so that such atoms are summed by these before they are dealt out."""
     axes = AXES[: len(grid.n)]
     found = scanline.intervals(points.select(*axes).distinct(), grid, radius)
     nodes = found.groupBy(*axes).agg(F.sum(F.col("_high") - F.col("_low") + 1).alias("_nodes"))
-    covered = F.sum("_nodes").over(Window.partitionBy(*atom))
-    shares = points.join(nodes, list(axes)).withColumn("value", 1.0 / (covered * F.lit(n_frames) * F.col(atoms_per_molecule)))
-    return scanline.summed(found.join(scanline.merged(shares, axes, ("value",)), list(axes)), grid, values=("value",)).select(*grid.keys, "value")
+    named = F.when(F.count(F.lit(1)).over(Window.partitionBy(*atom)) > 1, F.struct(*atom))
+    sizes = F.col(atoms_per_molecule).alias("_size")
+    rows = points.select(*axes, sizes, named.alias("_atom")).groupBy(*axes, "_size", "_atom").agg(F.count("*").alias("_copies")).join(nodes, list(axes))
+    several = F.col("_atom").isNotNull()
+    of_atom = Window.partitionBy("_atom", *[F.when(~several, F.col(c)) for c in (*axes, "_size")])  # an atom without a name is alone
+    covered = F.when(several, F.sum(F.col("_nodes") * F.col("_copies")).over(of_atom)).otherwise(F.col("_nodes"))
+    shares = rows.withColumn("value", 1.0 / (covered * F.lit(n_frames) * F.col("_size")))
+    return scanline.summed(found.join(scanline.merged(shares, axes, ("value",), F.col("_copies")), list(axes)), grid, values=("value",)).select(*grid.keys, "value")
 
 
 def per_frame(values: DataFrame, n_frames: int, column: str = "value") -> DataFrame:

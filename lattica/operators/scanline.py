@@ -89,9 +89,10 @@ def _weights(values: tuple[str, ...]) -> dict[str, Column]:
     return out
 
 
-def merged(points: DataFrame, keys: tuple[str, ...], values: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, n, and the sums of the values' parts): points that agree in keys as one row. Copies of a place are stamped once, whatever their number."""
-    return points.groupBy(*keys).agg(*[F.sum(c).alias(name) for name, c in _weights(values).items()])
+def merged(points: DataFrame, keys: tuple[str, ...], values: tuple[str, ...] = (), copies: Column | None = None) -> DataFrame:
+    """(keys, n, and the sums of the values' parts): points that agree in keys as one row. Copies of a place are stamped once, whatever their number.
+    copies: how many points a row stands for."""
+    return points.groupBy(*keys).agg(*[F.sum(c if copies is None else c * copies).alias(name) for name, c in _weights(values).items()])
 
 
 def totals(points: DataFrame, grid: Lattice, radius: float, by: tuple[str, ...] = (), values: tuple[str, ...] = ()) -> DataFrame:
