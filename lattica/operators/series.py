@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from lattica.functions.geometry import length
 
 from .molecule import tilt
-from .rangejoin import classes, contacts, count_near, knn, min_dist, range_join
+from .rangejoin import allowed, classes, contacts, count_near, hbonds, knn, member_pairs, min_dist, range_join, unless
 from .transforms import checkpointed, group_center, superpose
 from .windows import majority_events, state_fold
 
@@ -41,18 +41,73 @@ def contact_kinetics(pairs: DataFrame, bound: DataFrame, r: int) -> DataFrame:
 
 
 def contact_rmsf(pairs: DataFrame, n_frames: int) -> DataFrame:
-    """Per lipid atom i: RMS over frames of 1 - sum(min) / (sum(min) + sum(diff)) of its contact vector and its mean.
+    """Per lipid atom i: RMS over frames of 1 - sum(min) / (sum(min) + sum(diff)) of its contact vector and its mean. A pair with a column n stands for n pairs.
 
     Vectors are sparse: with the mean m_j, an atom in contact adds min m_j and difference 1 - m_j, one out of contact difference m_j."""
-    mean = pairs.groupBy("i", "j").agg((F.count("*") / F.lit(float(n_frames))).alias("m"))
-    total = mean.groupBy("i").agg(F.sum("m").alias("total"))
-    per = pairs.join(mean, ["i", "j"]).groupBy("i", "frame").agg(F.sum("m").alias("low"), F.count("*").alias("n"))
+    pairs = pairs if "n" in pairs.columns else pairs.withColumn("n", F.lit(1))
+    mean = pairs.groupBy("i", "j").agg((F.count("*") / F.lit(float(n_frames))).alias("m"), F.max("n").alias("_n"))
+    total = mean.groupBy("i").agg(F.sum(F.col("m") * F.col("_n")).alias("total"))
+    per = pairs.join(mean.drop("_n"), ["i", "j"]).groupBy("i", "frame").agg(F.sum(F.col("m") * F.col("n")).alias("low"), F.sum("n").alias("n"))
     # sum of max = contacts + means of the atoms out of contact
     delta = 1.0 - F.col("low") / (F.col("n") + F.col("total") - F.col("low"))
     out = per.join(total, "i").groupBy("i").agg(F.sum(delta * delta).alias("s"), F.count("*").alias("k"))
     return out.select("i", F.sqrt((F.col("s") + (F.lit(n_frames) - F.col("k"))) / F.lit(float(n_frames))).alias("value"))
 
 
+def paths(df: DataFrame, key: str = "atom_nr", places: tuple[str, ...] = ("x", "y", "z")) -> tuple[DataFrame, DataFrame]:
+    """Rows of one key of each class of keys with the same path, i.e. the same places in all frames, and the members of the classes (key, rep, size)."""
+    members = checkpointed(classes(df, key, (), ("frame", *places)))
+    return df.join(members.filter(F.col(key) == F.col("rep")).select(key), key, "left_semi"), members
+
+
+def of_pairs(found: DataFrame, members: tuple[DataFrame, DataFrame], first: Column | None = None, exclude: DataFrame | None = None) -> DataFrame:
+    """found (i, j, ..), rows of pairs of classes by their reps, for all pairs of members (key, rep, size); none of exclude(a, b)."""
+    a, b = (m.toDF(c, rep, "size") for m, c, rep in zip(members, "ij", ("_i", "_j")))
+    values = [c for c in found.columns if c not in ("i", "j")]
+    sizes = [m.filter(F.col(c) == F.col(rep)).select(rep, F.col("size").alias(n)) for m, c, rep, n in ((a, "i", "_i", "a_n"), (b, "j", "_j", "b_n"))]
+    links = found.withColumnsRenamed({"i": "_i", "j": "_j"}).join(sizes[0], "_i").join(sizes[1], "_j")
+    takers = a.drop("size") if exclude is None else unless(exclude, a.drop("size"), "i")
+    rows = member_pairs(links, takers, b.drop("size"), ["_i"], ["_j"], [F.col("a.i").alias("i"), F.col("b.j").alias("j"), *([] if exclude is None else ["a._no"]), *values], first)
+    return rows if exclude is None else rows.filter(allowed("i", "j")).drop("_no")
+
+
+def path_pairs(a: DataFrame, b: DataFrame, cutoff: float) -> tuple[DataFrame, tuple[DataFrame, DataFrame]]:
+    """contact_pairs of one atom of each path, and the members of the paths of a and b."""
+    (ra, ma), (rb, mb) = paths(a), paths(b)
+    return contact_pairs(ra, rb, cutoff), (ma, mb)
+
+
+def path_frequency(a: DataFrame, b: DataFrame, cutoff: float, n_frames: int) -> DataFrame:
+    """contact_frequency of all contact_pairs, most frequent first: atoms of one path are compared once, and their pairs are made last."""
+    found, members = path_pairs(a, b, cutoff)
+    found = found.groupBy("i", "j").agg((F.countDistinct("frame") / F.lit(float(n_frames))).alias("frequency"))
+    return of_pairs(found, members, F.desc("frequency"))
+
+
+def path_kinetics(a: DataFrame, b: DataFrame, cutoff: float, bound: DataFrame, r: int) -> DataFrame:
+    """contact_kinetics of all contact_pairs, as path_frequency."""
+    found, members = path_pairs(a, b, cutoff)
+    return of_pairs(contact_kinetics(found, bound, r), members)
+
+
+def path_rmsf(a: DataFrame, b: DataFrame, cutoff: float, n_frames: int) -> DataFrame:
+    """contact_rmsf of all contact_pairs; an atom of each path stands for those of its path."""
+    found, (ma, mb) = path_pairs(a, b, cutoff)
+    sized = checkpointed(found).join(mb.filter("atom_nr = rep").select(F.col("rep").alias("j"), F.col("size").alias("n")), "j")
+    return ma.select(F.col("atom_nr").alias("i"), "rep").join(contact_rmsf(sized, n_frames).withColumnRenamed("i", "rep"), "rep").select("i", "value")
+
+
+def hbond_kinetics(acceptors: DataFrame, donors: DataFrame, bonds: DataFrame, hydrogens: DataFrame, distance: float, angle: float, exclude: DataFrame | None, bound: DataFrame, r: int) -> DataFrame:
+    """contact_kinetics of the acceptors i and donors j of all hbonds, as path_frequency; a donor's path is its own and those of its hydrogens."""
+    taker, ma = paths(acceptors)
+    sym = bonds.select(F.col("a").alias("atom_nr"), F.col("b").alias("_h")).union(bonds.select("b", "a")).distinct()
+    ends = donors.select("frame", "atom_nr", *"xyz").join(sym, "atom_nr").join(hydrogens.select("frame", F.col("atom_nr").alias("_h"), *[F.col(c).alias(f"h{c}") for c in "xyz"]), ["frame", "_h"])
+    mb = paths(ends, places=("x", "y", "z", "hx", "hy", "hz"))[1]
+    giver = donors.join(mb.filter("atom_nr = rep").select("atom_nr"), "atom_nr", "left_semi")
+    found = hbonds(taker, giver, bonds, hydrogens, distance, angle).select("frame", F.col("acceptor").alias("i"), F.col("donor").alias("j"))
+    return of_pairs(contact_kinetics(found, bound, r), (ma, mb), exclude=exclude)
+
+
 def distance_series(df: DataFrame, a: Column, b: Column) -> DataFrame:
     """(frame, dist) of two groups' geometric centres."""
     ca = group_center(df, a, False)
@@ -244,8 +299,7 @@ def bound_lipid_rmsf(lipids: DataFrame, bound: DataFrame) -> DataFrame:
 
 def contacts_by_bound(protein: DataFrame, lipids: DataFrame, bound: DataFrame, cutoff: float, n_frames: int) -> DataFrame:
     """(res_nr, bound, other): contacts a frame of each protein residue with the bound lipid, and with all others."""
-    marked = lipids.select("frame", "res_nr", "x", "y", "z").join(bound.withColumn("own", F.lit(1)), ["frame", "res_nr"], "left").select("frame", F.coalesce("own", F.lit(0)).alias("own"), "x", "y", "z")
-    n = range_join(protein.select("frame", "res_nr", "x", "y", "z"), marked, cutoff).groupBy(F.col("a_res_nr").alias("res_nr")).agg(F.sum("b_own").alias("o"), F.count("*").alias("k"))
-    full = protein.select("res_nr").distinct().join(n, "res_nr", "left")
-    o, k = F.coalesce("o", F.lit(0)) / F.lit(float(n_frames)), F.coalesce("k", F.lit(0)) / F.lit(float(n_frames))
-    return full.select("res_nr", o.alias("bound"), (k - o).alias("other"))
+    own = lipids.join(F.broadcast(bound), ["frame", "res_nr"], "left_semi")  # a row a frame
+    rows = count_near(protein.select("frame", "res_nr", "x", "y", "z"), lipids.select("frame", "x", "y", "z"), cutoff).withColumnRenamed("n", "_all")
+    n = count_near(rows, own.select("frame", "x", "y", "z"), cutoff).groupBy("res_nr").agg(*[(F.sum(c) / F.lit(float(n_frames))).alias(c) for c in ("_all", "n")])
+    return n.select("res_nr", F.col("n").alias("bound"), (F.col("_all") - F.col("n")).alias("other"))

@@ -3,9 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from lattica.operators import rangejoin as rj
+from lattica.operators import series
 
 from test_copies import molecules
 
@@ -42,3 +44,55 @@ def test_hbond_rows_are_those_of_hbonds(spark, copies):
     assert rows == plain and len(rows) == len(set(rows)) > 0
     assert sorted(map(tuple, rj.hbond_rows(*given[:-1]).collect())) == sorted(map(tuple, rj.hbonds(*given[:-1]).collect()))
     assert rj.hbond_rows(given[0].union(given[0]), given[1].union(given[1]), *given[2:]).count() == len(rows)
+
+
+def atoms(spark, n, places, seed):
+    return cloud(spark, "atom_nr", n, places, seed)[0]
+
+
+@pytest.fixture
+def compared(monkeypatch):
+    """Numbers of pairs that the joins by distance make."""
+    seen, plain = [], rj.range_join
+    counted = lambda *args, **kw: (out := plain(*args, **kw), seen.append(out.count()))[0]
+    monkeypatch.setattr(rj, "range_join", counted)
+    monkeypatch.setattr(series, "range_join", counted)
+    return seen
+
+
+def same(got, want):
+    plain = lambda df: {tuple(r)[:-1]: pytest.approx(tuple(r)[-1]) for r in df.collect()}
+    return plain(got) == plain(want) and got.count() == want.count() > 20
+
+
+def test_pairs_of_paths_stand_for_pairs_of_atoms(spark, compared):
+    a, b = atoms(spark, 210, 5, 3), atoms(spark, 168, 4, 4)
+    bound = spark.createDataFrame([(0, 1), (1, 1)], "frame int, lipid_nr int")
+    freq = series.path_frequency(a, b, 0.9, 2)
+    found = [r["frequency"] for r in freq.collect()]
+    assert found == sorted(found, reverse=True)
+    got = [freq, series.path_kinetics(a, b, 0.9, bound, 0), series.path_rmsf(a, b, 0.9, 2)]
+    few, pairs = list(compared), series.contact_pairs(a, b, 0.9)
+    want = [series.contact_frequency(pairs, 2), series.contact_kinetics(pairs, bound, 0), series.contact_rmsf(pairs, 2)]
+    assert all(same(g, w) for g, w in zip(got, want))
+    assert max(few) < pairs.count() / 10
+
+
+@pytest.mark.parametrize("copies", [2, 40])
+def test_bond_kinetics_of_paths(spark, compared, copies):
+    acceptors, donors, bonds, hydrogens, *limits, own = molecules(spark, copies)
+    bound = spark.createDataFrame([(0, 1)], "frame int, lipid_nr int")
+    got = series.hbond_kinetics(acceptors, donors, bonds, hydrogens, *limits, own, bound, 0)
+    few, p = list(compared), rj.hbonds(acceptors, donors, bonds, hydrogens, *limits, own).select("frame", F.col("acceptor").alias("i"), F.col("donor").alias("j"))
+    want = series.contact_kinetics(p, bound, 0)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 0
+    assert max(few) <= 16
+
+
+def test_contacts_by_bound_compare_places(spark, compared):
+    (protein, rp), (lipids, rl) = cloud(spark, "res_nr", 60, 4, 5), cloud(spark, "res_nr", 200, 5, 6)
+    bound = spark.createDataFrame([(0, 1), (1, 3)], "frame int, res_nr int")
+    got = {r["res_nr"]: (r["bound"], r["other"]) for r in series.contacts_by_bound(protein, lipids, bound, 0.9, 2).collect()}
+    met = [(p[1], (q[0], q[1]) in ((0, 1), (1, 3))) for p in rp for q in rl if p[0] == q[0] and sum((u - v) ** 2 for u, v in zip(p[2:], q[2:])) ** 0.5 < 0.9]
+    assert got == {k: (met.count((k, True)) / 2, met.count((k, False)) / 2) for k in {r[1] for r in rp}}
+    assert max(compared) <= 2 * 4 * 5
