@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lattice import Lattice, stamp
-from .rangejoin import knn, near
+from .rangejoin import knn, near_places
 from .transforms import checkpointed, images
 
 
@@ -37,4 +37,4 @@ def frame_nodes(frames: DataFrame, aps: float) -> DataFrame:
 def near_protein(protein: DataFrame, lipids: DataFrame, c_dist: float) -> DataFrame:
     """Protein atoms with a lipid atom nearer than c_dist whose abs(dz) is under c_dist / 2."""
     flat: Column = F.abs(F.col("a_z") - F.col("b_z")) < c_dist / 2
-    return near(protein, lipids, c_dist, where=flat)
+    return near_places(protein, lipids, c_dist, where=flat)

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from lattica.operators import observables as ob
 from lattica.operators import rangejoin as rj
-from lattica.operators import series
+from lattica.operators import series, tessellate
 
 from test_copies import molecules
 
@@ -56,7 +57,8 @@ def compared(monkeypatch):
     seen, plain = [], rj.range_join
     counted = lambda *args, **kw: (out := plain(*args, **kw), seen.append(out.count()))[0]
     monkeypatch.setattr(rj, "range_join", counted)
-    monkeypatch.setattr(series, "range_join", counted)
+    for module in (series, ob):
+        monkeypatch.setattr(module, "range_join", counted)
     return seen
 
 
@@ -96,3 +98,32 @@ def test_contacts_by_bound_compare_places(spark, compared):
     met = [(p[1], (q[0], q[1]) in ((0, 1), (1, 3))) for p in rp for q in rl if p[0] == q[0] and sum((u - v) ** 2 for u, v in zip(p[2:], q[2:])) ** 0.5 < 0.9]
     assert got == {k: (met.count((k, True)) / 2, met.count((k, False)) / 2) for k in {r[1] for r in rp}}
     assert max(compared) <= 2 * 4 * 5
+
+
+def within(p, q, cutoff):
+    return p[0] == q[0] and sum((u - v) ** 2 for u, v in zip(p[2:], q[2:])) ** 0.5 < cutoff
+
+
+def test_near_protein_compares_places(spark, compared):
+    (protein, rp), (lipids, rl) = cloud(spark, "res_nr", 60, 4, 7), cloud(spark, "atom_nr", 200, 5, 8)
+    got = sorted((r["frame"], r["res_nr"]) for r in tessellate.near_protein(protein, lipids, 0.8).collect())
+    assert got == sorted(p[:2] for p in rp if any(within(p, q, 0.8) and abs(p[4] - q[4]) < 0.4 for q in rl)) and len(got) > 0
+    assert max(compared) <= 2 * 4
+
+
+def test_surface_residues_compare_places(spark, compared):
+    (protein, rp), (lipids, rl) = cloud(spark, "res_nr", 60, 4, 9), cloud(spark, "atom_nr", 200, 5, 10)
+    met = {p[:2] for p in rp if any(within(p, q, 0.9) for q in rl)}
+    got = {r["res_nr"]: r["percent"] for r in series.surface_residues(protein, lipids, 0.9, 0.0, 2).collect()}
+    assert got and all(v == 50.0 * sum(k == n for _, n in met) for k, v in got.items())
+    assert max(compared) <= 2 * 4 * 5
+
+
+def test_interdigitation_compares_places(spark, compared):
+    (tails, rt), (other, ro) = cloud(spark, "atom_nr", 60, 4, 11), cloud(spark, "atom_nr", 200, 5, 12)
+    named = other.withColumns({"res_name": F.lit("POPE"), "atom_name": F.concat(F.lit("C"), F.col("atom_nr") % 3)})
+    ranks = spark.createDataFrame([("POPE", f"C{k}", 1.0 * k) for k in range(3)], "res_name string, atom_name string, rank double")
+    got = {(r["frame"], r["atom_nr"]): r["value"] for r in ob.interdigitation(tails, named, 0.9, ranks).collect()}
+    met = {p[:2]: [q[1] % 3 for q in ro if q[1] % 3 and within(p, q, 0.9)] for p in rt}
+    assert got == {k: pytest.approx(sum(v) / len(v) if v else 0.0) for k, v in met.items()} and any(got.values())
+    assert max(compared) <= 2 * 4 * 5
