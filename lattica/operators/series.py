@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from lattica.functions.geometry import length
 
 from .molecule import tilt
-from .rangejoin import allowed, classes, contacts, count_near, hbonds, knn, member_pairs, min_dist, range_join, unless
+from .rangejoin import allowed, classes, contacts, count_near, hbonds, knn, member_pairs, min_dist, near_places, range_join, unless
 from .transforms import checkpointed, group_center, superpose
 from .windows import majority_events, state_fold
 
@@ -171,7 +171,7 @@ def residue_enrichment(protein: DataFrame, lipids: DataFrame, cutoff: float, is_
 
 def surface_residues(protein: DataFrame, lipids: DataFrame, cutoff: float, z: float, n_frames: int, key: str = "res_nr") -> DataFrame:
     """Atoms (key) with the percent of frames they touch lipid, the floor(mean + z * sd) of highest percent; mean and sd of the number touching per frame."""
-    pairs = contacts(protein.select("frame", key, "x", "y", "z"), lipids.select("frame", "x", "y", "z"), cutoff).select("frame", F.col(f"a_{key}").alias(key)).distinct()
+    pairs = checkpointed(near_places(protein.select("frame", key, "x", "y", "z"), lipids, cutoff).select("frame", key).distinct())
     per = pairs.groupBy("frame").agg(F.count("*").alias("n"))
     top = per.agg(F.floor(F.avg("n") + z * F.coalesce(F.stddev_samp("n"), F.lit(0.0))).alias("_top"))
     pct = pairs.groupBy(key).agg((F.count("*") * 100.0 / F.lit(n_frames)).alias("percent"))
