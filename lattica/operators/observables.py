@@ -124,10 +124,10 @@ def interleaflet_series(a: DataFrame, b: DataFrame, cutoff: float, heads: DataFr
 
 
 def interdigitation(tails: DataFrame, opposing: DataFrame, cutoff: float, ranks: DataFrame) -> DataFrame:
-    """(frame, atom_nr, x, y, z, value): mean rank of opposing atoms within cutoff of a tail atom; atoms of rank 0 don't count; 0 where there is none."""
-    ranked = opposing.join(F.broadcast(ranks), ["res_name", "atom_name"]).filter("rank != 0").select("frame", "rank", "x", "y", "z")
-    pairs = range_join(tails.select("frame", "atom_nr", "x", "y", "z"), ranked, cutoff).groupBy("frame", F.col("a_atom_nr").alias("atom_nr")).agg(F.avg("b_rank").alias("m"))
-    return tails.select("frame", "atom_nr", "x", "y", "z").join(pairs, ["frame", "atom_nr"], "left").withColumn("value", F.coalesce("m", F.lit(0.0))).drop("m")
+    """(frame, atom_nr, x, y, z, value): mean rank of opposing atoms within cutoff of a tail atom; atoms of rank 0 don't count; 0 where there is none. Places are compared, and the ranks of one are summed up first."""
+    ranked = opposing.join(F.broadcast(ranks), ["res_name", "atom_name"]).filter("rank != 0").groupBy("frame", "x", "y", "z").agg(F.sum("rank").alias("rank"), F.count("*").alias("n"))
+    pairs = range_join(tails.select("frame", "x", "y", "z").distinct(), ranked, cutoff).groupBy("frame", *[F.col(f"a_{c}").alias(c) for c in "xyz"]).agg((F.sum("b_rank") / F.sum("b_n")).alias("m"))
+    return tails.select("frame", "atom_nr", "x", "y", "z").join(pairs, ["frame", "x", "y", "z"], "left").select("frame", "atom_nr", "x", "y", "z", F.coalesce("m", F.lit(0.0)).alias("value"))
 
 
 def salt_bridges(a: DataFrame, b: DataFrame, cutoff: float) -> DataFrame:
