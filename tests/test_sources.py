@@ -133,3 +133,18 @@ def test_frames_that_lie_in_several_files(spark, tmp_path):
         assert {(r[0], r[1], r[2], r[3]) for r in got} == {(r[0], r[1], r[5], r[6]) for r in rows} and len(got) == len(rows) and {r["by"] for r in got} == {21.0}
     plan = structures.read_pdb(spark, str(tmp_path / "pdb"), across=True)._jdf.queryExecution().executedPlan().toString()
     assert "row_number" not in plan and "collect_list" not in plan  # lines aren't numbered by a sort, and no row holds a frame
+
+
+def test_text_is_not_dealt_out_to_be_read(spark, tmp_path):
+    rows = [(f, a, a, "POPE", "PO4", a / 8, f / 4, 1.5) for f in range(3) for a in range(500)]
+    df = spark.createDataFrame(rows, "frame int, atom_nr int, res_nr int, res_name string, atom_name string, x double, y double, z double")
+    structures.write_text_frames(df, str(tmp_path / "pdb"), "pdb", (20.0, 21.0, 22.0), partitions=4, whole=False)
+    assert all(p.name.endswith(".gz") for p in (tmp_path / "pdb").glob("part-*"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = structures.read_pdb(spark, str(tmp_path / "pdb"), across=True)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+        assert got.count() == len(rows)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
