@@ -166,21 +166,23 @@ def mend_bonds(df: DataFrame, bonds: DataFrame, box: tuple[float, float, float])
     """Makes molecules whole along their bonds: from the least atom of a molecule on, an atom more than half a box from its parent is shifted by boxes.
 
     An atom's image is its parent's and what its own bond adds, so that images add up along the path to the root, and paths are doubled: a
-    round adds what the atom 2 ** k steps above has summed up. Rounds grow with the logarithm of the depth, and pointers are the same in all frames."""
+    round adds what the atom 2 ** k steps above has summed up. Rounds grow with the logarithm of the depth, and pointers are the same in all frames.
+    Only images other than 0, those of bonds across the box and what hangs on them, are written and dealt out in the rounds."""
     tree = checkpointed(forest(bonds))
     deepest = tree.agg(F.max("depth")).first()[0] or 0
     at = df.select("frame", F.col("atom_nr").cast("long").alias("atom_nr"), *XYZ)
     up = at.select("frame", F.col("atom_nr").alias("parent"), *[F.col(k).alias(f"p{k}") for k in XYZ])
     add = {f"i{k}": -F.round((F.col(k) - F.col(f"p{k}")) / F.lit(l)) for k, l in zip(XYZ, box)}
-    sums = at.join(tree.select("atom_nr", "parent"), "atom_nr").join(up, ["frame", "parent"]).select("frame", "atom_nr", *[c.alias(n) for n, c in add.items()])
+    shifted = reduce(Column.__or__, [F.col(n) != 0 for n in add])
+    sums = at.join(tree.select("atom_nr", "parent"), "atom_nr").join(up, ["frame", "parent"]).select("frame", "atom_nr", *[c.alias(n) for n, c in add.items()]).filter(shifted)
     pointer = tree.select("atom_nr", F.col("parent").alias("to"))
     reach, stale = 1, []
     while reach < deepest:
         sums = checkpointed(sums)
         discard(*stale)
         stale = [sums, pointer]
-        above = sums.select("frame", F.col("atom_nr").alias("to"), *[F.col(n).alias(f"u{n}") for n in add])
-        sums = sums.join(pointer, "atom_nr", "left").join(above, ["frame", "to"], "left").select("frame", "atom_nr", *[(F.col(n) + F.coalesce(f"u{n}", F.lit(0.0))).alias(n) for n in add])
+        below = sums.withColumnRenamed("atom_nr", "to").join(pointer, "to").select("frame", "atom_nr", *add)
+        sums = sums.unionByName(below).groupBy("frame", "atom_nr").agg(*[F.sum(n).alias(n) for n in add]).filter(shifted)
         pointer = checkpointed(pointer.join(pointer.select(F.col("atom_nr").alias("to"), F.col("to").alias("next")), "to").select("atom_nr", F.col("next").alias("to")))
         reach *= 2
     moved = df.withColumn("_a", F.col("atom_nr").cast("long")).join(sums.withColumnRenamed("atom_nr", "_a"), ["frame", "_a"], "left")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from lattica.operators import observables as ob
 from lattica.operators import rangejoin as rj
-from lattica.operators import series, tessellate
+from lattica.operators import series, tessellate, transforms
 
 from test_copies import molecules
 
@@ -127,3 +127,14 @@ def test_interdigitation_compares_places(spark, compared):
     met = {p[:2]: [q[1] % 3 for q in ro if q[1] % 3 and within(p, q, 0.9)] for p in rt}
     assert got == {k: pytest.approx(sum(v) / len(v) if v else 0.0) for k, v in met.items()} and any(got.values())
     assert max(compared) <= 2 * 4 * 5
+
+
+def test_rounds_of_mending_hold_shifted_atoms_only(spark, monkeypatch):
+    rows = [(f, 8 * m + k, (9.0 if m == 0 else 1.0) + 0.3 * k - (10.0 if m == 0 and k > 3 else 0.0), 1.0, 1.0) for f in range(2) for m in range(10) for k in range(8)]
+    df = spark.createDataFrame(rows, "frame int, atom_nr int, x double, y double, z double")
+    bonds = spark.createDataFrame([(8 * m + k, 8 * m + k + 1) for m in range(10) for k in range(7)], "a int, b int")
+    written, plain = [], transforms.checkpointed
+    monkeypatch.setattr(transforms, "checkpointed", lambda t: written.append(t.count() if "ix" in t.columns else 0) or plain(t))
+    got = {(r["frame"], r["atom_nr"]): r["x"] for r in transforms.mend_bonds(df, bonds, (10.0, 10.0, 10.0)).collect()}
+    assert got == {(f, n): pytest.approx(x + (10.0 if 3 < n < 8 else 0.0)) for f, n, x, _, _ in rows}
+    assert 0 < max(written) <= 2 * 4
